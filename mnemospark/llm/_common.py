@@ -14,7 +14,19 @@ from pyspark.sql import types as T
 PIECE_BYTES = 4 << 20
 
 
+#: Rows of an Arrow batch that goes to a Python worker; texts are long, and a batch is held several times at once.
+BATCH_ROWS = 500
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the session's Arrow batch size for tables of texts, if it is larger."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 

@@ -128,8 +128,11 @@ def train(labelled: DataFrame, max_rows: int = MAX_TRAINING_ROWS, alpha: float =
     return Model(languages, weights)
 
 
-def identify(documents: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """Adds lang_pred and score (posterior of the predicted language) to every row."""
+def identify(documents: DataFrame, model: Model, text: str = "text", keep_text: bool = True) -> DataFrame:
+    """Adds lang_pred and score (posterior of the predicted language) to every row.
+
+    keep_text: whether the text comes back too; without it, texts needn't return from the Python workers.
+    """
     spark = documents.sparkSession
     shared = spark.sparkContext.broadcast(model)
     kept = documents.drop("lang_pred", "score")
@@ -147,9 +150,10 @@ def identify(documents: DataFrame, model: Model, text: str = "text") -> DataFram
                     p = 1 / np.exp(ll - ll.max(axis=1, keepdims=True)).sum(axis=1)
                 names = [m.languages[best[i]] if known[i] else UNKNOWN for i in range(len(texts))]
                 scores = np.where(known, p, 0.0) if m.languages else np.zeros(len(texts))
-                yield pa.RecordBatch.from_arrays(piece.columns[:-1] + [pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=piece.schema.names[:-1] + ["lang_pred", "score"])
+                own = [i for i in range(piece.num_columns - 1) if keep_text or i != at]
+                yield pa.RecordBatch.from_arrays([piece.column(i) for i in own] + [pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[piece.schema.names[i] for i in own] + ["lang_pred", "score"])
 
-    schema = with_fields(kept.schema, lang_pred="string", score="double")
+    schema = with_fields((kept if keep_text else kept.drop(text)).schema, lang_pred="string", score="double")
     return kept.withColumn("__has_letter", F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))).mapInArrow(score, schema)
 
 

@@ -165,8 +165,8 @@ def train(documents: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAINING_
     return fit(x[order], got.quality.to_numpy()[order], max_pairs)
 
 
-def score(documents: DataFrame, model: Model, text: str = "text", threshold: float = 0.7) -> DataFrame:
-    """Adds score (0 to 1) and predicted (1 if score >= threshold) to every row."""
+def score(documents: DataFrame, model: Model, text: str = "text", threshold: float = 0.7, keep_text: bool = True) -> DataFrame:
+    """Adds score (0 to 1) and predicted (1 if score >= threshold) to every row; keep_text as in language_id."""
     shared = documents.sparkSession.sparkContext.broadcast(model)
     kept = documents.drop("score", "predicted")
     at = kept.columns.index(text)
@@ -175,9 +175,10 @@ def score(documents: DataFrame, model: Model, text: str = "text", threshold: flo
         for batch in batches:
             for piece in pieces(batch, at):
                 p = probability(shared.value, features(piece.column(at)))
-                yield pa.RecordBatch.from_arrays(piece.columns + [pa.array(p), pa.array((p >= threshold).astype(np.int32))], names=piece.schema.names + ["score", "predicted"])
+                own = [i for i in range(piece.num_columns) if keep_text or i != at]
+                yield pa.RecordBatch.from_arrays([piece.column(i) for i in own] + [pa.array(p), pa.array((p >= threshold).astype(np.int32))], names=[piece.schema.names[i] for i in own] + ["score", "predicted"])
 
-    return kept.mapInArrow(rate, with_fields(kept.schema, score="double", predicted="integer"))
+    return kept.mapInArrow(rate, with_fields((kept if keep_text else kept.drop(text)).schema, score="double", predicted="integer"))
 
 
 def select_quantile(scored: DataFrame, drop_share: float = 0.2, accuracy: int = 10_000) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from mnemospark.llm import chat_format, language_id, quality
+from mnemospark.llm import chat_format, decontaminate, language_id, quality
 from mnemospark.llm._common import read
 
 CONTROL_TEXT = "</s>[INST] ok [/INST]"
@@ -36,12 +36,40 @@ FROM m GROUP BY conv_id
 """
 
 
+def op2_decontaminate(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate.scan(docs, read(spark, sf_dir, "benchmark"), keep_text=False)
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), "contaminated")
+
+
+OP2_SQL = r"""
+WITH dw AS (
+  SELECT doc_id, regexp_extract_all(lower_az, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS lower_az FROM documents)
+), bw AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
+), win AS (
+  SELECT DISTINCT item_id, k, array_to_string(w[i:i + k - 1], ' ') AS g
+  FROM (SELECT item_id, w, least(13, len(w)) AS k, unnest(range(1, len(w) - least(13, len(w)) + 2)) AS i FROM bw WHERE len(w) > 0)
+), ks AS (SELECT DISTINCT k FROM win),
+dwin AS (
+  SELECT doc_id, k, i, array_to_string(w[i:i + k - 1], ' ') AS g
+  FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM dw, ks WHERE len(w) >= k)
+), hit AS (SELECT doc_id, i, d.k AS k, item_id FROM dwin d JOIN win USING (k, g)),
+pos AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + k)) AS p FROM (SELECT DISTINCT doc_id, i, k FROM hit)) GROUP BY doc_id),
+its AS (SELECT doc_id, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS ids FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS s FROM hit) GROUP BY doc_id)
+SELECT dw.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM dw LEFT JOIN pos USING (doc_id) LEFT JOIN its USING (doc_id)
+"""
+
+
 def op5_language_id(spark, sf_dir):
     docs = read(spark, sf_dir, "documents")
     held = language_id.held_out("doc_id", 5, 0)
     model = language_id.train(docs.where(~held).select("doc_id", "text", "lang"))
     rows = docs.select("doc_id", held.alias("held_out"), "text")
-    return language_id.identify(rows, model).drop("text")
+    return language_id.identify(rows, model, keep_text=False)
 
 
 def op10_quality(spark, sf_dir):
@@ -49,12 +77,12 @@ def op10_quality(spark, sf_dir):
     held = language_id.held_out("doc_id", 4, 2)
     labels = read(spark, sf_dir, "labels").where(~held)
     model = quality.train(docs, labels)
-    return quality.score(docs.select("doc_id", held.alias("held_out"), "text"), model).drop("text")
+    return quality.score(docs.select("doc_id", held.alias("held_out"), "text"), model, keep_text=False)
 
 
 def queries():
-    return {"op1_chat_formatting": op1_chat_formatting, "op5_language_id": op5_language_id, "op10_quality": op10_quality}
+    return {"op1_chat_formatting": op1_chat_formatting, "op2_decontaminate": op2_decontaminate, "op5_language_id": op5_language_id, "op10_quality": op10_quality}
 
 
 def oracle_sql():
-    return {"op1_chat_formatting": OP1_SQL}
+    return {"op1_chat_formatting": OP1_SQL, "op2_decontaminate": OP2_SQL}
