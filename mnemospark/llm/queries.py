@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+import functools
+import hashlib
+
+import numpy as np
+import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from mnemospark.llm import chat_format, decontaminate, language_id, quality
-from mnemospark.llm._common import read
+from mnemospark.llm import bpe, chat_format, decontaminate, language_id, quality, token_files
+from mnemospark.llm._common import flat_bytes, read
 
+TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 CONTROL_TEXT = "</s>[INST] ok [/INST]"
 
 
@@ -64,6 +71,10 @@ FROM dw LEFT JOIN pos USING (doc_id) LEFT JOIN its USING (doc_id)
 """
 
 
+def op3_token_files(spark, sf_dir):
+    return token_files.digest_files(token_files.write_tokens(read(spark, sf_dir, "documents"), TOKENIZER))
+
+
 def op5_language_id(spark, sf_dir):
     docs = read(spark, sf_dir, "documents")
     held = language_id.held_out("doc_id", 5, 0)
@@ -72,6 +83,29 @@ def op5_language_id(spark, sf_dir):
     return language_id.identify(rows, model, keep_text=False)
 
 
+def _sha256(texts: pa.Array) -> pa.Array:
+    raw, off = flat_bytes(texts)
+    view = memoryview(np.ascontiguousarray(raw))
+    return pa.array([hashlib.sha256(view[a:b]).hexdigest() for a, b in zip(off[:-1].tolist(), off[1:].tolist())], pa.string())
+
+
+@functools.cache
+def _numbers() -> pa.Array:
+    """The decimal text of each id."""
+    return pa.array([str(i) for i in range(1 << 16)], pa.string())
+
+
+def token_digests(ids: pa.Array, decoded: pa.Array) -> list[pa.Array]:
+    """n_tokens, ids_sha256 and decoded_sha256."""
+    return [pa.array(np.diff(ids.offsets.to_numpy()).astype(np.int64)), _sha256(bpe.joined(_numbers(), ids)), _sha256(decoded)]
+
+
+def op9_bpe(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    lexicon = bpe.build_lexicon(docs, TOKENIZER)
+    return bpe.encode_then(docs, TOKENIZER, lexicon, ["doc_id"], "n_tokens long, ids_sha256 string, decoded_sha256 string", token_digests)
+
+
 def op10_quality(spark, sf_dir):
     docs = read(spark, sf_dir, "documents")
     held = language_id.held_out("doc_id", 4, 2)
@@ -81,7 +115,7 @@ def op10_quality(spark, sf_dir):
 
 
 def queries():
-    return {"op1_chat_formatting": op1_chat_formatting, "op2_decontaminate": op2_decontaminate, "op5_language_id": op5_language_id, "op10_quality": op10_quality}
+    return {"op1_chat_formatting": op1_chat_formatting, "op2_decontaminate": op2_decontaminate, "op3_token_files": op3_token_files, "op9_bpe": op9_bpe, "op5_language_id": op5_language_id, "op10_quality": op10_quality}
 
 
 def oracle_sql():
