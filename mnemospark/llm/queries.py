@@ -10,7 +10,7 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from mnemospark.llm import bpe, chat_format, decontaminate, language_id, quality, token_files
+from mnemospark.llm import bpe, chat_format, decontaminate, exact_dedup, language_id, quality, token_files
 from mnemospark.llm._common import flat_bytes, read
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -89,6 +89,20 @@ def _sha256(texts: pa.Array) -> pa.Array:
     return pa.array([hashlib.sha256(view[a:b]).hexdigest() for a, b in zip(off[:-1].tolist(), off[1:].tolist())], pa.string())
 
 
+def op6_exact_dedup(spark, sf_dir):
+    return exact_dedup.mark(read(spark, sf_dir, "documents"), ["doc_id"])
+
+
+OP6_SQL = r"""
+WITH n AS (
+  SELECT doc_id, length(coalesce(text, '')) AS chars, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS norm FROM documents
+), w AS (
+  SELECT doc_id, norm, first_value(doc_id) OVER (PARTITION BY norm ORDER BY chars DESC, doc_id) AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size FROM n
+)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(norm) AS text_sha256 FROM w
+"""
+
+
 @functools.cache
 def _numbers() -> pa.Array:
     """The decimal text of each id."""
@@ -115,8 +129,8 @@ def op10_quality(spark, sf_dir):
 
 
 def queries():
-    return {"op1_chat_formatting": op1_chat_formatting, "op2_decontaminate": op2_decontaminate, "op3_token_files": op3_token_files, "op9_bpe": op9_bpe, "op5_language_id": op5_language_id, "op10_quality": op10_quality}
+    return {"op1_chat_formatting": op1_chat_formatting, "op2_decontaminate": op2_decontaminate, "op3_token_files": op3_token_files, "op6_exact_dedup": op6_exact_dedup, "op9_bpe": op9_bpe, "op5_language_id": op5_language_id, "op10_quality": op10_quality}
 
 
 def oracle_sql():
-    return {"op1_chat_formatting": OP1_SQL, "op2_decontaminate": OP2_SQL}
+    return {"op1_chat_formatting": OP1_SQL, "op2_decontaminate": OP2_SQL, "op6_exact_dedup": OP6_SQL}
