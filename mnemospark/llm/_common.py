@@ -170,6 +170,7 @@ _rng = np.random.default_rng(20240229)
 #: A random 64-bit value for each byte.
 BYTE = _rng.integers(1, 2**63 - 1, 256, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 LETTERS = Roller(0x9E3779B97F4A7C15)
+LETTERS2 = Roller(0xA24BAED4963EE407)
 WORDS = Roller(0xC2B2AE3D27D4EB4F)
 #: A second base, for 128-bit keys.
 WORDS2 = Roller(0xD6E8FEB86659FD93)
