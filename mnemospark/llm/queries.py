@@ -10,7 +10,7 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from mnemospark.llm import bpe, chat_format, decontaminate, exact_dedup, html_text, language_id, quality, token_files
+from mnemospark.llm import bpe, chat_format, decontaminate, exact_dedup, html_text, jaccard_join, language_id, quality, token_files
 from mnemospark.llm._common import flat_bytes, read
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -103,6 +103,10 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(norm) AS te
 """
 
 
+def op7_jaccard_join(spark, sf_dir):
+    return jaccard_join.cluster(read(spark, sf_dir, "documents"), n=3, threshold=90)
+
+
 def op8_html_text(spark, sf_dir):
     return html_text.main_text(read(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
 
@@ -133,7 +137,7 @@ def op10_quality(spark, sf_dir):
 
 
 def queries():
-    return {"op1_chat_formatting": op1_chat_formatting, "op2_decontaminate": op2_decontaminate, "op3_token_files": op3_token_files, "op6_exact_dedup": op6_exact_dedup, "op8_html_text": op8_html_text, "op9_bpe": op9_bpe, "op5_language_id": op5_language_id, "op10_quality": op10_quality}
+    return {"op1_chat_formatting": op1_chat_formatting, "op2_decontaminate": op2_decontaminate, "op3_token_files": op3_token_files, "op6_exact_dedup": op6_exact_dedup, "op7_jaccard_join": op7_jaccard_join, "op8_html_text": op8_html_text, "op9_bpe": op9_bpe, "op5_language_id": op5_language_id, "op10_quality": op10_quality}
 
 
 def oracle_sql():
