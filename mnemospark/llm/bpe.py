@@ -30,7 +30,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mnemospark.llm._common import flat_bytes, pieces, with_fields
+from mnemospark.llm._common import flat_bytes, pieces, staged, with_fields
 from mnemospark.llm._words import WordEncoder, load_tokenizer
 
 #: Words of the lexicon; bounds the automaton (a few MB) whatever the corpus.
@@ -142,9 +142,22 @@ class Transducer:
 
 
 def frequent_words(documents: DataFrame, n: int = LEXICON_WORDS, text: str = "text") -> list[str]:
-    """The n most frequent words over all rows (ties by the word)."""
-    words = documents.select(F.explode(F.split(F.col(text), r"[ \t\n\x0B\f\r]+")).alias("w")).where((F.octet_length("w") > 0) & (F.octet_length("w") <= LONGEST_WORD))
-    return [r.w for r in words.groupBy("w").count().where("count > 1").orderBy(F.desc("count"), "w").limit(n).select("w").collect()]
+    """The most frequent words over all rows, n at most: all words above a count.
+
+    The count is read off a histogram with 16 steps to a doubling, so that only
+    the chosen words come to the driver, however many partitions count them.
+    """
+    spaced = F.regexp_replace(F.lower(text), r"([a-z])([.,])(\s)", "$1 $2$3")
+    words = documents.select(F.explode(F.split(spaced, r"[ \t\n\x0B\f\r]+")).alias("w")).where((F.octet_length("w") > 0) & (F.octet_length("w") <= LONGEST_WORD))
+    step = F.floor(16 * F.log2("count")).cast("int")
+    counts = staged(words.groupBy("w").count().where("count > 1").withColumn("step", step), "words")
+    total, least = 0, None
+    for r in counts.groupBy("step").count().orderBy(F.desc("step")).collect():  # at most 16 * 63 rows
+        total += r["count"]
+        if total > n:
+            break
+        least = r["step"]
+    return [] if least is None else [r.w for r in counts.where(F.col("step") >= least).select("w").collect()]
 
 
 def build_lexicon(documents: DataFrame, tokenizer_path: str, n: int = LEXICON_WORDS, text: str = "text") -> str:
