@@ -57,6 +57,7 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
+    spark._jvm.System.gc()  # lets Spark's cleaner delete the shuffle files that only the finished job used
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -42,12 +42,13 @@ class SuffixArray:
         self.order, self.span = order, span
 
     def lcp(self) -> np.ndarray:
-        n = len(self.order)
-        out = np.zeros(n, np.int64)
-        if n < 2:
+        """Also of a subset of the suffixes, if ``order`` was reduced to one."""
+        n = len(self.levels[0])
+        out = np.zeros(len(self.order), np.int64)
+        if len(out) < 2:
             return out
         a, b = self.order[:-1].copy(), self.order[1:].copy()
-        got = np.zeros(n - 1, np.int64)
+        got = np.zeros(len(out) - 1, np.int64)
         for k in range(len(self.levels) - 1, -1, -1):
             rank, step = self.levels[k], self.unit << k
             for _ in range(2 if k == len(self.levels) - 1 else 1):

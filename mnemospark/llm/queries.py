@@ -10,7 +10,7 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from mnemospark.llm import bpe, chat_format, decontaminate, exact_dedup, html_text, jaccard_join, language_id, quality, token_files
+from mnemospark.llm import bpe, chat_format, decontaminate, exact_dedup, html_text, jaccard_join, language_id, quality, suffix_dedup, token_files
 from mnemospark.llm._common import flat_bytes, read
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -75,6 +75,10 @@ def op3_token_files(spark, sf_dir):
     return token_files.digest_files(token_files.write_tokens(read(spark, sf_dir, "documents"), TOKENIZER))
 
 
+def op4_suffix_dedup(spark, sf_dir):
+    return suffix_dedup.remove_repeats(read(spark, sf_dir, "documents"), texts=False)
+
+
 def op5_language_id(spark, sf_dir):
     docs = read(spark, sf_dir, "documents")
     held = language_id.held_out("doc_id", 5, 0)
@@ -137,7 +141,7 @@ def op10_quality(spark, sf_dir):
 
 
 def queries():
-    return {"op1_chat_formatting": op1_chat_formatting, "op2_decontaminate": op2_decontaminate, "op3_token_files": op3_token_files, "op6_exact_dedup": op6_exact_dedup, "op7_jaccard_join": op7_jaccard_join, "op8_html_text": op8_html_text, "op9_bpe": op9_bpe, "op5_language_id": op5_language_id, "op10_quality": op10_quality}
+    return {"op1_chat_formatting": op1_chat_formatting, "op2_decontaminate": op2_decontaminate, "op3_token_files": op3_token_files, "op4_suffix_dedup": op4_suffix_dedup, "op6_exact_dedup": op6_exact_dedup, "op7_jaccard_join": op7_jaccard_join, "op8_html_text": op8_html_text, "op9_bpe": op9_bpe, "op5_language_id": op5_language_id, "op10_quality": op10_quality}
 
 
 def oracle_sql():
