@@ -132,12 +132,28 @@ def _stars(key: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, .
     return first, other, head[other]
 
 
-def _distinct_edges(x: np.ndarray) -> np.ndarray:
-    """Distinct rows of a 4-column array."""
-    if not len(x):
-        return x
-    x = x[np.lexsort(x.T)]
-    return x[group_runs(list(x.T))]
+def _forest(a1: np.ndarray, a2: np.ndarray, b1: np.ndarray, b2: np.ndarray) -> list[np.ndarray]:
+    """Edges between nodes (two longs each) -> the same components as one edge from their smallest node to each other node."""
+    k1, k2 = np.concatenate([a1, b1]), np.concatenate([a2, b2])
+    order = np.lexsort((k2, k1))
+    new = group_runs([k1[order], k2[order]]) if len(order) else np.zeros(0, bool)
+    number = np.empty(len(order), np.int64)
+    number[order] = np.cumsum(new) - 1
+    n1, n2 = k1[order][new], k2[order][new]
+    u, v = number[: len(a1)], number[len(a1) :]
+    label = np.arange(len(n1))
+    while len(u) and (label[u] != label[v]).any():
+        least = np.minimum(label[u], label[v])
+        np.minimum.at(label, u, least)
+        np.minimum.at(label, v, least)
+        np.minimum.at(label, label[u], least)
+        np.minimum.at(label, label[v], least)
+        label = label[label]
+    other = np.flatnonzero(label != np.arange(len(label)))
+    root = label[other]
+    while (label[root] != root).any():
+        root = label[root]
+    return [n1[root], n2[root], n1[other], n2[other]]
 
 
 _KEYED = pa.schema([("key", pa.int64()), ("a1", pa.int64()), ("a2", pa.int64()), ("b1", pa.int64()), ("b2", pa.int64())])
@@ -159,10 +175,10 @@ def _keyed(n: int, threshold: int):
                 order = np.lexsort((b, a, key))
                 key, a, b = key[order].view(np.int64), a[order], b[order]
                 first, other, head = _stars(key, a, b)
-                met = _distinct_edges(np.stack([a[head], b[head], a[other], b[other]], axis=1))
+                met = _forest(a[head], b[head], a[other], b[other])
                 none = pa.nulls(len(first), pa.int64())
                 yield pa.record_batch([pa.array(key[first]), pa.array(a[first]), pa.array(b[first]), none, none], schema=_KEYED)
-                yield pa.record_batch([pa.nulls(len(met), pa.int64()), *(pa.array(met[:, i]) for i in range(4))], schema=_KEYED)
+                yield pa.record_batch([pa.nulls(len(met[0]), pa.int64()), *map(pa.array, met)], schema=_KEYED)
 
     return run
 
@@ -170,23 +186,38 @@ def _keyed(n: int, threshold: int):
 _EDGE = pa.schema([(c, pa.int64()) for c in ("a1", "a2", "b1", "b2")])
 
 
+#: Rows with keys that one numpy step of ``_meet`` works on.
+MEET_ROWS = 400_000
+
+
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by key -> an edge from the first node of each key to its other nodes; rows without a key are edges."""
-    last = None
+    """Rows sorted by key -> the components of the nodes that share a key, in few edges; rows without a key are edges."""
+    last, held, size = None, [], 0
+
+    def flush() -> pa.RecordBatch:
+        nonlocal last, size
+        table = pa.Table.from_batches(held)
+        held.clear()
+        size = 0
+        done, rows = table.filter(table["key"].is_null()), table.filter(table["key"].is_valid())
+        edges = [[c.to_numpy()] for c in done.columns[1:]]
+        if rows.num_rows:
+            key, a, b = (rows.column(i).to_numpy() for i in range(3))
+            if last is not None:
+                key, a, b = (np.concatenate([[x], y]) for x, y in zip(last, (key, a, b)))
+            first, other, head = _stars(key, a, b)
+            last = key[-1], a[first[-1]], b[first[-1]]
+            for column, more in zip(edges, (a[head], b[head], a[other], b[other])):
+                column.append(more)
+        return pa.record_batch(list(map(pa.array, _forest(*map(np.concatenate, edges)))), schema=_EDGE)
+
     for batch in batches:
-        done = batch.filter(batch.column(0).is_null())
-        if done.num_rows:
-            yield pa.record_batch(done.columns[1:], schema=_EDGE)
-        batch = batch.filter(batch.column(0).is_valid())
-        if not batch.num_rows:
-            continue
-        key, a, b = (batch.column(i).to_numpy() for i in range(3))
-        if last is not None:
-            key, a, b = (np.concatenate([[x], y]) for x, y in zip(last, (key, a, b)))
-        first, other, head = _stars(key, a, b)
-        last = key[-1], a[first[-1]], b[first[-1]]
-        met = _distinct_edges(np.stack([a[head], b[head], a[other], b[other]], axis=1))
-        yield pa.record_batch([pa.array(met[:, i]) for i in range(4)], schema=_EDGE)
+        held.append(batch)
+        size += batch.num_rows
+        if size >= MEET_ROWS:
+            yield flush()
+    if held:
+        yield flush()
 
 
 class SignatureTree:
@@ -359,7 +390,8 @@ def cluster(documents: DataFrame, n: int = 5, threshold: int = 80, block_ngrams:
     blocks = F.when(F.col("total") <= block_ngrams, 1).otherwise(F.ceil(2 * F.col("total") / block_ngrams)).cast("int")
     member = member.join(sizes.select("comp", blocks.alias("nb")), "comp").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("nb")).cast("int"))
     member = staged(member, "members")
-    dealt = rows.join(member.select("rep", "k1", "k2", "comp", "nb", "block"), rows.doc_id == member.rep)
+    # The candidates grow with the corpus: their table is never broadcast.
+    dealt = rows.join(member.select("rep", "k1", "k2", "comp", "nb", "block").hint("merge"), rows.doc_id == member.rep)
     other = F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("other")
     dealt = dealt.select("rep", "k1", "k2", "comp", "block", "text", other).select("rep", "k1", "k2", "comp", "block", "text", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
     links = staged(dealt.repartition(parts, "comp", "i", "j").sortWithinPartitions("comp", "i", "j", "rep").mapInArrow(_linked(n, threshold), "a long, b long"), "links")
