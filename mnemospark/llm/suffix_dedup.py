@@ -40,7 +40,7 @@ from mnemospark.llm._suffix import SuffixArray, intervals, left_diverse
 
 WIDTH, GRAM = 100, 32
 #: Suffixes that are sorted at once, and different regions of one anchor that are searched in one task.
-BLOCK_SUFFIXES, HOT_REGIONS = 1_000_000, 5_000
+BLOCK_SUFFIXES, HOT_REGIONS = 1_000_000, 8_000
 #: Window starts handled at once (positions must fit 24 bits).
 STEP = 4 << 20
 #: Symbols of nine bits in a 64-bit word.
@@ -236,32 +236,61 @@ _SPAN = pa.schema([("doc", pa.int64()), ("start", pa.int64()), ("length", pa.int
 def _search(width: int, block: int, hot: int):
     """Regions with bytes, sorted by anchor -> spans covered by later occurrences; hashed windows (w1, w2) of hot anchors."""
 
+    def spans(rows: list[tuple], at: np.ndarray, length: np.ndarray) -> pa.RecordBatch:
+        """Covered pieces, given as places among the regions' bytes, as maximal spans of each region."""
+        size = np.fromiter((len(r[4]) for r in rows), np.int64, len(rows))
+        begin = np.cumsum(size) - size
+        edge = np.zeros(int(size.sum()) + 1, np.int64)
+        np.add.at(edge, at, 1)
+        np.add.at(edge, at + length, -1)
+        on = np.concatenate([[False], np.cumsum(edge)[:-1] > 0, [False]])
+        step = np.flatnonzero(on[1:] != on[:-1])
+        first, last = step[::2], step[1::2]
+        # A run of covered bytes may go on in the next region: cut it there.
+        own = np.searchsorted(begin, first, side="right") - 1
+        until = np.searchsorted(begin, last - 1, side="right") - 1
+        k = until - own + 1
+        region = np.repeat(own, k) + np.arange(int(k.sum())) - np.repeat(np.cumsum(k) - k, k)
+        first, last = np.maximum(np.repeat(first, k), begin[region]), np.minimum(np.repeat(last, k), begin[region] + size[region])
+        doc, p = np.fromiter((r[1] for r in rows), np.int64, len(rows)), np.fromiter((r[2] for r in rows), np.int64, len(rows))
+        none = pa.nulls(len(region), pa.int64())
+        return pa.record_batch([pa.array(doc[region]), pa.array(p[region] + first - begin[region]), pa.array(last - first), none, none], schema=_SPAN)
+
     def covered(rows: list[tuple]) -> pa.RecordBatch:
         anchors, docs, ps, ns, strings = zip(*rows)
         doc, p = np.array(docs), np.array(ps)
+        size = np.fromiter(map(len, strings), np.int64, len(strings))
+        begin = np.cumsum(size) - size
         _, group = np.unique(np.array(anchors), return_inverse=True)
-        reach: list[tuple[int, int, int]] = []
+        places, lengths = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for length, own, at in maximal_repeats(group, list(strings), np.array(ns), width):
             d, s = doc[own], p[own] + at
             k = np.lexsort((s, d))[0]
             later = (d != d[k]) | (s != s[k])
-            reach += zip(d[later].tolist(), s[later].tolist(), [length] * int(later.sum()))
-        cols = list(zip(*reach)) if reach else [[], [], []]
-        none = pa.nulls(len(reach), pa.int64())
-        return pa.record_batch([*(pa.array(c, pa.int64()) for c in cols), none, none], schema=_SPAN)
+            places.append((begin[own] + at)[later])
+            lengths.append(np.full(len(places[-1]), length))
+        return spans(rows, np.concatenate(places), np.concatenate(lengths))
 
     def windows(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-        for k in range(0, len(rows), 2000):
-            part = rows[k : k + 2000]
-            raw = np.frombuffer(b"".join(r[4] for r in part), np.uint8)
-            size = np.array([len(r[4]) for r in part])
-            n = np.array([r[3] for r in part])
-            own = np.repeat(np.arange(len(part)), n)
-            inner = np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n)
-            at = (np.cumsum(size) - size)[own] + inner
-            h = [r.spans(r.prefix(BYTE[raw]), at, at + width).view(np.int64) for r in (LETTERS, LETTERS2)]
-            doc, p = np.array([r[1] for r in part])[own], np.array([r[2] for r in part])[own] + inner
-            yield pa.record_batch([pa.array(doc), pa.array(p), pa.array(np.full(len(doc), width)), pa.array(h[0]), pa.array(h[1])], schema=_SPAN)
+        """Of equal windows of these regions the first is to be compared with others' by its hash; the later ones are covered."""
+        if not rows:
+            return
+        raw = np.frombuffer(b"".join(r[4] for r in rows), np.uint8)
+        size = np.array([len(r[4]) for r in rows])
+        n = np.array([r[3] for r in rows])
+        own = np.repeat(np.arange(len(rows)), n)
+        inner = np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n)
+        at = (np.cumsum(size) - size)[own] + inner
+        h1, h2 = (r.spans(r.prefix(BYTE[raw]), at, at + width) for r in (LETTERS, LETTERS2))
+        doc, p = np.array([r[1] for r in rows])[own], np.array([r[2] for r in rows])[own] + inner
+        order = np.lexsort((p, doc, h2, h1))
+        h1, h2, doc, p, at = (x[order] for x in (h1, h2, doc, p, at))
+        first = group_runs([h1, h2])
+        head = np.repeat(np.flatnonzero(first), np.diff(np.append(np.flatnonzero(first), len(first))))
+        later = ~first & ((doc != doc[head]) | (p != p[head]))
+        yield spans(rows, at[later], np.full(int(later.sum()), width))
+        f = np.flatnonzero(first)
+        yield pa.record_batch([pa.array(doc[f]), pa.array(p[f]), pa.array(np.full(len(f), width)), pa.array(h1[f].view(np.int64)), pa.array(h2[f].view(np.int64))], schema=_SPAN)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []  # whole groups
@@ -286,7 +315,7 @@ def _search(width: int, block: int, hot: int):
                     if len(group) > hot:
                         is_hot = True
                         size -= sum(len(r[4]) for r in group)
-                if is_hot and len(group) >= 2000:
+                if is_hot and len(group) > hot:
                     yield from windows(group)
                     group = []
         if is_hot:
