@@ -12,6 +12,11 @@ def c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x if isinstance(x, Column) else F.lit(x)
 
 
+def rounded(x, digits: int = 6) -> Column:
+    """Rounds; values on a decimal tie (up to 1e-10) go up, whatever the last bits of the double."""
+    return F.round(c(x) + 1e-10, digits)
+
+
 def clamp(x, low: float = 0.0, high: float = 1.0) -> Column:
     return F.least(F.lit(high), F.greatest(F.lit(low), c(x)))
 
@@ -20,6 +25,10 @@ def hours_between(later, earlier) -> Column:
     return (F.unix_micros(c(later).cast("timestamp")) - F.unix_micros(c(earlier).cast("timestamp"))) / 3.6e9
 
 
+def seconds_between(later, earlier) -> Column:
+    return (F.unix_micros(c(later).cast("timestamp")) - F.unix_micros(c(earlier).cast("timestamp"))) / 1e6
+
+
 def decayed(strength, rate, hours) -> Column:
     """strength * exp(-rate * hours)."""
     return c(strength) * F.exp(-c(rate) * c(hours))

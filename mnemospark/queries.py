@@ -1,13 +1,18 @@
-"""Registry of the engine's queries."""
+"""Registry of the engine's queries; importing the modules of ``plans`` registers them."""
+
+from __future__ import annotations
+
+from mnemospark.plans import rollups  # noqa: F401
+from mnemospark.plans.registry import ORACLES, QUERIES
 
 
 def entry(spark, sf_dir):
-    return queries()["hybrid_recall"](spark, sf_dir)
+    return QUERIES["v07_hybrid_search"](spark, sf_dir)
 
 
-def queries():
-    return {}
+def queries() -> dict:
+    return dict(QUERIES)
 
 
-def oracle_sql():
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return dict(ORACLES)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from mnemospark.functions.scores import rounded
+
 
 def base(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -41,7 +43,7 @@ def vectors(spark, sf_dir) -> DataFrame:
 
 def relations(spark, sf_dir) -> DataFrame:
     g = base(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("from_id"), (F.col("l_partkey") + 1000000000).alias("to_id"))
-    r = g.agg(F.round(F.avg("l_quantity") / 50, 6).alias("strength"), F.round(1 - F.avg("l_discount"), 6).alias("confidence"), F.min("l_shipdate").alias("valid_from"), F.when(F.count(F.lit(1)) > 1, F.max("l_shipdate")).alias("valid_until"))
+    r = g.agg(rounded(F.avg("l_quantity") / 50, 6).alias("strength"), rounded(1 - F.avg("l_discount"), 6).alias("confidence"), F.min("l_shipdate").alias("valid_from"), F.when(F.count(F.lit(1)) > 1, F.max("l_shipdate")).alias("valid_until"))
     kind = F.element_at(F.array(*map(F.lit, ("causes", "leads_to", "related_to", "part_of"))), (F.col("to_id") % 4 + 1).cast("int"))
     return r.withColumn("relation_type", kind)
 
@@ -53,16 +55,16 @@ def _steps(spark, sf_dir) -> DataFrame:
 
 def causal_links(spark, sf_dir) -> DataFrame:
     n = F.count(F.lit(1))
-    return _steps(spark, sf_dir).groupBy(F.col("k").alias("cause_id"), F.col("k2").alias("effect_id")).agg(n.alias("evidence_count"), F.least(F.lit(1.0), F.round(n * 0.2, 6)).alias("strength"))
+    return _steps(spark, sf_dir).groupBy(F.col("k").alias("cause_id"), F.col("k2").alias("effect_id")).agg(n.alias("evidence_count"), F.least(F.lit(1.0), rounded(n * 0.2, 6)).alias("strength"))
 
 
 def associations(spark, sf_dir) -> DataFrame:
     n = F.count(F.lit(1))
-    return _steps(spark, sf_dir).groupBy(F.least("k", "k2").alias("a_id"), F.greatest("k", "k2").alias("b_id")).agg(n.alias("co_activation_count"), F.least(F.lit(1.0), F.round(n * 0.1, 6)).alias("strength"))
+    return _steps(spark, sf_dir).groupBy(F.least("k", "k2").alias("a_id"), F.greatest("k", "k2").alias("b_id")).agg(n.alias("co_activation_count"), F.least(F.lit(1.0), rounded(n * 0.1, 6)).alias("strength"))
 
 
 def beliefs(spark, sf_dir) -> DataFrame:
-    return actions(spark, sf_dir).groupBy("agent_id", F.col("action_type").alias("statement")).agg(F.round(F.avg("success_score"), 6).alias("probability"), F.sum(F.when(F.col("success_score") >= 0.5, 1).otherwise(-1)).alias("evidence_balance"))
+    return actions(spark, sf_dir).groupBy("agent_id", F.col("action_type").alias("statement")).agg(rounded(F.avg("success_score"), 6).alias("probability"), F.sum(F.when(F.col("success_score") >= 0.5, 1).otherwise(-1)).alias("evidence_balance"))
 
 
 def feedback(spark, sf_dir) -> DataFrame:
