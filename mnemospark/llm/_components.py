@@ -1,4 +1,4 @@
-"""Connected components of an edge table, by minimum labels and pointer jumping in DataFrame operations."""
+"""Connected components of an edge table, by hooking and contraction in DataFrame operations."""
 
 from __future__ import annotations
 
@@ -11,18 +11,27 @@ from mnemospark.llm._common import staged
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """edges(a, b) -> (id, component): for every id of an edge, the smallest id that it reaches.
 
-    Every round takes the smallest label among the neighbours, then follows the
-    labels; the rounds needed grow with the logarithm of the longest path. Each
-    round is written to the shared folder.
+    In a round every node hooks to its smallest smaller neighbour, chains of
+    hooks are shortened by pointer jumping, and the edges are contracted to
+    edges between the hooks' ends; what is inside one end is gone. The edges
+    left shrink from round to round, each of which is written to the shared
+    folder.
     """
-    links = edges.where("a != b").select("a", "b").distinct()
-    both = staged(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), name)
-    labels = staged(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("component")), name)
-    while True:
-        told = both.join(labels.withColumnRenamed("id", "b"), "b").groupBy("a").agg(F.min("component").alias("m"))
-        seen = labels.join(told.withColumnRenamed("a", "id"), "id", "left").select("id", F.col("component").alias("was"), F.least("component", "m").alias("c"))
-        roots = labels.select(F.col("id").alias("c"), F.col("component").alias("r"))
-        fresh = staged(seen.join(roots, "c", "left").select("id", "was", F.least("c", "r").alias("component")), name)
-        labels = fresh.select("id", "component")
-        if fresh.where("component != was").isEmpty():
-            return labels
+
+    def tidy(df: DataFrame) -> DataFrame:
+        return staged(df.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), name)
+
+    left = tidy(edges.select("a", "b"))
+    label = staged(left.select(F.explode(F.array("a", "b")).alias("id")).distinct().withColumn("component", F.col("id")), name)
+    while not left.isEmpty():
+        hooks = staged(left.groupBy(F.col("b").alias("id")).agg(F.min("a").alias("up")), name)
+        while True:
+            above = hooks.select(F.col("id").alias("up"), F.col("up").alias("above"))
+            jumped = staged(hooks.join(above, "up", "left").select("id", F.coalesce("above", "up").alias("up"), F.col("above").isNotNull().alias("moved")), name)
+            hooks = jumped.select("id", "up")
+            if jumped.where("moved").isEmpty():
+                break
+        label = staged(label.join(hooks.select(F.col("id").alias("component"), "up"), "component", "left").select("id", F.coalesce("up", "component").alias("component")), name)
+        a, b = (hooks.select(F.col("id").alias(c), F.col("up").alias(f"{c}_up")) for c in "ab")
+        left = tidy(left.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("a_up", "a").alias("a"), F.coalesce("b_up", "b").alias("b")))
+    return label
