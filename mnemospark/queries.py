@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from mnemospark.plans import rollups  # noqa: F401
+from mnemospark.plans import retrieval, rollups  # noqa: F401
 from mnemospark.plans.registry import ORACLES, QUERIES
 
 
