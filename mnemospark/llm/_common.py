@@ -45,8 +45,13 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Paths given out so far, in order.
+made: list[str] = []
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/mnemospark/{name}-{uuid.uuid4().hex}"
+    made.append(f"{shared_dir(spark)}/mnemospark/{name}-{uuid.uuid4().hex}")
+    return made[-1]
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
@@ -58,13 +63,25 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     path = new_path(spark, name)
     df.write.parquet(path)
     spark._jvm.System.gc()  # lets Spark's cleaner delete the shuffle files that only the finished job used
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged_at = path
+    return out
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Deletes tables made by ``staged`` that nothing reads any more."""
+    for t in tables:
+        delete(t.sparkSession, t._staged_at)
 
 
 def release(spark: SparkSession) -> None:
     """Deletes every table and file that operators of this session's shared folder have staged."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/mnemospark")
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    delete(spark, f"{shared_dir(spark)}/mnemospark")
 
 
 def with_fields(schema: T.StructType, **kinds: str) -> T.StructType:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mnemospark.llm._common import staged
+from mnemospark.llm._common import dropped, staged
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
@@ -24,14 +24,17 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     left = tidy(edges.select("a", "b"))
     label = staged(left.select(F.explode(F.array("a", "b")).alias("id")).distinct().withColumn("component", F.col("id")), name)
     while not left.isEmpty():
-        hooks = staged(left.groupBy(F.col("b").alias("id")).agg(F.min("a").alias("up")), name)
+        hooks = held = staged(left.groupBy(F.col("b").alias("id")).agg(F.min("a").alias("up")), name)
         while True:
             above = hooks.select(F.col("id").alias("up"), F.col("up").alias("above"))
             jumped = staged(hooks.join(above, "up", "left").select("id", F.coalesce("above", "up").alias("up"), F.col("above").isNotNull().alias("moved")), name)
-            hooks = jumped.select("id", "up")
+            dropped(held)
+            hooks, held = jumped.select("id", "up"), jumped
             if jumped.where("moved").isEmpty():
                 break
-        label = staged(label.join(hooks.select(F.col("id").alias("component"), "up"), "component", "left").select("id", F.coalesce("up", "component").alias("component")), name)
+        old, label = label, staged(label.join(hooks.select(F.col("id").alias("component"), "up"), "component", "left").select("id", F.coalesce("up", "component").alias("component")), name)
         a, b = (hooks.select(F.col("id").alias(c), F.col("up").alias(f"{c}_up")) for c in "ab")
-        left = tidy(left.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("a_up", "a").alias("a"), F.coalesce("b_up", "b").alias("b")))
+        before, left = left, tidy(left.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("a_up", "a").alias("a"), F.coalesce("b_up", "b").alias("b")))
+        dropped(before, held, old)
+    dropped(left)
     return label

@@ -2,10 +2,11 @@
 
 1. Documents with the same n-gram set are one node (128-bit set hash).
 2. Candidates: similar sets differ in at most H n-grams, H known from the sizes.
-   n-grams are dealt into more than H buckets by hash, so similar sets agree on
-   the whole content of some bucket. Nodes that share a bucket's content are
-   joined to stars; connected stars are candidate groups. No similar pair is
-   lost, and unrelated documents hardly ever agree on a bucket.
+   n-grams are dealt into 1.5 H buckets and more by hash, so similar sets agree
+   on the whole content of half of H buckets at least, and on one of the
+   fullest. Nodes that share a full bucket's content are joined to stars;
+   connected stars are candidate groups. No similar pair is lost, and documents
+   that only share a passage hardly ever agree on such a bucket.
 3. In each candidate group a signature tree is built: its leaves hold documents
    sorted by size, its inner nodes the OR of their bitmaps and their range of
    sizes. A dual traversal prunes node pairs by the largest overlap possible
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mnemospark.llm._common import WORDS, group_runs, mix, pieces, staged, words_of
+from mnemospark.llm._common import WORDS, dropped, group_runs, mix, pieces, staged, words_of
 from mnemospark.llm._components import components
 
 #: White space is U+0020 and U+0009 to U+000D.
@@ -39,7 +40,8 @@ NOT_WHITE[[9, 10, 11, 12, 13, 32]] = False
 #: n-grams of a candidate group that one task compares; larger groups are cut into blocks.
 BLOCK_NGRAMS = 4_000_000
 BITS, LEAF, FAN = 2048, 32, 8
-RATIO = 1.5
+#: Sizes of a level lie within this ratio (before partners are counted); buckets left out, in parts of the differences allowed.
+RATIO, SPARE = 1.25, 0.5
 
 
 def ngram_sets(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -85,7 +87,7 @@ def levels(threshold: int, largest: int) -> list[Level]:
         high = (after - 1) * 100 // threshold
         differ = (after - 1 + high) * (100 - threshold) // (100 + threshold)
         if differ:
-            spare = 4 + differ // 50
+            spare = 2 + int(SPARE * differ)
             out.append(Level(k, low, high, differ + 1 + spare, spare))
         low, k = after, k + 1
     return out
@@ -107,17 +109,15 @@ def bucket_keys(grams: np.ndarray, off: np.ndarray, threshold: int) -> tuple[np.
         v = mix(g + np.uint64(0x1234567))
         bins = len(own) * level.buckets
         low, high = (np.bincount(bucket, weights=x.astype(np.float64), minlength=bins).astype(np.uint64) for x in (v & np.uint64(0xFFFFFFFF), v >> np.uint64(32)))
-        full = np.bincount(bucket, minlength=bins) > 0
+        size_of = np.bincount(bucket, minlength=bins)
         salt = np.tile(np.arange(level.buckets, dtype=np.uint64) + np.uint64(level.number << 32), len(own))
         key = mix(mix(low + np.uint64(0xABCD)) + high * np.uint64(0xD6E8FEB86659FD93) + mix(salt))
-        at = np.flatnonzero(full)
+        # The buckets with the fewest n-grams, ``spare`` of them, are left out: of the more than ``spare`` buckets on
+        # which similar sets agree, the fullest stands above as many others in both sets, so both keep it.
+        rank = np.lexsort((key, size_of, np.repeat(np.arange(len(own)), level.buckets))).reshape(len(own), level.buckets)
+        at = rank[:, level.spare :].ravel()
         keys.append(key[at])
         sets.append(own[at // level.buckets])
-        # Sets that agree on empty buckets only have more than ``spare`` of them each; they meet under one key.
-        empty = level.buckets - full.reshape(len(own), level.buckets).sum(axis=1)
-        many = own[empty > level.spare]
-        keys.append(np.full(len(many), mix(np.array([level.number + (7 << 40)], np.uint64))[0]))
-        sets.append(many)
     if not keys:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     return np.concatenate(keys), np.concatenate(sets)
@@ -385,17 +385,21 @@ def cluster(documents: DataFrame, n: int = 5, threshold: int = 80, block_ngrams:
     a, b = (nodes.select(F.col("k1").alias(f"{s}1"), F.col("k2").alias(f"{s}2"), F.col("rep").alias(s)) for s in "ab")
     groups = components(edges.join(a, ["a1", "a2"]).join(b, ["b1", "b2"]).select("a", "b"), "candidates")
 
+    dropped(edges)
     member = nodes.join(groups, nodes.rep == groups.id).select("rep", "k1", "k2", "size", F.col("component").alias("comp"))
     sizes = member.groupBy("comp").agg(F.sum("size").alias("total"))
     blocks = F.when(F.col("total") <= block_ngrams, 1).otherwise(F.ceil(2 * F.col("total") / block_ngrams)).cast("int")
     member = member.join(sizes.select("comp", blocks.alias("nb")), "comp").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("nb")).cast("int"))
     member = staged(member, "members")
+    dropped(groups)
     # The candidates grow with the corpus: their table is never broadcast.
     dealt = rows.join(member.select("rep", "k1", "k2", "comp", "nb", "block").hint("merge"), rows.doc_id == member.rep)
     other = F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("other")
     dealt = dealt.select("rep", "k1", "k2", "comp", "block", "text", other).select("rep", "k1", "k2", "comp", "block", "text", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
     links = staged(dealt.repartition(parts, "comp", "i", "j").sortWithinPartitions("comp", "i", "j", "rep").mapInArrow(_linked(n, threshold), "a long, b long"), "links")
+    dropped(member)
     classes = components(links, "classes")
+    dropped(links)
 
     named = nodes.join(classes, nodes.rep == classes.id, "left").select("k1", "k2", F.coalesce("component", "rep").alias("component"))
     found = docs.join(named, ["k1", "k2"], "left")
