@@ -8,6 +8,7 @@ name pass through them.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 
 import numpy as np
@@ -17,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mnemospark.llm import bpe, decontaminate, exact_dedup, jaccard_join, language_id
-from mnemospark.llm._common import flat_bytes, read, small_batches, staged
+from mnemospark.llm._common import delete, dropped, flat_bytes, made, read, small_batches, staged
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 #: A document is rejected when it has no letter, or when no language reaches this probability.
@@ -35,6 +36,29 @@ def _back(found: DataFrame, docs: DataFrame) -> DataFrame:
     return found.select(*[F.col(c if c in ("doc_id", "text") else f"in_{c}").alias(c) for c in docs.columns])
 
 
+#: Tables that the last stage staged for its result.
+_used: list[str] = []
+
+
+def _stage(f):
+    """Before a stage, deletes what the last one staged, unless the incoming rows are still read from it."""
+
+    @functools.wraps(f)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        files = docs.inputFiles() if _used else []
+        if not any(path.split("://")[-1].lstrip("/").removeprefix("file:").lstrip("/") in name for path in _used for name in files):
+            for path in _used:
+                delete(spark, path)
+            _used.clear()
+        before = len(made)
+        out = f(spark, docs, sf_dir)
+        _used.extend(made[before:])
+        return out
+
+    return run_stage
+
+
+@_stage
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without a letter or without a likely language; the model learns from the labelled ones."""
     small_batches(spark)
@@ -43,17 +67,20 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return _back(found.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= MIN_LANGUAGE_SCORE)), docs)
 
 
+@_stage
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents that are equal without white space, one stays."""
     return _back(exact_dedup.deduplicate(_apart(docs)), docs)
 
 
+@_stage
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of near duplicates, the document with the smallest id stays."""
     small_batches(spark)
     return jaccard_join.keep_one(docs, NEAR_WORDS, NEAR_PERCENT)
 
 
+@_stage
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents of which a twentieth or more are words of benchmark windows."""
     return _back(decontaminate.remove_documents(_apart(docs), read(spark, sf_dir, "benchmark")), docs)
@@ -65,6 +92,7 @@ def _digest(ids: pa.Array, decoded: pa.Array) -> list[pa.Array]:
     return [ids, pa.array(np.diff(ids.offsets.to_numpy()).astype(np.int64)), pa.array([hashlib.sha256(view[a:b]).hexdigest() for a, b in zip(off[:-1].tolist(), off[1:].tolist())], pa.string())]
 
 
+@_stage
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, ids (token ids of the whole text), n_tokens and decoded_sha256 (hex digest of the decoded ids)."""
     small_batches(spark)
@@ -86,6 +114,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
+    before = None
     for name, stage in STAGES:
-        docs = staged(stage(spark, docs, sf_dir), name)
+        after = staged(stage(spark, docs, sf_dir), name)
+        if before is not None:
+            dropped(before)
+        docs = before = after
     return docs
