@@ -118,6 +118,7 @@ class WordEncoder:
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, offsets of each)."""
         words, codes, off = split_words(texts)
-        ids, size = self.table.gather(self.rows_of(words)[codes])
+        row = self.rows_of(words)  # may replace the table
+        ids, size = self.table.gather(row[codes])
         total = np.concatenate([[0], np.cumsum(size)])
         return ids, total[off]
