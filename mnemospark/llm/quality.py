@@ -143,7 +143,7 @@ def fit(x: np.ndarray, y: np.ndarray, max_pairs: int = MAX_PAIRS, seed: int = 7)
 
 
 def probability(model: Model, x: np.ndarray) -> np.ndarray:
-    s = ((x - model.mean) / model.scale) @ model.weights
+    s = ((x - model.mean) / model.scale * model.weights).sum(axis=1)  # row by row: a score doesn't depend on its batch
     return 1 / (1 + np.exp(-np.clip(model.slope * s + model.intercept, -35, 35)))
 
 
