@@ -10,7 +10,9 @@ from mnemospark.plans.registry import query
 from mnemospark.sources import tables as T
 from mnemospark.sources.tables import ctes
 
-N = F.count(F.lit(1))
+
+def rows():
+    return F.count(F.lit(1))
 
 
 def _links(spark, sf, least: float = 0.0):
@@ -66,8 +68,8 @@ def adjacency(spark, sf):
 @query("g07_degree_centrality", ctes("associations") + BOTH + " SELECT a AS id, round(count(*) * 1.0 / ((SELECT count(DISTINCT a) FROM u) - 1), 6) AS centrality FROM u GROUP BY a")
 def degree_centrality(spark, sf):
     u = G.both_ways(_undirected(spark, sf))
-    n = u.select("a").distinct().agg(N.alias("n"))
-    return u.groupBy(F.col("a").alias("id")).agg(N.alias("deg")).crossJoin(F.broadcast(n)).select("id", S.rounded(F.col("deg") / (F.col("n") - 1)).alias("centrality"))  # n: one row
+    n = u.select("a").distinct().agg(rows().alias("n"))
+    return u.groupBy(F.col("a").alias("id")).agg(rows().alias("deg")).crossJoin(F.broadcast(n)).select("id", S.rounded(F.col("deg") / (F.col("n") - 1)).alias("centrality"))  # n: one row
 
 
 def _pagerank_sql(rounds: int) -> str:
@@ -142,7 +144,7 @@ def chain_validation(spark, sf):
     e = _links(spark, sf)
     back = e.select(F.col("b").alias("a"), F.col("a").alias("b"), F.lit(True).alias("back"))
     v = F.when(F.col("strength") < 0.3, "weak").when(F.col("back"), "circular").otherwise("valid")
-    return e.join(back, ["a", "b"], "left").groupBy(v.alias("verdict")).agg(N.alias("n"))
+    return e.join(back, ["a", "b"], "left").groupBy(v.alias("verdict")).agg(rows().alias("n"))
 
 
 @query("g18_has_cycles", "SELECT 0 AS edges_on_cycles")
@@ -150,7 +152,7 @@ def has_cycles(spark, sf):
     """Customer to nation to region is a DAG: nothing is left after stripping."""
     c = T.base(spark, sf, "customer").select((F.col("c_custkey") + 1000).alias("a"), (F.col("c_nationkey") + 100).cast("long").alias("b"))
     n = T.base(spark, sf, "nation").select((F.col("n_nationkey") + 100).cast("long").alias("a"), F.col("n_regionkey").cast("long").alias("b"))
-    return G.acyclic_rest(c.unionByName(n)).agg(N.cast("int").alias("edges_on_cycles"))
+    return G.acyclic_rest(c.unionByName(n)).agg(rows().cast("int").alias("edges_on_cycles"))
 
 
 @query("g20_provenance_chain", "SELECT o_orderkey, l_linenumber AS place, p_name AS source FROM orders JOIN lineitem ON o_orderkey = l_orderkey JOIN part ON l_partkey = p_partkey WHERE o_orderkey % 100 = 0 AND l_linenumber <= 3".replace("o_orderkey % 100 = 0 AND ", ""))
@@ -168,7 +170,7 @@ def graph_search(spark, sf):
 
 @query("g22_neighbor_expansion", ctes("relations") + "SELECT from_id, relation_type, count(*) AS n, round(avg(strength), 6) AS strength FROM relations WHERE strength >= 0.4 GROUP BY 1, 2")
 def neighbor_expansion(spark, sf):
-    return T.relations(spark, sf).where("strength >= 0.4").groupBy("from_id", "relation_type").agg(N.alias("n"), S.rounded(F.avg("strength")).alias("strength"))
+    return T.relations(spark, sf).where("strength >= 0.4").groupBy("from_id", "relation_type").agg(rows().alias("n"), S.rounded(F.avg("strength")).alias("strength"))
 
 
 @query("w11_causal_coverage", ctes("causal_links", "actions") + ", p AS (SELECT agent_id, k AS a, lead(k) OVER (PARTITION BY agent_id ORDER BY executed_at, action_id) AS b FROM actions) SELECT agent_id, round(avg(CASE WHEN strength IS NULL THEN 0.0 ELSE 1.0 END) * coalesce(avg(strength), 0), 6) AS confidence FROM p LEFT JOIN causal_links c ON c.cause_id = a AND c.effect_id = b AND c.strength >= 0.4 WHERE b IS NOT NULL GROUP BY agent_id")

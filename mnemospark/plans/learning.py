@@ -12,7 +12,9 @@ from mnemospark.plans.registry import query
 from mnemospark.sources import tables as T
 from mnemospark.sources.tables import ctes
 
-N = F.count(F.lit(1))
+
+def rows():
+    return F.count(F.lit(1))
 ORDER = ["executed_at", "action_id"]
 AGE = ctes("actions") + ", n AS (SELECT max(executed_at) AS now FROM actions), t AS (SELECT *, (epoch_us(now) - epoch_us(executed_at)) / 3600000000.0::DOUBLE AS h FROM actions, n)"
 
@@ -55,7 +57,7 @@ def consolidation(spark, sf):
 
 @query("d07_granularity", AGE + ", g AS (SELECT k, avg(success_score) AS imp, count(*) / 30.0 AS per_day, min(h) / 24 AS age, count(DISTINCT action_type) AS refs FROM t GROUP BY k), s AS (SELECT k, 0.35 * imp + 0.2 * least(1.0, per_day / 10) + 0.15 * exp(-age / 30) + CASE WHEN refs > 4 THEN 0.3 ELSE 0.1 END + 0.1 * least(1.0, refs / 10.0) AS s FROM g) SELECT k, round(s, 6) AS score, CASE WHEN s >= 0.8 THEN 'full' WHEN s >= 0.6 THEN 'detailed' WHEN s >= 0.4 THEN 'standard' WHEN s >= 0.2 THEN 'summary' ELSE 'minimal' END AS level FROM s")
 def granularity(spark, sf):
-    g = _aged(spark, sf).groupBy("k").agg(F.avg("success_score").alias("imp"), (N / 30.0).alias("per_day"), (F.min("h") / 24).alias("age"), F.countDistinct("action_type").alias("refs"))
+    g = _aged(spark, sf).groupBy("k").agg(F.avg("success_score").alias("imp"), (rows() / 30.0).alias("per_day"), (F.min("h") / 24).alias("age"), F.countDistinct("action_type").alias("refs"))
     s = S.granularity("imp", "per_day", "age", F.col("refs") > 4, F.col("refs"))
     return g.select("k", s.alias("s")).select("k", S.rounded("s").alias("score"), S.granularity_level("s").alias("level"))
 
@@ -64,7 +66,7 @@ VARIANTS = ctes("actions") + ", v AS (SELECT action_type, k, count(*) AS n, avg(
 
 
 def _variants(spark, sf):
-    v = T.actions(spark, sf).groupBy("action_type", "k").agg(N.alias("n"), F.avg("success_score").alias("m"), F.count_if(F.col("success_score") >= 0.5).alias("s"))
+    v = T.actions(spark, sf).groupBy("action_type", "k").agg(rows().alias("n"), F.avg("success_score").alias("m"), F.count_if(F.col("success_score") >= 0.5).alias("s"))
     return v.withColumn("fit", S.fitness("m", "n"))
 
 
@@ -93,14 +95,14 @@ def affinity(spark, sf):
 @query("d12_evolution", VARIANTS + " SELECT CASE WHEN n >= 5 AND fit < 0.45 THEN 'prune' WHEN n >= 5 AND fit > 0.55 THEN 'mutate' ELSE 'keep' END AS action, count(*) AS variants FROM f GROUP BY 1")
 def evolution(spark, sf):
     act = F.when((F.col("n") >= 5) & (F.col("fit") < 0.45), "prune").when((F.col("n") >= 5) & (F.col("fit") > 0.55), "mutate").otherwise("keep")
-    return _variants(spark, sf).groupBy(act.alias("action")).agg(N.alias("variants"))
+    return _variants(spark, sf).groupBy(act.alias("action")).agg(rows().alias("variants"))
 
 
 BIAS = ctes("actions") + ", p AS (SELECT action_type, avg(success_score) FILTER (agent_id % 3 = 0) AS simple, avg(success_score) FILTER (agent_id % 3 = 1) AS balanced, avg(success_score) FILTER (agent_id % 3 = 2) AS complex, count(*) AS n FROM actions GROUP BY 1), b AS (SELECT action_type, n, (simple - (simple + balanced + complex) / 3) * 0.5 + CASE WHEN simple > 0.9 * complex THEN 0.1 ELSE 0 END AS s, (balanced - (simple + balanced + complex) / 3) * 0.5 AS m, (complex - (simple + balanced + complex) / 3) * 0.5 AS c FROM p)"
 
 
 def _bias(spark, sf):
-    p = T.actions(spark, sf).withColumn("tier", F.col("agent_id") % 3).groupBy("action_type").agg(*[F.avg(F.when(F.col("tier") == i, F.col("success_score"))).alias(t) for i, t in enumerate(("x", "y", "z"))], N.alias("n"))
+    p = T.actions(spark, sf).withColumn("tier", F.col("agent_id") % 3).groupBy("action_type").agg(*[F.avg(F.when(F.col("tier") == i, F.col("success_score"))).alias(t) for i, t in enumerate(("x", "y", "z"))], rows().alias("n"))
     mean = (F.col("x") + F.col("y") + F.col("z")) / 3
     return p.select("action_type", "n", ((F.col("x") - mean) * 0.5 + F.when(F.col("x") > F.col("z") * 0.9, 0.1).otherwise(0.0)).alias("s"), ((F.col("y") - mean) * 0.5).alias("m"), ((F.col("z") - mean) * 0.5).alias("c"))
 
@@ -132,7 +134,7 @@ def boosted_scores(spark, sf):
 def conformal_quantile(spark, sf, q: float = 0.9):
     """The floor(n q)-th smallest nonconformity, by counting equal values instead of collecting a group."""
     s = T.actions(spark, sf).select("action_type", F.abs(F.col("success_score") - 0.5).alias("d"))
-    c = s.groupBy("action_type", "d").agg(N.alias("m"))
+    c = s.groupBy("action_type", "d").agg(rows().alias("m"))
     w = Window.partitionBy("action_type").orderBy("d")
     total = c.groupBy("action_type").agg(F.sum("m").alias("n"))
     r = c.withColumn("upto", F.sum("m").over(w)).join(total, "action_type")
@@ -190,7 +192,7 @@ EFFECT = ctes("actions") + ", e AS (SELECT action_type, avg(success_score) - 0.5
 
 def _effect(spark, sf):
     s = "success_score"
-    g = T.actions(spark, sf).groupBy("action_type").agg((F.avg(s) - 0.5).alias("b"), F.stddev_samp(s).alias("sd"), N.alias("n"))
+    g = T.actions(spark, sf).groupBy("action_type").agg((F.avg(s) - 0.5).alias("b"), F.stddev_samp(s).alias("sd"), rows().alias("n"))
     return g.withColumns({"se": F.col("sd") / F.sqrt("n"), "d": F.col("b") / F.col("sd")})
 
 
@@ -213,7 +215,7 @@ def residuals(spark, sf):
 @query("d28_claim_confidence", ctes("beliefs") + "SELECT statement, round(greatest(0.0, 0.3 * least(1.0, count(*) / 100.0) + 0.25 * avg(probability) + 0.25 * (1 - stddev_pop(probability)) + 0.2 * avg(CASE WHEN probability >= 0.5 THEN 1.0 ELSE 0.0 END) - least(0.3, 0.1 * (max(probability) - min(probability)))), 6) AS confidence FROM beliefs GROUP BY 1")
 def claim_confidence(spark, sf):
     p = F.col("probability")
-    x = 0.3 * F.least(F.lit(1.0), N / 100.0) + 0.25 * F.avg(p) + 0.25 * (1 - F.stddev_pop(p)) + 0.2 * F.avg(F.when(p >= 0.5, 1.0).otherwise(0.0)) - F.least(F.lit(0.3), (F.max(p) - F.min(p)) * 0.1)
+    x = 0.3 * F.least(F.lit(1.0), rows() / 100.0) + 0.25 * F.avg(p) + 0.25 * (1 - F.stddev_pop(p)) + 0.2 * F.avg(F.when(p >= 0.5, 1.0).otherwise(0.0)) - F.least(F.lit(0.3), (F.max(p) - F.min(p)) * 0.1)
     return T.beliefs(spark, sf).groupBy("statement").agg(S.rounded(F.greatest(F.lit(0.0), x)).alias("confidence"))
 
 
@@ -221,7 +223,7 @@ def claim_confidence(spark, sf):
 def citations(spark, sf):
     verified = F.avg(F.when(F.col("confidence") >= 0.95, 1.0).otherwise(0.0))
     kinds = F.countDistinct(F.col("from_id") % 5)
-    return T.relations(spark, sf).groupBy("to_id").agg(N.alias("citations"), kinds.alias("kinds"), S.rounded(verified).alias("verified"), ((N >= 2) & (kinds >= 2) & (verified >= 0.8)).alias("valid"))
+    return T.relations(spark, sf).groupBy("to_id").agg(rows().alias("citations"), kinds.alias("kinds"), S.rounded(verified).alias("verified"), ((rows() >= 2) & (kinds >= 2) & (verified >= 0.8)).alias("valid"))
 
 
 CHANGE = ctes("actions") + ", t AS (SELECT *, success_score - lag(success_score) OVER (PARTITION BY agent_id ORDER BY executed_at, action_id) AS d FROM actions)"
@@ -241,7 +243,7 @@ def counterfactual(spark, sf):
 @query("d31_flexibility", CHANGE + " SELECT agent_id, round(0.4 * avg(least(1.5, abs(d) / 0.5)) + 0.3 * least(1.0, count(*) / 100.0) + 0.3 * avg(abs(d)), 6) AS score FROM t WHERE d IS NOT NULL GROUP BY 1")
 def flexibility(spark, sf):
     d = F.abs("d")
-    return _changes(spark, sf).groupBy("agent_id").agg(S.rounded(0.4 * F.avg(F.least(F.lit(1.5), d / 0.5)) + 0.3 * F.least(F.lit(1.0), N / 100.0) + 0.3 * F.avg(d)).alias("score"))
+    return _changes(spark, sf).groupBy("agent_id").agg(S.rounded(0.4 * F.avg(F.least(F.lit(1.5), d / 0.5)) + 0.3 * F.least(F.lit(1.0), rows() / 100.0) + 0.3 * F.avg(d)).alias("score"))
 
 
 @query("d32_meta_judge", ctes("actions") + "SELECT action_id, round(least(1.0, greatest(0.0, success_score + CASE WHEN k >= 50 THEN 0.1 ELSE -0.1 END - 0.1 * abs(success_score - 0.5))), 6) AS score FROM actions")
@@ -259,18 +261,18 @@ def importance_regression(spark, sf):
 @query("d34_vote", ctes("actions") + "SELECT context, count(*) AS votes, CAST(count(*) FILTER (success_score >= 0.5) AS BIGINT) AS yes, count(*) FILTER (success_score >= 0.5) >= greatest(1, ceil(count(*) * 0.5)) AS accepted FROM actions GROUP BY 1")
 def vote(spark, sf):
     yes = F.count_if(F.col("success_score") >= 0.5)
-    return T.actions(spark, sf).groupBy("context").agg(N.alias("votes"), yes.alias("yes"), (yes >= F.greatest(F.lit(1), F.ceil(N * 0.5))).alias("accepted"))
+    return T.actions(spark, sf).groupBy("context").agg(rows().alias("votes"), yes.alias("yes"), (yes >= F.greatest(F.lit(1), F.ceil(rows() * 0.5))).alias("accepted"))
 
 
 @query("d35_attention", AGE + ", g AS (SELECT k, min(h) AS h, count(*) AS n, avg(success_score) AS e FROM t GROUP BY 1) SELECT k, round(0.5 * (exp(-h / 24) + least(1.0, n / 100.0)) + 0.5 * e, 6) AS attention FROM g")
 def attention(spark, sf):
-    g = _aged(spark, sf).groupBy("k").agg(F.min("h").alias("h"), N.alias("n"), F.avg("success_score").alias("e"))
+    g = _aged(spark, sf).groupBy("k").agg(F.min("h").alias("h"), rows().alias("n"), F.avg("success_score").alias("e"))
     return g.select("k", S.rounded((F.exp(-F.col("h") / 24) + F.least(F.lit(1.0), F.col("n") / 100.0)) * 0.5 + F.col("e") * 0.5).alias("attention"))
 
 
 @query("d36_cache_eviction", AGE + ", g AS (SELECT context, min(h) AS h, count(*) AS n, avg(k) AS tokens FROM t GROUP BY 1) SELECT context, round(0.4 / (h + 1) + 0.4 * least(1.0, n / 10.0) + 0.2 * tokens / 1000, 6) AS score FROM g ORDER BY 0.4 / (h + 1) + 0.4 * least(1.0, n / 10.0) + 0.2 * tokens / 1000, context LIMIT 20")
 def cache_eviction(spark, sf):
-    g = _aged(spark, sf).groupBy("context").agg(F.min("h").alias("h"), N.alias("n"), F.avg("k").alias("tokens"))
+    g = _aged(spark, sf).groupBy("context").agg(F.min("h").alias("h"), rows().alias("n"), F.avg("k").alias("tokens"))
     s = S.eviction_score("h", "n", "tokens")
     return g.select("context", s.alias("s")).orderBy("s", "context").limit(20).select("context", S.rounded("s").alias("score"))
 
@@ -294,10 +296,10 @@ def full_consolidation(spark, sf):
 
     a = T.actions(spark, sf)
     r = a.where(F.col("executed_at") >= F.lit(T.as_of(a, "executed_at") - timedelta(hours=24)))
-    p = r.groupBy(F.lit("pattern").alias("step"), F.col("action_type").alias("what")).agg(N.alias("n")).where("n >= 3")
+    p = r.groupBy(F.lit("pattern").alias("step"), F.col("action_type").alias("what")).agg(rows().alias("n")).where("n >= 3")
     w = Window.partitionBy("agent_id").orderBy("executed_at", "action_id")
-    c = r.select("action_type", F.lead("action_type").over(w).alias("b")).where("b IS NOT NULL").groupBy(F.lit("causal").alias("step"), F.concat_ws("->", "action_type", "b").alias("what")).agg(N.alias("n")).where("n >= 2")
-    s = T.associations(spark, sf).groupBy(F.lit("association").alias("step"), F.when(F.col("strength") >= 0.3, "kept").otherwise("pruned").alias("what")).agg(N.alias("n"))
+    c = r.select("action_type", F.lead("action_type").over(w).alias("b")).where("b IS NOT NULL").groupBy(F.lit("causal").alias("step"), F.concat_ws("->", "action_type", "b").alias("what")).agg(rows().alias("n")).where("n >= 2")
+    s = T.associations(spark, sf).groupBy(F.lit("association").alias("step"), F.when(F.col("strength") >= 0.3, "kept").otherwise("pruned").alias("what")).agg(rows().alias("n"))
     return p.unionByName(c).unionByName(s)
 
 
@@ -305,7 +307,7 @@ def full_consolidation(spark, sf):
 def validation_pipeline(spark, sf):
     t = F.col("text")
     v = F.when(t.isNull() | (F.length(t) < 20), "too_short").when(F.rlike(F.lower(t), F.lit("worthless|pathetic|idiot")), "flagged").when(F.rlike(t, F.lit("[0-9]{3}-[0-9]{2}-[0-9]{4}")), "personal").otherwise("valid")
-    return T.base(spark, sf, "documents").groupBy("lang", v.alias("verdict")).agg(N.alias("n"))
+    return T.base(spark, sf, "documents").groupBy("lang", v.alias("verdict")).agg(rows().alias("n"))
 
 
 @query("c03_top_actions_per_agent", ctes("actions") + "SELECT agent_id, action_id, rank FROM (SELECT agent_id, action_id, row_number() OVER (PARTITION BY agent_id ORDER BY success_score DESC, action_id) AS rank FROM actions) WHERE rank <= 3")

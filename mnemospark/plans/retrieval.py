@@ -12,7 +12,9 @@ from mnemospark.plans.registry import query
 from mnemospark.sources import tables as T
 from mnemospark.sources.tables import ctes
 
-N = F.count(F.lit(1))
+
+def rows():
+    return F.count(F.lit(1))
 
 
 @query("s01_search_nodes", ctes("entities") + "SELECT id, name, access_count FROM entities WHERE name ILIKE '%doc\\_1%' ESCAPE '\\' OR entity_type ILIKE '%src7%' ORDER BY access_count DESC, id LIMIT 10")
@@ -40,14 +42,14 @@ def entity_documents(spark, sf):
 def migration(spark, sf, least: int = 200):
     text = F.concat_ws(" | ", F.concat(F.lit("Name: "), "name"), F.concat(F.lit("Type: "), "entity_type"), F.concat(F.lit("Observations: "), "content"))
     t = T.entities(spark, sf).select(F.when(F.length("content") < least, "skipped").otherwise("success").alias("status"), F.length(text).cast("long").alias("n"))
-    return t.groupBy("status").agg(N.alias("rows"), F.sum("n").alias("chars"))
+    return t.groupBy("status").agg(rows().alias("rows"), F.sum("n").alias("chars"))
 
 
 @query("s20_resume_reindex", ctes("entities", "feedback") + "SELECT tier, count(*) AS todo FROM entities WHERE id NOT IN (SELECT doc_id FROM feedback) GROUP BY tier")
 def resume_reindex(spark, sf):
     """What is left to index, by an anti join on the ids done."""
     e, done = T.entities(spark, sf), T.feedback(spark, sf)
-    return e.join(done, e.id == done.doc_id, "left_anti").groupBy("tier").agg(N.alias("todo"))
+    return e.join(done, e.id == done.doc_id, "left_anti").groupBy("tier").agg(rows().alias("todo"))
 
 
 @query("s24_search_resource", ctes("entities") + "SELECT entity_type, count(*) AS n FROM entities WHERE lower(content) LIKE '%there%' AND tier = 'core' GROUP BY 1")
@@ -59,7 +61,7 @@ def search_resource(spark, sf, text: str = "there", tier: str = "core"):
 @query("s25_read_graph", ctes("relations") + "SELECT relation_type, count(*) AS n FROM relations JOIN supplier ON from_id = s_suppkey JOIN part ON to_id = p_partkey + 1000000000 GROUP BY 1")
 def read_graph(spark, sf):
     r, s, p = T.relations(spark, sf), T.base(spark, sf, "supplier").select("s_suppkey"), T.base(spark, sf, "part").select("p_partkey")
-    return r.join(s, r.from_id == s.s_suppkey).join(p, r.to_id == p.p_partkey + 1000000000).groupBy("relation_type").agg(N.alias("n"))
+    return r.join(s, r.from_id == s.s_suppkey).join(p, r.to_id == p.p_partkey + 1000000000).groupBy("relation_type").agg(rows().alias("n"))
 
 
 @query("f01_confidence", ctes("relations") + "SELECT from_id, to_id, confidence FROM relations WHERE confidence >= 0.97")
@@ -93,7 +95,7 @@ def dynamic_filter(spark, sf):
 @query("f06_neighbor_filter", ctes("relations") + "SELECT from_id, count(*) AS n FROM relations WHERE relation_type IN ('causes', 'leads_to') AND strength >= 0.5 AND valid_from >= TIMESTAMP '1993-01-01' GROUP BY 1")
 def neighbor_filter(spark, sf):
     r = O.conjunction(T.relations(spark, sf), relation_type_in=["causes", "leads_to"], strength_min=0.5)
-    return r.where("valid_from >= TIMESTAMP_NTZ'1993-01-01'").groupBy("from_id").agg(N.alias("n"))
+    return r.where("valid_from >= TIMESTAMP_NTZ'1993-01-01'").groupBy("from_id").agg(rows().alias("n"))
 
 
 @query("f07_as_of", ctes("relations") + "SELECT from_id, to_id FROM relations WHERE valid_from <= TIMESTAMP '1995-06-17' AND (valid_until IS NULL OR valid_until > TIMESTAMP '1995-06-17')")
@@ -210,8 +212,8 @@ def learnings_for_action(spark, sf, k: int = 5):
 
 @query("u02_outer_union_of_scores", ctes("associations", "causal_links") + ", a AS (SELECT a_id AS id, count(*) AS x FROM associations GROUP BY 1), b AS (SELECT effect_id AS id, count(*) AS y FROM causal_links GROUP BY 1) SELECT coalesce(a.id, b.id) AS id, coalesce(x, 0) AS out_degree, coalesce(y, 0) AS in_degree FROM a FULL JOIN b ON a.id = b.id")
 def outer_union(spark, sf):
-    a = T.associations(spark, sf).groupBy(F.col("a_id").alias("id")).agg(N.alias("x"))
-    b = T.causal_links(spark, sf).groupBy(F.col("effect_id").alias("id")).agg(N.alias("y"))
+    a = T.associations(spark, sf).groupBy(F.col("a_id").alias("id")).agg(rows().alias("x"))
+    b = T.causal_links(spark, sf).groupBy(F.col("effect_id").alias("id")).agg(rows().alias("y"))
     return a.join(b, "id", "full_outer").select("id", F.coalesce("x", F.lit(0)).alias("out_degree"), F.coalesce("y", F.lit(0)).alias("in_degree"))
 
 
@@ -220,8 +222,8 @@ def common_tags(spark, sf):
     """Tags that all rows of a group have: distributive counting instead of collecting sets."""
     tags = F.array(F.concat(F.lit("s"), (F.col("p_size") % 2).cast("string")), F.concat(F.lit("t"), (F.length("p_type") % 3).cast("string")), F.lit("all"))
     p = T.base(spark, sf, "part")
-    total = p.groupBy("p_brand").agg(N.alias("n"))
-    each = p.select("p_brand", F.explode(tags).alias("t")).groupBy("p_brand", "t").agg(N.alias("m"))
+    total = p.groupBy("p_brand").agg(rows().alias("n"))
+    each = p.select("p_brand", F.explode(tags).alias("t")).groupBy("p_brand", "t").agg(rows().alias("m"))
     return each.join(total, "p_brand").where("m = n").groupBy("p_brand").agg(F.array_join(F.sort_array(F.collect_list("t")), ",").alias("common"))
 
 
@@ -231,7 +233,7 @@ def self_verify(spark, sf):
     t = T.actions(spark, sf).withColumn("p", F.lag(F.col("k") % 7).over(w))
     s = F.col("success_score")
     verdict = F.when((s >= 0.7) & (F.col("p") == F.col("k") % 7), "verified").when(s >= 0.5, "plausible").when(s >= 0.2, "weak").otherwise("rejected")
-    return t.groupBy(verdict.alias("verdict")).agg(N.alias("n"))
+    return t.groupBy(verdict.alias("verdict")).agg(rows().alias("n"))
 
 
 # --- joins ---
@@ -300,7 +302,7 @@ def belief_divergence(spark, sf, least: float = 0.1):
 @query("j10_audit", "SELECT n_name, count(*) AS suppliers FROM nation JOIN supplier ON n_nationkey = s_nationkey WHERE s_name <> '' GROUP BY 1")
 def audit(spark, sf):
     n, s = T.base(spark, sf, "nation"), T.base(spark, sf, "supplier")
-    return n.join(s, n.n_nationkey == s.s_nationkey).where("s_name <> ''").groupBy("n_name").agg(N.alias("suppliers"))
+    return n.join(s, n.n_nationkey == s.s_nationkey).where("s_name <> ''").groupBy("n_name").agg(rows().alias("suppliers"))
 
 
 @query("j11_left_join_on_filter", "SELECT c_mktsegment, count(o_orderkey) AS orders, round(avg(o_totalprice), 4) AS avg_price FROM customer LEFT JOIN orders ON c_custkey = o_custkey AND o_orderdate >= TIMESTAMP '1998-01-01' GROUP BY 1")
@@ -330,7 +332,7 @@ def upsert(spark, sf):
 
 @query("m02_access_counter", ctes("actions") + "SELECT k AS entity_id, count(*) AS accesses, max(executed_at) AS last FROM actions GROUP BY 1")
 def access_counter(spark, sf):
-    return T.actions(spark, sf).groupBy(F.col("k").alias("entity_id")).agg(N.alias("accesses"), F.max("executed_at").alias("last"))
+    return T.actions(spark, sf).groupBy(F.col("k").alias("entity_id")).agg(rows().alias("accesses"), F.max("executed_at").alias("last"))
 
 
 @query("m03_block_versions", ctes("versions") + "SELECT entity_id, version, data, version = max(version) OVER (PARTITION BY entity_id) AS is_current FROM versions")

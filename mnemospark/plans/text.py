@@ -12,7 +12,9 @@ from mnemospark.plans.registry import query
 from mnemospark.sources import tables as T
 from mnemospark.sources.tables import ctes
 
-N = F.count(F.lit(1))
+
+def rows():
+    return F.count(F.lit(1))
 _STOP = ", ".join(f"'{w}'" for w in X.STOPWORDS)
 _STRIP = X.STRIPPED.replace("'", "''")
 KW = f"kw AS (SELECT conv_id, turn, w FROM (SELECT conv_id, turn, trim(unnest(string_split_regex(lower(text), '\\s+')), '{_STRIP}') AS w FROM conversations) WHERE length(w) > 2 AND w NOT IN ({_STOP}))"
@@ -25,13 +27,13 @@ def _sum(column: str, patterns: list[str]) -> str:
 @query("t01_keywords", f"WITH {KW} SELECT conv_id, count(*) AS n, count(DISTINCT w) AS distinct_words FROM kw GROUP BY 1")
 def keywords(spark, sf):
     c = T.base(spark, sf, "conversations")
-    return c.select("conv_id", F.explode(X.keywords("text")).alias("w")).groupBy("conv_id").agg(N.alias("n"), F.countDistinct("w").alias("distinct_words"))
+    return c.select("conv_id", F.explode(X.keywords("text")).alias("w")).groupBy("conv_id").agg(rows().alias("n"), F.countDistinct("w").alias("distinct_words"))
 
 
 @query("t02_top_keywords", f"WITH {KW}, g AS (SELECT w, count(*) AS n FROM kw WHERE length(w) > 4 GROUP BY 1) SELECT w, n FROM g ORDER BY n DESC, w LIMIT 50")
 def top_keywords(spark, sf):
     w = T.base(spark, sf, "conversations").select(F.explode(X.keywords("text", 5)).alias("w"))
-    return w.groupBy("w").agg(N.alias("n")).orderBy(F.desc("n"), "w").limit(50)
+    return w.groupBy("w").agg(rows().alias("n")).orderBy(F.desc("n"), "w").limit(50)
 
 
 @query("t03_named_phrases")  # word boundaries at accented letters differ between regular expression dialects
@@ -43,8 +45,8 @@ def named_phrases(spark, sf):
 @query("t04_term_frequency", f"WITH {KW} SELECT w, count(*) AS tf, count(DISTINCT conv_id) AS df FROM kw GROUP BY 1")
 def term_frequency(spark, sf):
     w = T.base(spark, sf, "conversations").select("conv_id", F.explode(X.keywords("text")).alias("w"))
-    per = w.groupBy("w", "conv_id").agg(N.alias("n"))
-    return per.groupBy("w").agg(F.sum("n").alias("tf"), N.alias("df"))
+    per = w.groupBy("w", "conv_id").agg(rows().alias("n"))
+    return per.groupBy("w").agg(F.sum("n").alias("tf"), rows().alias("df"))
 
 
 _TYPES = ", ".join(f"{_sum('t', p)} AS {k}" for k, p in X.QUERY_TYPES.items())
@@ -52,12 +54,12 @@ _TYPES = ", ".join(f"{_sum('t', p)} AS {k}" for k, p in X.QUERY_TYPES.items())
 
 @query("t05_query_type", f"WITH q AS (SELECT conv_id, turn, trim(lower(text)) AS t FROM conversations WHERE role = 'user'), s AS (SELECT conv_id, turn, {_TYPES} FROM q), m AS (SELECT *, greatest(comparative, procedural, analytical, exploratory, factual) AS top FROM s) SELECT CASE WHEN top = 0 THEN 'factual' WHEN comparative = top THEN 'comparative' WHEN procedural = top THEN 'procedural' WHEN analytical = top THEN 'analytical' WHEN exploratory = top THEN 'exploratory' ELSE 'factual' END AS type, count(*) AS n FROM m GROUP BY 1")
 def query_type(spark, sf):
-    return T.base(spark, sf, "conversations").where("role = 'user'").groupBy(X.query_type("text").alias("type")).agg(N.alias("n"))
+    return T.base(spark, sf, "conversations").where("role = 'user'").groupBy(X.query_type("text").alias("type")).agg(rows().alias("n"))
 
 
 @query("t06_complexity", f"WITH q AS (SELECT trim(lower(text)) AS t, len(list_filter(string_split_regex(lower(text), '\\s+'), lambda x: x <> '')) AS n FROM conversations), s AS (SELECT n, {_sum('t', X.COMPLEX)} AS hard, {_sum('t', X.SIMPLE)} AS easy FROM q) SELECT CASE WHEN hard >= 2 THEN 'complex' WHEN n > 15 OR hard >= 1 THEN 'medium' WHEN easy > 0 AND n < 8 THEN 'simple' ELSE 'medium' END AS complexity, count(*) AS n FROM s GROUP BY 1")
 def complexity(spark, sf):
-    return T.base(spark, sf, "conversations").groupBy(X.complexity("text").alias("complexity")).agg(N.alias("n"))
+    return T.base(spark, sf, "conversations").groupBy(X.complexity("text").alias("complexity")).agg(rows().alias("n"))
 
 
 _STATES = " ".join(f"WHEN regexp_matches(lower(text), '{'|'.join(p)}') THEN '{k}'" for k, p in X.STATE_FAMILIES.items())
@@ -65,7 +67,7 @@ _STATES = " ".join(f"WHEN regexp_matches(lower(text), '{'|'.join(p)}') THEN '{k}
 
 @query("t07_query_state", f"SELECT CASE {_STATES} ELSE 'general' END AS state, count(*) AS n FROM conversations GROUP BY 1")
 def query_state(spark, sf):
-    return T.base(spark, sf, "conversations").groupBy(X.first_family("text").alias("state")).agg(N.alias("n"))
+    return T.base(spark, sf, "conversations").groupBy(X.first_family("text").alias("state")).agg(rows().alias("n"))
 
 
 _TASKS = " ".join(f"WHEN contains(lower(text), '{p}') THEN '{k}'" for p, k in X.TASK_TYPES)
@@ -73,7 +75,7 @@ _TASKS = " ".join(f"WHEN contains(lower(text), '{p}') THEN '{k}'" for p, k in X.
 
 @query("t08_task_type", f"SELECT CASE {_TASKS} ELSE 'general' END AS task, count(*) AS n FROM documents GROUP BY 1")
 def task_type(spark, sf):
-    return T.base(spark, sf, "documents").groupBy(X.task_type("text").alias("task")).agg(N.alias("n"))
+    return T.base(spark, sf, "documents").groupBy(X.task_type("text").alias("task")).agg(rows().alias("n"))
 
 
 @query("t09_priority", "WITH s AS (SELECT doc_id, len(regexp_extract_all(text, '\\d+\\s*[+\\-*/]\\s*\\d+')) + len(regexp_extract_all(text, '=>')) AS hits, greatest(1, floor(len(string_split_regex(trim(text), '\\s+')) / 10.0)) AS base FROM documents) SELECT doc_id, round(hits / base, 6) AS score, CASE WHEN hits / base > 0.5 THEN 0.75::DOUBLE ELSE 0.1::DOUBLE END AS weight FROM s")
@@ -87,14 +89,14 @@ def priority(spark, sf):
 def content_class(spark, sf, words=("the", "tion", "worthless", "license")):
     n = X.matches(F.lower("text"), list(words))
     s = T.base(spark, sf, "documents").select(n.alias("n"))
-    return s.groupBy(F.when(F.col("n") >= 2, "reasoning").otherwise("general").alias("category"), F.when(F.col("n") >= 2, 1.3).otherwise(1.0).alias("weight"), S.rounded(F.least(F.col("n") / len(words), F.lit(1.0))).alias("confidence")).agg(N.alias("docs"))
+    return s.groupBy(F.when(F.col("n") >= 2, "reasoning").otherwise("general").alias("category"), F.when(F.col("n") >= 2, 1.3).otherwise(1.0).alias("weight"), S.rounded(F.least(F.col("n") / len(words), F.lit(1.0))).alias("confidence")).agg(rows().alias("docs"))
 
 
 @query("t11_memory_tier", "WITH e AS (SELECT CASE o_orderstatus WHEN 'F' THEN 'historical_order' WHEN 'O' THEN 'session' ELSE 'order' END AS kind, 'order ' || CASE WHEN o_orderkey % 10 = 0 THEN 'Orchestrator' WHEN o_orderkey % 10 = 1 THEN 'Current' WHEN o_orderkey % 10 = 2 THEN 'archive' ELSE 'x' END AS name FROM orders) SELECT CASE WHEN kind IN ('system_role', 'core_system') OR contains(lower(name), 'orchestrator') THEN 'core' WHEN kind IN ('project', 'session') OR contains(lower(name), 'current') THEN 'working' WHEN contains(lower(name), 'archive') OR contains(kind, 'historical') THEN 'archive' ELSE 'reference' END AS tier, count(*) AS n FROM e GROUP BY 1")
 def memory_tier(spark, sf):
     r = F.col("o_orderkey") % 10
     e = T.base(spark, sf, "orders").select(F.when(F.col("o_orderstatus") == "F", "historical_order").when(F.col("o_orderstatus") == "O", "session").otherwise("order").alias("kind"), F.concat(F.lit("order "), F.when(r == 0, "Orchestrator").when(r == 1, "Current").when(r == 2, "archive").otherwise("x")).alias("name"))
-    return e.groupBy(X.memory_tier("kind", "name").alias("tier")).agg(N.alias("n"))
+    return e.groupBy(X.memory_tier("kind", "name").alias("tier")).agg(rows().alias("n"))
 
 
 @query("t12_extractive_summary")
@@ -186,7 +188,7 @@ def arithmetic_claims(spark, sf):
     claim = claim.when(F.col("op") == 1, F.concat_ws(" ", (F.col("a") + 10).cast("string"), F.lit("-"), s("b"), F.lit("="), (F.col("a") + 10 - F.col("b") + F.col("off")).cast("string")))
     claim = claim.when(F.col("op") == 2, F.concat_ws(" ", s("a"), F.lit("*"), s("b"), F.lit("="), (F.col("a") * F.col("b") + F.col("off")).cast("string")))
     claim = claim.otherwise(F.concat_ws(" ", s("a"), F.lit("/"), s("b"), F.lit("= 1")))
-    return l.where("op <> 3 OR b = 0").select(claim.alias("claim")).groupBy(X.arithmetic_verdict("claim").alias("verdict")).agg(N.alias("n"))
+    return l.where("op <> 3 OR b = 0").select(claim.alias("claim")).groupBy(X.arithmetic_verdict("claim").alias("verdict")).agg(rows().alias("n"))
 
 
 @query("t26_contradiction_patterns", "SELECT doc_id FROM documents WHERE regexp_matches(lower(text), 'always.*never|never.*always|idiot.*worthless')")
@@ -204,7 +206,7 @@ def tautologies(spark, sf):
 @query("t29_validation", "WITH v AS (SELECT doc_id, CASE WHEN text IS NULL OR length(text) < 20 THEN 'blocked' WHEN regexp_matches(lower(text), 'worthless|pathetic') THEN 'flagged' ELSE 'valid' END AS v FROM documents) SELECT v AS verdict, count(*) AS n, CAST(count(*) FILTER (v <> 'blocked') AS BIGINT) AS accepted FROM v GROUP BY 1")
 def validation(spark, sf):
     v = F.when(F.col("text").isNull() | (F.length("text") < 20), "blocked").when(F.rlike(F.lower("text"), F.lit("worthless|pathetic")), "flagged").otherwise("valid")
-    return T.base(spark, sf, "documents").groupBy(v.alias("verdict")).agg(N.alias("n"), F.count_if(v != "blocked").alias("accepted"))
+    return T.base(spark, sf, "documents").groupBy(v.alias("verdict")).agg(rows().alias("n"), F.count_if(v != "blocked").alias("accepted"))
 
 
 @query("t28_provenance_rules", ctes("relations") + "SELECT concat_ws(',', CASE WHEN relation_type NOT IN ('causes', 'leads_to') THEN 'method' END, CASE WHEN confidence < 0.95 THEN 'confidence' END, CASE WHEN valid_until IS NULL THEN 'citation' END) AS issues, count(*) AS n FROM relations GROUP BY 1")
@@ -212,7 +214,7 @@ def provenance_rules(spark, sf):
     from mnemospark.operators.filters import issues
 
     rules = {"method": ~F.col("relation_type").isin("causes", "leads_to"), "confidence": F.col("confidence") < 0.95, "citation": F.col("valid_until").isNull()}
-    return T.relations(spark, sf).groupBy(F.array_join(issues(rules), ",").alias("issues")).agg(N.alias("n"))
+    return T.relations(spark, sf).groupBy(F.array_join(issues(rules), ",").alias("issues")).agg(rows().alias("n"))
 
 
 @query("t30_context_hash", ctes("actions") + "SELECT action_id, substr(sha256(action_type || '{\"agent\":\"' || agent_id || '\",\"context\":\"' || context || '\"}'), 1, 16) AS hash FROM actions")
@@ -225,7 +227,7 @@ def context_hash(spark, sf):
 def pattern_id(spark, sf):
     bin_ = F.least(F.lit(4), F.floor(F.col("success_score") * 5)).cast("int").cast("string")
     key = F.concat(F.lit("sco:"), bin_, F.lit("|typ:"), F.length("action_type").cast("string"))
-    return T.actions(spark, sf).groupBy(F.substring(F.md5(key), 1, 12).alias("pattern")).agg(N.alias("n"))
+    return T.actions(spark, sf).groupBy(F.substring(F.md5(key), 1, 12).alias("pattern")).agg(rows().alias("n"))
 
 
 def _mask_sql(column: str) -> str:

@@ -13,7 +13,9 @@ from mnemospark.plans.registry import query
 from mnemospark.sources import tables as T
 from mnemospark.sources.tables import ctes
 
-N = F.count(F.lit(1))
+
+def rows():
+    return F.count(F.lit(1))
 VEC = ctes("vectors") + ", q AS (SELECT v AS q FROM vectors WHERE id = 0), c AS (SELECT id, label, list_cosine_similarity(v, q) AS s FROM vectors, q)"
 
 
@@ -61,7 +63,7 @@ def evidence(spark, sf):
 
 @query("v06_credibility", ctes("feedback") + ", g AS (SELECT source, count(*) AS n, sum(success) AS s FROM feedback GROUP BY source), w AS (SELECT source, n, s, s * 1.0 / n AS p FROM g) SELECT source, round((s + 0.5) / (n + 1), 6) AS credibility, round(greatest(0.0, (p + 3.8416 / (2 * n)) / (1 + 3.8416 / n) - 1.96 * sqrt(p * (1 - p) / n + 3.8416 / (4.0 * n * n)) / (1 + 3.8416 / n)), 6) AS low, round(least(1.0, (p + 3.8416 / (2 * n)) / (1 + 3.8416 / n) + 1.96 * sqrt(p * (1 - p) / n + 3.8416 / (4.0 * n * n)) / (1 + 3.8416 / n)), 6) AS high FROM w")
 def credibility(spark, sf):
-    g = T.feedback(spark, sf).groupBy("source").agg(N.alias("n"), F.sum("success").alias("s"))
+    g = T.feedback(spark, sf).groupBy("source").agg(rows().alias("n"), F.sum("success").alias("s"))
     low, high = S.wilson("s", "n")
     return g.select("source", S.rounded((F.col("s") + 0.5) / (F.col("n") + 1)).alias("credibility"), S.rounded(low).alias("low"), S.rounded(high).alias("high"))
 
@@ -76,9 +78,9 @@ def bm25(docs, terms, k1: float = 1.5, b: float = 0.75):
     """docs(id, text) -> (id, s): Okapi BM25 of the query terms; only their postings are shuffled."""
     w = X.words("text")
     counted = docs.select("id", F.size(w).alias("len"), F.filter(w, lambda x: x.isin(*terms)).alias("hits"))
-    total = counted.where("len > 0").agg(F.avg("len").alias("avg_len"), N.alias("n"))
-    tf = counted.select("id", "len", F.explode("hits").alias("w")).groupBy("id", "w", "len").agg(N.alias("tf"))
-    df = tf.groupBy("w").agg(N.alias("df"))  # at most as many rows as terms
+    total = counted.where("len > 0").agg(F.avg("len").alias("avg_len"), rows().alias("n"))
+    tf = counted.select("id", "len", F.explode("hits").alias("w")).groupBy("id", "w", "len").agg(rows().alias("tf"))
+    df = tf.groupBy("w").agg(rows().alias("df"))  # at most as many rows as terms
     j = tf.join(F.broadcast(df), "w").crossJoin(F.broadcast(total))  # one row
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     return j.groupBy("id").agg(F.sum(idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))).alias("s"))
@@ -90,14 +92,17 @@ def bm25_scores(spark, sf):
     return bm25(d, TERMS).select("id", S.rounded("s").alias("score"))
 
 
-HYBRID = VEC + BM25 + ", d AS (SELECT id, row_number() OVER (ORDER BY s DESC, id) AS rank FROM c QUALIFY rank <= 20), p AS (SELECT id, row_number() OVER (ORDER BY s DESC, id) AS rank FROM bm QUALIFY rank <= 20), r AS (SELECT id, rank FROM d UNION ALL SELECT id, rank FROM p)"
+HYBRID = VEC + BM25 + ", d AS (SELECT id, row_number() OVER (ORDER BY round(s, 9) DESC, id) AS rank FROM c QUALIFY rank <= 20), p AS (SELECT id, row_number() OVER (ORDER BY round(s, 9) DESC, id) AS rank FROM bm QUALIFY rank <= 20), r AS (SELECT id, rank FROM d UNION ALL SELECT id, rank FROM p)"
 
 
 def _ranked(df, k):
-    """The k best rows of (id, s) with their rank: a top-k first, so the single-partition window sees k rows."""
+    """The k best rows of (id, s) with their rank: a top-k first, so the single-partition window sees k rows.
+
+    Scores are rounded to nine digits, so that equal ones tie whatever the order of their sums.
+    """
     from pyspark.sql import Window
 
-    top = df.orderBy(F.desc("s"), "id").limit(k)
+    top = df.select("id", S.rounded("s", 9).alias("s")).orderBy(F.desc("s"), "id").limit(k)
     return top.select("id", F.row_number().over(Window.orderBy(F.desc("s"), "id")).alias("rank"))
 
 
@@ -141,12 +146,12 @@ def recall_by_age(spark, sf):
 
 @query("v12_kmeans")
 def kmeans(spark, sf):
-    return O.kmeans(T.vectors(spark, sf), 10).groupBy("cluster").agg(N.alias("n"))
+    return O.kmeans(T.vectors(spark, sf), 10).groupBy("cluster").agg(rows().alias("n"))
 
 
 @query("v14_label_clusters", ctes("vectors") + "SELECT label, count(*) AS n, round(avg(v[1]), 6) AS first FROM vectors GROUP BY label HAVING count(*) >= 5")
 def label_clusters(spark, sf):
-    return T.vectors(spark, sf).groupBy("label").agg(N.alias("n"), S.rounded(F.avg(F.col("v")[0])).alias("first")).where("n >= 5")
+    return T.vectors(spark, sf).groupBy("label").agg(rows().alias("n"), S.rounded(F.avg(F.col("v")[0])).alias("first")).where("n >= 5")
 
 
 @query("v16_nearest_centroid", ctes("vectors") + ", e AS (SELECT label, i, avg(v[i]) AS x FROM (SELECT label, v, unnest(range(1, 65)) AS i FROM vectors) GROUP BY 1, 2), m AS (SELECT label, list(x ORDER BY i) AS m FROM e GROUP BY 1), d AS (SELECT id, m.label AS centroid, list_dot_product(v, m) AS s FROM vectors, m), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY round(s, 9) DESC, centroid) AS rn FROM d) SELECT id, centroid FROM r WHERE rn = 1")
@@ -162,7 +167,7 @@ def nearest_centroid(spark, sf):
 
 @query("v17_fuzzy_art")
 def fuzzy_art(spark, sf):
-    return O.art_categories(T.vectors(spark, sf), "label", vigilance=0.7).groupBy("label", "category").agg(N.alias("n"))
+    return O.art_categories(T.vectors(spark, sf), "label", vigilance=0.7).groupBy("label", "category").agg(rows().alias("n"))
 
 
 @query("v19_fuzzy_match", ctes("vectors") + ", p AS (SELECT id, list_transform(v, lambda x: abs(x)) AS x FROM vectors), w AS (SELECT x AS w FROM p WHERE id = 0) SELECT id, round(list_sum(list_transform(list_zip(x, w), lambda z: least(z[1], z[2]))) / list_sum(x), 6) AS match FROM p, w")
@@ -202,7 +207,7 @@ def category_boost(spark, sf):
 @query("v26_graph_enhanced", VEC + ", t AS (SELECT id, s FROM c ORDER BY s DESC, id LIMIT 20), g AS (SELECT l_suppkey % 500 AS id, least(1.0, count(*) / 1000.0) AS g FROM lineitem GROUP BY 1) SELECT t.id AS id, round(0.7 * s + 0.3 * coalesce(g, 0), 6) AS score FROM t LEFT JOIN g USING (id)")
 def graph_enhanced(spark, sf):
     top = _scored(spark, sf).select("id", "s").orderBy(F.desc("s"), "id").limit(20)
-    g = T.base(spark, sf, "lineitem").groupBy((F.col("l_suppkey") % 500).alias("id")).agg(F.least(F.lit(1.0), N / 1000.0).alias("g"))
+    g = T.base(spark, sf, "lineitem").groupBy((F.col("l_suppkey") % 500).alias("id")).agg(F.least(F.lit(1.0), rows() / 1000.0).alias("g"))
     return top.join(g, "id", "left").select("id", S.rounded(F.col("s") * 0.7 + F.coalesce("g", F.lit(0.0)) * 0.3).alias("score"))
 
 
@@ -234,7 +239,7 @@ def compare_strategies(spark, sf):
     return c.groupBy(F.when(F.col("id") % 2 == 0, "late").otherwise("plain").alias("strategy")).agg(S.rounded(F.max("s")).alias("best"))
 
 
-@query("w04_multi_query", VEC + ", q2 AS (SELECT v AS q FROM vectors WHERE id = 20), c2 AS (SELECT id, list_cosine_similarity(v, q) AS s FROM vectors, q2), r AS (SELECT id, row_number() OVER (ORDER BY s DESC, id) AS rank FROM c QUALIFY rank <= 10 UNION ALL SELECT id, row_number() OVER (ORDER BY s DESC, id) AS rank FROM c2 QUALIFY rank <= 10) SELECT id, round(sum(1.0 / (60 + rank)), 6) AS score FROM r GROUP BY id ORDER BY sum(1.0 / (60 + rank)) DESC, id LIMIT 15")
+@query("w04_multi_query", VEC + ", q2 AS (SELECT v AS q FROM vectors WHERE id = 20), c2 AS (SELECT id, list_cosine_similarity(v, q) AS s FROM vectors, q2), r AS (SELECT id, row_number() OVER (ORDER BY round(s, 9) DESC, id) AS rank FROM c QUALIFY rank <= 10 UNION ALL SELECT id, row_number() OVER (ORDER BY round(s, 9) DESC, id) AS rank FROM c2 QUALIFY rank <= 10) SELECT id, round(sum(1.0 / (60 + rank)), 6) AS score FROM r GROUP BY id ORDER BY sum(1.0 / (60 + rank)) DESC, id LIMIT 15")
 def multi_query(spark, sf):
     v = T.vectors(spark, sf)
     lists = {str(i): _ranked(O.nearest(v, _query(spark, sf, i), 10).withColumnRenamed("score", "s"), 10) for i in (0, 20)}
