@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 #: Text bytes that one numpy step works on; bounds a worker's memory whatever the batch or text size.
-PIECE_BYTES = 4 << 20
+PIECE_BYTES = 2 << 20
 
 
 #: Rows of an Arrow batch that goes to a Python worker; texts are long, and a batch is held several times at once.

@@ -38,7 +38,7 @@ from mnemospark.llm._components import components
 NOT_WHITE = np.ones(256, bool)
 NOT_WHITE[[9, 10, 11, 12, 13, 32]] = False
 #: n-grams of a candidate group that one task compares; larger groups are cut into blocks.
-BLOCK_NGRAMS = 4_000_000
+BLOCK_NGRAMS = 1_000_000
 BITS, LEAF, FAN = 2048, 32, 8
 #: Sizes of a level lie within this ratio (before partners are counted); buckets left out, in parts of the differences allowed.
 RATIO, SPARE = 1.25, 0.5
