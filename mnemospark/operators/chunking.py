@@ -15,19 +15,25 @@ def split(text: str) -> list[str]:
     return [s.strip() for s in _END.split(text or "") if s.strip()]
 
 
+def packed(sizes: list[int], most: int, overlap: int) -> list[tuple[int, int]]:
+    """Greedy packing of sentences of these sizes into ranges first..end.
+
+    A chunk closes before it would exceed ``most`` characters; the next one
+    repeats its last ``overlap`` sentences.
+    """
+    out: list[tuple[int, int]] = []
+    first, held = 0, 0
+    for i, n in enumerate(sizes):
+        if i > first and held + n + 1 > most:
+            out.append((first, i))
+            first = max(first, i - overlap)
+            held = sum(x + 1 for x in sizes[first:i])
+        held += n + 1
+    return [*out, (first, len(sizes))] if sizes else out
+
+
 def pack(sentences: list[str], most: int, overlap: int) -> list[list[str]]:
-    """Greedy packing: a chunk closes before it would exceed ``most`` characters; ``overlap`` sentences are repeated."""
-    out: list[list[str]] = []
-    held: list[str] = []
-    size = 0
-    for s in sentences:
-        if held and size + len(s) + 1 > most:
-            out.append(held)
-            held = held[-overlap:] if overlap else []
-            size = sum(len(x) + 1 for x in held)
-        held = [*held, s]
-        size += len(s) + 1
-    return [*out, held] if held else out
+    return [sentences[a:b] for a, b in packed(list(map(len, sentences)), most, overlap)]
 
 
 def chunked(df: DataFrame, most: int = 500, overlap: int = 1) -> DataFrame:
@@ -67,3 +73,62 @@ def summaries(df: DataFrame, most: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([summary(t, most) for t in b.column(1).to_pylist()], pa.string())], names=["id", "summary"])
 
     return df.select("id", "text").mapInArrow(run, "id long, summary string")
+
+
+def shifts(sentences: list[str], least: float) -> list[list[str]]:
+    """Groups of sentences: a new one begins where a sentence shares too few words with the one before."""
+    out: list[list[str]] = []
+    before: set[str] = set()
+    for s in sentences:
+        words = set(s.lower().split())
+        both = len(words | before)
+        if not out or not both or len(words & before) / both < least:
+            out.append([])
+        out[-1].append(s)
+        before = words
+    return out
+
+
+def merged(groups: list[list[str]], most: int) -> list[list[str]]:
+    """Neighbouring groups from left to right, joined while they fit."""
+    out: list[list[str]] = []
+    for g in groups:
+        if out and sum(len(s) + 1 for s in [*out[-1], *g]) <= most:
+            out[-1] = [*out[-1], *g]
+        else:
+            out.append(g)
+    return out
+
+
+def semantic(df: DataFrame, most: int, least: float) -> DataFrame:
+    """df(id, text) -> (id, chunk, text): topic shifts, then small neighbours merged, then packing of what is too long."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                parts = [c for g in merged(shifts(split(t), least), most) for c in pack(g, most, 0)]
+                rows += [(i, k, " ".join(c)) for k, c in enumerate(parts)]
+            cols = list(zip(*rows)) if rows else [[], [], []]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int32(), pa.string()))], names=["id", "chunk", "text"])
+
+    return df.select("id", "text").mapInArrow(run, "id long, chunk int, text string")
+
+
+def located(df: DataFrame, most: int, overlap: int) -> DataFrame:
+    """df(id, text) -> (id, chunk, start, end): packed sentences with their places in the text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                spans, at = [], 0
+                for s in split(t):
+                    at = t.index(s, at)
+                    spans.append((at, at + len(s)))
+                    at += len(s)
+                rows += [(i, k, spans[x][0], spans[y - 1][1]) for k, (x, y) in enumerate(packed([y - x for x, y in spans], most, overlap))]
+            cols = list(zip(*rows)) if rows else [[], [], [], []]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64()))], names=["id", "chunk", "start", "end"])
+
+    return df.select("id", "text").mapInArrow(run, "id long, chunk int, start long, end long")

@@ -190,3 +190,11 @@ def test_first_of_each_user_and_type(spark):
     out = jobs.run_once(jobs.live_memory(e, "100 days"), "append")
     want = tables.base(spark, SF, "events").select("user_id", "event_type").distinct().count()
     assert out.count() == want
+
+
+def test_located_chunks_are_slices(spark):
+    text = "One two. Three four. Five six. Seven eight nine ten eleven. A. B."
+    rows = spark.createDataFrame([(1, text), (2, None), (3, "")], "id long, text string")
+    got = [(r.id, text[r.start : r.end]) for r in chunking.located(rows, 22, 2).orderBy("id", "chunk").collect()]
+    assert {i for i, _ in got} == {1} and [t for _, t in got] == [" ".join(c) for c in chunking.pack(chunking.split(text), 22, 2)]
+    assert chunking.semantic(rows, 40, 0.1).where("id = 1").count() >= 2
