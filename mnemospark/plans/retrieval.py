@@ -171,8 +171,8 @@ def query_expansion(spark, sf, terms=("the", "ing", "tion")):
 
 @query("k05_hierarchical_search", ctes("entities", "observations") + ", h AS (SELECT id AS entity_id, 'summary' AS level, -1 AS idx, importance AS score FROM entities WHERE tier = 'core' UNION ALL SELECT entity_id, 'chunk', seq, length(content) / 1000.0 FROM observations) SELECT entity_id, level, idx, round(score, 6) AS score FROM h ORDER BY score DESC, entity_id, level, idx LIMIT 25")
 def hierarchical_search(spark, sf):
-    e = T.entities(spark, sf).where("tier = 'core'").select(F.col("id").alias("entity_id"), F.lit("summary").alias("level"), F.lit(-1).alias("idx"), F.col("importance").alias("score"))
-    o = T.observations(spark, sf).select("entity_id", F.lit("chunk").alias("level"), F.col("seq").alias("idx"), (F.length("content") / 1000.0).alias("score"))
+    e = T.entities(spark, sf).where("tier = 'core'").select(F.col("id").alias("entity_id"), F.lit("summary").alias("level"), F.lit(-1).cast("long").alias("idx"), F.col("importance").alias("score"))
+    o = T.observations(spark, sf).select("entity_id", F.lit("chunk").alias("level"), F.col("seq").cast("long").alias("idx"), (F.length("content") / 1000.0).alias("score"))
     return e.unionByName(o).orderBy(F.desc("score"), "entity_id", "level", "idx").limit(25).withColumn("score", S.rounded("score"))
 
 
