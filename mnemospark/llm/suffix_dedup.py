@@ -15,8 +15,9 @@ are judged on the input, and none crosses documents.
    intervals whose occurrences differ on the left are maximal repeats, reported
    with all their occurrences. All but the first occurrence are covered.
 4. An anchor with more than HOT_REGIONS different regions is not searched in one
-   task: its windows are hashed (128 bits) and reduced to the first by a
-   pre-aggregated minimum instead.
+   task: its regions are salted over several, their windows are hashed (128
+   bits) and reduced to the first, in the task and then by a pre-aggregated
+   minimum.
 5. Covered spans of a document are merged and cut out.
 
 Edge cases: null and empty texts, and texts shorter than ``width``, lose
@@ -151,7 +152,7 @@ def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         carry = (anchor[last], content[last], doc[last], p[last], n[last]), int(several[last])
 
 
-_TEXTED = pa.schema([*_REGION, ("bytes", pa.binary())])
+_TEXTED = pa.schema([*_REGION, ("salt", pa.int64()), ("bytes", pa.binary())])
 
 
 def _texts(width: int):
@@ -166,7 +167,7 @@ def _texts(width: int):
                     for r in wanted:
                         got = raw[r["p"] : r["p"] + r["n"] + width - 1]
                         if len(got) == r["n"] + width - 1:
-                            for k, v in zip(_TEXTED.names, (r["anchor"], r["content"], doc, r["p"], r["n"], got)):
+                            for k, v in zip(_TEXTED.names, (r["anchor"], r["content"], doc, r["p"], r["n"], r["salt"], got)):
                                 rows[k].append(v)
                 yield pa.RecordBatch.from_pydict(rows, _TEXTED)
 
@@ -233,8 +234,8 @@ def maximal_repeats(group: np.ndarray, strings: list[bytes], starts: np.ndarray,
 _SPAN = pa.schema([("doc", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("w1", pa.int64()), ("w2", pa.int64())])
 
 
-def _search(width: int, block: int, hot: int):
-    """Regions with bytes, sorted by anchor -> spans covered by later occurrences; hashed windows (w1, w2) of hot anchors."""
+def _search(width: int, block: int):
+    """Regions with bytes, sorted by anchor -> spans covered by later occurrences; hashed windows (w1, w2) of hot anchors (salt >= 0)."""
 
     def spans(rows: list[tuple], at: np.ndarray, length: np.ndarray) -> pa.RecordBatch:
         """Covered pieces, given as places among the regions' bytes, as maximal spans of each region."""
@@ -293,35 +294,27 @@ def _search(width: int, block: int, hot: int):
         yield pa.record_batch([pa.array(doc[f]), pa.array(p[f]), pa.array(np.full(len(f), width)), pa.array(h1[f].view(np.int64)), pa.array(h2[f].view(np.int64))], schema=_SPAN)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []  # whole groups
-        group: list[tuple] = []
-        size = 0
-        last, is_hot = None, False
+        held: list[tuple] = []
+        loose: list[tuple] = []  # of hot anchors
+        size = loose_size = 0
+        last = None
         for batch in batches:
-            for anchor, doc, p, n, raw in zip(*(batch.column(c).to_pylist() for c in ("anchor", "doc", "p", "n", "bytes"))):
-                if anchor != last:
-                    if is_hot:
-                        yield from windows(group)
-                    else:
-                        held += group
-                    group, last, is_hot = [], anchor, False
-                    if size > block:
-                        if held:
-                            yield covered(held)
-                        held, size = [], 0
-                group.append((anchor, doc, p, n, raw))
-                if not is_hot:
-                    size += len(raw)
-                    if len(group) > hot:
-                        is_hot = True
-                        size -= sum(len(r[4]) for r in group)
-                if is_hot and len(group) > hot:
-                    yield from windows(group)
-                    group = []
-        if is_hot:
-            yield from windows(group)
-        else:
-            held += group
+            for anchor, doc, p, n, salt, raw in zip(*(batch.column(c).to_pylist() for c in ("anchor", "doc", "p", "n", "salt", "bytes"))):
+                row = anchor, doc, p, n, raw
+                if salt >= 0:
+                    loose.append(row)
+                    loose_size += len(raw)
+                    if loose_size > block:
+                        yield from windows(loose)
+                        loose, loose_size = [], 0
+                    continue
+                if anchor != last and size > block:  # whole groups only
+                    yield covered(held)
+                    held, size = [], 0
+                last = anchor
+                held.append(row)
+                size += len(raw)
+        yield from windows(loose)
         if held:
             yield covered(held)
 
@@ -335,9 +328,13 @@ def repeated_spans(documents: DataFrame, width: int = WIDTH, block: int = BLOCK_
     found = rows.mapInArrow(_regions(width), _REGION_SQL)
     judged = staged(found.repartition(parts, F.coalesce("anchor", F.xxhash64("doc", "p"))).sortWithinPartitions("anchor", "content", "doc", "p").mapInArrow(_judge, _REGION_SQL), "regions")
     settled = judged.where("anchor is null").select("doc", F.col("p").alias("start"), (F.col("n") + width - 1).cast("long").alias("length"))
-    wanted = judged.where("anchor is not null").groupBy("doc").agg(F.collect_list(F.struct("anchor", "content", "p", "n")).alias("regions"))
-    texted = rows.join(wanted, "doc").select("doc", "text", "regions").mapInArrow(_texts(width), _REGION_SQL + ", bytes binary")
-    searched = staged(texted.repartition(parts, "anchor").sortWithinPartitions("anchor", "doc", "p").mapInArrow(_search(width, block, hot), "doc long, start long, length long, w1 long, w2 long"), "repeats")
+    several = judged.where("anchor is not null")
+    crowded = several.groupBy("anchor").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > hot)
+    salt = F.coalesce(F.pmod(F.xxhash64("doc", "p"), F.ceil(F.col("m") / max(1, hot))), F.lit(-1)).alias("salt")
+    several = several.join(crowded, "anchor", "left").select("doc", "anchor", "content", "p", "n", salt)
+    wanted = several.groupBy("doc").agg(F.collect_list(F.struct("anchor", "content", "p", "n", "salt")).alias("regions"))
+    texted = rows.join(wanted, "doc").select("doc", "text", "regions").mapInArrow(_texts(width), _REGION_SQL + ", salt long, bytes binary")
+    searched = staged(texted.repartition(parts, "anchor", "salt").sortWithinPartitions("anchor", "doc", "p").mapInArrow(_search(width, block), "doc long, start long, length long, w1 long, w2 long"), "repeats")
     exact = searched.where("w1 is null").select("doc", "start", "length")
     windows = searched.where("w1 is not null")
     first = windows.groupBy("w1", "w2").agg(F.min(F.struct("doc", "start")).alias("first"), F.count(F.lit(1)).alias("m")).where("m > 1")
