@@ -59,3 +59,10 @@ def test_features_do_not_depend_on_neighbours():
     together = Q.features(pa.array(t))
     for i, x in enumerate(t):
         assert np.allclose(Q.features(pa.array([x], pa.string()))[0], together[i])
+
+
+def test_folds_are_crc32_of_the_id(spark):
+    import zlib
+
+    rows = spark.range(500).withColumnRenamed("id", "doc_id").select("doc_id", L.held_out("doc_id", 4, 2).alias("h")).collect()
+    assert all(r.h == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in rows)
