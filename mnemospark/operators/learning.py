@@ -39,18 +39,19 @@ def folded(df: DataFrame, key: str, order: list[str], values: list[str], start:
     return rows.repartition(key).sortWithinPartitions(key, *[f"__{i}" for i in range(len(order))]).mapInArrow(run, f"{key} {kind}, {schema}")
 
 
-def surprise(df: DataFrame, key: str, order: list[str]) -> DataFrame:
-    """Momentum surprise: 0.5 novelty + 0.3 salience + 0.2 gap against the key's history, smoothed; (n, promoted, momentum)."""
+def surprise_step(state: tuple, score: float) -> tuple:
+    """(n, mean, momentum, promoted) after one more score."""
+    n, mean, momentum, promoted = state
+    novelty = abs(score - mean) if n else 1.0
+    raw = 0.5 * min(1.0, 2 * novelty) + 0.3 * score + 0.2 * (1.0 / (1 + n))
+    momentum = raw if n == 0 else 0.7 * momentum + 0.3 * raw
+    promoted += momentum >= 0.3 + 0.1 * min(1.0, n / 50)
+    return n + 1, mean + (score - mean) / (n + 1), momentum, int(promoted)
 
-    def step(state, score):
-        n, mean, momentum, promoted = state
-        novelty = abs(score - mean) if n else 1.0
-        raw = 0.5 * min(1.0, 2 * novelty) + 0.3 * score + 0.2 * (1.0 / (1 + n))
-        momentum = raw if n == 0 else 0.7 * momentum + 0.3 * raw
-        promoted += momentum >= 0.3 + 0.1 * min(1.0, n / 50)
-        return n + 1, mean + (score - mean) / (n + 1), momentum, promoted
 
-    return folded(df, key, order, ["success_score"], lambda: (0, 0.0, 0.0, 0), step, "n long, promoted long, momentum double", lambda s: (s[0], int(s[3]), round(s[2], 6)))
+def surprise(df: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """Momentum surprise: 0.5 novelty + 0.3 salience + 0.2 gap against the key's history, smoothed; (n, promoted, momentum)."""
+    return folded(df, key, order, ["success_score"], lambda: (0, 0.0, 0.0, 0), surprise_step, "n long, promoted long, momentum double", lambda s: (s[0], s[3], round(s[2], 6)))
 
 
 def q_values(df: DataFrame, key: str, order: list[str], rate: float = 0.1) -> DataFrame:

@@ -34,3 +34,13 @@ def stream_sessions(spark, sf):
 @query("x04_stream_tiers", "SELECT event_type, user_id % 3 AS tier, count(*) AS n, round(avg(least(1.0, value / 100.0)), 6) AS mean FROM events GROUP BY 1, 2")
 def stream_tiers(spark, sf):
     return J.run_once(J.running_tiers(_events(spark, sf)), "complete").select("event_type", "tier", "n", S.rounded("mean").alias("mean"))
+
+
+@query("x05_stream_surprise")
+def stream_surprise(spark, sf):
+    return J.run_once(J.running_surprise(_events(spark, sf)), "update")
+
+
+@query("x06_stream_live_memory", "SELECT DISTINCT user_id, event_type FROM events")
+def stream_live_memory(spark, sf):
+    return J.run_once(J.live_memory(_events(spark, sf), "100 days"), "append").select("user_id", "event_type")

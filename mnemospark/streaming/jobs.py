@@ -47,6 +47,28 @@ def live_memory(events: DataFrame, ttl: str = "48 hours") -> DataFrame:
     return events.withWatermark("ts", ttl).dropDuplicatesWithinWatermark(["user_id", "event_type"]).select("user_id", "event_type", "event_id")
 
 
+def running_surprise(events: DataFrame) -> DataFrame:
+    """Momentum surprise of each user as custom state: (user_id, n, promoted, momentum) whenever a user has new events.
+
+    The rows of a user within a trigger are taken in time order; the state is
+    four numbers a user, so any number of events fits.
+    """
+    import pandas as pd
+
+    from mnemospark.operators.learning import surprise_step
+
+    def update(key, frames, state):
+        now = tuple(state.get) if state.exists else (0, 0.0, 0.0, 0)
+        rows = pd.concat(list(frames)).sort_values(["ts", "event_id"])
+        for score in rows.score:
+            now = surprise_step(now, float(score))
+        state.update(now)
+        yield pd.DataFrame({"user_id": [key[0]], "n": [now[0]], "promoted": [now[3]], "momentum": [round(now[2], 6)]})
+
+    scored = events.select("user_id", "ts", "event_id", F.least(F.lit(1.0), F.col("value") / 100.0).alias("score"))
+    return scored.groupBy("user_id").applyInPandasWithState(update, "user_id long, n long, promoted long, momentum double", "n long, mean double, momentum double, promoted long", "update", "NoTimeout")
+
+
 def run_once(stream: DataFrame, mode: str) -> DataFrame:
     """Drains what is there into Parquet (append) or the last complete result, and returns it."""
     spark = stream.sparkSession

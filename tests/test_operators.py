@@ -198,3 +198,10 @@ def test_located_chunks_are_slices(spark):
     got = [(r.id, text[r.start : r.end]) for r in chunking.located(rows, 22, 2).orderBy("id", "chunk").collect()]
     assert {i for i, _ in got} == {1} and [t for _, t in got] == [" ".join(c) for c in chunking.pack(chunking.split(text), 22, 2)]
     assert chunking.semantic(rows, 40, 0.1).where("id = 1").count() >= 2
+
+
+def test_streamed_surprise_equals_the_batch_fold(spark):
+    a = tables.actions(spark, SF)
+    batch = {tuple(r) for r in learning.surprise(a, "agent_id", ["executed_at", "action_id"]).collect()}
+    out = jobs.run_once(jobs.running_surprise(jobs.event_stream(spark, f"{SF}/events.parquet")), "update")
+    assert {tuple(r) for r in out.collect()} == batch
