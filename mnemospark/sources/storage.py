@@ -28,6 +28,13 @@ def staged(df: DataFrame, name: str = "stage") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Deletes what the engine's queries have staged in the shared folder."""
+    for part in ("engine", "streams"):
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/{part}")
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def append_json_lines(df: DataFrame, path: str) -> None:
     df.write.mode("append").json(path)
 

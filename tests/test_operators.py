@@ -205,3 +205,11 @@ def test_streamed_surprise_equals_the_batch_fold(spark):
     batch = {tuple(r) for r in learning.surprise(a, "agent_id", ["executed_at", "action_id"]).collect()}
     out = jobs.run_once(jobs.running_surprise(jobs.event_stream(spark, f"{SF}/events.parquet")), "update")
     assert {tuple(r) for r in out.collect()} == batch
+
+
+def test_release_deletes_staged_tables(spark):
+    df = storage.staged(spark.range(3))
+    storage.release(spark)
+    import os
+
+    assert not os.path.exists(f"{storage.shared_folder(spark).removeprefix('file://')}/engine") and df.columns == ["id"]
