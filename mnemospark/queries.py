@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from mnemospark.plans import graph, learning, memory, retrieval, rollups, streams, text, vectors  # noqa: F401
+from mnemospark.plans import graph, learning, memory, retrieval, rollups, stores, streams, text, vectors  # noqa: F401
 from mnemospark.plans.registry import ORACLES, QUERIES
 
 
