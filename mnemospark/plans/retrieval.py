@@ -290,12 +290,17 @@ def left_join(spark, sf):
 
 @query("j08_belief_divergence", ctes("beliefs") + ", c AS (SELECT statement, avg(probability) AS q FROM beliefs GROUP BY 1) SELECT agent_id, c.statement AS statement, round(abs(probability - q), 6) AS divergence, CASE WHEN abs(probability - q) >= 0.5 THEN 'high' ELSE 'medium' END AS severity FROM beliefs b JOIN c ON b.statement ILIKE '%' || substr(c.statement, 1, 50) || '%' WHERE abs(probability - q) >= 0.1")
 def belief_divergence(spark, sf, least: float = 0.1):
-    """Agents whose belief differs from the shared one; the handful of statements is the broadcast side of a LIKE join."""
+    """Agents whose belief differs from the shared one.
+
+    The containment test runs between distinct statements only; their pairs
+    meet the beliefs by equality.
+    """
     b = T.beliefs(spark, sf)
-    c = b.groupBy("statement").agg(F.avg("probability").alias("q")).limit(1000)  # event types: a fixed few
-    b = b.select("agent_id", F.col("statement").alias("own"), "probability")
+    c = b.groupBy("statement").agg(F.avg("probability").alias("q"))
+    own = b.select(F.col("statement").alias("own")).distinct()
+    pairs = own.join(c, F.contains(F.lower("own"), F.lower(F.substring("statement", 1, 50))))
     d = F.abs(F.col("probability") - F.col("q"))
-    j = b.join(F.broadcast(c), F.contains(F.lower("own"), F.lower(F.substring("statement", 1, 50)))).where(d >= least)
+    j = b.select("agent_id", F.col("statement").alias("own"), "probability").join(pairs, "own").where(d >= least)
     return j.select("agent_id", "statement", S.rounded(d).alias("divergence"), F.when(d >= 0.5, "high").otherwise("medium").alias("severity"))
 
 
