@@ -29,10 +29,17 @@ def test_repeated_rows_nulls_and_empty(spark):
     assert X.mark(df.limit(0)).count() == 0
 
 
-def test_ranges():
-    from pyspark.sql import functions as F  # noqa: F401
+def test_range_of_a_key_counts_the_splitters_up_to_it(spark):
+    from bisect import bisect_right
 
-    assert X.RESULT == ["keep_id", "group_size", "kept", "text_sha256"]
+    from pyspark.sql import functions as F
+
+    for n in (0, 1, 2, 7, 30):
+        splitters = sorted({f"k{i * 37 % 101:03d}" for i in range(n)})
+        keys = [f"k{i:03d}" for i in range(0, 102, 3)] + ["", "z"]
+        df = spark.createDataFrame([(k,) for k in keys], "k string")
+        got = df.select("k", X._range_of(F.col("k"), splitters).alias("r")).collect()
+        assert {r.k: r.r for r in got} == {k: bisect_right(splitters, k) for k in keys}
 
 
 def test_no_python_in_the_plan(spark):
