@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Text bytes that one numpy step works on; bounds a worker's memory whatever the batch or text size.
@@ -79,6 +80,20 @@ def dropped(*tables: DataFrame) -> None:
         delete(t.sparkSession, t._staged_at)
 
 
+def bounded(rows: DataFrame, key: str, most: int, salt: int) -> DataFrame:
+    """At most ``most`` rows: those whose key has the smallest hash.
+
+    A threshold on the hash, from the count, leaves little more than ``most``
+    rows to be sorted, however many partitions there are.
+    """
+    size = 1 << 40
+    ranked = rows.withColumn("__hash", F.pmod(F.xxhash64(key, F.lit(salt)), F.lit(size)))
+    n = rows.count()
+    if n > 2 * most:
+        ranked = ranked.where(F.col("__hash") < F.lit(int(size * 1.2 * (most + 1000) / n)))
+    return ranked.orderBy("__hash", *rows.columns).limit(most).drop("__hash")
+
+
 def release(spark: SparkSession) -> None:
     """Deletes every table and file that operators of this session's shared folder have staged."""
     delete(spark, f"{shared_dir(spark)}/mnemospark")

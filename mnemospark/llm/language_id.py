@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mnemospark.llm._common import pieces, with_fields
+from mnemospark.llm._common import bounded, pieces, with_fields
 
 BUCKETS = 1 << 15
 ORDERS = (1, 2, 3)
@@ -115,7 +115,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(labelled: DataFrame, max_rows: int = MAX_TRAINING_ROWS, alpha: float = 0.5) -> Model:
     """Fits on labelled(doc_id, text, lang); at most ``max_rows`` rows, whatever the table's size."""
     rows = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    chosen = rows.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows).distinct()
+    chosen = bounded(rows.select("doc_id"), "doc_id", max_rows, 5).distinct()
     sample = rows.select("doc_id", "text", "lang").join(F.broadcast(chosen), "doc_id", "left_semi")
     totals: dict[str, np.ndarray] = {}
     for r in sample.select("text", "lang").repartition(8).mapInArrow(_count, "lang string, counts binary").toLocalIterator():

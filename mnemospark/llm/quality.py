@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mnemospark.llm._common import flat_bytes, pieces, with_fields, words_of
+from mnemospark.llm._common import bounded, flat_bytes, pieces, with_fields, words_of
 
 MAX_TRAINING_ROWS, MAX_PAIRS = 20_000, 60_000
 
@@ -150,7 +150,7 @@ def probability(model: Model, x: np.ndarray) -> np.ndarray:
 def train(documents: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAINING_ROWS, max_pairs: int = MAX_PAIRS) -> Model:
     """Fits on documents(doc_id, text) and labels(doc_id, quality in 0/1)."""
     marked = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", "quality")
-    chosen = marked.orderBy(F.xxhash64("doc_id", F.lit(11)), "doc_id", "quality").limit(max_rows)
+    chosen = bounded(marked, "doc_id", max_rows, 11)
     rows = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

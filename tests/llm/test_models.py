@@ -66,3 +66,13 @@ def test_folds_are_crc32_of_the_id(spark):
 
     rows = spark.range(500).withColumnRenamed("id", "doc_id").select("doc_id", L.held_out("doc_id", 4, 2).alias("h")).collect()
     assert all(r.h == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in rows)
+
+
+def test_bounded_samples_are_the_smallest_hashes(spark):
+    from mnemospark.llm._common import bounded
+
+    df = spark.range(20_000).withColumnRenamed("id", "doc_id").repartition(7)
+    few = {r.doc_id for r in bounded(df, "doc_id", 300, 5).collect()}
+    more = {r.doc_id for r in bounded(df, "doc_id", 12_000, 5).collect()}
+    assert len(few) == 300 and len(more) == 12_000 and few <= more
+    assert bounded(df.limit(5), "doc_id", 300, 5).count() == 5
