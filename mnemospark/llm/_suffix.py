@@ -9,7 +9,7 @@ import numpy as np
 
 def _dense(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(order, rank of each key; ranks begin at 1)."""
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     sorted_ = keys[order]
     step = np.ones(len(keys), np.int64)
     if len(keys):
