@@ -213,3 +213,48 @@ def test_release_deletes_staged_tables(spark):
     import os
 
     assert not os.path.exists(f"{storage.shared_folder(spark).removeprefix('file://')}/engine") and df.columns == ["id"]
+
+
+def test_sentences_and_tautologies_equal_plain_python(spark):
+    import hashlib
+    import re
+
+    from mnemospark import queries
+
+    texts = {r.doc_id: r.text for r in tables.base(spark, SF, "documents").collect()}
+    for r in queries.queries()["t17_sentences"](spark, SF).collect():
+        safe = re.sub(r"\b(Mr|Mrs|Ms|Dr|Prof|Sr|Jr|vs|etc)\.", "\\1\x01", texts[r.doc_id])
+        safe = re.sub(r"(\d)\.(\d)", "\\1\x01\\2", safe)
+        parts = re.split(r"(?<=[.!?])[ \t\n\x0b\f\r]+(?=[A-ZÀ-ÖØ-Þ])", safe)
+        want = [s for s in (x.replace("\x01", ".").strip(" ") for x in parts) if s]
+        assert (r.sentences, r.digest) == (len(want), hashlib.md5("\x01".join(want).encode()).hexdigest())
+    for r in queries.queries()["t27_tautologies"](spark, SF).collect():
+        low = texts[r.doc_id].lower()
+        assert r.circular == bool(re.search(r"because\s+it\s+is|proves?\s+itself", low))
+
+
+def test_diffs_conflicts_and_seeds(spark):
+    from difflib import SequenceMatcher
+
+    from mnemospark import queries
+
+    q = queries.queries()
+    texts = {r.doc_id: r.text for r in tables.base(spark, SF, "documents").collect()}
+    want, first = set(), {}
+    for i in sorted(texts):
+        if len(texts[i]) >= 80:
+            a = first.setdefault(texts[i][:80], i)
+            if a != i and (s := SequenceMatcher(None, texts[a].split(), texts[i].split(), autojunk=False).ratio()) > 0.85:
+                want.add((a, i, "duplicate" if s > 0.95 else "overlap"))
+    assert {(r.a, r.b, r.kind) for r in q["j09_conflicts"](spark, SF).collect()} == want
+    diffs = q["m10_version_diff"](spark, SF)
+    versions = {(r.entity_id, r.version): r.data for r in tables.versions(spark, SF).collect()}
+    for r in diffs.collect():
+        assert (r.diff == "") == (versions[r.entity_id, r.version] == versions[r.entity_id, r.version - 1])
+    rows = tables.vectors(spark, SF).orderBy("id").collect()
+    m, ids = np.array([r.v for r in rows]), [r.id for r in rows]
+    chosen = [0]
+    while len(chosen) < 5:
+        d = np.min([((m - m[c]) ** 2).sum(axis=1) for c in chosen], axis=0)
+        chosen.append(int(np.argmax(d)))
+    assert [r.id for r in q["v13_farthest_point"](spark, SF).orderBy("place").collect()] == [ids[c] for c in chosen]
