@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from mnemospark.functions import vector as V
+from mnemospark.sources import storage
 
 #: Query vectors that one scan of the table compares at once.
 QUERY_BLOCK = 1024
@@ -76,6 +77,57 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int, least: float = -1.0) ->
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def consolidated(vectors: DataFrame, least: float, block: int = 4 * QUERY_BLOCK) -> DataFrame:
+    """(id, kept_by): vectors that give way, each to the smallest kept id before it with a cosine above ``least``.
+
+    In the order of id, a vector is kept when no kept one before it is that
+    similar; all are compared. The smallest ids left come in blocks: what is
+    kept of a block is settled among its own rows and broadcast, and every row
+    left gives way to the first of them or stays for the next block.
+    """
+    spark = vectors.sparkSession
+    hits = storage.new_path(spark, "given_way")
+    rest, old = vectors.select("id", "v"), None
+
+    def unit(m: np.ndarray) -> np.ndarray:
+        n = np.linalg.norm(m, axis=1, keepdims=True)
+        return np.divide(m, n, out=np.zeros_like(m), where=n > 0)
+
+    def against(ids: np.ndarray, kept: np.ndarray):
+        shared = spark.sparkContext.broadcast((ids, kept))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ids, kept = shared.value
+            for batch in batches:
+                for at in range(0, batch.num_rows, 512):
+                    b = batch.slice(at, 512)
+                    own = b.column(0).to_numpy()
+                    s = unit(b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(own), -1)) @ kept.T > least
+                    s &= ids[None] < own[:, None]
+                    hit, stays = s.any(axis=1), ~np.isin(own, ids)
+                    by = pa.array(ids[s.argmax(axis=1)], pa.int64(), mask=~hit)
+                    yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), by], names=["id", "v", "kept_by"]).filter(pa.array(stays))
+
+        return run
+
+    while head := rest.orderBy("id").limit(block).collect():
+        ids, m = np.array([r.id for r in head]), unit(np.array([r.v for r in head], dtype=np.float64))
+        kept, gone = [], np.zeros(len(ids), bool)
+        for i in range(len(ids)):
+            if not gone[i]:
+                kept.append(i)
+                gone[i + 1 :] |= m[i + 1 :] @ m[i] > least
+        now = storage.staged(rest.mapInArrow(against(ids[kept], m[kept]), "id long, v array<double>, kept_by long"), "consolidated")
+        now.where("kept_by IS NOT NULL").select("id", "kept_by").write.mode("append").parquet(hits)
+        if old is not None:
+            storage.dropped(old)
+        rest, old = now.where("kept_by IS NULL").select("id", "v"), now
+    if old is None:
+        return spark.createDataFrame([], "id long, kept_by long")
+    storage.dropped(old)
+    return spark.read.schema("id long, kept_by long").parquet(hits)
+
+
 def fused(lists: dict[str, DataFrame], k: int, constant: int = 60) -> DataFrame:
     """Reciprocal rank fusion of ranked lists (id, rank): sum of 1 / (constant + rank), and the share of lists hit."""
     every = None

@@ -129,6 +129,12 @@ def bank_consolidation(spark, sf):
     return k.where("query < id").select("id", F.col("query").alias("kept_by"))
 
 
+@query("m17_bank_consolidation_all")
+def bank_consolidation_all(spark, sf):
+    """All memories compared with all, without a cap: those that give way, and the kept one each gives way to."""
+    return O.consolidated(T.vectors(spark, sf), 0.3)
+
+
 @query("j09_conflicts")
 def conflicts(spark, sf):
     """Texts that begin alike, compared in full: duplicate above 0.95, overlap above 0.85.

@@ -21,11 +21,23 @@ def shared_folder(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def new_path(spark: SparkSession, name: str) -> str:
+    return f"{shared_folder(spark)}/engine/{name}-{uuid.uuid4().hex}"
+
+
 def staged(df: DataFrame, name: str = "stage") -> DataFrame:
     """The rows written to the shared folder and reread: cuts the lineage, outlives lost executors."""
-    path = f"{shared_folder(df.sparkSession)}/engine/{name}-{uuid.uuid4().hex}"
+    path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._staged_at = path
+    return out
+
+
+def dropped(table: DataFrame) -> None:
+    """Deletes a table made by ``staged`` that nothing reads any more."""
+    path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(table._staged_at)
+    path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def release(spark: SparkSession) -> None:

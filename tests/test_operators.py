@@ -258,3 +258,24 @@ def test_diffs_conflicts_and_seeds(spark):
         d = np.min([((m - m[c]) ** 2).sum(axis=1) for c in chosen], axis=0)
         chosen.append(int(np.argmax(d)))
     assert [r.id for r in q["v13_farthest_point"](spark, SF).orderBy("place").collect()] == [ids[c] for c in chosen]
+
+
+def test_consolidation_compares_all_vectors(spark):
+    from mnemospark import queries
+
+    v = tables.vectors(spark, SF)
+    rows = v.orderBy("id").collect()
+    ids = [r.id for r in rows]
+    m = np.array([r.v for r in rows])
+    m = m / np.linalg.norm(m, axis=1, keepdims=True)
+    want, kept = set(), []
+    for i in range(len(ids)):
+        by = next((k for k in kept if m[k] @ m[i] > 0.3), None)
+        if by is None:
+            kept.append(i)
+        else:
+            want.add((ids[i], ids[by]))
+    assert any(a % 20 and b % 20 for a, b in want)
+    assert {(r.id, r.kept_by) for r in vectors.consolidated(v, 0.3, block=37).collect()} == want
+    assert {(r.id, r.kept_by) for r in queries.queries()["m17_bank_consolidation_all"](spark, SF).collect()} == want
+    assert vectors.consolidated(v.limit(0), 0.3).count() == 0
