@@ -33,6 +33,14 @@ def reach(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
     return seen
 
 
+def closing(edges: DataFrame, candidates: DataFrame, depth: int) -> DataFrame:
+    """candidates(a, b) with cyclic: whether a is within ``depth`` steps of b along edges(a, b)."""
+    c = candidates.select("a", "b")
+    back = reach(edges, c.select(F.col("b").alias("seed")).distinct(), depth)
+    back = back.select(F.col("seed").alias("b"), F.col("id").alias("a"), F.lit(True).alias("hit"))
+    return c.join(back, ["a", "b"], "left").select("a", "b", F.coalesce("hit", F.lit(False)).alias("cyclic"))
+
+
 def chain(edges: DataFrame, seed: int, depth: int) -> DataFrame:
     """(id, depth, parent, strength) from one seed: first level wins, then the strongest edge, then the smallest parent."""
     seen = frontier = edges.sparkSession.createDataFrame([(seed, 0, None, 1.0)], "id long, depth int, parent long, strength double")

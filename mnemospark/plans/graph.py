@@ -101,9 +101,14 @@ def recency_weights(spark, sf):
 @query("g11_would_create_cycle", ctes("causal_links", recursive=True) + ", e AS (SELECT cause_id, effect_id FROM causal_links WHERE strength >= 0.4), c AS (SELECT cause_id AS a, effect_id AS b FROM e WHERE cause_id < 20), r(seed, id, depth) AS (SELECT DISTINCT b, b, 0 FROM c UNION SELECT seed, effect_id, depth + 1 FROM r JOIN e ON cause_id = id WHERE depth < 2) SELECT a, b, EXISTS (SELECT 1 FROM r WHERE seed = b AND id = a) AS cyclic FROM c")
 def would_create_cycle(spark, sf):
     e = _links(spark, sf, 0.4)
-    c = e.where("a < 20").select("a", "b")
-    back = G.reach(e, c.select(F.col("b").alias("seed")).distinct(), 2).select(F.col("seed").alias("b"), F.col("id").alias("a"), F.lit(True).alias("hit"))
-    return c.join(back, ["a", "b"], "left").select("a", "b", F.coalesce("hit", F.lit(False)).alias("cyclic"))
+    return G.closing(e, e.where("a < 20"), 2)
+
+
+@query("g11_would_create_cycle_all", ctes("causal_links", recursive=True) + ", e AS (SELECT cause_id AS a, effect_id AS b FROM causal_links WHERE strength >= 0.4), r(seed, id, depth) AS (SELECT DISTINCT b, b, 0 FROM e UNION SELECT seed, b, depth + 1 FROM r JOIN e ON a = id WHERE depth < 10), w AS (SELECT DISTINCT seed, id FROM r) SELECT a, b, id IS NOT NULL AS cyclic FROM e LEFT JOIN w ON seed = b AND id = a")
+def would_create_cycle_all(spark, sf, depth: int = 10):
+    """Every edge: whether a way of up to ten steps leads back."""
+    e = _links(spark, sf, 0.4)
+    return G.closing(e, e, depth)
 
 
 @query("g12_causal_chain")

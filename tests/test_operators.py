@@ -279,3 +279,11 @@ def test_consolidation_compares_all_vectors(spark):
     assert {(r.id, r.kept_by) for r in vectors.consolidated(v, 0.3, block=37).collect()} == want
     assert {(r.id, r.kept_by) for r in queries.queries()["m17_bank_consolidation_all"](spark, SF).collect()} == want
     assert vectors.consolidated(v.limit(0), 0.3).count() == 0
+
+
+def test_ways_back_of_up_to_ten_steps_close_a_cycle(spark):
+    ring = [(100 + i, 100 + (i + 1) % 11, 1.0) for i in range(11)]  # each way back has ten steps
+    long = [(200 + i, 200 + (i + 1) % 12, 1.0) for i in range(12)]  # eleven
+    e = edges(spark, [*ring, *long, (7, 8, 1.0), (9, 9, 1.0)])
+    want = {(a, b, a < 200) for a, b, _ in ring + long} | {(7, 8, False), (9, 9, True)}
+    assert {tuple(r) for r in graph.closing(e, e, 10).collect()} == want
