@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from mnemospark.functions import scores as S
+from mnemospark.operators import learning as L
 from mnemospark.operators import filters as O
 from mnemospark.operators import topk as K
 from mnemospark.plans.registry import query
@@ -288,6 +289,12 @@ def left_join(spark, sf):
     return a.join(b, ["agent_id", "action_type"], "left").select("action_id", "probability")
 
 
+@query("j07_left_join_all", ctes("actions", "beliefs") + "SELECT a.action_id, b.probability FROM actions a LEFT JOIN beliefs b ON a.agent_id = b.agent_id AND a.action_type = b.statement AND b.probability >= 0.5")
+def left_join_all(spark, sf):
+    b = T.beliefs(spark, sf).where("probability >= 0.5").select("agent_id", F.col("statement").alias("action_type"), "probability")
+    return T.actions(spark, sf).join(b, ["agent_id", "action_type"], "left").select("action_id", "probability")
+
+
 @query("j08_belief_divergence", ctes("beliefs") + ", c AS (SELECT statement, avg(probability) AS q FROM beliefs GROUP BY 1) SELECT agent_id, c.statement AS statement, round(abs(probability - q), 6) AS divergence, CASE WHEN abs(probability - q) >= 0.5 THEN 'high' ELSE 'medium' END AS severity FROM beliefs b JOIN c ON b.statement ILIKE '%' || substr(c.statement, 1, 50) || '%' WHERE abs(probability - q) >= 0.1")
 def belief_divergence(spark, sf, least: float = 0.1):
     """Agents whose belief differs from the shared one.
@@ -357,6 +364,14 @@ def association_fold(spark, sf):
     return g.select("agent_id", S.rounded(fold).alias("strength"), F.size("l").cast("long").alias("n"))
 
 
+@query("m04_association_fold_all", ctes("actions") + ", s AS (SELECT agent_id, k, list(round(success_score, 4) ORDER BY executed_at, action_id) AS l FROM actions GROUP BY 1, 2) SELECT agent_id, k, round(list_reduce(l, lambda a, x: (a + x) / 2), 6) AS strength, len(l) AS n FROM s")
+def association_fold_all(spark, sf):
+    """The fold of every pair (agent_id, k), as a sorted stream."""
+    a = T.actions(spark, sf).select(F.to_json(F.struct("agent_id", "k")).alias("pair"), "executed_at", "action_id", S.rounded("success_score", 4).alias("s"))
+    f = L.folded(a, "pair", ["executed_at", "action_id"], ["s"], lambda: (0, None), lambda s, x: (s[0] + 1, x if s[1] is None else (s[1] + x) / 2), "n long, strength double", lambda s: s)
+    return f.withColumn("p", F.from_json("pair", "agent_id long, k long")).select("p.agent_id", "p.k", S.rounded("strength").alias("strength"), "n")
+
+
 @query("m06_reinforce", ctes("associations") + "SELECT a_id, b_id, round(least(1.0, strength + 0.1 * co_activation_count), 6) AS strength FROM associations")
 def reinforce(spark, sf):
     return T.associations(spark, sf).select("a_id", "b_id", S.rounded(S.boosted("strength", F.col("co_activation_count") * 0.1)).alias("strength"))
