@@ -12,6 +12,7 @@ from mnemospark.functions import text as X
 from mnemospark.functions import vector as V
 from mnemospark.operators import chunking as C
 from mnemospark.operators import graph as G
+from mnemospark.operators import near_texts as N
 from mnemospark.operators import vectors as O
 from mnemospark.plans.registry import query
 from mnemospark.sources import storage
@@ -160,6 +161,12 @@ def conflicts(spark, sf):
     return r.withColumn("kind", F.when(F.col("ratio") > 0.95, "duplicate").otherwise("overlap"))
 
 
+@query("j09_conflicts_all")
+def conflicts_all(spark, sf):
+    """All near copies, wherever they differ and however short."""
+    return N.conflicts(T.base(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text"))
+
+
 @query("j12_lookup_hits", ctes("vectors") + ", q AS (SELECT v AS q FROM vectors WHERE id = 0), t AS (SELECT id, list_cosine_similarity(v, q) AS s FROM vectors, q ORDER BY 2 DESC, 1 LIMIT 10) SELECT id, source, lang, round(s, 6) AS score FROM t JOIN documents ON doc_id = id")
 def lookup_hits(spark, sf):
     v = T.vectors(spark, sf)

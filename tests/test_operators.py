@@ -287,3 +287,32 @@ def test_ways_back_of_up_to_ten_steps_close_a_cycle(spark):
     e = edges(spark, [*ring, *long, (7, 8, 1.0), (9, 9, 1.0)])
     want = {(a, b, a < 200) for a, b, _ in ring + long} | {(7, 8, False), (9, 9, True)}
     assert {tuple(r) for r in graph.closing(e, e, 10).collect()} == want
+
+
+def test_conflicts_equal_unblocked_brute_force(spark):
+    from difflib import SequenceMatcher
+
+    from mnemospark.operators import near_texts
+
+    r = random.Random(4)
+    rows = [(x.doc_id, x.text) for x in tables.base(spark, SF, "documents").where("n_chars < 3000").limit(60).collect()]
+    for i in range(160):
+        w = r.choices(["a", "b", "c", "d", "e", "f"], k=r.randint(1, 12)) if i % 2 else r.choice(rows)[1].split()[:120]
+        for _ in range(r.choice([0, 0, 1, 2, 6])):
+            w[r.randrange(len(w)) if r.random() < 0.5 else 0] = f"x{r.randrange(9)}"  # often in the head
+        rows.append((10**6 + i, r.choice([" ", "\n", "\u00a0 "]).join(w)))
+    rows += [(1, None), (2, " "), (3, "one"), (4, "one ")]
+    first = {}
+    for i, t in sorted(rows):
+        if t and t.split():
+            first.setdefault(tuple(t.split()), []).append(i)
+    want = {(ids[0], i, "member") for ids in first.values() for i in ids[1:]}
+    reps = sorted((ids[0], w) for w, ids in first.items())
+    for k, (i, x) in enumerate(reps):
+        for j, y in reps[k + 1 :]:
+            if (s := SequenceMatcher(None, x, y, autojunk=False).ratio()) > 0.85:
+                want.add((i, j, "duplicate" if s > 0.95 else "overlap"))
+    got = near_texts.conflicts(spark.createDataFrame(rows, "id long, text string"))
+    assert {(r.a, r.b, r.kind) for r in got.collect()} == want
+    texts = {i: " ".join(w) for w, ids in first.items() for i in ids}
+    assert any(k != "member" and texts[a][:80] != texts[b][:80] for a, b, k in want)
