@@ -65,6 +65,20 @@ def paths(edges: DataFrame, start: int, end: int, most: int) -> DataFrame:
     return out
 
 
+def cycles(edges: DataFrame, most: int) -> DataFrame:
+    """(length, path): simple cycles of 2 to ``most`` nodes along edges(a, b), each once, from its smallest node."""
+    e = edges.where("a <> b").select("a", "b").distinct()
+    out = None
+    walk = e.where("a < b").select(F.array("a", "b").alias("path"))
+    for n in range(2, most + 1):
+        ends = e.select(F.col("b").alias("first"), F.col("a").alias("last"))
+        hit = walk.withColumn("first", F.element_at("path", 1)).withColumn("last", F.element_at("path", -1)).join(ends, ["first", "last"]).select(F.lit(n).alias("length"), "path")
+        out = hit if out is None else out.unionByName(hit)
+        go = walk.withColumn("a", F.element_at("path", -1)).join(e, "a").where((F.col("b") > F.element_at("path", 1)) & ~F.array_contains("path", F.col("b")))
+        walk = go.select(F.concat("path", F.array("b")).alias("path"))
+    return out
+
+
 def activation(edges: DataFrame, seeds: DataFrame, depth: int, decay: float, least: float) -> DataFrame:
     """(id, depth, activation): a' = a * strength * (1 - decay), kept from ``least`` on; the first level wins, then the largest."""
     seen = frontier = seeds.select("id", F.lit(0).alias("depth"), "activation")

@@ -144,6 +144,14 @@ def cycles(spark, sf):
     return two.unionByName(three.select(F.lit(3).alias("length"), F.concat_ws(">", F.col("xa").cast("string"), F.col("xb").cast("string"), F.col("yb").cast("string")).alias("cycle"), F.lit("HIGH").alias("severity")))
 
 
+@query("g16_cycles_all", ctes("causal_links", recursive=True) + ", e AS (SELECT cause_id AS a, effect_id AS b FROM causal_links WHERE strength >= 0.6), w(path, last) AS (SELECT [a, b], b FROM e WHERE a < b UNION ALL SELECT list_append(path, b), b FROM w JOIN e ON a = last WHERE len(path) < 6 AND b > path[1] AND NOT list_contains(path, b)) SELECT CAST(len(path) AS INT) AS length, array_to_string(path, '>') AS cycle, CASE WHEN len(path) <= 2 THEN 'CRITICAL' WHEN len(path) <= 4 THEN 'HIGH' ELSE 'MEDIUM' END AS severity FROM w JOIN e ON a = last AND b = path[1]")
+def cycles_all(spark, sf, most: int = 6):
+    """Simple cycles of up to six causes. Their number grows with the sixth power of a node's edges."""
+    c = G.cycles(_links(spark, sf, 0.6), most)
+    severity = F.when(F.col("length") <= 2, "CRITICAL").when(F.col("length") <= 4, "HIGH").otherwise("MEDIUM")
+    return c.select("length", F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("cycle"), severity.alias("severity"))
+
+
 @query("g17_chain_validation", ctes("causal_links") + "SELECT CASE WHEN strength < 0.3 THEN 'weak' WHEN EXISTS (SELECT 1 FROM causal_links y WHERE y.cause_id = x.effect_id AND y.effect_id = x.cause_id) THEN 'circular' ELSE 'valid' END AS verdict, count(*) AS n FROM causal_links x GROUP BY 1")
 def chain_validation(spark, sf):
     e = _links(spark, sf)

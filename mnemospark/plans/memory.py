@@ -279,6 +279,13 @@ def citation_cycle(spark, sf):
     return hit.where("seed = id").select("id").distinct()
 
 
+@query("g19_citation_cycle_all", ctes("causal_links", recursive=True) + ", e AS (SELECT cause_id AS a, effect_id AS b FROM causal_links WHERE strength >= 0.6), r(seed, id, depth) AS (SELECT DISTINCT a, b, 1 FROM e UNION SELECT seed, b, depth + 1 FROM r JOIN e ON a = id WHERE depth < 10) SELECT DISTINCT seed AS id FROM r WHERE seed = id")
+def citation_cycle_all(spark, sf, depth: int = 10):
+    """Nodes that reach themselves within ten citations."""
+    e = T.causal_links(spark, sf).where("strength >= 0.6").select(F.col("cause_id").alias("a"), F.col("effect_id").alias("b"))
+    return G.closing(e, e, depth - 1).where("cyclic").select(F.col("a").alias("id")).distinct()
+
+
 @query("c04_multi_source_recall", ctes("entities", "feedback") + ", r AS (SELECT source, (sum(success) + 1) / (count(*) + 2) AS rel FROM feedback GROUP BY 1) SELECT id, round(importance * rel, 6) AS score FROM entities JOIN r ON entity_type = source WHERE tier = 'core' ORDER BY importance * rel DESC, id LIMIT 25")
 def multi_source_recall(spark, sf):
     """Core entities ranked by importance and the reliability of their source."""

@@ -316,3 +316,15 @@ def test_conflicts_equal_unblocked_brute_force(spark):
     assert {(r.a, r.b, r.kind) for r in got.collect()} == want
     texts = {i: " ".join(w) for w, ids in first.items() for i in ids}
     assert any(k != "member" and texts[a][:80] != texts[b][:80] for a, b, k in want)
+
+
+def test_cycles_of_up_to_six_nodes(spark):
+    from itertools import permutations
+
+    ring = [(100 + i, 100 + (i + 1) % 6, 1.0) for i in range(6)] + [(200 + i, 200 + (i + 1) % 7, 1.0) for i in range(7)]
+    pairs = random_edges(6, 8, 22)
+    near = {(a, b) for a, b, _ in pairs}
+    want = {p for n in range(2, 7) for p in permutations(range(8), n) if p[0] == min(p) and all(x in near for x in zip(p, p[1:] + p[:1]))}
+    assert {len(p) for p in want} >= {4, 5}
+    got = [tuple(r.path) for r in graph.cycles(edges(spark, pairs + ring), 6).collect()]
+    assert sorted(got) == sorted(want | {tuple(range(100, 106))})
