@@ -149,14 +149,13 @@ def betweenness(edges: DataFrame, sources: DataFrame) -> DataFrame:
     return sources.select("id").mapInArrow(run, "id long, score double").groupBy("id").agg((F.sum("score") * scale).alias("score"))
 
 
-def acyclic_rest(edges: DataFrame, rounds: int = 50) -> DataFrame:
-    """What is left of edges(a, b) when nodes without incoming edges are stripped again and again: empty for a DAG."""
+def acyclic_rest(edges: DataFrame) -> DataFrame:
+    """What is left of edges(a, b) when nodes without incoming edges are stripped until nothing changes: empty for a DAG."""
     left = staged(edges.select("a", "b").distinct(), "strip")
     n = left.count()
-    for _ in range(rounds):
+    while True:
         kept = staged(left.join(left.select(F.col("b").alias("a")).distinct(), "a", "left_semi"), "strip")
         m = kept.count()
         if m in (0, n):
             return kept
         left, n = kept, m
-    return left

@@ -168,6 +168,12 @@ def has_cycles(spark, sf):
     return G.acyclic_rest(c.unionByName(n)).agg(rows().cast("int").alias("edges_on_cycles"))
 
 
+@query("g18_has_cycles_links")
+def has_cycles_links(spark, sf):
+    """Causal links left after stripping: none where they have no cycle."""
+    return G.acyclic_rest(_links(spark, sf)).agg(rows().cast("int").alias("edges_on_cycles"))
+
+
 @query("g20_provenance_chain", "SELECT o_orderkey, l_linenumber AS place, p_name AS source FROM orders JOIN lineitem ON o_orderkey = l_orderkey JOIN part ON l_partkey = p_partkey WHERE o_orderkey % 100 = 0 AND l_linenumber <= 3".replace("o_orderkey % 100 = 0 AND ", ""))
 def provenance_chain(spark, sf, most: int = 3):
     o, l, p = (T.base(spark, sf, t) for t in ("orders", "lineitem", "part"))

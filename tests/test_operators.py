@@ -328,3 +328,7 @@ def test_cycles_of_up_to_six_nodes(spark):
     assert {len(p) for p in want} >= {4, 5}
     got = [tuple(r.path) for r in graph.cycles(edges(spark, pairs + ring), 6).collect()]
     assert sorted(got) == sorted(want | {tuple(range(100, 106))})
+
+
+def test_a_long_chain_is_acyclic(spark):
+    assert graph.acyclic_rest(edges(spark, [(i, i + 1, 1.0) for i in range(53)])).count() == 0
