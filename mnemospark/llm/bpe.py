@@ -30,8 +30,8 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mnemospark.llm._common import flat_bytes, pieces, staged, with_fields
-from mnemospark.llm._words import WordEncoder, load_tokenizer
+from mnemospark.llm._common import flat_bytes, new_path, pieces, staged, with_fields
+from mnemospark.llm._words import WordEncoder, check_words, load_tokenizer
 
 #: Words of the lexicon; bounds the automaton (a few MB) whatever the corpus.
 LEXICON_WORDS = 65_536
@@ -161,7 +161,9 @@ def frequent_words(documents: DataFrame, n: int = LEXICON_WORDS, text: str = "te
 
 
 def build_lexicon(documents: DataFrame, tokenizer_path: str, n: int = LEXICON_WORDS, text: str = "text") -> str:
-    """Compiles the lexicon and sends its file to every executor; returns the file's name there."""
+    """Compiles the lexicon and sends its file, through the shared folder, to every executor; returns the file's name there."""
+    spark = documents.sparkSession
+    check_words(load_tokenizer(tokenizer_path))
     words = sorted(w.encode() for w in frequent_words(documents, n, text))
     tokenizer = load_tokenizer(tokenizer_path)
     ids = [e.ids for e in tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
@@ -169,9 +171,12 @@ def build_lexicon(documents: DataFrame, tokenizer_path: str, n: int = LEXICON_WO
     parts["start"] = np.concatenate([[0], np.cumsum([len(i) for i in ids])]) if ids else np.zeros(1)
     parts["ids"] = np.array([x for i in ids for x in i])
     name = f"lexicon-{uuid.uuid4().hex}.bin"
-    folder = os.path.realpath(tempfile.mkdtemp())
-    Transducer.write(f"{folder}/{name}", parts)
-    documents.sparkSession.sparkContext.addFile(f"{folder}/{name}")
+    shared = f"{new_path(spark, 'lexicon')}/{name}"
+    with tempfile.TemporaryDirectory() as folder:
+        Transducer.write(f"{folder}/{name}", parts)
+        here, there = (spark._jvm.org.apache.hadoop.fs.Path(x) for x in (f"file://{os.path.realpath(folder)}/{name}", shared))
+        there.getFileSystem(spark._jsc.hadoopConfiguration()).copyFromLocalFile(False, True, here, there)
+    spark.sparkContext.addFile(shared)
     return name
 
 
