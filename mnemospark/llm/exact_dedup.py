@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from mnemospark.llm._common import staged
+from mnemospark.llm._common import owner, staged
 
 #: The white-space characters U+0020 and U+0009 to U+000D.
 WHITE = " \t\n\x0b\x0c\r"
@@ -41,25 +41,38 @@ def _key(norm: Column, digest: Column, doc_id: str) -> Column:
 
 
 def _splitters(documents: DataFrame, n: int, doc_id: str, text: str) -> list[str]:
-    """At most n - 1 keys, from a sample of about SAMPLES * n rows."""
-    total = documents.count()
+    """At most n - 1 keys, from a sample of about SAMPLES * n rows, of which only these keys come to the driver."""
+    total = documents.count()  # of a Parquet table: read from the footers
     sample = documents if total <= SAMPLES * n else documents.sample(SAMPLES * n / total, seed=42)
     norm = normalised(text)
-    keys = [r.k for r in sample.select(_key(norm, F.sha2(norm, 256), doc_id).alias("k")).orderBy("k").limit(4 * SAMPLES * n).collect()]
-    step = len(keys) / n
-    return sorted({keys[int(i * step)] for i in range(1, n)}) if len(keys) >= n else sorted(set(keys[1:]))
+    keys = sample.select(_key(norm, F.sha2(norm, 256), doc_id).alias("k"))
+    place = keys.withColumn("i", F.row_number().over(Window.orderBy("k")) - 1).withColumn("m", F.count(F.lit(1)).over(Window.partitionBy()))
+    step = F.greatest(F.lit(1), F.floor(F.col("m") / n))
+    return sorted({r.k for r in place.where((F.col("i") > 0) & (F.col("i") % step == 0) & (F.col("i") <= step * (n - 1))).select("k").collect()}, key=str.encode)
+
+
+def _listed(strings: list[str]) -> Column:
+    """An array of strings without line ends, as one literal of the plan (folded by the optimizer)."""
+    return F.split(F.lit("\n".join(strings)), "\n")
 
 
 def _range_of(key: Column, splitters: list[str]) -> Column:
-    """How many splitters are <= key: a search in blocks, then within the block."""
+    """How many splitters are <= key: a binary search."""
     if not splitters:
         return F.lit(0)
-    k = max(1, int(len(splitters) ** 0.5))
-    every, heads = F.array(*map(F.lit, splitters)), F.array(*map(F.lit, splitters[::k]))
-    block = F.size(F.filter(heads, lambda x: x <= key)) - 1
-    return F.when(block < 0, 0).otherwise(block * k + F.size(F.filter(F.slice(every, block * k + 1, F.lit(k)), lambda x: x <= key)))
+    every = _listed(splitters)
+
+    def halve(s: Column, _: Column) -> Column:
+        middle = F.floor((s["lo"] + s["hi"]) / 2).cast("int")
+        below = F.element_at(every, F.least(middle + 1, F.lit(len(splitters)))) <= key
+        lo, hi = F.when(below, middle + 1).otherwise(s["lo"]), F.when(below, s["hi"]).otherwise(middle)
+        return F.when(s["lo"] < s["hi"], F.struct(lo.alias("lo"), hi.alias("hi"))).otherwise(s)
+
+    start = F.struct(F.lit(0).alias("lo"), F.lit(len(splitters)).alias("hi"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(len(splitters).bit_length())), start, halve)["lo"]
 
 
+@owner
 def mark(documents: DataFrame, carry: list[str] | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Every row with keep_id, group_size, kept and text_sha256.
 
@@ -80,8 +93,8 @@ def mark(documents: DataFrame, carry: list[str] | None = None, doc_id: str = "do
     first = group.orderBy(F.desc("__chars"), F.col(doc_id).asc_nulls_last())
     local = ranged.withColumn("__place", F.row_number().over(first)).withColumn("__keep", F.first(F.struct(F.col("__range").alias("r"), (-F.col("__chars")).alias("c"), F.col(doc_id).isNull().alias("n"), F.col(doc_id).alias("id"))).over(first)).withColumn("__size", F.count(F.lit(1)).over(group))
     local = staged(local.select(*carry, "text_sha256", "__range", "__place", "__keep", "__size"), "exact-dedup")
-    cut = sorted({s.split("\0")[-2] for s in splitters})
-    parts = local.where((F.col("__place") == 1) & F.col("text_sha256").isin(cut)) if cut else local.limit(0)
+    cut = spark.range(1).select(F.explode(_listed(sorted({s.split("\0")[-2] for s in splitters}))).alias("text_sha256"))  # no more than splitters
+    parts = local.where(F.col("__place") == 1).join(F.broadcast(cut), "text_sha256", "left_semi")
     best = F.min(F.struct(F.col("__keep.c").alias("c"), F.col("__keep.n").alias("n"), F.col("__keep.id").alias("id"), F.col("__keep.r").alias("r")))
     merged = parts.groupBy("text_sha256").agg(best.alias("__best"), F.sum("__size").alias("__total"))
     whole = local.join(F.broadcast(merged), "text_sha256", "left")  # at most one row a splitter
@@ -94,6 +107,7 @@ def mark(documents: DataFrame, carry: list[str] | None = None, doc_id: str = "do
     )
 
 
+@owner
 def deduplicate(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows that stay, with their own columns."""
     return mark(documents, None, doc_id, text).where("kept").select(*[c for c in documents.columns if c not in RESULT])
