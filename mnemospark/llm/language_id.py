@@ -10,9 +10,10 @@ prior), so the mix of the corpus doesn't tilt short texts.
 
 Edge cases: a text that is null or has no letter is ``und`` with score 0; ties
 go to the first language in sorted order; with no labelled row everything is
-``und``; rows without a language aren't learnt from; repeated rows are each
-scored; other columns are kept or ignored by the caller; texts of any length
-are scored whole, in slices of bounded memory.
+``und``; rows without a language or an id aren't learnt from; repeated rows are
+each scored; clashing columns (``lang_pred``, ``score``) are replaced; texts of
+any length are scored whole: n-grams across the slices in which a long text is
+read count like all others.
 """
 
 from __future__ import annotations
@@ -42,16 +43,18 @@ class Model:
     weights: np.ndarray
 
 
-def ngram_buckets(texts: list[str]) -> tuple[list[np.ndarray], np.ndarray]:
-    """Bucket of the n-gram at each character, for each order, and where each text starts.
+def ngram_buckets(slices: list[tuple[str, int]]) -> tuple[list[np.ndarray], np.ndarray]:
+    """Bucket of the n-gram at each character, for each order, and where each slice starts.
 
-    Every text is padded with a space on both sides; n-grams that would run
-    over its end get the bucket BUCKETS.
+    A slice comes with the number of its own characters: at the others, which
+    only complete n-grams, and where an n-gram would run over the end, the
+    bucket is BUCKETS.
     """
-    padded = [f" {t} " for t in texts]
-    sizes = np.fromiter((len(t) for t in padded), np.int64, len(padded))
+    sizes = np.fromiter((len(t) for t, _ in slices), np.int64, len(slices))
+    own = np.fromiter((n for _, n in slices), np.int64, len(slices))
     ends = np.cumsum(sizes)
-    codes = np.frombuffer("".join(padded).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    codes = np.frombuffer("".join(t for t, _ in slices).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    borrowed = np.arange(len(codes)) - np.repeat(ends - sizes, sizes) >= np.repeat(own, sizes)
     out, h = [], np.zeros(len(codes), np.uint64)
     for n in ORDERS:
         nxt = np.zeros_like(codes)
@@ -59,36 +62,38 @@ def ngram_buckets(texts: list[str]) -> tuple[list[np.ndarray], np.ndarray]:
         h = (h + nxt + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
         h ^= h >> np.uint64(29)
         b = ((h * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(49)).astype(np.int32)
+        b[borrowed] = BUCKETS
         for k in range(1, n):
             b[np.maximum(ends - k, 0)] = BUCKETS
         out.append(b)
     return out, ends - sizes
 
 
-def _slices(texts: list[str]) -> Iterator[tuple[int, str]]:
-    """(row, lower-cased slice) of every text."""
+def _slices(texts: list[str]) -> Iterator[tuple[int, str, int]]:
+    """(row, slice, its own characters) of every text, lower-cased and between two spaces; slices overlap by an n-gram less one, so that none is lost or counted twice."""
     for i, t in enumerate(texts):
-        for at in range(0, max(1, len(t)), SLICE_CHARS):
-            yield i, t[at : at + SLICE_CHARS].lower()
+        t = f" {t.lower()} "
+        for at in range(0, len(t), SLICE_CHARS):
+            yield i, t[at : at + SLICE_CHARS + max(ORDERS) - 1], min(SLICE_CHARS, len(t) - at)
 
 
 def log_likelihoods(model: Model, texts: list[str]) -> np.ndarray:
     """Rows x languages."""
     out = np.zeros((len(texts), len(model.languages)))
-    todo: list[tuple[int, str]] = []
+    todo: list[tuple[int, str, int]] = []
 
     def flush() -> None:
-        buckets, starts = ngram_buckets([t for _, t in todo])
-        rows = np.fromiter((i for i, _ in todo), np.int64, len(todo))
+        buckets, starts = ngram_buckets([x[1:] for x in todo])
+        rows = np.fromiter((x[0] for x in todo), np.int64, len(todo))
         for k, w in enumerate(model.weights):
             total = sum(np.add.reduceat(w[b], starts, dtype=np.float64) for b in buckets)
             np.add.at(out[:, k], rows, total)
         todo.clear()
 
     size = 0
-    for i, t in _slices(texts):
-        todo.append((i, t))
-        size += len(t) + 2
+    for x in _slices(texts):
+        todo.append(x)
+        size += len(x[1])
         if size >= SLICE_CHARS:
             flush()
             size = 0
@@ -104,12 +109,13 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             langs = piece.column("lang").to_pylist()
             todo = list(_slices(piece.column("text").to_pylist()))
             for lang in sorted(set(langs)):
-                own = [t for i, t in todo if langs[i] == lang]
+                own = [x[1:] for x in todo if langs[x[0]] == lang]
                 total = counts.setdefault(lang, np.zeros(BUCKETS + 1, np.int64))
                 for b in ngram_buckets(own)[0]:
                     total += np.bincount(b, minlength=BUCKETS + 1)
-    if counts:
-        yield pa.RecordBatch.from_pydict({"lang": list(counts), "counts": [c.tobytes() for c in counts.values()]})
+    for lang, total in counts.items():
+        some = np.flatnonzero(total[:BUCKETS])
+        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some), pa.string()), pa.array(some.astype(np.int32)), pa.array(total[some])], names=["lang", "bucket", "n"])
 
 
 def train(labelled: DataFrame, max_rows: int = MAX_TRAINING_ROWS, alpha: float = 0.5) -> Model:
@@ -117,13 +123,14 @@ def train(labelled: DataFrame, max_rows: int = MAX_TRAINING_ROWS, alpha: float =
     rows = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     chosen = bounded(rows.select("doc_id"), "doc_id", max_rows, 5).distinct()
     sample = rows.select("doc_id", "text", "lang").join(F.broadcast(chosen), "doc_id", "left_semi")
-    totals: dict[str, np.ndarray] = {}
-    for r in sample.select("text", "lang").repartition(8).mapInArrow(_count, "lang string, counts binary").toLocalIterator():
-        totals[r.lang] = totals.get(r.lang, 0) + np.frombuffer(r.counts, np.int64)
-    languages = sorted(totals)
+    # At most BUCKETS rows a language come to the driver, and not more languages than sampled rows.
+    counted = sample.select("text", "lang").mapInArrow(_count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    languages = sorted(set(counted.lang))
     weights = np.zeros((len(languages), BUCKETS + 1), np.float32)
     for k, lang in enumerate(languages):
-        c = totals[lang][:BUCKETS] + alpha
+        own = counted[counted.lang == lang]
+        c = np.full(BUCKETS, alpha)
+        c[own.bucket.to_numpy()] += own.n.to_numpy()
         weights[k, :BUCKETS] = np.log(c / c.sum())
     return Model(languages, weights)
 
