@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import functools
+import hashlib
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -34,11 +38,14 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where it is unset (local tests) a temporary folder is made and set.
+    Where it is unset a temporary folder is made and set, in local mode only: on
+    a cluster such a folder would be another one on every machine.
     """
     key = "spark.checkpoint.dir"
     found = spark.conf.get(key, None) or spark.sparkContext.getConf().get(key)
     if not found:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError(f"{key} must name a folder that the driver and all executors share")
         import tempfile
 
         found = "file://" + tempfile.mkdtemp(prefix="mnemospark-")
@@ -46,24 +53,85 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-#: Paths given out so far, in order.
-made: list[str] = []
+#: Paths made by the operator that runs, for its result to own; a list a thread.
+_made: ContextVar[list[str] | None] = ContextVar("made", default=None)
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    made.append(f"{shared_dir(spark)}/mnemospark/{name}-{uuid.uuid4().hex}")
-    return made[-1]
+    path = f"{shared_dir(spark)}/mnemospark/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    if (own := _made.get()) is not None:
+        own.append(path)
+    return path
+
+
+@contextmanager
+def paths_made() -> Iterator[list[str]]:
+    """The paths that are made inside; they count as made outside, too."""
+    outer, own = _made.get(), []
+    token = _made.set(own)
+    try:
+        yield own
+    finally:
+        _made.reset(token)
+        if outer is not None:
+            outer.extend(own)
+
+
+def owner(f):
+    """An operator whose result, a DataFrame, owns what was staged for it (see ``release``).
+
+    If the operator fails, its tables are deleted at once.
+    """
+
+    @functools.wraps(f)
+    def run(*args, **options):
+        with paths_made() as paths:
+            try:
+                out = f(*args, **options)
+            except BaseException:
+                if (spark := SparkSession.getActiveSession()) is not None:
+                    for path in paths:
+                        delete(spark, path)
+                raise
+        if isinstance(out, DataFrame):
+            out._owned = [*paths]
+        return out
+
+    return run
+
+
+def release(result: DataFrame) -> None:
+    """Deletes the tables that an operator has staged for its result, and those of nobody else. The result can't be read afterwards."""
+    for path in getattr(result, "_owned", ()):
+        delete(result.sparkSession, path)
+        if path in (own := _made.get() or []):
+            own.remove(path)
+
+
+@contextmanager
+def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    old = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        if old is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, old)
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Cuts the lineage: the rows as a Parquet table in the shared folder, reread.
 
-    The table outlives lost executors. ``release`` removes all such tables.
+    The table outlives lost executors; the shuffle files of the job that wrote
+    it go as soon as it ends. The result of the operator that called this owns
+    the table.
     """
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
-    spark._jvm.System.gc()  # lets Spark's cleaner delete the shuffle files that only the finished job used
+    with setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
+        df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._staged_at = path
     return out
@@ -78,6 +146,8 @@ def dropped(*tables: DataFrame) -> None:
     """Deletes tables made by ``staged`` that nothing reads any more."""
     for t in tables:
         delete(t.sparkSession, t._staged_at)
+        if t._staged_at in (own := _made.get() or []):
+            own.remove(t._staged_at)
 
 
 def bounded(rows: DataFrame, key: str, most: int, salt: int) -> DataFrame:
@@ -94,11 +164,6 @@ def bounded(rows: DataFrame, key: str, most: int, salt: int) -> DataFrame:
     return ranked.orderBy("__hash", *rows.columns).limit(most).drop("__hash")
 
 
-def release(spark: SparkSession) -> None:
-    """Deletes every table and file that operators of this session's shared folder have staged."""
-    delete(spark, f"{shared_dir(spark)}/mnemospark")
-
-
 def with_fields(schema: T.StructType, **kinds: str) -> T.StructType:
     """The schema and further fields, named with their types as text."""
     return T.StructType([*schema.fields, *(T.StructField(k, T._parse_datatype_string(v) if "<" in v else T._parse_datatype_json_value(v)) for k, v in kinds.items())])
@@ -154,59 +219,84 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.empty(n, np.uint64)
-    out[0] = 1
-    done = 1
-    with np.errstate(over="ignore"):
-        while done < n:
-            k = min(done, n - done)
-            out[done : done + k] = out[:k] * np.uint64(pow(base, done, 1 << 64))
-            done += k
-    return out
+#: Odd multipliers of the chained hashes; each pair is a hash of its own.
+HASH, HASH2 = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F), (0xD6E8FEB86659FD93, 0xA24BAED4963EE407)
+#: Spans above this many bytes are hashed one by one with BLAKE2; shorter ones together, eight bytes a step.
+LONG_SPAN = 256
+TAIL = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
-class Roller:
-    """Hashes of arbitrary spans of a sequence in constant time each, by prefix sums.
+def chained(h: np.ndarray, x: np.ndarray, kind: tuple[int, int] = HASH) -> np.ndarray:
+    """The hash of a sequence that goes on with x: two rounds of xor-multiply-shift, one to one in h and in x.
 
-    A span hash is ``sum(v[i] * B**(i - start)) mod 2**64`` over mixed values,
-    then mixed: equal spans have equal hashes; unequal ones collide by chance only.
+    Not a polynomial, so no family of structured strings collides; two unequal
+    sequences have equal hashes with a probability of about 2**-64.
     """
+    h = (h ^ x) * np.uint64(kind[0])
+    h ^= h >> np.uint64(32)
+    h *= np.uint64(kind[1])
+    h ^= h >> np.uint64(29)
+    return h
+
+
+def eights(raw: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as one number; zeros follow the last byte."""
+    padded = np.zeros(len(raw) + 8, np.uint8)
+    padded[: len(raw)] = raw
+    return np.ndarray(len(raw) + 1, np.dtype("<u8"), padded, 0, (1,))
+
+
+def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, *kinds: tuple[int, int]) -> list[np.ndarray]:
+    """A hash of each kind of every byte span."""
+    view, size = eights(raw), ends - starts
+    out = [size.astype(np.uint64) * np.uint64(kind[1]) for kind in kinds]
+    who, k = None, 0
+    over = size > LONG_SPAN
+    if over.any():
+        who = np.flatnonzero(~over)
+    most = int(size[~over].max(initial=0))
+    while k < most:
+        if who is None:
+            part = view[starts + k] & TAIL[np.minimum(size - k, 8)]
+            out = [chained(h, part, kind) for h, kind in zip(out, kinds)]
+        elif len(who):
+            part = view[starts[who] + k] & TAIL[np.minimum(size[who] - k, 8)]
+            for h, kind in zip(out, kinds):
+                h[who] = chained(h[who], part, kind)
+        k += 8
+        who = np.flatnonzero((size > k) & ~over) if who is None else who[size[who] > k]
+    flat = memoryview(np.ascontiguousarray(raw))
+    for i in np.flatnonzero(over).tolist():
+        got = np.frombuffer(hashlib.blake2b(flat[starts[i] : ends[i]], digest_size=16).digest(), np.uint64)
+        for h, kind in zip(out, kinds):
+            h[i] = got[0] if kind == HASH else got[1]
+    return out
 
-    _cache: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-    def __init__(self, base: int):
-        self.base = base | 1
-        self.inverse = pow(self.base, -1, 1 << 64)
-
-    def _tables(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        have = Roller._cache.get(self.base)
-        if have is None or len(have[0]) < n:
-            size = 1 << max(12, int(n - 1).bit_length())
-            have = _powers(self.base, size), _powers(self.inverse, size)
-            if size <= 1 << 23:
-                Roller._cache[self.base] = have
-        return have
-
-    def prefix(self, values: np.ndarray) -> np.ndarray:
-        up, _ = self._tables(max(1, len(values)))
-        out = np.zeros(len(values) + 1, np.uint64)
-        np.cumsum(values * up[: len(values)], out=out[1:])
-        return out
 
-    def spans(self, prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        _, down = self._tables(len(prefix))
-        return mix((prefix[end] - prefix[start]) * down[start])
+def window_hashes(raw: np.ndarray, width: int, *kinds: tuple[int, int]) -> list[np.ndarray]:
+    """Hashes of all windows of ``width`` bytes, by their starts."""
+    n = max(0, len(raw) - width + 1)
+    view = eights(raw).copy()
+    out = [np.full(n, width, np.uint64) for _ in kinds]
+    for k in range(0, width, 8):
+        part = view[k : k + n] & TAIL[min(8, width - k)]
+        out = [chained(h, part, kind) for h, kind in zip(out, kinds)]
+    return out
+
+
+def word_windows(words: np.ndarray, sizes: Iterable[int], kind: tuple[int, int] = HASH) -> dict[int, np.ndarray]:
+    """Hashes of all windows of each size (in words, given by their hashes), by their starts."""
+    out, wanted = {}, set(sizes)
+    h = np.full(len(words), kind[1], np.uint64)
+    for k in range(1, max(wanted, default=0) + 1):
+        if len(words) < k:
+            break
+        h = chained(h[: len(words) - k + 1], words[k - 1 :], kind)
+        if k in wanted:
+            out[k] = h
+    return out
 
 
-_rng = np.random.default_rng(20240229)
-#: A random 64-bit value for each byte.
-BYTE = _rng.integers(1, 2**63 - 1, 256, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
-LETTERS = Roller(0x9E3779B97F4A7C15)
-LETTERS2 = Roller(0xA24BAED4963EE407)
-WORDS = Roller(0xC2B2AE3D27D4EB4F)
-#: A second base, for 128-bit keys.
-WORDS2 = Roller(0xD6E8FEB86659FD93)
 UPPER = np.arange(256, dtype=np.uint8)
 UPPER[65:91] += 32
 
@@ -229,10 +319,6 @@ def word_spans(raw: np.ndarray, off: np.ndarray, is_word: np.ndarray) -> tuple[n
     return starts, ends, np.searchsorted(starts, off)
 
 
-def hashed_words(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    return LETTERS.spans(LETTERS.prefix(BYTE[raw]), starts, ends)
-
-
 def words_of(texts: pa.Array, is_word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(lower-cased bytes, word starts, word ends, word hashes, offsets of each text's words).
 
@@ -247,7 +333,7 @@ def words_of(texts: pa.Array, is_word: np.ndarray) -> tuple[np.ndarray, np.ndarr
     while k < len(starts):
         to = max(k + 1, int(np.searchsorted(starts, starts[k] + PIECE_BYTES)))
         lo, hi = starts[k], ends[to - 1]
-        hashes[k:to] = hashed_words(raw[lo:hi], starts[k:to] - lo, ends[k:to] - lo)
+        hashes[k:to] = span_hashes(raw[lo:hi], starts[k:to] - lo, ends[k:to] - lo, HASH)[0]
         k = to
     return raw, starts, ends, hashes, at
 

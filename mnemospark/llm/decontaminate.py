@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mnemospark.llm._common import WORDS, WORDS2, offsets, pieces, staged, with_fields, words_of
+from mnemospark.llm._common import HASH, HASH2, offsets, owner, pieces, staged, with_fields, word_windows, words_of
 
 SIZE = 13
 #: Benchmark text up to this size is broadcast (as hashes and window texts, about ten times as much).
@@ -51,11 +51,6 @@ class Windows:
     names: list[str | None] = field(default_factory=list)
 
 
-def _window_hashes(prefix: np.ndarray, n: int, size: int, roller=WORDS) -> np.ndarray:
-    start = np.arange(max(0, n - size + 1))
-    return roller.spans(prefix, start, start + size)
-
-
 def _content(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, at: int, size: int) -> bytes:
     return b" ".join(raw[starts[i] : ends[i]].tobytes() for i in range(at, at + size))
 
@@ -71,7 +66,7 @@ def build(items: list[tuple[str | None, str]], size: int = SIZE) -> Windows:
             place[name] = len(out.names)
             out.names.append(name)
         k = min(size, len(words))
-        hashes = _window_hashes(WORDS.prefix(words), len(words), k)
+        hashes = word_windows(words, [k])[k]
         found.setdefault(k, []).append(hashes)
         for i in range(len(hashes)):
             own = out.items.setdefault(_content(raw, starts, ends, i, k), [])
@@ -87,11 +82,8 @@ def build(items: list[tuple[str | None, str]], size: int = SIZE) -> Windows:
 def find(windows: Windows, words: np.ndarray, at: np.ndarray) -> Iterator[tuple[np.ndarray, int]]:
     """(positions, size): where windows may occur, by their hashes."""
     doc = np.repeat(np.arange(len(at) - 1), np.diff(at))
-    prefix = WORDS.prefix(words)
-    for k, known in windows.hashes.items():
-        if len(words) < k:
-            continue
-        h = _window_hashes(prefix, len(words), k)
+    for k, h in word_windows(words, windows.hashes).items():
+        known = windows.hashes[k]
         i = np.flatnonzero(windows.bitmap[k][h >> np.uint64(44)])
         i = i[doc[i] == doc[i + k - 1]]
         j = np.minimum(np.searchsorted(known, h[i]), len(known) - 1)
@@ -134,6 +126,7 @@ def _benchmark_rows(benchmark: DataFrame) -> DataFrame:
     return benchmark.select(F.col("item_id").cast("string").alias("name"), F.col("text").alias("text")).where(F.col("text").isNotNull())
 
 
+@owner
 def scan(documents: DataFrame, benchmark: DataFrame, size: int = SIZE, clean: bool = False, keep_text: bool = True, max_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
     """documents(text, ...) and benchmark(item_id, text) -> documents with the columns of OUTPUT.
 
@@ -178,7 +171,7 @@ def _scan_shuffled(documents: DataFrame, rows: DataFrame, size: int, clean: bool
                 raw, starts, ends, words, _ = words_of(pa.array([text]), IS_WORD)
                 if len(words):
                     k = min(size, len(words))
-                    h = [_window_hashes(r.prefix(words), len(words), k, r).view(np.int64) for r in (WORDS, WORDS2)]
+                    h = [word_windows(words, [k], kind)[k].view(np.int64) for kind in (HASH, HASH2)]
                     out["k"] += [k] * len(h[0])
                     out["h1"] += h[0].tolist()
                     out["h2"] += h[1].tolist()
@@ -195,10 +188,9 @@ def _scan_shuffled(documents: DataFrame, rows: DataFrame, size: int, clean: bool
                 _, _, _, words, at = words_of(piece.column(1), IS_WORD)
                 doc = np.repeat(np.arange(piece.num_rows), np.diff(at))
                 ids = piece.column(0)
-                for k in sizes:
-                    if len(words) < k:
-                        continue
-                    h = [_window_hashes(r.prefix(words), len(words), k, r).view(np.int64) for r in (WORDS, WORDS2)]
+                windows = [word_windows(words, sizes, kind) for kind in (HASH, HASH2)]
+                for k in windows[0]:
+                    h = [w[k].view(np.int64) for w in windows]
                     i = np.flatnonzero(doc[: len(h[0])] == doc[k - 1 : k - 1 + len(h[0])])
                     yield pa.RecordBatch.from_arrays([ids.take(pa.array(doc[i])), pa.array((i - at[doc[i]]).astype(np.int64)), pa.array(np.full(len(i), k, np.int32)), pa.array(h[0][i]), pa.array(h[1][i])], names=["__row", "pos", "k", "h1", "h2"])
 
@@ -224,11 +216,13 @@ def _scan_shuffled(documents: DataFrame, rows: DataFrame, size: int, clean: bool
     return docs.join(hits, "__row", "left").select(*documents.columns, "__row", "__hits").mapInArrow(verify, with_fields(documents.schema, **OUTPUT))
 
 
+@owner
 def remove_documents(documents: DataFrame, benchmark: DataFrame, size: int = SIZE) -> DataFrame:
     """The documents that aren't contaminated."""
     return scan(documents, benchmark, size).where(~F.col("contaminated")).select(*documents.columns)
 
 
+@owner
 def remove_spans(documents: DataFrame, benchmark: DataFrame, size: int = SIZE) -> DataFrame:
     """All documents, without the spans that occur in the benchmark."""
     found = scan(documents, benchmark, size, clean=True).withColumn("text", F.col("clean_text"))

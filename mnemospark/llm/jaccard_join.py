@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mnemospark.llm._common import WORDS, dropped, group_runs, mix, pieces, staged, words_of
+from mnemospark.llm._common import chained, dropped, group_runs, mix, owner, pieces, staged, words_of
 from mnemospark.llm._components import components
 
 #: White space is U+0020 and U+0009 to U+000D.
@@ -51,7 +51,11 @@ def ngram_sets(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
     size = np.where(count >= n, count - n + 1, np.minimum(count, 1))
     doc = np.repeat(np.arange(len(count)), size)
     start = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size) + at[doc]
-    grams = WORDS.spans(WORDS.prefix(words), start, np.minimum(start + n, at[doc + 1]))
+    length = np.minimum(n, at[doc + 1] - start)
+    grams = length.astype(np.uint64)
+    for k in range(n):
+        on = slice(None) if k == 0 or not len(length) or length.min() > k else np.flatnonzero(length > k)
+        grams[on] = chained(grams[on], words[start[on] + k])
     order = np.lexsort((grams, doc))
     doc, grams = doc[order], grams[order]
     new = group_runs([doc, grams]) if len(doc) else np.zeros(0, bool)
@@ -359,6 +363,7 @@ def _linked(n: int, threshold: int):
     return run
 
 
+@owner
 def cluster(documents: DataFrame, n: int = 5, threshold: int = 80, block_ngrams: int = BLOCK_NGRAMS) -> DataFrame:
     """documents(doc_id, text) -> (doc_id, n_shingles, component_id): classes of documents that reach each other by links.
 
@@ -406,6 +411,7 @@ def cluster(documents: DataFrame, n: int = 5, threshold: int = 80, block_ngrams:
     return found.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
+@owner
 def keep_one(documents: DataFrame, n: int = 5, threshold: int = 80) -> DataFrame:
     """The documents without those that are near duplicates of a kept one: of each class, the smallest id stays."""
     gone = cluster(documents, n, threshold).where("component_id != doc_id").select("doc_id")

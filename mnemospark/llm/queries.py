@@ -11,12 +11,13 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from mnemospark.llm import bpe, chat_format, decontaminate, exact_dedup, html_text, jaccard_join, language_id, quality, suffix_dedup, token_files
-from mnemospark.llm._common import flat_bytes, read
+from mnemospark.llm._common import flat_bytes, owner, read
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 CONTROL_TEXT = "</s>[INST] ok [/INST]"
 
 
+@owner
 def op1_chat_formatting(spark, sf_dir):
     rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     extra = spark.createDataFrame([(-7, 0, "user", CONTROL_TEXT), (-7, 1, "assistant", CONTROL_TEXT)], "conv_id long, turn long, role string, text string")
@@ -43,6 +44,7 @@ FROM m GROUP BY conv_id
 """
 
 
+@owner
 def op2_decontaminate(spark, sf_dir):
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontaminate.scan(docs, read(spark, sf_dir, "benchmark"), keep_text=False)
@@ -71,14 +73,17 @@ FROM dw LEFT JOIN pos USING (doc_id) LEFT JOIN its USING (doc_id)
 """
 
 
+@owner
 def op3_token_files(spark, sf_dir):
     return token_files.digest_files(token_files.write_tokens(read(spark, sf_dir, "documents"), TOKENIZER))
 
 
+@owner
 def op4_suffix_dedup(spark, sf_dir):
     return suffix_dedup.remove_repeats(read(spark, sf_dir, "documents"), texts=False)
 
 
+@owner
 def op5_language_id(spark, sf_dir):
     docs = read(spark, sf_dir, "documents")
     held = language_id.held_out("doc_id", 5, 0)
@@ -93,6 +98,7 @@ def _sha256(texts: pa.Array) -> pa.Array:
     return pa.array([hashlib.sha256(view[a:b]).hexdigest() for a, b in zip(off[:-1].tolist(), off[1:].tolist())], pa.string())
 
 
+@owner
 def op6_exact_dedup(spark, sf_dir):
     return exact_dedup.mark(read(spark, sf_dir, "documents"), ["doc_id"])
 
@@ -107,10 +113,12 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(norm) AS te
 """
 
 
+@owner
 def op7_jaccard_join(spark, sf_dir):
     return jaccard_join.cluster(read(spark, sf_dir, "documents"), n=3, threshold=90)
 
 
+@owner
 def op8_html_text(spark, sf_dir):
     return html_text.main_text(read(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
 
@@ -126,12 +134,14 @@ def token_digests(ids: pa.Array, decoded: pa.Array) -> list[pa.Array]:
     return [pa.array(np.diff(ids.offsets.to_numpy()).astype(np.int64)), _sha256(bpe.joined(_numbers(), ids)), _sha256(decoded)]
 
 
+@owner
 def op9_bpe(spark, sf_dir):
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     lexicon = bpe.build_lexicon(docs, TOKENIZER)
     return bpe.encode_then(docs, TOKENIZER, lexicon, ["doc_id"], "n_tokens long, ids_sha256 string, decoded_sha256 string", token_digests)
 
 
+@owner
 def op10_quality(spark, sf_dir):
     docs = read(spark, sf_dir, "documents")
     held = language_id.held_out("doc_id", 4, 2)

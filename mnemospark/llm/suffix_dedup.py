@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mnemospark.llm._common import BYTE, LETTERS, LETTERS2, flat_bytes, group_runs, mix, pieces, staged
+from mnemospark.llm._common import HASH, HASH2, flat_bytes, group_runs, mix, owner, pieces, span_hashes, staged, window_hashes
 from mnemospark.llm._suffix import SuffixArray, intervals, left_diverse
 
 WIDTH, GRAM = 100, 32
@@ -68,9 +68,8 @@ def regions(raw: np.ndarray, off: np.ndarray, width: int = WIDTH) -> tuple[np.nd
     while at + width <= len(raw):
         end = min(len(raw), at + STEP + width - 1)
         part = raw[at:end]
-        prefix = LETTERS.prefix(BYTE[part])
         start = np.arange(len(part) - GRAM + 1)
-        gram = LETTERS.spans(prefix, start, start + GRAM)
+        gram = window_hashes(part, GRAM, HASH)[0]
         least = sliding_minimum((gram >> np.uint64(24) << np.uint64(24)) | start.astype(np.uint64), width - GRAM + 1)
         text = np.searchsorted(off, np.arange(at, at + len(least)), side="right") - 1
         inside = np.arange(at, at + len(least)) + width <= off[text + 1]
@@ -82,7 +81,7 @@ def regions(raw: np.ndarray, off: np.ndarray, width: int = WIDTH) -> tuple[np.nd
             first = np.flatnonzero(new)
             n = np.diff(np.append(first, len(p)))
             p = p[first]
-            content = LETTERS2.spans(LETTERS2.prefix(BYTE[part]), p, p + n + width - 1)
+            content = span_hashes(part, p, p + n + width - 1, HASH2)[0]
             shape = ((anchor[p] - p) * 4096 + n).astype(np.uint64)
             out.append((text[p], p + at - off[text[p]], n, gram[anchor[p]], mix(content ^ mix(shape))))
         at += STEP
@@ -282,7 +281,7 @@ def _search(width: int, block: int):
         own = np.repeat(np.arange(len(rows)), n)
         inner = np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n)
         at = (np.cumsum(size) - size)[own] + inner
-        h1, h2 = (r.spans(r.prefix(BYTE[raw]), at, at + width) for r in (LETTERS, LETTERS2))
+        h1, h2 = (h[at] for h in window_hashes(raw, width, HASH, HASH2))
         doc, p = np.array([r[1] for r in rows])[own], np.array([r[2] for r in rows])[own] + inner
         order = np.lexsort((p, doc, h2, h1))
         h1, h2, doc, p, at = (x[order] for x in (h1, h2, doc, p, at))
@@ -321,6 +320,7 @@ def _search(width: int, block: int):
     return run
 
 
+@owner
 def repeated_spans(documents: DataFrame, width: int = WIDTH, block: int = BLOCK_SUFFIXES, hot: int = HOT_REGIONS) -> DataFrame:
     """documents(doc_id, text) -> (doc, start, length): covered byte spans, which may overlap."""
     parts = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -356,6 +356,7 @@ def merged(spans: list[dict]) -> list[tuple[int, int]]:
     return [tuple(x) for x in out]
 
 
+@owner
 def remove_repeats(documents: DataFrame, width: int = WIDTH, texts: bool = True) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of every row, and kept, the bytes left, if ``texts``."""
     spans = repeated_spans(documents, width).groupBy("doc").agg(F.collect_list(F.struct("start", "length")).alias("spans"))

@@ -29,8 +29,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from mnemospark.llm._common import new_path, pieces, staged
-from mnemospark.llm._words import WordEncoder, load_tokenizer
+from mnemospark.llm._common import new_path, owner, pieces, staged
+from mnemospark.llm._words import WordEncoder, check_words, load_tokenizer
 
 LENGTH, BATCH_SEQUENCES = 2048, 256
 MANIFEST = "shard int, path string, docs_path string, n_docs long, n_tokens long"
@@ -96,9 +96,11 @@ class SequenceWriter:
         self.out.close()
 
 
+@owner
 def write_tokens(documents: DataFrame, tokenizer_path: str, end_id: int = 1, out: str | None = None, length: int = LENGTH) -> DataFrame:
     """documents(doc_id, text) -> files under ``out`` (the shared folder if None) and their manifest, a row a file."""
     spark = documents.sparkSession
+    check_words(load_tokenizer(tokenizer_path))
     out = out or new_path(spark, "tokens")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
