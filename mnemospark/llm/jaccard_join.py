@@ -384,7 +384,7 @@ def cluster(documents: DataFrame, n: int = 5, threshold: int = 80, block_ngrams:
     nodes = docs.where("n_shingles > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("size"))
     nodes = staged(nodes.where("rep is not null"), "nodes")
 
-    met = rows.select("text").mapInArrow(_keyed(n, threshold), _KEYED_SQL)
+    met = rows.where("doc_id IS NOT NULL").select("text").mapInArrow(_keyed(n, threshold), _KEYED_SQL)
     by_key = met.repartition(parts, F.coalesce("key", "b1")).sortWithinPartitions("key", "a1", "a2").mapInArrow(_meet, "a1 long, a2 long, b1 long, b2 long")
     edges = staged(by_key.distinct(), "edges")
     a, b = (nodes.select(F.col("k1").alias(f"{s}1"), F.col("k2").alias(f"{s}2"), F.col("rep").alias(s)) for s in "ab")

@@ -118,6 +118,21 @@ def op7_jaccard_join(spark, sf_dir):
     return jaccard_join.cluster(read(spark, sf_dir, "documents"), n=3, threshold=90)
 
 
+OP7_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + 2], ' ') AS g
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS i FROM d WHERE len(w) > 0)
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS common FROM s x JOIN s y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * common >= 90 * (x.n + y.n - common)),
+u AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r(id, c) AS (SELECT doc_id, doc_id FROM documents UNION SELECT u.b, r.c FROM r JOIN u ON u.a = r.id WHERE r.c < u.b)
+SELECT id AS doc_id, coalesce(any_value(n), 0) AS n_shingles, min(c) AS component_id FROM r LEFT JOIN n ON n.doc_id = id GROUP BY id
+"""
+
+
 @owner
 def op8_html_text(spark, sf_dir):
     return html_text.main_text(read(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
@@ -155,4 +170,4 @@ def queries():
 
 
 def oracle_sql():
-    return {"op1_chat_formatting": OP1_SQL, "op2_decontaminate": OP2_SQL, "op6_exact_dedup": OP6_SQL}
+    return {"op1_chat_formatting": OP1_SQL, "op2_decontaminate": OP2_SQL, "op6_exact_dedup": OP6_SQL, "op7_jaccard_join": OP7_SQL}

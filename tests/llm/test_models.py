@@ -27,10 +27,48 @@ def test_language_edge_cases(spark):
 def test_long_texts_are_scored_whole(monkeypatch):
     m = L.Model(["a", "b"], np.random.default_rng(1).random((2, L.BUCKETS + 1)).astype(np.float32))
     m.weights[:, L.BUCKETS] = 0
-    t = "abcd efgh " * 400
-    whole = L.log_likelihoods(m, [t])
-    monkeypatch.setattr(L, "SLICE_CHARS", 1000)
-    assert np.allclose(L.log_likelihoods(m, [t]), whole, rtol=0.02)
+    for t in ("abcd efgh " * 400 + "İΣ xΣ", "", "a", "ab", "abc " * 250, "x" * 999):
+        whole = L.log_likelihoods(m, [t, "z", t])
+        for size in (1, 2, 3, 7, 1000):
+            monkeypatch.setattr(L, "SLICE_CHARS", size)
+            assert np.allclose(L.log_likelihoods(m, [t, "z", t]), whole, rtol=1e-12, atol=1e-9)
+        monkeypatch.setattr(L, "SLICE_CHARS", 1 << 20)
+
+
+def bucket(gram):
+    """The hash of an n-gram, by plain numbers."""
+    h, size = 0, 1 << 64
+    for c in gram:
+        h = (h + ord(c) + 1) * 0x9E3779B97F4A7C15 % size
+        h ^= h >> 29
+    return (h * 0xBF58476D1CE4E5B9 % size) >> 49
+
+
+def test_language_equals_plain_naive_bayes(spark, sf_dir):
+    """Counts, smoothing and posteriors of the contract query in dictionaries and plain loops."""
+    import math
+    import re
+    import zlib
+    from collections import Counter
+
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang").collect()
+    grams = {r.doc_id: Counter(bucket(p[i : i + n]) for p in [f" {(r.text or '').lower()} "] for n in (1, 2, 3) for i in range(len(p) - n + 1)) for r in rows}
+    held = {r.doc_id: zlib.crc32(str(r.doc_id).encode()) % 5 == 0 for r in rows}
+    counts = {}
+    for r in rows:
+        if not held[r.doc_id] and r.text is not None and r.lang is not None:
+            counts.setdefault(r.lang, Counter()).update(grams[r.doc_id])
+    total = {k: sum(c.values()) + 0.5 * L.BUCKETS for k, c in counts.items()}
+    got = {r.doc_id: r for r in queries.op5_language_id(spark, sf_dir).collect()}
+    assert set(got) == {r.doc_id for r in rows}
+    for r in rows:
+        ll = {k: sum(n * math.log((c[g] + 0.5) / total[k]) for g, n in grams[r.doc_id].items()) for k, c in counts.items()}
+        best = max(sorted(ll), key=ll.get)
+        p = 1 / sum(math.exp(x - ll[best]) for x in ll.values())
+        known = bool(re.search(r"[^\W\d_]", r.text or ""))
+        assert got[r.doc_id].held_out == held[r.doc_id]
+        assert got[r.doc_id].lang_pred == (best if known else "und")
+        assert abs(got[r.doc_id].score - (p if known else 0)) < 1e-3  # the matrix is in single precision
 
 
 def test_quality_of_held_out_rows(spark, sf_dir):
@@ -41,6 +79,62 @@ def test_quality_of_held_out_rows(spark, sf_dir):
     assert auc > 0.9
 
 
+def test_pairwise_fit_equals_gradient_descent():
+    """The weights are the minimum of the loss over the very pairs, and the map to probabilities that of its own loss."""
+    r = np.random.default_rng(3)
+    x = r.normal(size=(300, 4)) * [1, 10, 0.1, 1] + [0, 5, 0, 0]
+    y = (x @ [1, -0.1, 4, 0] + r.normal(size=300) > 0.3).astype(int)
+    model = Q.fit(x, y, max_pairs=2000, seed=9)
+    z = (x - x.mean(axis=0)) / x.std(axis=0)
+    again = np.random.default_rng(9)
+    good, bad = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
+    d = z[again.choice(good, 2000)] - z[again.choice(bad, 2000)]
+    w = np.zeros(4)
+    for _ in range(20_000):  # mean of log(1 + exp(-d w)) and 0.001 |w|^2
+        w -= 0.5 * (-(d / (1 + np.exp(d @ w))[:, None]).mean(axis=0) + 0.002 * w)
+    assert np.allclose(model.weights, w, atol=1e-6)
+    s, slope, intercept = z @ w, 0.0, 0.0
+    for _ in range(50_000):
+        e = 1 / (1 + np.exp(-(slope * s + intercept))) - y
+        slope, intercept = slope - 0.5 * ((e * s).mean() + 1e-3 * slope / 300), intercept - 0.5 * (e.mean() + 1e-3 * intercept / 300)
+    assert np.allclose([model.slope, model.intercept], [slope, intercept], atol=1e-4)
+    p = Q.probability(model, x)
+    assert np.allclose(p, 1 / (1 + np.exp(-(slope * s + intercept))), atol=1e-4)
+
+
+def test_features_equal_plain_counts():
+    import math
+    import re
+    from collections import Counter
+
+    t = "Ab ab, ab!\nA line.\nA line.\n\né 12 $5"
+    x = Q.features(pa.array([t]))[0]
+    raw = t.encode()
+    k = len(Q.CLASSES)
+    for i, chars in enumerate(Q.CLASSES.values()):
+        share = sum(t.count(c) for c in chars) / len(t)
+        assert np.isclose(x[i], share) and np.isclose(x[k + i], math.log1p(200 * share))
+    low = "".join(c.lower() if c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ" else c for c in t)
+    words = re.findall(r"[^\x20\x09-\x0D]+", low)
+    sizes = [len(w.encode()) for w in words]
+    n, lines = len(words), re.findall(r"[^\r\n]+", low)
+    mean = sum(sizes) / n
+    pairs = list(zip(words, words[1:]))
+    entropy = -sum(c / len(raw) * math.log2(c / len(raw)) for c in Counter(raw).values())
+    want = [entropy, mean, math.sqrt(sum(s * s for s in sizes) / n - mean**2), math.log1p(mean), len(set(words)) / n, max(Counter(words).values()) / n, sum(a == b for a, b in pairs) / n]
+    want += [len(set(pairs)) / (n - 1), len(set(lines)) / len(lines), math.log1p(n), math.log1p(n) * len(set(words)) / n, math.log1p(len(lines)), sum(b > 127 for b in raw) / len(t)]
+    assert np.allclose(x[2 * k :], want)
+
+
+def test_predictions_follow_the_scores(spark, sf_dir):
+    import zlib
+
+    got = queries.op10_quality(spark, sf_dir).collect()
+    ids = {r.doc_id for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id").collect()}
+    assert {r.doc_id for r in got} == ids and len(got) == len(ids)
+    assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.7) and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in got)
+
+
 def test_quality_edge_cases(spark):
     texts = ["Good plain prose here. It goes on.", "BUY!!! NOW!!! $$$", None, "", "x"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")

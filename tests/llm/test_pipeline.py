@@ -5,7 +5,8 @@ import re
 import public_tokenizers
 
 import corpus_pipeline as P
-from mnemospark.llm._common import staged
+from mnemospark.llm import jaccard_join
+from mnemospark.llm._common import release, shared_dir, staged
 from mnemospark.llm._words import load_tokenizer
 from tests.llm.test_decontaminate import brute as hits
 from tests.llm.test_jaccard_join import brute as classes
@@ -52,3 +53,47 @@ def test_lazy_chaining_and_odd_columns(spark, sf_dir):
     assert {r.score for r in out.collect()} == {0.5, 0.2}
     for _, stage in P.STAGES:
         assert stage(spark, docs.limit(0), sf_dir).count() == 0
+
+
+def test_stages_do_not_touch_each_others_tables(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    a = P.drop_near_copies(spark, docs.where("doc_id % 2 = 0"), sf_dir)
+    b = P.drop_near_copies(spark, docs.where("doc_id % 2 = 1"), sf_dir)
+    c = P.drop_exact_copies(spark, docs, sf_dir)
+    n = b.count()
+    assert a.count() > 0 and n > 0 and c.count() > 0
+    release(a)
+    release(c)
+    assert b.count() == n
+
+
+def tables(spark):
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/mnemospark/{spark.sparkContext.applicationId}")
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    return {s.getPath().getName() for s in files.listStatus(path)} if files.exists(path) else set()
+
+
+def test_runs_at_once_and_what_they_leave(spark, sf_dir):
+    from concurrent.futures import ThreadPoolExecutor
+
+    before = tables(spark)
+    with ThreadPoolExecutor(2) as pool:
+        outs = list(pool.map(lambda _: P.run(spark, sf_dir), range(2)))
+    left = tables(spark) - before
+    assert sorted(x.rsplit("-", 1)[0] for x in left) == ["bpe_encode", "bpe_encode"]
+    x, y = (sorted(map(tuple, o.collect())) for o in outs)
+    assert x == y and x
+    for o in outs:
+        release(o)
+    assert tables(spark) == before
+
+
+def test_failed_operators_leave_nothing(spark):
+    import pytest
+    from pyspark.sql import functions as F
+
+    before = tables(spark)
+    bad = spark.createDataFrame([(1, "a b c")], "doc_id long, text string").withColumn("text", F.raise_error(F.lit("no text")).cast("string"))
+    with pytest.raises(Exception, match="no text"):
+        jaccard_join.cluster(bad)
+    assert tables(spark) == before
