@@ -47,8 +47,8 @@ def _splitters(documents: DataFrame, n: int, doc_id: str, text: str) -> list[str
     norm = normalised(text)
     keys = sample.select(_key(norm, F.sha2(norm, 256), doc_id).alias("k"))
     place = keys.withColumn("i", F.row_number().over(Window.orderBy("k")) - 1).withColumn("m", F.count(F.lit(1)).over(Window.partitionBy()))
-    step = F.greatest(F.lit(1), F.floor(F.col("m") / n))
-    return sorted({r.k for r in place.where((F.col("i") > 0) & (F.col("i") % step == 0) & (F.col("i") <= step * (n - 1))).select("k").collect()}, key=str.encode)
+    part = lambda i: F.floor(i * n / F.col("m"))
+    return sorted({r.k for r in place.where((F.col("i") > 0) & (part(F.col("i")) > part(F.col("i") - 1))).select("k").collect()}, key=str.encode)
 
 
 def _listed(strings: list[str]) -> Column:
