@@ -39,7 +39,7 @@ STATE_FAMILIES = {
 TASK_TYPES = [("review", "code_review"), ("analyze", "analysis"), ("debug", "debugging"), ("fix", "debugging"), ("test", "testing"), ("document", "documentation"), ("architect", "architecture"), ("design", "architecture"), ("security", "security"), ("optim", "optimization"), ("refactor", "refactoring"), ("generat", "code_generation"), ("create", "code_generation"), ("build", "code_generation"), ("question", "quick_question"), ("what", "quick_question"), ("how", "quick_question"), ("why", "analysis")]
 
 #: Opposed words and the kind of contradiction between them.
-OPPOSITES = [("always", "never", "temporal"), ("all", "none", "universal"), ("true", "false", "boolean"), ("increase", "decrease", "directional"), ("yes", "no", "affirmation"), ("must", "cannot", "modal"), ("enable", "disable", "state"), ("include", "exclude", "set"), ("positive", "negative", "polarity"), ("accept", "reject", "decision")]
+OPPOSITES = [("always", "never", "temporal contradiction"), ("all", "none", "universal contradiction"), ("true", "false", "boolean contradiction"), ("increase", "decrease", "directional contradiction"), ("yes", "no", "affirmation contradiction"), ("must", "cannot", "modal contradiction"), ("enable", "disable", "state contradiction"), ("include", "exclude", "set contradiction"), ("positive", "negative", "polarity contradiction"), ("accept", "reject", "decision contradiction")]
 
 #: Words that make a memory salient, and bonuses of memory types.
 SALIENT = ["error", "bug", "fix", "solution", "learned", "discovered", "important", "critical", "success", "failure", "insight", "pattern", "principle", "rule", "always", "never", "must"]

@@ -1,4 +1,11 @@
-"""Chunkers and extractive summaries: ordered folds over sentences, as Arrow batch functions."""
+"""Chunkers and extractive summaries: ordered folds over sentences, as Arrow batch functions.
+
+Edge cases, for all of them: a null or empty text, or one of white space, has no
+sentence and so no chunk (its summary is empty); a sentence longer than a chunk
+is a chunk of its own; texts are read whole, however long; repeated rows are
+each cut, and a null id stays null; of sentences that score alike the first is
+taken; an empty table gives no rows; other columns, of any name, are ignored.
+"""
 
 from __future__ import annotations
 

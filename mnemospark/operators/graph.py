@@ -1,4 +1,16 @@
-"""Graph operators over edge tables: frontier joins, PageRank, spreading activation, components of time."""
+"""Graph operators over edge tables: frontier joins, PageRank, spreading activation, cycles, betweenness.
+
+Edges are rows (a, b, ...). Loops over levels read an edge table again and
+again, so it is staged first, with the columns that count, and every level is
+written to the shared folder.
+
+Edge cases, for all operators: an edge with a null end is left out; repeated
+edges count once, but where their strengths differ (``chain``, ``activation``:
+the strongest counts); a loop (a = b) leads to a node that is reached already,
+and is no cycle of ``cycles``, but one of ``closing`` and ``acyclic_rest``; a
+seed without edges is its own only node; an empty edge table gives no edge, no
+path and no score; other columns, of any name, are ignored.
+"""
 
 from __future__ import annotations
 
@@ -8,15 +20,28 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mnemospark.sources.storage import staged
+from mnemospark.sources.storage import dropped, staged
 
-#: Edges that betweenness broadcasts, at most; larger graphs are refused.
+#: Directed edges up to which betweenness broadcasts its adjacency; beyond, it joins level by level.
 MAX_BROADCAST_EDGES = 2_000_000
+#: Sources whose paths betweenness follows at once in joins.
+SOURCE_BLOCK = 1_000
+
+
+def _ends(edges: DataFrame) -> DataFrame:
+    """The distinct edges (a, b)."""
+    return edges.select("a", "b").where("a IS NOT NULL AND b IS NOT NULL").distinct()
+
+
+def _strongest(edges: DataFrame) -> DataFrame:
+    """The distinct edges (a, b) with their largest strength."""
+    return edges.where("a IS NOT NULL AND b IS NOT NULL").groupBy("a", "b").agg(F.max("strength").alias("strength"))
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
     """edges(a, b) as an undirected simple graph: each direction once, no loops."""
-    return edges.where("a <> b").select("a", "b").unionByName(edges.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    e = edges.select("a", "b").where("a <> b")
+    return e.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")).select("e.a", "e.b").distinct()
 
 
 def reach(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
@@ -25,12 +50,17 @@ def reach(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
     The frontier is joined with the edges, reduced to one row a node and
     stripped of nodes seen before: work grows with edges touched, not walks.
     """
-    seen = frontier = seeds.select("seed", F.col("seed").alias("id"), F.lit(0).alias("depth"))
+    seen = frontier = seeds.select("seed", F.col("seed").alias("id"), F.lit(0).alias("depth")).where("seed IS NOT NULL").distinct()
+    if not depth:
+        return seen
+    near = staged(_ends(edges), "edges")
     for d in range(1, depth + 1):
-        step = frontier.select("seed", F.col("id").alias("a")).join(edges.select("a", "b"), "a").select("seed", F.col("b").alias("id")).distinct()
-        frontier = staged(step.join(seen.select("seed", "id"), ["seed", "id"], "left_anti").withColumn("depth", F.lit(d)), "frontier")
+        step = frontier.select("seed", F.col("id").alias("a")).join(near, "a").select("seed", F.col("b").alias("id")).distinct()
+        frontier = step.join(seen.select("seed", "id"), ["seed", "id"], "left_anti").withColumn("depth", F.lit(d))
+        if d == depth:
+            return seen.unionByName(frontier)
+        frontier = staged(frontier, "frontier")
         seen = seen.unionByName(frontier)
-    return seen
 
 
 def closing(edges: DataFrame, candidates: DataFrame, depth: int) -> DataFrame:
@@ -43,10 +73,11 @@ def closing(edges: DataFrame, candidates: DataFrame, depth: int) -> DataFrame:
 
 def chain(edges: DataFrame, seed: int, depth: int) -> DataFrame:
     """(id, depth, parent, strength) from one seed: first level wins, then the strongest edge, then the smallest parent."""
+    near = staged(_strongest(edges), "edges")
     seen = frontier = edges.sparkSession.createDataFrame([(seed, 0, None, 1.0)], "id long, depth int, parent long, strength double")
     for d in range(1, depth + 1):
         best = F.max(F.struct("strength", (-F.col("a")).alias("p"))).alias("m")
-        step = frontier.select(F.col("id").alias("a")).join(edges.select("a", "b", "strength"), "a").groupBy(F.col("b").alias("id")).agg(best)
+        step = frontier.select(F.col("id").alias("a")).join(near, "a").groupBy(F.col("b").alias("id")).agg(best)
         step = step.join(seen.select("id"), "id", "left_anti")
         frontier = staged(step.select("id", F.lit(d).alias("depth"), (-F.col("m.p")).alias("parent"), F.col("m.strength").alias("strength")), "chain")
         seen = seen.unionByName(frontier)
@@ -55,36 +86,39 @@ def chain(edges: DataFrame, seed: int, depth: int) -> DataFrame:
 
 def paths(edges: DataFrame, start: int, end: int, most: int) -> DataFrame:
     """Simple paths of up to ``most`` edges between two nodes, as arrays of ids."""
+    near = staged(_ends(edges.where("a <> b")), "edges")
     out = None
-    walk = edges.where(F.col("a") == start).select(F.array("a", "b").alias("path"))
+    walk = near.where(F.col("a") == start).select(F.array("a", "b").alias("path"))
     for _ in range(most):
         hit = walk.where(F.element_at("path", -1) == end)
         out = hit if out is None else out.unionByName(hit)
         go = walk.where(F.element_at("path", -1) != end).withColumn("a", F.element_at("path", -1))
-        walk = go.join(edges.select("a", "b"), "a").where(~F.array_contains("path", F.col("b"))).select(F.concat("path", F.array("b")).alias("path"))
+        walk = go.join(near, "a").where(~F.array_contains("path", F.col("b"))).select(F.concat("path", F.array("b")).alias("path"))
     return out
 
 
 def cycles(edges: DataFrame, most: int) -> DataFrame:
     """(length, path): simple cycles of 2 to ``most`` nodes along edges(a, b), each once, from its smallest node."""
-    e = edges.where("a <> b").select("a", "b").distinct()
+    e = staged(_ends(edges.where("a <> b")), "edges")
     out = None
     walk = e.where("a < b").select(F.array("a", "b").alias("path"))
+    ends = e.select(F.col("b").alias("first"), F.col("a").alias("last"))
     for n in range(2, most + 1):
-        ends = e.select(F.col("b").alias("first"), F.col("a").alias("last"))
         hit = walk.withColumn("first", F.element_at("path", 1)).withColumn("last", F.element_at("path", -1)).join(ends, ["first", "last"]).select(F.lit(n).alias("length"), "path")
         out = hit if out is None else out.unionByName(hit)
+        if n == most:
+            return out
         go = walk.withColumn("a", F.element_at("path", -1)).join(e, "a").where((F.col("b") > F.element_at("path", 1)) & ~F.array_contains("path", F.col("b")))
-        walk = go.select(F.concat("path", F.array("b")).alias("path"))
-    return out
+        walk = staged(go.select(F.concat("path", F.array("b")).alias("path")), "walks")
 
 
 def activation(edges: DataFrame, seeds: DataFrame, depth: int, decay: float, least: float) -> DataFrame:
     """(id, depth, activation): a' = a * strength * (1 - decay), kept from ``least`` on; the first level wins, then the largest."""
+    near = staged(_strongest(edges).select(F.col("a").alias("id"), "b", "strength"), "edges")
     seen = frontier = seeds.select("id", F.lit(0).alias("depth"), "activation")
     for d in range(1, depth + 1):
         passed = F.col("activation") * F.col("strength") * (1 - decay)
-        step = frontier.join(edges.select(F.col("a").alias("id"), "b", "strength"), "id").select(F.col("b").alias("id"), passed.alias("activation")).where(F.col("activation") >= least)
+        step = frontier.join(near, "id").select(F.col("b").alias("id"), passed.alias("activation")).where(F.col("activation") >= least)
         step = step.groupBy("id").agg(F.max("activation").alias("activation")).join(seen.select("id"), "id", "left_anti")
         frontier = staged(step.select("id", F.lit(d).alias("depth"), "activation"), "activation")
         seen = seen.unionByName(frontier)
@@ -108,19 +142,24 @@ def pagerank(edges: DataFrame, rounds: int = 20, damping: float = 0.85, every: i
     return rank
 
 
-def betweenness(edges: DataFrame, sources: DataFrame) -> DataFrame:
-    """(id, score): Brandes from every source, on an adjacency whose size is checked before it is broadcast."""
+def betweenness(edges: DataFrame, sources: DataFrame, most: int = MAX_BROADCAST_EDGES, block: int = SOURCE_BLOCK) -> DataFrame:
+    """(id, score) of the nodes that a shortest path of the undirected simple graph begins at, ends at or passes: Brandes from every source(id).
+
+    Up to ``most`` directed edges the adjacency is broadcast and every task
+    follows its sources; larger graphs are joined level by level, ``block``
+    sources at once.
+    """
     spark = edges.sparkSession
     both = staged(both_ways(edges), "betweenness")
-    size = both.count()
-    if size > MAX_BROADCAST_EDGES:
-        raise ValueError(f"betweenness needs at most {MAX_BROADCAST_EDGES} edges; this graph has {size}")
+    n = both.select("a").distinct().count()
+    scale = 1.0 / ((n - 1) * (n - 2)) if n > 2 else 1.0
+    seeds = sources.select("id").distinct().join(both.select(F.col("a").alias("id")).distinct(), "id", "left_semi")
+    if both.count() > most:
+        return _betweenness_joined(both, seeds, block).select("id", (F.col("score") * scale).alias("score"))
     near: dict[int, list[int]] = {}
     for r in both.toLocalIterator():
         near.setdefault(r.a, []).append(r.b)
     shared = spark.sparkContext.broadcast({k: sorted(v) for k, v in near.items()})
-    n = len(near)
-    scale = 1.0 / ((n - 1) * (n - 2)) if n > 2 else 1.0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         g = shared.value
@@ -146,16 +185,56 @@ def betweenness(edges: DataFrame, sources: DataFrame) -> DataFrame:
                         total[w] = total.get(w, 0.0) + share[w]
         yield pa.RecordBatch.from_pydict({"id": pa.array(list(total), pa.int64()), "score": pa.array(list(total.values()), pa.float64())})
 
-    return sources.select("id").mapInArrow(run, "id long, score double").groupBy("id").agg((F.sum("score") * scale).alias("score"))
+    return seeds.mapInArrow(run, "id long, score double").groupBy("id").agg((F.sum("score") * scale).alias("score"))
+
+
+def _betweenness_joined(both: DataFrame, seeds: DataFrame, block: int) -> DataFrame:
+    """Brandes as joins: levels of (source, node, paths) forwards, shares backwards."""
+    n = seeds.count()
+    dealt = staged(seeds.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(-(-n // block) or 1))), "sources")
+    total = None
+    for part in range(-(-n // block)):
+        seen = dealt.where(F.col("part") == part).select(F.col("id").alias("s"), "id", F.lit(1.0).alias("paths"))
+        levels = [staged(seen, "level")]
+        while True:
+            step = levels[-1].withColumnRenamed("id", "a").join(both, "a").groupBy("s", F.col("b").alias("id")).agg(F.sum("paths").alias("paths"))
+            for old in levels[-2:]:  # a neighbour lies one level up, down or beside
+                step = step.join(old.select("s", "id"), ["s", "id"], "left_anti")
+            level = staged(step, "level")
+            if level.isEmpty():
+                break
+            levels.append(level)
+        share = levels[-1].select("s", "id", "paths", F.lit(0.0).alias("share"))
+        for above in reversed(levels[:-1]):
+            own = share.where("s <> id").select("id", "share")
+            total = own if total is None else total.unionByName(own)
+            passed = share.select("s", F.col("id").alias("a"), ((1 + F.col("share")) / F.col("paths")).alias("x")).join(both, "a")
+            gained = above.join(passed.select("s", F.col("b").alias("id"), "x"), ["s", "id"], "left").groupBy("s", "id", "paths").agg(F.coalesce(F.sum("x"), F.lit(0.0)).alias("x"))
+            share = staged(gained.select("s", "id", "paths", (F.col("paths") * F.col("x")).alias("share")), "share")
+        if total is not None:
+            total = staged(total.groupBy("id").agg(F.sum("share").alias("share")), "betweenness")
+        for old in levels:
+            dropped(old)
+    if total is None:
+        return seeds.select("id", F.lit(0.0).alias("score")).limit(0)
+    return total.groupBy("id").agg(F.sum("share").alias("score"))
 
 
 def acyclic_rest(edges: DataFrame) -> DataFrame:
-    """What is left of edges(a, b) when nodes without incoming edges are stripped until nothing changes: empty for a DAG."""
-    left = staged(edges.select("a", "b").distinct(), "strip")
+    """What is left of edges(a, b) when nodes without incoming or without outgoing edges are stripped until nothing changes: empty for a DAG.
+
+    The longest path bounds the rounds; stripping both ends halves them.
+    """
+    left = staged(_ends(edges), "strip")
     n = left.count()
-    while True:
-        kept = staged(left.join(left.select(F.col("b").alias("a")).distinct(), "a", "left_semi"), "strip")
+    while n:
+        entered = left.select(F.col("b").alias("a")).distinct()
+        gone_on = left.select(F.col("a").alias("b")).distinct()
+        kept = staged(left.join(entered, "a", "left_semi").join(gone_on, "b", "left_semi").select("a", "b"), "strip")
         m = kept.count()
-        if m in (0, n):
-            return kept
-        left, n = kept, m
+        dropped(left)
+        left = kept
+        if m == n:
+            break
+        n = m
+    return left

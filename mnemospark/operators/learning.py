@@ -1,4 +1,11 @@
-"""Order-dependent learners: folds over each key's rows in time order, as streams of sorted Arrow batches."""
+"""Order-dependent learners: folds over each key's rows in time order, as streams of sorted Arrow batches; symbolic regression.
+
+Edge cases, for all folds: a row whose score is null changes nothing and isn't
+counted, and a key with such rows only gets no row; a null key is a key; rows
+that tie in the order's columns are taken in the order of their values; repeated
+rows count each; an empty table gives no rows; a key's rows are one task's
+stream, of any length, with one state in memory.
+"""
 
 from __future__ import annotations
 
@@ -6,17 +13,24 @@ import math
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 
-def folded(df: DataFrame, key: str, order: list[str], values: list[str], start: Callable, step: Callable, schema: str, result: Callable) -> DataFrame:
+def folded(df: DataFrame, key: str, order: list[str], values: list[str], start: Callable, step: Callable, schema: str, result: Callable, needed: int | None = None) -> DataFrame:
     """One row per key: result(state) after step(state, *values) over its rows in order.
 
     Rows are hash-partitioned by the key and sorted; a task keeps one state at
-    a time, so a key may have any number of rows.
+    a time, so a key may have any number of rows. needed: how many of the first
+    values must not be null (all by default).
     """
     columns = [x.split(" ")[0] for x in schema.split(", ")]
+    types = to_arrow_schema(T.StructType([T.StructField(key, df.schema[key].dataType), *T._parse_datatype_string(schema).fields]))
+
+    def built(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows), types)], names=[key, *columns])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, state, begun = None, None, False
@@ -30,17 +44,21 @@ def folded(df: DataFrame, key: str, order: list[str], values: list[str], start:
                     last, state, begun = k, start(), True
                 state = step(state, *vs)
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out)], names=[key, *columns])
+                yield built(out)
         if begun:
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*[(last, *result(state))])], names=[key, *columns])
+            yield built([(last, *result(state))])
 
     rows = df.select(key, *[F.col(o).alias(f"__{i}") for i, o in enumerate(order)], *[F.col(v).alias(f"__v{i}") for i, v in enumerate(values)])
+    for i in range(len(values) if needed is None else needed):
+        rows = rows.where(F.col(f"__v{i}").isNotNull())
     kind = df.schema[key].dataType.simpleString()
-    return rows.repartition(key).sortWithinPartitions(key, *[f"__{i}" for i in range(len(order))]).mapInArrow(run, f"{key} {kind}, {schema}")
+    return rows.repartition(key).sortWithinPartitions(key, *[f"__{i}" for i in range(len(order))], *[f"__v{i}" for i in range(len(values))]).mapInArrow(run, f"{key} {kind}, {schema}")
 
 
-def surprise_step(state: tuple, score: float) -> tuple:
-    """(n, mean, momentum, promoted) after one more score."""
+def surprise_step(state: tuple, score: float | None) -> tuple:
+    """(n, mean, momentum, promoted) after one more score; a null score changes nothing."""
+    if score is None:
+        return state
     n, mean, momentum, promoted = state
     novelty = abs(score - mean) if n else 1.0
     raw = 0.5 * min(1.0, 2 * novelty) + 0.3 * score + 0.2 * (1.0 / (1 + n))
@@ -51,17 +69,17 @@ def surprise_step(state: tuple, score: float) -> tuple:
 
 def surprise(df: DataFrame, key: str, order: list[str]) -> DataFrame:
     """Momentum surprise: 0.5 novelty + 0.3 salience + 0.2 gap against the key's history, smoothed; (n, promoted, momentum)."""
-    return folded(df, key, order, ["success_score"], lambda: (0, 0.0, 0.0, 0), surprise_step, "n long, promoted long, momentum double", lambda s: (s[0], s[3], round(s[2], 6)))
+    return folded(df, key, order, ["success_score"], lambda: (0, 0.0, 0.0, 0), surprise_step, "n long, promoted long, momentum double", lambda s: (s[0], s[3], s[2]))
 
 
 def q_values(df: DataFrame, key: str, order: list[str], rate: float = 0.1) -> DataFrame:
     """q += rate / (1 + 0.01 n) * (reward - q) from 0.5 on."""
-    return folded(df, key, order, ["success_score"], lambda: (0, 0.5), lambda s, r: (s[0] + 1, s[1] + rate / (1 + 0.01 * s[0]) * (r - s[1])), "n long, q double", lambda s: (s[0], round(s[1], 6)))
+    return folded(df, key, order, ["success_score"], lambda: (0, 0.5), lambda s, r: (s[0] + 1, s[1] + rate / (1 + 0.01 * s[0]) * (r - s[1])), "n long, q double", lambda s: s)
 
 
 def affinity(df: DataFrame, key: str, order: list[str], alpha: float = 0.3) -> DataFrame:
     """Exponential moving average of the scores."""
-    return folded(df, key, order, ["success_score"], lambda: None, lambda s, x: x if s is None else (1 - alpha) * s + alpha * x, "affinity double", lambda s: (round(s, 6),))
+    return folded(df, key, order, ["success_score"], lambda: None, lambda s, x: x if s is None else (1 - alpha) * s + alpha * x, "affinity double", lambda s: (s,))
 
 
 def fisher(df: DataFrame, key: str, order: list[str], decay: float = 0.9) -> DataFrame:
@@ -75,16 +93,64 @@ def fisher(df: DataFrame, key: str, order: list[str], decay: float = 0.9) -> Dat
         mean += d / (n + 1)
         return decay * f + (1 - decay) * x * x, n + 1, mean, m2 + d * (x - mean), z
 
-    return folded(df, key, order, ["success_score"], lambda: (0.0, 0, 0.0, 0.0, 0.0), step, "fisher double, mean double, variance double, max_z double", lambda s: tuple(round(v, 6) for v in (s[0], s[2], s[3] / max(1, s[1] - 1), s[4])))
+    return folded(df, key, order, ["success_score"], lambda: (0.0, 0, 0.0, 0.0, 0.0), step, "fisher double, mean double, variance double, max_z double", lambda s: (s[0], s[2], s[3] / max(1, s[1] - 1), s[4]))
+
+
+#: The features of the confidence model, in order, with the weights that they start with.
+FEATURES = {
+    "citation_count": 0.15, "peer_reviewed_ratio": 0.2, "recency_score": 0.1, "evidence_level_score": 0.2, "contradiction_count": -0.15,
+    "hallucination_flags": -0.25, "text_length": 0.02, "quantitative_claims": 0.05, "source_reliability": 0.15, "semantic_coherence": 0.1,
+}
+
+
+def online_sgd(df: DataFrame, key: str, order: list[str], features: dict[str, float] = FEATURES, target: str = "success_score", rate: float = 0.01, bias: float = 0.5) -> DataFrame:
+    """(key, n, bias, and a weight for each feature): one gradient step a row on the squared error of sigmoid(bias + w . x).
+
+    The gradient leaves the sigmoid's slope out, as the surveyed learner does;
+    weights stay within [-1, 1], the bias within [0, 1]. A null feature is 0.
+    """
+
+    def step(s, y, *xs):
+        n, b, w = s
+        x = [v or 0.0 for v in xs]
+        e = 1 / (1 + math.exp(-(b + sum(p * q for p, q in zip(w, x))))) - y
+        return n + 1, max(0.0, min(1.0, b - rate * 2 * e)), [max(-1.0, min(1.0, p - rate * 2 * e * q)) for p, q in zip(w, x)]
+
+    schema = "n long, bias double, " + ", ".join(f"w_{f} double" for f in features)
+    return folded(df, key, order, [target, *features], lambda: (0, bias, [*features.values()]), step, schema, lambda s: (s[0], s[1], *s[2]), needed=1)
+
 
+#: Forms of one variable x and of two, x and y, with their complexity (symbols).
+FORMS = {"{x}": 1, "{x} * {x}": 3, "sqrt({x})": 2, "ln(1 + {x})": 4, "exp(-{x})": 3, "1 / (1 + {x})": 5}
+PAIR_FORMS = {"{x} * {y}": 3, "{x} / (1 + {y})": 5, "sqrt({x} * {y})": 4, "{x} * exp(-{y})": 5}
 
-def online_sgd(df: DataFrame, key: str, order: list[str], rate: float = 0.05) -> DataFrame:
-    """Online logistic step on one feature; weight within [-1, 1], bias within [0, 1]."""
 
-    def step(s, k, y):
-        w, b = s
-        x = (k or 0) / 100.0
-        e = y - 1 / (1 + math.exp(-(b + w * x)))
-        return max(-1.0, min(1.0, w + rate * e * x)), max(0.0, min(1.0, b + rate * e))
+def expressions(variables: list[str], most: int) -> dict[str, int]:
+    """Expressions of the variables (values from 0 on) up to a complexity."""
+    out = {f.format(x=x): c for x in variables for f, c in FORMS.items()}
+    for x in variables:
+        for y in variables:
+            if x != y:
+                out |= {f.format(x=x, y=y): c for f, c in PAIR_FORMS.items() if x < y or f in ("{x} / (1 + {y})", "{x} * exp(-{y})")}
+    return {e: c for e, c in out.items() if c <= most}
 
-    return folded(df, key, order, ["k", "success_score"], lambda: (0.0, 0.5), step, "weight double, bias double", lambda s: (round(s[0], 6), round(s[1], 6)))
+
+def symbolic_fits(df: DataFrame, target: str, variables: list[str], most: int = 15) -> DataFrame:
+    """(expression, complexity, slope, intercept, r2, best): target = intercept + slope * expression for every expression of a bounded grammar.
+
+    All fits come from one pass of least-squares sums; ``best`` marks those that
+    no simpler or equally simple expression matches (the front of complexity
+    against r2; ties go to the first by name). Rows with a null are left out of
+    the expressions they touch; an expression that is constant has null slope,
+    intercept and r2 and is never best; an empty table fits nothing.
+    """
+    every = expressions(variables, most)
+    y = F.col(target)
+    stats = [F.struct(F.regr_slope(y, F.expr(e)).alias("slope"), F.regr_intercept(y, F.expr(e)).alias("intercept"), F.regr_r2(y, F.expr(e)).alias("r2")).alias(f"f{i}") for i, e in enumerate(every)]
+    one = df.select(target, *variables).agg(*stats)  # one row
+    rows = F.array(*[F.struct(F.lit(e).alias("expression"), F.lit(c).alias("complexity"), F.col(f"f{i}.slope").alias("slope"), F.col(f"f{i}.intercept").alias("intercept"), F.col(f"f{i}.r2").alias("r2")) for i, (e, c) in enumerate(every.items())])
+    fits = one.select(F.explode(rows).alias("r")).select("r.*")
+    # As many rows as expressions: one task settles the front.
+    before = Window.orderBy("complexity", F.desc_nulls_last(F.round("r2", 9)), "expression").rowsBetween(Window.unboundedPreceding, -1)
+    seen = F.coalesce(F.max(F.round("r2", 9)).over(before), F.lit(-1.0))
+    return fits.withColumn("best", F.coalesce((F.round("r2", 9) > seen) & F.col("slope").isNotNull(), F.lit(False)))

@@ -12,134 +12,306 @@ from pyspark.sql import functions as F
 from mnemospark.functions import vector as V
 from mnemospark.sources import storage
 
-#: Query vectors that one scan of the table compares at once.
-QUERY_BLOCK = 1024
+#: Query vectors that a task holds at once, and vectors that it streams past them.
+QUERY_BLOCK, VECTOR_BLOCK = 1024, 262_144
+#: Candidates that a re-ranking takes.
+MAX_CANDIDATES = 10_000
 
 
 def nearest(vectors: DataFrame, query: list[float], k: int, least: float | None = None, exclude: list[int] = ()) -> DataFrame:
-    """(id, score): the k vectors most similar to one query (ties by id)."""
+    """(id, score): the k vectors most similar to one query (ties by id).
+
+    A zero vector's score, and that of a null or of another length, is as
+    ``functions.vector.cosine`` defines it; null scores come last.
+    """
     q = F.array(*[F.lit(float(x)) for x in query])
     hits = vectors.select("id", V.cosine("v", q).alias("score"))
     if exclude:
         hits = hits.where(~F.col("id").isin(*exclude))
     if least is not None:
         hits = hits.where(F.col("score") >= least)
-    return hits.orderBy(F.desc("score"), "id").limit(k)
+    return hits.orderBy(F.desc_nulls_last("score"), "id").limit(k)
+
+
+def _unit(m: np.ndarray) -> np.ndarray:
+    n = np.linalg.norm(m, axis=1, keepdims=True)
+    return np.divide(m, n, out=np.zeros_like(m), where=n > 0)
+
+
+def _matrix(vs: pa.Array) -> np.ndarray:
+    """Rows of a list column (no nulls in it) as unit vectors."""
+    return _unit(vs.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(vs), -1)) if len(vs) else np.zeros((0, 1))
+
+
+def usable(vectors: DataFrame) -> DataFrame:
+    """Rows with an id and a vector with values, none of them null."""
+    return vectors.where(F.col("id").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0) & ~F.exists("v", lambda x: x.isNull()))
+
+
+def _one_length(rows: DataFrame) -> DataFrame:
+    """Usable rows whose vectors have the commonest length (the longer one of equally common ones)."""
+    sizes = rows.groupBy(F.size("v").alias("n")).agg(F.count(F.lit(1)).alias("rows")).orderBy(F.desc("rows"), F.desc("n")).first()
+    return rows.where(F.size("v") == (sizes["n"] if sizes else 0))
 
 
-def knn(vectors: DataFrame, queries: DataFrame, k: int, least: float = -1.0) -> DataFrame:
-    """(query, id, score, rank): the k nearest of each query, itself left out.
+def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k best of each row, ties by id."""
+    if scores.shape[1] > 4 * k:  # cut before sorting; all that tie with the k-th stay
+        least = np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k]
+        width = int((scores >= least[:, None]).sum(axis=1).max(initial=0))
+        cut = np.argsort(-scores, axis=1, kind="stable")[:, :width]
+        scores, ids = np.take_along_axis(scores, cut, 1), np.take_along_axis(ids, cut, 1)
+    order = np.lexsort((ids, -scores), axis=1)[:, :k]
+    return np.take_along_axis(scores, order, 1), np.take_along_axis(ids, order, 1)
 
-    Queries come in blocks of QUERY_BLOCK; every block is broadcast, each task
-    keeps its own k best per query, and the partial lists are merged by a
-    window, so that k rows a task and query are shuffled.
+
+def knn(vectors: DataFrame, queries: DataFrame, k: int, least: float = -1.0, query_block: int = QUERY_BLOCK, vector_block: int = VECTOR_BLOCK) -> DataFrame:
+    """(query, id, score, rank): the k nearest of each query by cosine, itself left out; exact.
+
+    Queries and vectors are dealt into blocks, and every pair of blocks is one
+    tile: a task holds the tile's queries, streams its vectors past them and
+    keeps the k best a query, so that memory is bounded by a block of queries. A
+    query is sent once for each block of vectors and a vector once for each
+    block of queries; nothing passes through the driver. The tiles' lists are
+    merged by a window with k rows a tile and query.
+
+    Edge cases: rows without an id or vector or with nulls in it are left out;
+    vectors of different lengths don't meet; a zero vector has cosine 0 with all; repeated ids of
+    the queries are one query (the first of them by value), of the vectors each
+    its own; ties go to the smaller id; without queries or vectors: no rows.
     """
     spark = vectors.sparkSession
-    rows = queries.select("id", "v").orderBy("id")
-    found = None
-    ids: list[int] = []
-    vs: list[list[float]] = []
+    g, h = (max(1, -(-df.select("id").count() // size)) for df, size in ((queries, query_block), (vectors, vector_block)))
+    v = usable(vectors.select("id", "v"))
+    q = usable(queries.select("id", "v")).groupBy("id").agg(F.min("v").alias("v"))
+    return _tiled(spark, _dealt(q, v, g, h), k, least)
 
-    def scan(ids: list[int], vs: list[list[float]]) -> DataFrame:
-        q = np.array(vs, dtype=np.float64)
-        norm = np.linalg.norm(q, axis=1, keepdims=True)
-        shared = spark.sparkContext.broadcast((np.array(ids), np.divide(q, norm, out=np.zeros_like(q), where=norm > 0)))
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            qid, unit = shared.value
-            best_s, best_i = np.full((len(qid), 0), -np.inf), np.full((len(qid), 0), 0)
-            for b in batches:
-                if not b.num_rows:
+def _dealt(q: DataFrame, v: DataFrame, g: int, h: int) -> DataFrame:
+    """(tile, side, id, v): queries (side 0) and vectors (side 1) of every pair of g blocks of queries and h of vectors."""
+    own = lambda n: F.pmod(F.xxhash64("id"), F.lit(n))
+    left = q.select("id", "v", own(g).alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(h - 1).cast("long"))).alias("j"), F.lit(0).alias("side"))
+    right = v.select("id", "v", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(g - 1).cast("long"))).alias("i"), own(h).alias("j"), F.lit(1).alias("side"))
+    return left.unionByName(right).select(((F.col("i") * h + F.col("j")) * 65_536 + F.size("v") % 65_536).alias("tile"), "side", "id", "v")
+
+
+def _tiled(spark, dealt: DataFrame, k: int, least: float) -> DataFrame:
+    """The k best of each query over all tiles it is in."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tile, qid, unit = None, [], []
+        scores = ids = None
+
+        def close() -> pa.RecordBatch:
+            n = np.concatenate(qid) if qid else np.zeros(0, np.int64)
+            if scores is None or not len(n):
+                return pa.RecordBatch.from_pydict({"query": pa.array([], pa.int64()), "id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
+            keep = (scores >= least) & np.isfinite(scores)
+            return pa.RecordBatch.from_arrays([pa.array(np.broadcast_to(n[:, None], keep.shape)[keep]), pa.array(ids[keep]), pa.array(scores[keep])], names=["query", "id", "score"])
+
+        for batch in batches:
+            key, side = batch.column("tile").to_numpy(), batch.column("side").to_numpy()
+            cut = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (side[1:] != side[:-1])])) if len(key) else []
+            for lo, hi in zip(cut, [*cut[1:], len(key)]):
+                if key[lo] != tile:
+                    if tile is not None:
+                        yield close()
+                    tile, qid, unit, scores, ids = key[lo], [], [], None, None
+                part = batch.slice(lo, hi - lo)
+                own, m = part.column("id").to_numpy(), _matrix(part.column("v"))
+                if side[lo] == 0:
+                    qid.append(own)
+                    unit.append(m)
+                    continue
+                if not qid:
                     continue
-                own = b.column(0).to_numpy()
-                m = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(own), -1)
-                n = np.linalg.norm(m, axis=1, keepdims=True)
-                s = unit @ np.divide(m, n, out=np.zeros_like(m), where=n > 0).T
-                s[qid[:, None] == own[None]] = -np.inf
-                s, i = np.concatenate([best_s, s], axis=1), np.concatenate([best_i, np.broadcast_to(own, (len(qid), len(own)))], axis=1)
-                order = np.lexsort((i, -s), axis=1)[:, :k]
-                best_s, best_i = np.take_along_axis(s, order, 1), np.take_along_axis(i, order, 1)
-            keep = best_s >= least
-            yield pa.RecordBatch.from_arrays([pa.array(np.broadcast_to(qid[:, None], keep.shape)[keep]), pa.array(best_i[keep]), pa.array(best_s[keep])], names=["query", "id", "score"])
-
-        return vectors.select("id", "v").mapInArrow(run, "query long, id long, score double")
-
-    for r in rows.toLocalIterator():
-        ids.append(r.id)
-        vs.append(r.v)
-        if len(ids) == QUERY_BLOCK:
-            part = scan(ids, vs)
-            found, ids, vs = part if found is None else found.unionByName(part), [], []
-    if ids or found is None:
-        part = scan(ids, vs) if ids else vectors.select(F.col("id").alias("query"), "id", F.lit(0.0).alias("score")).limit(0)
-        found = part if found is None else found.unionByName(part)
+                if len(qid) > 1:
+                    qid, unit = [np.concatenate(qid)], [np.concatenate(unit)]
+                for at in range(0, len(own), 2048):
+                    o = own[at : at + 2048]
+                    s = unit[0] @ m[at : at + 2048].T
+                    s[qid[0][:, None] == o[None]] = -np.inf
+                    i = np.broadcast_to(o, s.shape)
+                    if scores is not None:
+                        s, i = np.concatenate([scores, s], axis=1), np.concatenate([ids, i], axis=1)
+                    scores, ids = _best(s, i, k)
+        if tile is not None:
+            yield close()
+
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    found = dealt.repartition(n, "tile").sortWithinPartitions("tile", "side").mapInArrow(run, "query long, id long, score double")
     w = Window.partitionBy("query").orderBy(F.desc("score"), "id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def consolidated(vectors: DataFrame, least: float, block: int = 4 * QUERY_BLOCK) -> DataFrame:
-    """(id, kept_by): vectors that give way, each to the smallest kept id before it with a cosine above ``least``.
+class VectorIndex:
+    """Inverted lists: every vector in the list of its nearest centre; a search looks into the lists nearest to the query.
 
-    In the order of id, a vector is kept when no kept one before it is that
-    similar; all are compared. The smallest ids left come in blocks: what is
-    kept of a block is settled among its own rows and broadcast, and every row
-    left gives way to the first of them or stays for the next block.
+    The centres are fitted on at most ``sample`` rows (the smallest by a hash of
+    their id), a documented bound; all rows are indexed. ``lists`` of 0 means
+    the square root of the number of rows, 4,096 at most.
+    """
+
+    def __init__(self, vectors: DataFrame, lists: int = 0, sample: int = 20_000, rounds: int = 10):
+        v = _one_length(usable(vectors.select("id", "v")))
+        n = v.count()
+        place = F.pmod(F.xxhash64("id"), F.lit(1 << 40))
+        rows = [r.v for r in v.where(place <= F.lit(int((1 << 40) * min(1.0, 1.2 * (sample + 1000) / max(1, n))))).orderBy(place, "id", "v").limit(sample).collect()]
+        x = _unit(np.array(rows, dtype=np.float64)) if rows else np.zeros((0, 1))
+        k = max(1, min(lists or int(n**0.5), 4096, len(x) or 1))
+        c = x[:k].copy()
+        for _ in range(rounds):
+            near = (x @ c.T).argmax(axis=1) if len(x) else np.zeros(0, int)
+            for j in range(len(c)):
+                if (own := x[near == j]).size:
+                    c[j] = own.sum(axis=0)
+            c = _unit(c)
+        self.vectors, self.centres = vectors, c
+        self.listed = storage.staged(self._nearest_lists(v, 1), "index")
+
+    def _nearest_lists(self, rows: DataFrame, probes: int) -> DataFrame:
+        shared = rows.sparkSession.sparkContext.broadcast(self.centres)  # at most 4,096 vectors
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            c = shared.value
+            for batch in batches:
+                if batch.num_rows:
+                    near = np.argsort(-(_matrix(batch.column(1)) @ c.T), axis=1, kind="stable")[:, :probes]
+                    lists = pa.ListArray.from_arrays(pa.array(np.arange(0, near.size + 1, near.shape[1], dtype=np.int32)), pa.array(near.ravel().astype(np.int64)))
+                    yield pa.RecordBatch.from_arrays([*batch.columns, lists], names=["id", "v", "lists"])
+
+        return rows.mapInArrow(run, "id long, v array<double>, lists array<long>").select("id", "v", F.explode("lists").alias("list"))
+
+    def search(self, queries: DataFrame, k: int, probes: int, least: float = -1.0) -> DataFrame:
+        """As ``knn``, but only among the ``probes`` lists nearest to each query."""
+        q = self._nearest_lists(usable(queries.select("id", "v")).groupBy("id").agg(F.min("v").alias("v")), probes)
+        sizes = self.listed.groupBy("list").agg(F.count(F.lit(1)).alias("n"))
+        parts = F.greatest(F.lit(1), F.ceil(F.col("n") / VECTOR_BLOCK)).cast("long")
+        # A long list is cut into parts, and its queries go to each of them.
+        cut = F.broadcast(sizes.select("list", parts.alias("parts")))  # at most 4,096 rows
+        every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part")
+        left = q.join(cut, "list").select("id", "v", "list", every, F.lit(0).alias("side"))
+        right = self.listed.join(cut, "list").select("id", "v", "list", F.pmod(F.xxhash64("id"), F.col("parts")).alias("part"), F.lit(1).alias("side"))
+        # The queries of a list are held by one task: they are cut into blocks as well.
+        many = q.groupBy("list").agg((F.floor(F.count(F.lit(1)) / QUERY_BLOCK) + 1).cast("long").alias("blocks"))
+        left = left.join(F.broadcast(many), "list").withColumn("b", F.pmod(F.xxhash64("id", F.lit(1)), F.col("blocks"))).drop("blocks")
+        right = right.join(F.broadcast(many), "list").withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).drop("blocks")
+        dealt = left.unionByName(right).select(F.xxhash64("list", "part", "b").alias("tile"), "side", "id", "v")
+        return _tiled(self.listed.sparkSession, dealt, k, least)
+
+    def probes_for(self, queries: DataFrame, k: int, recall: float = 0.9) -> tuple[int, float]:
+        """(the fewest lists, doubling, that reach the recall against brute force on these queries; the recall)."""
+        truth = storage.staged(knn(self.vectors, queries, k).select("query", "id"), "truth")
+        n, probes = truth.count(), 1
+        while True:
+            hit = truth.join(self.search(queries, k, probes).select("query", "id"), ["query", "id"], "left_semi").count()
+            if not n or hit >= recall * n or probes >= len(self.centres):
+                return probes, hit / n if n else 1.0
+            probes = min(len(self.centres), 2 * probes)
+
+
+def consolidated(vectors: DataFrame, least: float, block: int = 4 * QUERY_BLOCK, order: list[str] = ("id",)) -> DataFrame:
+    """(id, kept_by): vectors that give way, each to the first kept one before it with a cosine above ``least``.
+
+    In ``order`` (names of columns, "-" before one that descends; id last), a
+    vector is kept when no kept one before it is that similar; all are compared.
+    The first rows left come in blocks: what is kept of a block is settled among
+    its own rows and broadcast, and every row left gives way to the first of
+    them or stays for the next block. The rounds, a scan of what is left each,
+    are the kept rows divided by those kept of a block: greedy elimination is
+    quadratic in what it keeps.
+
+    Edge cases: as in ``knn``; null values of the order's columns come last;
+    repeated ids are compared like others and all but the first give way if similar.
     """
     spark = vectors.sparkSession
     hits = storage.new_path(spark, "given_way")
-    rest, old = vectors.select("id", "v"), None
+    names = [o.lstrip("-") for o in order]
+    by = [F.col(o[1:]).desc_nulls_last() if o[0] == "-" else F.col(o).asc_nulls_last() for o in order]
+    rest = _one_length(usable(vectors.select("id", "v", *[n for n in names if n != "id"]))).withColumn("row", F.monotonically_increasing_id())
+    rest = first = storage.staged(rest, "consolidated")
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rest.schema.fields)
+    old = None
 
-    def unit(m: np.ndarray) -> np.ndarray:
-        n = np.linalg.norm(m, axis=1, keepdims=True)
-        return np.divide(m, n, out=np.zeros_like(m), where=n > 0)
-
-    def against(ids: np.ndarray, kept: np.ndarray):
-        shared = spark.sparkContext.broadcast((ids, kept))
+    def against(rows: np.ndarray, ids: np.ndarray, kept: np.ndarray, m: np.ndarray):
+        """rows of the block in order; kept: places of those kept; m: their vectors."""
+        shared = spark.sparkContext.broadcast((rows, ids, kept, m))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            ids, kept = shared.value
+            rows, ids, kept, m = shared.value
+            sorter = np.argsort(rows)
             for batch in batches:
                 for at in range(0, batch.num_rows, 512):
                     b = batch.slice(at, 512)
-                    own = b.column(0).to_numpy()
-                    s = unit(b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(own), -1)) @ kept.T > least
-                    s &= ids[None] < own[:, None]
-                    hit, stays = s.any(axis=1), ~np.isin(own, ids)
-                    by = pa.array(ids[s.argmax(axis=1)], pa.int64(), mask=~hit)
-                    yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), by], names=["id", "v", "kept_by"]).filter(pa.array(stays))
+                    own = b.column("row").to_numpy()
+                    k = np.minimum(np.searchsorted(rows, own, sorter=sorter), len(rows) - 1)
+                    place = np.where(rows[sorter[k]] == own, sorter[k], len(rows))
+                    s = _matrix(b.column("v")) @ m.T > least
+                    s &= kept[None] < place[:, None]
+                    hit, stays = s.any(axis=1), ~np.isin(place, kept)
+                    yield pa.RecordBatch.from_arrays([*b.columns, pa.array(ids[kept[s.argmax(axis=1)]], pa.int64(), mask=~hit)], names=[*b.schema.names, "kept_by"]).filter(pa.array(stays))
 
         return run
 
-    while head := rest.orderBy("id").limit(block).collect():
-        ids, m = np.array([r.id for r in head]), unit(np.array([r.v for r in head], dtype=np.float64))
+    while head := rest.orderBy(*by, "row").limit(block).select("row", "id", "v").collect():
+        rows, ids, m = np.array([r.row for r in head]), np.array([r.id for r in head]), _unit(np.array([r.v for r in head], dtype=np.float64))
         kept, gone = [], np.zeros(len(ids), bool)
         for i in range(len(ids)):
             if not gone[i]:
                 kept.append(i)
                 gone[i + 1 :] |= m[i + 1 :] @ m[i] > least
-        now = storage.staged(rest.mapInArrow(against(ids[kept], m[kept]), "id long, v array<double>, kept_by long"), "consolidated")
+        now = storage.staged(rest.mapInArrow(against(rows, ids, np.array(kept), m[kept]), kinds + ", kept_by long"), "consolidated")
         now.where("kept_by IS NOT NULL").select("id", "kept_by").write.mode("append").parquet(hits)
-        if old is not None:
-            storage.dropped(old)
-        rest, old = now.where("kept_by IS NULL").select("id", "v"), now
+        storage.dropped(old or first)
+        rest, old = now.where("kept_by IS NULL").drop("kept_by"), now
     if old is None:
         return spark.createDataFrame([], "id long, kept_by long")
     storage.dropped(old)
     return spark.read.schema("id long, kept_by long").parquet(hits)
 
 
+def consolidated_bank(memories: DataFrame, similar: float, old_days: int, least_uses: int, most: int) -> DataFrame:
+    """memories(id, v, confidence, uses, age) -> (id, verdict, kept_by).
+
+    Surer memories first: "duplicate" gives way to a kept one with a cosine above
+    ``similar``; of the rest, "unused" is older than old_days with fewer than
+    least_uses uses, and "excess" lies beyond the ``most`` surest. Ids are
+    unique; memories without a usable vector are no duplicates.
+    """
+    given = consolidated(memories, similar, order=["-confidence", "id"])
+    j = memories.select("id", "confidence", "uses", "age").join(given, "id", "left")
+    unused = (F.col("age") > old_days) & (F.col("uses") < least_uses)
+    j = storage.staged(j.withColumn("verdict", F.when(F.col("kept_by").isNotNull(), "duplicate").when(unused, "unused").otherwise("kept")), "bank")
+    # The limit is the feature; the top-k is merged from the tasks' own.
+    best = j.where("verdict = 'kept'").orderBy(F.desc_nulls_last("confidence"), F.desc_nulls_last("uses"), "id").limit(most).select("id", F.lit(True).alias("stays"))
+    verdict = F.when((F.col("verdict") == "kept") & F.col("stays").isNull(), "excess").otherwise(F.col("verdict"))
+    return j.join(best, "id", "left").select("id", verdict.alias("verdict"), "kept_by")
+
+
 def fused(lists: dict[str, DataFrame], k: int, constant: int = 60) -> DataFrame:
-    """Reciprocal rank fusion of ranked lists (id, rank): sum of 1 / (constant + rank), and the share of lists hit."""
+    """Reciprocal rank fusion of ranked lists (id, rank): sum of 1 / (constant + rank), and the share of lists hit.
+
+    Null ids and ranks are left out; an id that a list has twice counts twice in
+    the score and once in the share; ties go to the smaller id; empty lists give no rows.
+    """
     every = None
     for name, df in lists.items():
-        df = df.select("id", "rank", F.lit(name).alias("source"))
+        df = df.where("id IS NOT NULL AND rank IS NOT NULL").select("id", "rank", F.lit(name).alias("source"))
         every = df if every is None else every.unionByName(df)
     g = every.groupBy("id").agg(F.sum(1.0 / (constant + F.col("rank"))).alias("score"), (F.count_distinct("source") / len(lists)).alias("diversity"))
     return g.orderBy(F.desc("score"), "id").limit(k)
 
 
 def diverse(candidates: DataFrame, k: int, weight: float = 0.7) -> DataFrame:
-    """Greedy maximal marginal relevance over candidates(id, score, v), a top-N list: (id, place)."""
+    """Greedy maximal marginal relevance over candidates(id, score, v), a top-N list: (id, place).
+
+    The list is one task's work, so its size is checked: MAX_CANDIDATES at most.
+    Candidates without an id, a score or a usable vector are left out; ties go
+    to the smaller id; with fewer than k candidates all are placed.
+    """
+    few = usable(candidates.select("id", "score", "v")).where("score IS NOT NULL").limit(MAX_CANDIDATES + 1)
+    if (n := few.count()) > MAX_CANDIDATES:
+        raise ValueError(f"diverse() re-ranks a top list of {MAX_CANDIDATES} candidates at most, not {n} and more")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = [r for b in batches for r in b.to_pylist()]
@@ -154,15 +326,23 @@ def diverse(candidates: DataFrame, k: int, weight: float = 0.7) -> DataFrame:
             left.remove(i)
         yield pa.RecordBatch.from_pydict({"id": pa.array([rows[i]["id"] for i in chosen], pa.int64()), "place": pa.array(range(1, len(chosen) + 1), pa.int32())})
 
-    return candidates.select("id", "score", "v").coalesce(1).mapInArrow(run, "id long, place int")
+    return few.coalesce(1).mapInArrow(run, "id long, place int")
 
 
 def kmeans(vectors: DataFrame, k: int, seed: int = 1) -> DataFrame:
-    """(id, cluster) by Spark ML."""
+    """(id, cluster) by Spark ML.
+
+    Rows without an id or a usable vector, or of another length than most, are
+    left out; fewer distinct vectors than k give fewer clusters; an empty table
+    gives no rows.
+    """
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
-    df = vectors.select("id", array_to_vector("v").alias("features"))
+    rows = _one_length(usable(vectors.select("id", "v")))
+    if rows.isEmpty():
+        return rows.select("id", F.lit(0).alias("cluster"))
+    df = rows.select("id", array_to_vector("v").alias("features"))
     return KMeans(k=k, seed=seed, maxIter=100, tol=1e-3).fit(df).transform(df).select("id", F.col("prediction").alias("cluster"))
 
 
@@ -192,7 +372,14 @@ class FuzzyART:
 
 
 def art_categories(vectors: DataFrame, key: str, **options) -> DataFrame:
-    """(key, id, category): one ART per key, fed in the order of id; keys are sorted streams, not collected groups."""
+    """(key, id, category): one ART per key, fed in the order of id; keys are sorted streams, not collected groups.
+
+    A category depends on all vectors before it, so a key is one task's stream,
+    with ``most`` prototypes in memory; parallelism is the number of keys. Rows
+    without an id or a usable vector, or of another length than most, are left
+    out; a null key is a key; a constant vector is scaled to zeros; repeated
+    ids are each learnt, in the order of their vectors.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, art = object(), None
@@ -205,5 +392,5 @@ def art_categories(vectors: DataFrame, key: str, **options) -> DataFrame:
                 out.append(art.learn((x - x.min()) / max(float(np.ptp(x)), 1e-12)))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.int32())], names=[key, "id", "category"])
 
-    df = vectors.select(F.col(key).cast("long").alias(key), "id", "v")
-    return df.repartition(key).sortWithinPartitions(key, "id").mapInArrow(run, f"{key} long, id long, category int")
+    df = _one_length(usable(vectors.select(F.col(key).cast("long").alias(key), "id", "v")))
+    return df.repartition(key).sortWithinPartitions(key, "id", "v").mapInArrow(run, f"{key} long, id long, category int")

@@ -84,7 +84,17 @@ def pagerank(spark, sf):
     return G.pagerank(_undirected(spark, sf), 10).select("id", S.rounded("rank").alias("rank"))
 
 
-@query("g09_betweenness")
+def _betweenness_sql(depth: int) -> str:
+    """Shortest paths of up to ``depth`` steps counted level by level, then the share of each node on them."""
+    out = ctes("associations") + ", u AS (SELECT a_id AS a, b_id AS b FROM associations WHERE a_id <> b_id AND strength >= 0.2 UNION SELECT b_id, a_id FROM associations WHERE a_id <> b_id AND strength >= 0.2), l0 AS MATERIALIZED (SELECT DISTINCT a AS s, a AS t, 1.0::DOUBLE AS paths FROM u)"
+    for d in range(1, depth + 1):
+        near = f"SELECT s, t FROM l{d - 1}" + (f" UNION ALL SELECT s, t FROM l{d - 2}" if d > 1 else "")
+        out += f", l{d} AS MATERIALIZED (SELECT s, b AS t, sum(paths) AS paths FROM l{d - 1} JOIN u ON t = a WHERE (s, b) NOT IN ({near}) GROUP BY s, b)"
+    out += ", p AS MATERIALIZED (" + " UNION ALL ".join(f"SELECT s, t, {d} AS d, paths FROM l{d}" for d in range(depth + 1)) + "), n AS (SELECT count(*) AS n FROM l0)"
+    return out + ", x AS (SELECT v.t AS id, sum(v.paths * w.paths / e.paths) AS score FROM p e JOIN p v ON v.s = e.s JOIN p w ON w.s = v.t AND w.t = e.t WHERE v.d + w.d = e.d AND v.d > 0 AND w.d > 0 GROUP BY 1) SELECT l0.t AS id, round(coalesce(score, 0) / CASE WHEN n > 2 THEN (n - 1) * (n - 2) ELSE 1 END, 6) AS score FROM l0 LEFT JOIN x ON x.id = l0.t, n"
+
+
+@query("g09_betweenness", _betweenness_sql(12))
 def betweenness(spark, sf):
     e = T.associations(spark, sf).where("strength >= 0.2").select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))
     return G.betweenness(e, G.both_ways(e).select(F.col("a").alias("id")).distinct()).select("id", S.rounded("score").alias("score"))
@@ -98,20 +108,22 @@ def recency_weights(spark, sf):
     return l.select("id", S.rounded(S.half_life_weight(S.hours_between(F.lit(now), "t") / 24)).alias("weight"))
 
 
-@query("g11_would_create_cycle", ctes("causal_links", recursive=True) + ", e AS (SELECT cause_id, effect_id FROM causal_links WHERE strength >= 0.4), c AS (SELECT cause_id AS a, effect_id AS b FROM e WHERE cause_id < 20), r(seed, id, depth) AS (SELECT DISTINCT b, b, 0 FROM c UNION SELECT seed, effect_id, depth + 1 FROM r JOIN e ON cause_id = id WHERE depth < 2) SELECT a, b, EXISTS (SELECT 1 FROM r WHERE seed = b AND id = a) AS cyclic FROM c")
-def would_create_cycle(spark, sf):
-    e = _links(spark, sf, 0.4)
-    return G.closing(e, e.where("a < 20"), 2)
-
-
-@query("g11_would_create_cycle_all", ctes("causal_links", recursive=True) + ", e AS (SELECT cause_id AS a, effect_id AS b FROM causal_links WHERE strength >= 0.4), r(seed, id, depth) AS (SELECT DISTINCT b, b, 0 FROM e UNION SELECT seed, b, depth + 1 FROM r JOIN e ON a = id WHERE depth < 10), w AS (SELECT DISTINCT seed, id FROM r) SELECT a, b, id IS NOT NULL AS cyclic FROM e LEFT JOIN w ON seed = b AND id = a")
-def would_create_cycle_all(spark, sf, depth: int = 10):
+@query("g11_would_create_cycle", ctes("causal_links", recursive=True) + ", e AS (SELECT cause_id AS a, effect_id AS b FROM causal_links WHERE strength >= 0.4), r(seed, id, depth) AS (SELECT DISTINCT b, b, 0 FROM e UNION SELECT seed, b, depth + 1 FROM r JOIN e ON a = id WHERE depth < 10), w AS (SELECT DISTINCT seed, id FROM r) SELECT a, b, id IS NOT NULL AS cyclic FROM e LEFT JOIN w ON seed = b AND id = a")
+def would_create_cycle(spark, sf, depth: int = 10):
     """Every edge: whether a way of up to ten steps leads back."""
     e = _links(spark, sf, 0.4)
     return G.closing(e, e, depth)
 
 
-@query("g12_causal_chain")
+def _chain_sql(depth: int) -> str:
+    out = ctes("causal_links") + ", l0 AS (SELECT 5::BIGINT AS id, 0 AS depth, NULL::BIGINT AS parent, 1.0::DOUBLE AS strength)"
+    for d in range(1, depth + 1):
+        seen = " UNION ALL ".join(f"SELECT id FROM l{i}" for i in range(d))
+        out += f", l{d} AS (SELECT effect_id AS id, {d} AS depth, cause_id AS parent, c.strength FROM causal_links c JOIN l{d - 1} ON cause_id = id WHERE c.strength >= 0.3 AND effect_id NOT IN ({seen}) QUALIFY row_number() OVER (PARTITION BY effect_id ORDER BY c.strength DESC, cause_id) = 1)"
+    return out + " " + " UNION ALL ".join(f"SELECT * FROM l{d}" for d in range(depth + 1))
+
+
+@query("g12_causal_chain", _chain_sql(3))
 def causal_chain(spark, sf):
     return G.chain(_links(spark, sf, 0.3), 5, 3)
 
@@ -134,18 +146,8 @@ def spread_activation(spark, sf):
     return G.activation(e, seeds, 2, 0.3, 0.05).withColumn("activation", S.rounded("activation"))
 
 
-@query("g16_cycles", ctes("causal_links") + ", e AS (SELECT cause_id AS a, effect_id AS b FROM causal_links WHERE strength >= 0.6) SELECT 2 AS length, x.a || '>' || x.b AS cycle, 'CRITICAL' AS severity FROM e x JOIN e y ON x.b = y.a AND y.b = x.a WHERE x.a < x.b UNION ALL SELECT 3, x.a || '>' || x.b || '>' || y.b, 'HIGH' FROM e x JOIN e y ON x.b = y.a JOIN e z ON y.b = z.a AND z.b = x.a WHERE x.a < x.b AND x.a < y.b AND x.b <> y.b")
-def cycles(spark, sf):
-    """Simple cycles of two and three causes, each written from its smallest node."""
-    e = _links(spark, sf, 0.6).select("a", "b")
-    x, y, z = (e.select(F.col("a").alias(f"{s}a"), F.col("b").alias(f"{s}b")) for s in "xyz")
-    two = x.where("xa < xb").join(y, (F.col("xb") == F.col("ya")) & (F.col("yb") == F.col("xa"))).select(F.lit(2).alias("length"), F.concat_ws(">", F.col("xa").cast("string"), F.col("xb").cast("string")).alias("cycle"), F.lit("CRITICAL").alias("severity"))
-    three = x.where("xa < xb").join(y, F.col("xb") == F.col("ya")).where("xa < yb AND xb <> yb").join(z, (F.col("yb") == F.col("za")) & (F.col("zb") == F.col("xa")))
-    return two.unionByName(three.select(F.lit(3).alias("length"), F.concat_ws(">", F.col("xa").cast("string"), F.col("xb").cast("string"), F.col("yb").cast("string")).alias("cycle"), F.lit("HIGH").alias("severity")))
-
-
-@query("g16_cycles_all", ctes("causal_links", recursive=True) + ", e AS (SELECT cause_id AS a, effect_id AS b FROM causal_links WHERE strength >= 0.6), w(path, last) AS (SELECT [a, b], b FROM e WHERE a < b UNION ALL SELECT list_append(path, b), b FROM w JOIN e ON a = last WHERE len(path) < 6 AND b > path[1] AND NOT list_contains(path, b)) SELECT CAST(len(path) AS INT) AS length, array_to_string(path, '>') AS cycle, CASE WHEN len(path) <= 2 THEN 'CRITICAL' WHEN len(path) <= 4 THEN 'HIGH' ELSE 'MEDIUM' END AS severity FROM w JOIN e ON a = last AND b = path[1]")
-def cycles_all(spark, sf, most: int = 6):
+@query("g16_cycles", ctes("causal_links", recursive=True) + ", e AS (SELECT cause_id AS a, effect_id AS b FROM causal_links WHERE strength >= 0.6), w(path, last) AS (SELECT [a, b], b FROM e WHERE a < b UNION ALL SELECT list_append(path, b), b FROM w JOIN e ON a = last WHERE len(path) < 6 AND b > path[1] AND NOT list_contains(path, b)) SELECT CAST(len(path) AS INT) AS length, array_to_string(path, '>') AS cycle, CASE WHEN len(path) <= 2 THEN 'CRITICAL' WHEN len(path) <= 4 THEN 'HIGH' ELSE 'MEDIUM' END AS severity FROM w JOIN e ON a = last AND b = path[1]")
+def cycles(spark, sf, most: int = 6):
     """Simple cycles of up to six causes. Their number grows with the sixth power of a node's edges."""
     c = G.cycles(_links(spark, sf, 0.6), most)
     severity = F.when(F.col("length") <= 2, "CRITICAL").when(F.col("length") <= 4, "HIGH").otherwise("MEDIUM")
@@ -160,7 +162,11 @@ def chain_validation(spark, sf):
     return e.join(back, ["a", "b"], "left").groupBy(v.alias("verdict")).agg(rows().alias("n"))
 
 
-@query("g18_has_cycles", "SELECT 0 AS edges_on_cycles")
+#: Edges (of e) on a way from one cycle to another, or on a cycle, counted by the closure of all ways.
+ON_CYCLES = ", r(s, t) AS (SELECT a, b FROM e UNION SELECT s, b FROM r JOIN e ON t = a), c AS (SELECT s AS id FROM r WHERE s = t) SELECT CAST(count(*) AS INT) AS edges_on_cycles FROM e WHERE a IN (SELECT id FROM c UNION SELECT t FROM r JOIN c ON s = id) AND b IN (SELECT id FROM c UNION SELECT s FROM r JOIN c ON t = id)"
+
+
+@query("g18_has_cycles", "WITH RECURSIVE e AS (SELECT c_custkey + 1000 AS a, CAST(c_nationkey + 100 AS BIGINT) AS b FROM customer UNION SELECT n_nationkey + 100, n_regionkey FROM nation)" + ON_CYCLES)
 def has_cycles(spark, sf):
     """Customer to nation to region is a DAG: nothing is left after stripping."""
     c = T.base(spark, sf, "customer").select((F.col("c_custkey") + 1000).alias("a"), (F.col("c_nationkey") + 100).cast("long").alias("b"))
@@ -168,10 +174,10 @@ def has_cycles(spark, sf):
     return G.acyclic_rest(c.unionByName(n)).agg(rows().cast("int").alias("edges_on_cycles"))
 
 
-@query("g18_has_cycles_links")
+@query("g18_has_cycles_links", ctes("causal_links", recursive=True) + ", e AS (SELECT cause_id AS a, effect_id AS b FROM causal_links WHERE strength >= 0.6)" + ON_CYCLES)
 def has_cycles_links(spark, sf):
     """Causal links left after stripping: none where they have no cycle."""
-    return G.acyclic_rest(_links(spark, sf)).agg(rows().cast("int").alias("edges_on_cycles"))
+    return G.acyclic_rest(_links(spark, sf, 0.6)).agg(rows().cast("int").alias("edges_on_cycles"))
 
 
 @query("g20_provenance_chain", "SELECT o_orderkey, l_linenumber AS place, p_name AS source FROM orders JOIN lineitem ON o_orderkey = l_orderkey JOIN part ON l_partkey = p_partkey WHERE o_orderkey % 100 = 0 AND l_linenumber <= 3".replace("o_orderkey % 100 = 0 AND ", ""))

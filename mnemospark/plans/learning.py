@@ -44,15 +44,36 @@ def retention(spark, sf):
     return _aged(spark, sf).select("action_id", S.rounded(S.retention_score("success_score", "k", F.col("h") / 24, F.when(F.col("action_type") == "purchase", 0.1).otherwise(0.0))).alias("score"))
 
 
-@query("d05_surprise")
+def fold_sql(key: str, start: dict[str, str], step: dict[str, str], extra: str = "") -> str:
+    """SQL of a fold over each key's rows in order: ``f`` has the last state of each.
+
+    A step's expressions read the state before (r.name) and the row (a.x and ``extra``).
+    """
+    rows = f"a AS (SELECT {key} AS key, success_score AS x{extra}, row_number() OVER (PARTITION BY {key} ORDER BY executed_at, action_id) AS i FROM actions)"
+    first = ", ".join(f"{v} AS {k}" for k, v in start.items())
+    then = ", ".join(step[k] for k in start)
+    fold = f"r AS (SELECT DISTINCT key, 0::BIGINT AS i, {first} FROM a UNION ALL SELECT r.key, r.i + 1, {then} FROM r JOIN a ON a.key = r.key AND a.i = r.i + 1)"
+    return ctes("actions", recursive=True) + f", {rows}, {fold}, f AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY key ORDER BY i DESC) = 1) "
+
+
+_RAW = "(0.5 * least(1.0, 2 * CASE WHEN r.n > 0 THEN abs(a.x - r.mean) ELSE 1.0 END) + 0.3 * a.x + 0.2 * (1.0::DOUBLE / (1 + r.n)))"
+_MOMENTUM = f"CASE WHEN r.n = 0 THEN {_RAW} ELSE 0.7 * r.momentum + 0.3 * {_RAW} END"
+SURPRISE = fold_sql(
+    "agent_id",
+    {"n": "0::BIGINT", "mean": "0.0::DOUBLE", "momentum": "0.0::DOUBLE", "promoted": "0::BIGINT"},
+    {"n": "r.n + 1", "mean": "r.mean + (a.x - r.mean) / (r.n + 1)", "momentum": _MOMENTUM, "promoted": f"r.promoted + CASE WHEN {_MOMENTUM} >= 0.3 + 0.1 * least(1.0, r.n::DOUBLE / 50) THEN 1 ELSE 0 END"},
+)
+
+
+@query("d05_surprise", SURPRISE + "SELECT key AS agent_id, n, promoted, round(momentum, 6) AS momentum FROM f")
 def surprise(spark, sf):
-    return L.surprise(T.actions(spark, sf), "agent_id", ORDER)
+    return L.surprise(T.actions(spark, sf), "agent_id", ORDER).withColumn("momentum", S.rounded("momentum"))
 
 
-@query("d06_consolidation")
+@query("d06_consolidation", SURPRISE + "SELECT key AS agent_id, CASE WHEN promoted * 2 >= n THEN 'promote' ELSE 'skip' END AS verdict, round(momentum, 6) AS momentum FROM f")
 def consolidation(spark, sf):
     s = L.surprise(T.actions(spark, sf), "agent_id", ORDER)
-    return s.select("agent_id", F.when(F.col("promoted") * 2 >= F.col("n"), "promote").otherwise("skip").alias("verdict"), "momentum")
+    return s.select("agent_id", F.when(F.col("promoted") * 2 >= F.col("n"), "promote").otherwise("skip").alias("verdict"), S.rounded("momentum").alias("momentum"))
 
 
 @query("d07_granularity", AGE + ", g AS (SELECT k, avg(success_score) AS imp, count(*) / 30.0 AS per_day, min(h) / 24 AS age, count(DISTINCT action_type) AS refs FROM t GROUP BY k), s AS (SELECT k, 0.35 * imp + 0.2 * least(1.0, per_day / 10) + 0.15 * exp(-age / 30) + CASE WHEN refs > 4 THEN 0.3 ELSE 0.1 END + 0.1 * least(1.0, refs / 10.0) AS s FROM g) SELECT k, round(s, 6) AS score, CASE WHEN s >= 0.8 THEN 'full' WHEN s >= 0.6 THEN 'detailed' WHEN s >= 0.4 THEN 'standard' WHEN s >= 0.2 THEN 'summary' ELSE 'minimal' END AS level FROM s")
@@ -87,9 +108,9 @@ def select_variant(spark, sf):
     return _variants(spark, sf).groupBy("action_type").agg(best.alias("b")).select("action_type", (-F.col("b.k")).alias("k"))
 
 
-@query("d11_affinity")
+@query("d11_affinity", fold_sql("context", {"s": "NULL::DOUBLE"}, {"s": "CASE WHEN r.s IS NULL THEN a.x ELSE 0.7 * r.s + 0.3 * a.x END"}) + "SELECT key AS context, round(s, 6) AS affinity FROM f")
 def affinity(spark, sf):
-    return L.affinity(T.actions(spark, sf), "context", ORDER)
+    return L.affinity(T.actions(spark, sf), "context", ORDER).withColumn("affinity", S.rounded("affinity"))
 
 
 @query("d12_evolution", VARIANTS + " SELECT CASE WHEN n >= 5 AND fit < 0.45 THEN 'prune' WHEN n >= 5 AND fit > 0.55 THEN 'mutate' ELSE 'keep' END AS action, count(*) AS variants FROM f GROUP BY 1")
@@ -118,9 +139,9 @@ def recommended_tier(spark, sf):
     return _bias(spark, sf).select("action_type", F.when(n < 3, "balanced").when((s >= m) & (s >= c), "simple").when(m >= c, "balanced").otherwise("complex").alias("tier"), S.rounded(F.when(n < 3, 0.3).otherwise(F.least(F.lit(0.9), n / 50.0 + 0.3))).alias("confidence"))
 
 
-@query("d15_q_values")
+@query("d15_q_values", fold_sql("context", {"q": "0.5::DOUBLE"}, {"q": "r.q + 0.1 / (1 + 0.01 * r.i) * (a.x - r.q)"}) + "SELECT key AS context, i AS n, round(q, 6) AS q FROM f")
 def q_values(spark, sf):
-    return L.q_values(T.actions(spark, sf), "context", ORDER)
+    return L.q_values(T.actions(spark, sf), "context", ORDER).withColumn("q", S.rounded("q"))
 
 
 @query("d16_boosted_scores", ctes("actions") + ", q AS (SELECT context, round(avg(success_score), 6) AS q FROM actions GROUP BY 1) SELECT action_id, round(least(1.0, greatest(0.0, success_score + (q - 0.5) * 0.4)), 6) AS score FROM actions JOIN q USING (context)")
@@ -147,12 +168,25 @@ def uncertainty(spark, sf):
     return T.beliefs(spark, sf).select("agent_id", "statement", S.rounded(S.uncertainty("probability")).alias("uncertainty"))
 
 
-@query("d19_fisher")
+FISHER = fold_sql(
+    "agent_id",
+    {"fisher": "0.0::DOUBLE", "mean": "0.0::DOUBLE", "m2": "0.0::DOUBLE", "z": "0.0::DOUBLE"},
+    {
+        "fisher": "0.9 * r.fisher + 0.1 * a.x * a.x",
+        "mean": "r.mean + (a.x - r.mean) / (r.i + 1)",
+        "m2": "r.m2 + (a.x - r.mean) * (a.x - (r.mean + (a.x - r.mean) / (r.i + 1)))",
+        "z": "CASE WHEN r.i > 1 AND r.m2 > 0 THEN greatest(r.z, abs(a.x - r.mean) / sqrt(r.m2 / (r.i - 1))) ELSE r.z END",
+    },
+)
+
+
+@query("d19_fisher", FISHER + "SELECT key AS agent_id, round(fisher, 6) AS fisher, round(mean, 6) AS mean, round(m2 / greatest(1, i - 1), 6) AS variance, round(z, 6) AS max_z FROM f")
 def fisher(spark, sf):
-    return L.fisher(T.actions(spark, sf), "agent_id", ORDER)
+    f = L.fisher(T.actions(spark, sf), "agent_id", ORDER)
+    return f.select("agent_id", *[S.rounded(c).alias(c) for c in ("fisher", "mean", "variance", "max_z")])
 
 
-@query("d20_task_boundary")
+@query("d20_task_boundary", FISHER + "SELECT key AS agent_id, z > 2.0 AS boundary FROM f")
 def task_boundary(spark, sf):
     return L.fisher(T.actions(spark, sf), "agent_id", ORDER).select("agent_id", (F.col("max_z") > 2.0).alias("boundary"))
 
@@ -164,9 +198,27 @@ def ewc_loss(spark, sf, strength: float = 0.4):
     return T.vectors(spark, sf).select("id", S.rounded(F.aggregate(each, F.lit(0.0), lambda s, x: s + x) * (strength / 2)).alias("loss"))
 
 
-@query("d22_online_sgd")
+def _claims(spark, sf):
+    """Ten features of each action, between 0 and 1."""
+    a = T.actions(spark, sf)
+    return a.select("agent_id", *ORDER, "success_score", *[((F.col("k") * (2 * i + 1) + i) % 11 / 10.0).alias(f) for i, f in enumerate(L.FEATURES)])
+
+
+_W = range(len(L.FEATURES))
+_ERROR = "(1 / (1 + exp(-(r.b + " + " + ".join(f"r.w{i} * a.f{i}" for i in _W) + "))) - a.x)"
+SGD = fold_sql(
+    "agent_id",
+    {"b": "0.5::DOUBLE"} | {f"w{i}": f"{w}::DOUBLE" for i, w in enumerate(L.FEATURES.values())},
+    {"b": f"greatest(0.0, least(1.0, r.b - 0.01 * 2 * {_ERROR}))"} | {f"w{i}": f"greatest(-1.0, least(1.0, r.w{i} - 0.01 * 2 * {_ERROR} * a.f{i}))" for i in _W},
+    "".join(f", (k * {2 * i + 1} + {i}) % 11 / 10.0::DOUBLE AS f{i}" for i in _W),
+)
+
+
+@query("d22_online_sgd", SGD + "SELECT key AS agent_id, i AS n, round(b, 6) AS bias, " + ", ".join(f"round(w{i}, 6) AS w_{f}" for i, f in enumerate(L.FEATURES)) + " FROM f")
 def online_sgd(spark, sf):
-    return L.online_sgd(T.actions(spark, sf), "agent_id", ORDER)
+    """The confidence model of each agent after its claims, one step a claim."""
+    m = L.online_sgd(_claims(spark, sf), "agent_id", ORDER)
+    return m.select("agent_id", "n", *[S.rounded(c).alias(c) for c in m.columns[2:]])
 
 
 @query("d23_confidence", ctes("actions") + "SELECT action_id, round(1 / (1 + exp(-(0.1 + 0.8 * success_score - 0.3 * k / 100.0))), 6) AS confidence FROM actions")
@@ -252,10 +304,20 @@ def meta_judge(spark, sf):
     return T.actions(spark, sf).select("action_id", S.rounded(S.clamp(s + F.when(F.col("k") >= 50, 0.1).otherwise(-0.1) - F.abs(s - 0.5) * 0.1)).alias("score"))
 
 
-@query("d33_importance_regression", ctes("actions") + "SELECT round(regr_slope(success_score, k), 6) AS slope, round(regr_intercept(success_score, k), 6) AS intercept, round(regr_r2(success_score, k), 6) AS r2 FROM actions")
-def importance_regression(spark, sf):
-    """A linear stand-in for symbolic regression, which needs an engine of its own."""
-    return T.actions(spark, sf).agg(S.rounded(F.regr_slope("success_score", "k")).alias("slope"), S.rounded(F.regr_intercept("success_score", "k")).alias("intercept"), S.rounded(F.regr_r2("success_score", "k")).alias("r2"))
+_FORMS = L.expressions(["k", "hour"], 15)
+
+
+def _importance_sql() -> str:
+    one = " UNION ALL ".join(f"SELECT '{e}' AS expression, {c} AS complexity, regr_slope(y, {e}) AS slope, regr_intercept(y, {e}) AS intercept, regr_r2(y, {e}) AS r2 FROM x" for e, c in _FORMS.items())
+    return ctes("actions") + f", x AS (SELECT success_score AS y, k / 100.0::DOUBLE AS k, hour(executed_at) / 24.0::DOUBLE AS hour FROM actions), o AS ({one}), b AS (SELECT *, max(round(r2, 9)) OVER (ORDER BY complexity, round(r2, 9) DESC, expression ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen FROM o) SELECT expression, complexity, round(slope, 6) AS slope, round(intercept, 6) AS intercept, round(r2, 6) AS r2, round(r2, 9) > coalesce(seen, -1) AS best FROM b"
+
+
+@query("d33_importance_equation", _importance_sql())
+def importance_equation(spark, sf):
+    """Equations for a memory's success by its key and hour, and the front of the simplest that fit best."""
+    x = T.actions(spark, sf).select("success_score", (F.col("k") / 100.0).alias("k"), (F.hour("executed_at") / 24.0).alias("hour"))
+    f = L.symbolic_fits(x, "success_score", ["k", "hour"])
+    return f.select("expression", "complexity", *[S.rounded(c).alias(c) for c in ("slope", "intercept", "r2")], "best")
 
 
 @query("d34_vote", ctes("actions") + "SELECT context, count(*) AS votes, CAST(count(*) FILTER (success_score >= 0.5) AS BIGINT) AS yes, count(*) FILTER (success_score >= 0.5) >= greatest(1, ceil(count(*) * 0.5)) AS accepted FROM actions GROUP BY 1")

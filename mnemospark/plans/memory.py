@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -25,7 +23,7 @@ def rows():
 
 
 def _folder(spark) -> str:
-    return f"{storage.shared_folder(spark)}/engine/{uuid.uuid4().hex}"
+    return storage.new_path(spark, "files")
 
 
 @query("s04_traverse", ctes("causal_links", recursive=True) + ", u AS (SELECT cause_id AS a, effect_id AS b FROM causal_links WHERE strength >= 0.6 UNION SELECT effect_id, cause_id FROM causal_links WHERE strength >= 0.6), r(id, distance) AS (SELECT 5::BIGINT, 0 UNION SELECT b, distance + 1 FROM r JOIN u ON a = id WHERE distance < 2), m AS (SELECT id, min(distance) AS distance FROM r GROUP BY id) SELECT id, distance FROM m WHERE distance > 0 ORDER BY distance, id LIMIT 20")
@@ -99,7 +97,7 @@ def causal_upsert(spark, sf):
     return j.select("a", "b", op.alias("op"), S.rounded(new).alias("strength"))
 
 
-@query("m10_version_diff")
+@query("m10_version_diff", ctes("versions") + ", p AS (SELECT entity_id, version, lag(data) OVER (PARTITION BY entity_id ORDER BY version) AS old, data AS new FROM versions), l AS (SELECT *, string_split(old, ':') AS o, string_split(new, ':') AS n FROM p WHERE old IS NOT NULL), h AS (SELECT entity_id, version, o[1] <> n[1] AS x, o[2] <> n[2] AS y, o, n FROM l) SELECT entity_id, version, CASE WHEN NOT x AND NOT y THEN '' WHEN x AND y THEN concat_ws(chr(10), '--- ', '+++ ', '@@ -1,2 +1,2 @@', '-' || o[1], '-' || o[2], '+' || n[1], '+' || n[2]) WHEN x THEN concat_ws(chr(10), '--- ', '+++ ', '@@ -1 +1 @@', '-' || o[1], '+' || n[1]) ELSE concat_ws(chr(10), '--- ', '+++ ', '@@ -2 +2 @@', '-' || o[2], '+' || n[2]) END AS diff FROM h")
 def version_diff(spark, sf):
     """Unified diff of each version with the one before."""
     import difflib
@@ -122,47 +120,28 @@ def commit(spark, sf):
     return T.versions(spark, sf).groupBy("entity_id").agg((F.max("version") + 1).alias("version")).withColumn("message", F.lit("checkpoint"))
 
 
-@query("m17_bank_consolidation", ctes("vectors") + ", k AS (SELECT a.id AS q, b.id AS id, list_cosine_similarity(a.v, b.v) AS s FROM vectors a JOIN vectors b ON a.id <> b.id WHERE a.id % 20 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY s DESC, id) AS rank FROM k) SELECT id, q AS kept_by FROM r WHERE rank <= 5 AND s > 0.3 AND q < id")
-def bank_consolidation(spark, sf):
-    """Near neighbours of the reviewed memories that give way to an older one."""
-    v = T.vectors(spark, sf)
-    k = O.knn(v, v.where("id % 20 = 0"), 5, 0.3).where("score > 0.3")
-    return k.where("query < id").select("id", F.col("query").alias("kept_by"))
-
-
-@query("m17_bank_consolidation_all")
-def bank_consolidation_all(spark, sf):
-    """All memories compared with all, without a cap: those that give way, and the kept one each gives way to."""
-    return O.consolidated(T.vectors(spark, sf), 0.3)
-
-
-@query("j09_conflicts")
-def conflicts(spark, sf):
-    """Texts that begin alike, compared in full: duplicate above 0.95, overlap above 0.85.
-
-    Only texts with the same first 80 characters meet, and each is compared
-    with the smallest id of its block, not with all others.
-    """
-    import difflib
+BANK = """, m AS (SELECT id, v, (id * 37 % 101) / 100.0 AS confidence, id % 7 AS uses, id % 90 AS age FROM vectors),
+o AS (SELECT *, row_number() OVER (ORDER BY confidence DESC, id) AS i FROM m),
+p AS (SELECT y.i AS i, list(x.i) AS partners FROM o x JOIN o y ON x.i < y.i WHERE list_cosine_similarity(x.v, y.v) > 0.3 GROUP BY 1),
+r(i, kept, gives) AS (SELECT 0::BIGINT, []::BIGINT[], NULL::BIGINT UNION ALL SELECT i, CASE WHEN gives IS NULL THEN list_append(kept, i) ELSE kept END, gives FROM (SELECT r.i + 1 AS i, kept, list_min(list_intersect(kept, coalesce(partners, []))) AS gives FROM r LEFT JOIN p ON p.i = r.i + 1 WHERE r.i < (SELECT count(*) FROM o))),
+s AS (SELECT o.*, gives, k.id AS kept_by FROM o JOIN r USING (i) LEFT JOIN o k ON k.i = r.gives),
+l AS (SELECT id, row_number() OVER (ORDER BY confidence DESC, uses DESC, id) AS place FROM s WHERE gives IS NULL AND NOT (age > 60 AND uses < 2))
+SELECT id, CASE WHEN gives IS NOT NULL THEN 'duplicate' WHEN age > 60 AND uses < 2 THEN 'unused' WHEN place > 100 THEN 'excess' ELSE 'kept' END AS verdict, kept_by FROM s LEFT JOIN l USING (id)"""
 
-    import pyarrow as pa
 
-    d = T.base(spark, sf, "documents").where(F.length("text") >= 80).select(F.col("doc_id").alias("id"), F.substring("text", 1, 80).alias("head"), "text")
-    first = d.groupBy("head").agg(F.min("id").alias("first"), rows().alias("n")).where("n > 1")
-    lead = d.select(F.col("id").alias("first"), F.col("text").alias("other"))
-    pairs = d.join(first, "head").where("id <> first").join(lead, "first").select("first", "id", "other", "text")
+def _bank(spark, sf):
+    """Memories with a confidence, uses and an age in days."""
+    return T.vectors(spark, sf).select("id", "v", (F.col("id") * 37 % 101 / 100.0).alias("confidence"), (F.col("id") % 7).alias("uses"), (F.col("id") % 90).alias("age"))
 
-    def run(batches):
-        for b in batches:
-            ratio = [difflib.SequenceMatcher(None, x.split(), y.split(), autojunk=False).ratio() for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([round(r, 6) for r in ratio])], names=["a", "b", "ratio"])
 
-    r = pairs.mapInArrow(run, "a long, b long, ratio double").where("ratio > 0.85")
-    return r.withColumn("kind", F.when(F.col("ratio") > 0.95, "duplicate").otherwise("overlap"))
+@query("m17_bank_consolidation", ctes("vectors", recursive=True) + BANK)
+def bank_consolidation(spark, sf, similar: float = 0.3, most: int = 100):
+    """All memories compared with all: what gives way to a surer one, what is old and unused, what exceeds the bank's size."""
+    return O.consolidated_bank(_bank(spark, sf), similar, 60, 2, most)
 
 
-@query("j09_conflicts_all")
-def conflicts_all(spark, sf):
+@query("j09_conflicts")
+def conflicts(spark, sf):
     """All near copies, wherever they differ and however short."""
     return N.conflicts(T.base(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text"))
 
@@ -213,7 +192,15 @@ def _centroids(spark, sf):
 CENTROIDS = ctes("vectors") + ", e AS (SELECT label, i, avg(v[i]) AS x FROM (SELECT label, v, unnest(range(1, 65)) AS i FROM vectors) GROUP BY 1, 2), m AS (SELECT label, list(x ORDER BY i) AS m FROM e GROUP BY 1)"
 
 
-@query("v13_farthest_point")
+def _farthest_sql(k: int) -> str:
+    out = ctes("vectors") + ", c1 AS (SELECT id, v FROM vectors ORDER BY id LIMIT 1)"
+    for i in range(2, k + 1):
+        near = ", ".join(f"list_distance(x.v, (SELECT v FROM c{j}))" for j in range(1, i))
+        out += f", c{i} AS (SELECT id, v FROM (SELECT x.id, x.v, least({near}) AS d FROM vectors x) WHERE d > 0 ORDER BY round(d, 9) DESC, id LIMIT 1)"
+    return out + " " + " UNION ALL ".join(f"SELECT {i} AS place, id FROM c{i}" for i in range(1, k + 1))
+
+
+@query("v13_farthest_point", _farthest_sql(5))
 def farthest_point(spark, sf, k: int = 5):
     """Deterministic seeding: each next seed is the vector farthest from those chosen; one scan a seed."""
     v = T.vectors(spark, sf)
@@ -267,20 +254,8 @@ def keyword_activation(spark, sf):
     return every.groupBy("id").agg(S.rounded(F.least(F.lit(1.0), F.sum("x"))).alias("activation"))
 
 
-@query("g19_citation_cycle", ctes("causal_links", recursive=True) + ", e AS (SELECT cause_id AS a, effect_id AS b FROM causal_links WHERE strength >= 0.6), r(seed, id, depth) AS (SELECT DISTINCT a, b, 1 FROM e UNION SELECT seed, b, depth + 1 FROM r JOIN e ON a = id WHERE depth < 3) SELECT DISTINCT seed AS id FROM r WHERE seed = id")
-def citation_cycle(spark, sf):
-    """Nodes that reach themselves within three citations."""
-    e = T.causal_links(spark, sf).where("strength >= 0.6").select(F.col("cause_id").alias("a"), F.col("effect_id").alias("b"))
-    r = e.select(F.col("a").alias("seed"), F.col("b").alias("id")).distinct()
-    hit = r
-    for _ in range(2):
-        r = r.select("seed", F.col("id").alias("a")).join(e, "a").select("seed", F.col("b").alias("id")).distinct()
-        hit = hit.unionByName(r)
-    return hit.where("seed = id").select("id").distinct()
-
-
-@query("g19_citation_cycle_all", ctes("causal_links", recursive=True) + ", e AS (SELECT cause_id AS a, effect_id AS b FROM causal_links WHERE strength >= 0.6), r(seed, id, depth) AS (SELECT DISTINCT a, b, 1 FROM e UNION SELECT seed, b, depth + 1 FROM r JOIN e ON a = id WHERE depth < 10) SELECT DISTINCT seed AS id FROM r WHERE seed = id")
-def citation_cycle_all(spark, sf, depth: int = 10):
+@query("g19_citation_cycle", ctes("causal_links", recursive=True) + ", e AS (SELECT cause_id AS a, effect_id AS b FROM causal_links WHERE strength >= 0.6), r(seed, id, depth) AS (SELECT DISTINCT a, b, 1 FROM e UNION SELECT seed, b, depth + 1 FROM r JOIN e ON a = id WHERE depth < 10) SELECT DISTINCT seed AS id FROM r WHERE seed = id")
+def citation_cycle(spark, sf, depth: int = 10):
     """Nodes that reach themselves within ten citations."""
     e = T.causal_links(spark, sf).where("strength >= 0.6").select(F.col("cause_id").alias("a"), F.col("effect_id").alias("b"))
     return G.closing(e, e, depth - 1).where("cyclic").select(F.col("a").alias("id")).distinct()

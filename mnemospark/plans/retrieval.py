@@ -165,7 +165,7 @@ EXPANSION = ", q AS (SELECT unnest(['the', 'ing', 'tion']) AS q), h AS (SELECT i
 def query_expansion(spark, sf, terms=("the", "ing", "tion")):
     """Hits of every expansion of a query; each entity keeps its best score."""
     text = F.lower("content")
-    hits = F.filter(F.array(*[F.struct((F.regexp_count(text, F.lit(t)) * 1.0 / F.length("content")).alias("s"), F.lit(t).alias("q")) for t in terms]), lambda x: x["s"] > 0)
+    hits = F.filter(F.array(*[F.struct(((F.length(text) - F.length(F.replace(text, F.lit(t), F.lit("")))) / float(len(t)) / F.length("content")).alias("s"), F.lit(t).alias("q")) for t in terms]), lambda x: x["s"] > 0)
     best = T.entities(spark, sf).select("id", F.array_max(hits).alias("b")).where("b IS NOT NULL")
     return best.orderBy(F.desc("b.s"), "id").limit(10).select("id", S.rounded("b.s").alias("score"), F.col("b.q").alias("best"))
 
@@ -282,15 +282,8 @@ def intersections(spark, sf):
     return j.orderBy(F.desc("s"), "id").limit(50).select("id", S.rounded("s").alias("score"))
 
 
-@query("j07_left_join", ctes("actions", "beliefs") + "SELECT a.action_id, b.probability FROM actions a LEFT JOIN beliefs b ON a.agent_id = b.agent_id AND a.action_type = b.statement AND b.probability >= 0.5 WHERE a.k = 3")
+@query("j07_left_join", ctes("actions", "beliefs") + "SELECT a.action_id, b.probability FROM actions a LEFT JOIN beliefs b ON a.agent_id = b.agent_id AND a.action_type = b.statement AND b.probability >= 0.5")
 def left_join(spark, sf):
-    a = T.actions(spark, sf).where("k = 3")
-    b = T.beliefs(spark, sf).where("probability >= 0.5").select("agent_id", F.col("statement").alias("action_type"), "probability")
-    return a.join(b, ["agent_id", "action_type"], "left").select("action_id", "probability")
-
-
-@query("j07_left_join_all", ctes("actions", "beliefs") + "SELECT a.action_id, b.probability FROM actions a LEFT JOIN beliefs b ON a.agent_id = b.agent_id AND a.action_type = b.statement AND b.probability >= 0.5")
-def left_join_all(spark, sf):
     b = T.beliefs(spark, sf).where("probability >= 0.5").select("agent_id", F.col("statement").alias("action_type"), "probability")
     return T.actions(spark, sf).join(b, ["agent_id", "action_type"], "left").select("action_id", "probability")
 
@@ -354,18 +347,8 @@ def block_versions(spark, sf):
     return v.select("entity_id", "version", "data", (F.col("version") == last).alias("is_current"))
 
 
-@query("m04_association_fold", ctes("actions") + ", s AS (SELECT agent_id, list(round(success_score, 4) ORDER BY executed_at, action_id) AS l FROM actions WHERE k = 5 GROUP BY 1) SELECT agent_id, round(list_reduce(l, lambda a, x: (a + x) / 2), 6) AS strength, len(l) AS n FROM s")
+@query("m04_association_fold", ctes("actions") + ", s AS (SELECT agent_id, k, list(round(success_score, 4) ORDER BY executed_at, action_id) AS l FROM actions GROUP BY 1, 2) SELECT agent_id, k, round(list_reduce(l, lambda a, x: (a + x) / 2), 6) AS strength, len(l) AS n FROM s")
 def association_fold(spark, sf):
-    """Ordered fold strength = (old + new) / 2 over each pair's updates."""
-    a = T.actions(spark, sf).where("k = 5").withColumn("s", S.rounded("success_score", 4))
-    l = F.transform(F.sort_array(F.collect_list(F.struct("executed_at", "action_id", "s"))), lambda x: x["s"])
-    g = a.groupBy("agent_id").agg(l.alias("l"))
-    fold = F.aggregate(F.slice("l", 2, F.greatest(F.size("l") - 1, F.lit(0))), F.element_at("l", 1), lambda acc, x: (acc + x) / 2)
-    return g.select("agent_id", S.rounded(fold).alias("strength"), F.size("l").cast("long").alias("n"))
-
-
-@query("m04_association_fold_all", ctes("actions") + ", s AS (SELECT agent_id, k, list(round(success_score, 4) ORDER BY executed_at, action_id) AS l FROM actions GROUP BY 1, 2) SELECT agent_id, k, round(list_reduce(l, lambda a, x: (a + x) / 2), 6) AS strength, len(l) AS n FROM s")
-def association_fold_all(spark, sf):
     """The fold of every pair (agent_id, k), as a sorted stream."""
     a = T.actions(spark, sf).select(F.to_json(F.struct("agent_id", "k")).alias("pair"), "executed_at", "action_id", S.rounded("success_score", 4).alias("s"))
     f = L.folded(a, "pair", ["executed_at", "action_id"], ["s"], lambda: (0, None), lambda s, x: (s[0] + 1, x if s[1] is None else (s[1] + x) / 2), "n long, strength double", lambda s: s)

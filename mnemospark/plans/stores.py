@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from mnemospark.functions import scores as S
@@ -21,7 +19,7 @@ def rows():
 
 
 def _folder(spark) -> str:
-    return f"{storage.shared_folder(spark)}/engine/{uuid.uuid4().hex}"
+    return storage.new_path(spark, "files")
 
 
 def _tier_files(spark, sf) -> str:
@@ -31,12 +29,12 @@ def _tier_files(spark, sf) -> str:
     return path
 
 
-@query("s06_index_files", ctes("entities") + "SELECT tier, CAST(sum(strlen(content) + 1) AS BIGINT) AS bytes FROM entities WHERE content IS NOT NULL GROUP BY tier")
+@query("s06_index_files", ctes("entities") + "SELECT tier, CAST(sum(strlen(content) + 1) AS BIGINT) AS bytes FROM entities WHERE content IS NOT NULL AND tier IN ('core', 'semantic') GROUP BY tier")
 def index_files(spark, sf):
-    """Scans a folder of text files; a file whose digest is indexed already is left out."""
+    """Scans a folder of text files; files whose path and digest are indexed already (two of the four tiers) are left out."""
     files = storage.read_text_files(spark, _tier_files(spark, sf), most_bytes=1 << 31)
-    fresh = storage.changed_files(files, files.limit(0))
     tier = F.regexp_extract("path", r"tier=(\w+)", 1)
+    fresh = storage.changed_files(files, files.where(tier.isin("working", "episodic")))
     return fresh.groupBy(tier.alias("tier")).agg(F.sum("length").alias("bytes"))
 
 

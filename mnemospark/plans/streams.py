@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from mnemospark.functions import scores as S
+from mnemospark.plans.learning import SURPRISE
 from mnemospark.plans.registry import query
 from mnemospark.streaming import jobs as J
 
@@ -36,9 +37,10 @@ def stream_tiers(spark, sf):
     return J.run_once(J.running_tiers(_events(spark, sf)), "complete").select("event_type", "tier", "n", S.rounded("mean").alias("mean"))
 
 
-@query("x05_stream_surprise")
+@query("x05_stream_surprise", SURPRISE + "SELECT key AS user_id, n, promoted, round(momentum, 6) AS momentum FROM f")
 def stream_surprise(spark, sf):
-    return J.run_once(J.running_surprise(_events(spark, sf)), "update")
+    out = J.run_once(J.running_surprise(_events(spark, sf)), "update", ["user_id"])
+    return out.withColumn("momentum", S.rounded("momentum"))
 
 
 @query("x06_stream_live_memory", "SELECT DISTINCT user_id, event_type FROM events")

@@ -118,7 +118,11 @@ def chunks(spark, sf):
     return C.chunked(T.base(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text"), 500, 1)
 
 
-@query("t17_sentences")
+SENTENCES = r"""WITH s AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(regexp_replace(regexp_replace(text, '\b(Mr|Mrs|Ms|Dr|Prof|Sr|Jr|vs|etc)\.', '\1' || chr(1), 'g'), '(\d)\.(\d)', '\1' || chr(1) || '\2', 'g'), '([.!?])[ \t\n\x0B\f\r]+(\p{Lu})', '\1' || chr(2) || '\2', 'g'), chr(2)), lambda x: trim(replace(x, chr(1), '.'))), lambda x: x <> '') AS s FROM documents)
+SELECT doc_id, len(s) AS sentences, md5(array_to_string(s, chr(1))) AS digest FROM s"""
+
+
+@query("t17_sentences", SENTENCES)
 def sentences(spark, sf):
     return T.base(spark, sf, "documents").select("doc_id", F.size(X.sentences("text")).cast("long").alias("sentences"), F.md5(F.array_join(X.sentences("text"), "\u0001")).alias("digest"))
 
@@ -196,9 +200,13 @@ def contradiction_patterns(spark, sf):
     return T.base(spark, sf, "documents").where(F.rlike(F.lower("text"), F.lit("always.*never|never.*always|idiot.*worthless"))).select("doc_id")
 
 
-@query("t27_tautologies")
+TAUTOLOGIES = r"""WITH w AS (SELECT doc_id, lower(text) AS t, string_split_regex(lower(text), '\s+') AS w FROM documents)
+SELECT doc_id, len(list_filter(range(1, len(w) - 1), lambda i: w[i + 1] = 'is' AND regexp_extract(w[i], '(\w+)$', 1) <> '' AND regexp_extract(w[i], '(\w+)$', 1) = regexp_extract(w[i + 2], '^(\w+)', 1))) > 0 AS tautology, regexp_matches(t, 'because\s+it\s+is|proves?\s+itself') AS circular FROM w"""
+
+
+@query("t27_tautologies", TAUTOLOGIES)
 def tautologies(spark, sf):
-    """"x is x" and circular reasons; needs a backreference, which the oracle's regular expressions lack."""
+    """"x is x" and circular reasons."""
     low = F.lower("text")
     return T.base(spark, sf, "documents").select("doc_id", F.rlike(low, F.lit(r"\b(\w+)\s+is\s+\1\b")).alias("tautology"), F.rlike(low, F.lit(r"because\s+it\s+is|proves?\s+itself")).alias("circular"))
 

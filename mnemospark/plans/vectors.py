@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from mnemospark.functions import scores as S
@@ -10,6 +12,7 @@ from mnemospark.functions import vector as V
 from mnemospark.operators import vectors as O
 from mnemospark.operators.topk import ranked
 from mnemospark.plans.registry import query
+from mnemospark.sources import storage
 from mnemospark.sources import tables as T
 from mnemospark.sources.tables import ctes
 
@@ -75,15 +78,22 @@ bm AS (SELECT tf.doc_id AS id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.
 
 
 def bm25(docs, terms, k1: float = 1.5, b: float = 0.75):
-    """docs(id, text) -> (id, s): Okapi BM25 of the query terms; only their postings are shuffled."""
+    """docs(id, text) -> (id, s) of documents with a hit: Okapi BM25 of the query terms, without a shuffle.
+
+    Null texts and texts without words are no documents of the statistics;
+    repeated ids are each a document; repeated terms count once.
+    """
+    terms = list(dict.fromkeys(terms))
     w = X.words("text")
-    counted = docs.select("id", F.size(w).alias("len"), F.filter(w, lambda x: x.isin(*terms)).alias("hits"))
-    total = counted.where("len > 0").agg(F.avg("len").alias("avg_len"), rows().alias("n"))
-    tf = counted.select("id", "len", F.explode("hits").alias("w")).groupBy("id", "w", "len").agg(rows().alias("tf"))
-    df = tf.groupBy("w").agg(rows().alias("df"))  # at most as many rows as terms
-    j = tf.join(F.broadcast(df), "w").crossJoin(F.broadcast(total))  # one row
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    return j.groupBy("id").agg(F.sum(idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))).alias("s"))
+    counted = docs.select("id", F.size(w).alias("len"), F.filter(w, lambda x: x.isin(*terms)).alias("hits")).where("len > 0")
+    times = [F.size(F.filter("hits", lambda x, t=t: x == t)).alias(f"t{i}") for i, t in enumerate(terms)]
+    counted = storage.staged(counted.select("id", "len", *times), "terms")  # the texts are read once
+    n, mean, *df = counted.agg(rows(), F.avg("len"), *[F.count_if(F.col(f"t{i}") > 0) for i in range(len(terms))]).first()  # one row
+    total = F.lit(0.0)
+    for i, d in enumerate(df):
+        tf = F.col(f"t{i}")
+        total = total + math.log(1 + (n - d + 0.5) / (d + 0.5)) * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("len") / (mean or 1.0)))
+    return counted.where(F.greatest(*[F.col(f"t{i}") for i in range(len(terms))], F.lit(0)) > 0).select("id", total.alias("s"))
 
 
 @query("t04_bm25", "WITH x AS (SELECT 1)" + BM25 + " SELECT id, round(s, 6) AS score FROM bm")
@@ -193,9 +203,10 @@ def two_modalities(spark, sf):
     return T.vectors(spark, sf).select("id", S.rounded(s).alias("score"))
 
 
-@query("v23_semantic_cache", VEC + " SELECT id, round(s, 6) AS score FROM c WHERE s >= 0.15 AND id % 48 < 24 AND id <> 0 ORDER BY s DESC, id LIMIT 1")
+@query("v23_semantic_cache", VEC + " SELECT id, round(s, 6) AS score FROM c WHERE s >= 0.15 AND label * 5 < 24 AND id <> 0 ORDER BY s DESC, id LIMIT 1")
 def semantic_cache(spark, sf):
-    hit = _scored(spark, sf).where("s >= 0.15 AND id % 48 < 24 AND id <> 0")
+    """The nearest cached query within its time to live: 24 hours, an entry being five hours old for each label."""
+    hit = _scored(spark, sf).where("s >= 0.15 AND label * 5 < 24 AND id <> 0")
     return hit.orderBy(F.desc("s"), "id").limit(1).select("id", S.rounded("s").alias("score"))
 
 
@@ -217,7 +228,16 @@ def rank_fusion(spark, sf):
     return O.fused({"dense": _ranked(_scored(spark, sf).select("id", "s"), 20), "sparse": _ranked(bm25(docs, TERMS), 20)}, 40).select("id", S.rounded("score").alias("score"), "diversity")
 
 
-@query("k08_diverse_selection")
+def _diverse_sql(k: int) -> str:
+    out = VEC + ", t AS MATERIALIZED (SELECT c.id AS id, s, v FROM c JOIN vectors USING (id) ORDER BY s DESC, c.id LIMIT 50), m1 AS MATERIALIZED (SELECT id, v FROM t ORDER BY round(0.7 * s, 12) DESC, id LIMIT 1)"
+    for i in range(2, k + 1):
+        near = ", ".join(f"list_cosine_similarity(v, (SELECT v FROM m{j}))" for j in range(1, i))
+        gone = " UNION ALL ".join(f"SELECT id FROM m{j}" for j in range(1, i))
+        out += f", m{i} AS MATERIALIZED (SELECT id, v FROM t WHERE id NOT IN ({gone}) ORDER BY round(0.7 * s - 0.3 * greatest({near}), 12) DESC, id LIMIT 1)"
+    return out + " " + " UNION ALL ".join(f"SELECT id, {i} AS place FROM m{i}" for i in range(1, k + 1))
+
+
+@query("k08_diverse_selection", _diverse_sql(10))
 def diverse_selection(spark, sf):
     top = _scored(spark, sf).select("id", F.col("s").alias("score")).orderBy(F.desc("score"), "id").limit(50)
     return O.diverse(top.join(T.vectors(spark, sf).select("id", "v"), "id"), 10)

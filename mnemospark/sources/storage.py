@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,10 +12,15 @@ from pyspark.sql import types as T
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``, the folder all executors share; a temporary one only where it is unset."""
+    """``spark.checkpoint.dir``, the folder all executors share; a temporary one only where it is unset, in local mode.
+
+    On a cluster a temporary folder would be another one on every machine.
+    """
     key = "spark.checkpoint.dir"
     found = spark.conf.get(key, None) or spark.sparkContext.getConf().get(key)
     if not found:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError(f"{key} must name a folder that the driver and all executors share")
         import tempfile
 
         found = "file://" + tempfile.mkdtemp(prefix="mnemospark-")
@@ -22,18 +29,33 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/engine/{name}-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/engine/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
 def staged(df: DataFrame, name: str = "stage") -> DataFrame:
-    """The rows written to the shared folder and reread: cuts the lineage, outlives lost executors."""
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    """The rows written to the shared folder and reread: cuts the lineage, outlives lost executors; the job's shuffle files go as soon as it ends."""
+    spark = df.sparkSession
+    path = new_path(spark, name)
+    with setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
+        df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
     out._staged_at = path
     return out
 
 
+@contextmanager
+def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    old = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        if old is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, old)
+
+
 def dropped(table: DataFrame) -> None:
     """Deletes a table made by ``staged`` that nothing reads any more."""
     path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(table._staged_at)
@@ -41,9 +63,9 @@ def dropped(table: DataFrame) -> None:
 
 
 def release(spark: SparkSession) -> None:
-    """Deletes what the engine's queries have staged in the shared folder."""
+    """Deletes what the engine's queries of this application have staged in the shared folder."""
     for part in ("engine", "streams"):
-        path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/{part}")
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/{part}/{spark.sparkContext.applicationId}")
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 

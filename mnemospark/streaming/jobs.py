@@ -50,8 +50,10 @@ def live_memory(events: DataFrame, ttl: str = "48 hours") -> DataFrame:
 def running_surprise(events: DataFrame) -> DataFrame:
     """Momentum surprise of each user as custom state: (user_id, n, promoted, momentum) whenever a user has new events.
 
-    The rows of a user within a trigger are taken in time order; the state is
-    four numbers a user, so any number of events fits.
+    The rows of a user within a trigger are taken in time order and so held
+    together (their times and scores only): a trigger's size, by
+    ``files_per_trigger``, bounds them. The state is four numbers a user.
+    Null scores change nothing.
     """
     import pandas as pd
 
@@ -60,24 +62,47 @@ def running_surprise(events: DataFrame) -> DataFrame:
     def update(key, frames, state):
         now = tuple(state.get) if state.exists else (0, 0.0, 0.0, 0)
         rows = pd.concat(list(frames)).sort_values(["ts", "event_id"])
-        for score in rows.score:
+        for score in rows.score[rows.score.notna()]:
             now = surprise_step(now, float(score))
         state.update(now)
-        yield pd.DataFrame({"user_id": [key[0]], "n": [now[0]], "promoted": [now[3]], "momentum": [round(now[2], 6)]})
+        yield pd.DataFrame({"user_id": [key[0]], "n": [now[0]], "promoted": [now[3]], "momentum": [now[2]]})
 
     scored = events.select("user_id", "ts", "event_id", F.least(F.lit(1.0), F.col("value") / 100.0).alias("score"))
     return scored.groupBy("user_id").applyInPandasWithState(update, "user_id long, n long, promoted long, momentum double", "n long, mean double, momentum double, promoted long", "update", "NoTimeout")
 
 
-def run_once(stream: DataFrame, mode: str) -> DataFrame:
-    """Drains what is there into Parquet (append) or the last complete result, and returns it."""
+def run_once(stream: DataFrame, mode: str, keys: list[str] | None = None) -> DataFrame:
+    """Drains what is there and returns the result: appended rows, the last complete one, or (update) the last row of each key.
+
+    In update mode every micro-batch is merged into the table of the one before
+    it; a repeated batch writes the same table again.
+    """
     spark = stream.sparkSession
-    base = f"{shared_folder(spark)}/streams/{uuid.uuid4().hex}"
-    out = f"{base}/out"
+    base = f"{shared_folder(spark)}/streams/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    done: dict[int, str] = {}
+
+    def replace(df: DataFrame, batch: int) -> None:
+        df.write.mode("overwrite").parquet(f"{base}/out")
+
+    def merge(df: DataFrame, batch: int) -> None:
+        fresh, before = df, [b for b in done if b < batch]
+        if before:
+            old = df.sparkSession.read.schema(stream.schema).parquet(done[max(before)])
+            # Null keys are keys: compare them as text with a mark.
+            marked = [F.coalesce(F.concat(F.lit("v"), F.col(k).cast("string")), F.lit("null")).alias(f"__{i}") for i, k in enumerate(keys)]
+            names = [f"__{i}" for i in range(len(keys))]
+            fresh = old.select("*", *marked).join(df.select(*marked), names, "left_anti").drop(*names).unionByName(df)
+        fresh.write.mode("overwrite").parquet(f"{base}/out-{batch}")
+        done[batch] = f"{base}/out-{batch}"
+
+    if mode == "update" and not keys:
+        raise ValueError("update mode needs the keys by which rows replace each other")
     if mode == "append":
-        w = stream.writeStream.outputMode("append").format("parquet").option("path", out)
+        w = stream.writeStream.outputMode("append").format("parquet").option("path", f"{base}/out")
     else:
-        w = stream.writeStream.outputMode(mode).foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(out))
+        w = stream.writeStream.outputMode(mode).foreachBatch(merge if mode == "update" else replace)
     q = w.option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(out)
+    if mode == "update":
+        return spark.read.schema(stream.schema).parquet(done[max(done)]) if done else spark.createDataFrame([], stream.schema)
+    return spark.read.schema(stream.schema).parquet(f"{base}/out")

@@ -66,6 +66,9 @@ def test_betweenness_equals_path_counting(spark):
     got = graph.betweenness(e, graph.both_ways(e).selectExpr("a AS id").distinct())
     for r in got.collect():
         assert math.isclose(r.score, want[r.id] / ((n - 1) * (n - 2)), abs_tol=1e-9)
+    for block in (1000, 4):  # level by level, in joins
+        joined = {r.id: r.score for r in graph.betweenness(e, graph.both_ways(e).selectExpr("a AS id").distinct(), 0, block).collect()}
+        assert set(joined) == set(want) and all(math.isclose(x, want[i] / ((n - 1) * (n - 2)), abs_tol=1e-9) for i, x in joined.items())
 
 
 def test_pagerank_sums_to_one_and_ranks_the_hub(spark):
@@ -104,6 +107,98 @@ def test_knn_equals_numpy(spark):
 def test_knn_without_queries(spark):
     v = tables.vectors(spark, SF)
     assert vectors.knn(v, v.limit(0), 3).count() == 0
+    assert vectors.knn(v.limit(0), v, 3).count() == 0
+
+
+def test_knn_by_blocks_and_odd_rows(spark):
+    """Every row against all, in blocks of both sides; ties, zero, null and ragged vectors."""
+    r = random.Random(8)
+    rows = [(i, [round(r.uniform(-1, 1), 1) for _ in range(3)]) for i in range(90)]
+    rows += [(100, [0.0, 0.0, 0.0]), (101, None), (102, []), (None, [1.0, 0.0, 0.0]), (103, [1.0, None, 0.0]), (104, [1.0, 0.0]), (105, [0.5, 0.5]), (106, rows[3][1]), (107, rows[3][1])]
+    df = spark.createDataFrame([(*x, 1.0) for x in rows], "id long, v array<double>, score double")
+    good = [(i, np.array(v, float)) for i, v in rows if i is not None and v and None not in v]
+    unit = {i: v / n if (n := np.linalg.norm(v)) else v for i, v in good}
+    want = {}
+    for i, x in unit.items():
+        near = sorted((-float(np.round(x @ y, 12)), j) for j, y in unit.items() if i != j and len(x) == len(y))
+        want[i] = [(round(-s, 9), j) for s, j in near[:4]]
+    for blocks in ((1024, 262_144), (20, 17)):
+        got = {}
+        for x in vectors.knn(df, df, 4, query_block=blocks[0], vector_block=blocks[1]).orderBy("query", "rank").collect():
+            got.setdefault(x["query"], []).append((round(x["score"], 9) + 0.0, x["id"]))
+        for i, near in want.items():
+            assert sorted(s for s, _ in got.get(i, [])) == sorted(s for s, _ in near)
+            assert {j for s, j in got.get(i, []) if s > near[-1][0]} == {j for s, j in near if s > near[-1][0]}
+
+
+def test_index_reaches_its_recall(spark):
+    r = np.random.default_rng(2)
+    centres = r.normal(size=(12, 16))
+    m = centres[r.integers(0, 12, 1500)] + 0.4 * r.normal(size=(1500, 16))
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(m)], "id long, v array<double>").repartition(4)
+    index = vectors.VectorIndex(df, lists=24, sample=400)
+    assert index.listed.count() == 1500
+    q = df.where("id % 20 = 0")
+    probes, recall = index.probes_for(q, 5, 0.9)
+    assert recall >= 0.9 and probes < 24
+    exact = {tuple(x) for x in vectors.knn(df, q, 5).select("query", "id").collect()}
+    assert len(exact & {tuple(x) for x in index.search(q, 5, probes).select("query", "id").collect()}) / len(exact) == recall
+    assert {tuple(x) for x in index.search(q, 5, 24).select("query", "id").collect()} == exact  # all lists: exact
+    hard = tables.vectors(spark, SF)  # vectors without any structure
+    assert vectors.VectorIndex(hard).probes_for(hard.where("id % 20 = 0"), 5, 0.9)[1] >= 0.9
+    assert vectors.VectorIndex(hard.limit(0)).search(hard, 3, 1).count() == 0
+
+
+def test_vector_operators_take_odd_rows(spark):
+    rows = [(1, 1, [1.0, 0.0], 0.9), (2, 1, [0.9, 0.1], 0.8), (3, None, [0.0, 1.0], 0.7), (4, 2, None, 0.6), (5, 2, [1.0], 0.5), (None, 2, [1.0, 1.0], 0.4), (6, 2, [0.0, 0.0], None), (7, 1, [1.0, None], 0.3), (7, 1, [0.5, 0.5], 0.3)]
+    df = spark.createDataFrame(rows, "id long, label long, v array<double>, score double")
+    none = df.limit(0)
+    assert {r.id for r in vectors.diverse(df.where("size(v) = 2"), 9).collect()} == {1, 2, 3, 7}
+    assert vectors.diverse(none, 3).count() == vectors.kmeans(none, 2).count() == vectors.art_categories(none, "label").count() == 0
+    assert {r.id for r in vectors.kmeans(df, 2).collect()} == {1, 2, 3, 6, 7}
+    assert {(r.id, r.label) for r in vectors.art_categories(df, "label").collect()} == {(1, 1), (2, 1), (3, None), (6, 2), (7, 1)}
+    assert {r.id for r in vectors.fused({"a": spark.createDataFrame([(1, 1), (None, 2), (2, None)], "id long, rank int"), "b": spark.createDataFrame([], "id long, rank int")}, 5).collect()} == {1}
+    assert vectors.consolidated(df, 0.9).count() == 1
+
+
+def test_art_equals_a_plain_loop(spark):
+    """Choice, vigilance, update and eviction in lists of numbers."""
+    r = random.Random(3)
+    rows = [(i, i % 2, [r.random() for _ in range(4)]) for i in range(120)]
+    df = spark.createDataFrame(rows, "id long, label long, v array<double>").repartition(5)
+    for vigilance, most in ((0.7, 100), (0.85, 100), (0.9, 5)):
+        want = {}
+        for label in (0, 1):
+            prototypes, used = [], []
+            for i, _, v in (x for x in rows if x[1] == label):
+                low, high = min(v), max(v)
+                x = [(a - low) / (high - low) for a in v]
+                x += [1 - a for a in x]
+                best = sorted(range(len(prototypes)), key=lambda j: (-sum(map(min, x, prototypes[j])) / (0.001 + sum(prototypes[j])), j))
+                j = next((j for j in best if sum(map(min, x, prototypes[j])) / sum(x) >= vigilance), None)
+                if j is not None:
+                    prototypes[j] = [0.5 * min(a, b) + 0.5 * b for a, b in zip(x, prototypes[j])]
+                    used[j] += 1
+                elif len(prototypes) < most:
+                    j = len(prototypes)
+                    prototypes.append(x)
+                    used.append(1)
+                else:
+                    j = min(range(most), key=lambda k: (used[k], k))
+                    prototypes[j], used[j] = x, 1
+                want[i] = j
+        got = {x.id: x.category for x in vectors.art_categories(df, "label", vigilance=vigilance, most=most).collect()}
+        assert got == want and len(set(want.values())) > 1
+
+
+def test_kmeans_ends_where_means_and_members_agree(spark):
+    v = tables.vectors(spark, SF)
+    rows = {r.id: np.array(r.v) for r in v.collect()}
+    member = {r.id: r.cluster for r in vectors.kmeans(v, 5, seed=7).collect()}
+    assert set(member) == set(rows)
+    mean = {c: np.mean([rows[i] for i in rows if member[i] == c], axis=0) for c in set(member.values())}
+    off = sum(min(mean, key=lambda c: ((rows[i] - mean[c]) ** 2).sum()) != member[i] for i in rows)
+    assert len(mean) == 5 and off <= 0.02 * len(rows)
 
 
 def test_art_learns_one_category_for_equal_vectors():
@@ -119,9 +214,14 @@ def test_diverse_prefers_a_different_vector(spark):
 
 
 def test_folds_are_ordered(spark):
-    df = spark.createDataFrame([(1, 2, 0.0), (1, 1, 1.0), (2, 1, 0.25)], "k long, t long, success_score double")
+    df = spark.createDataFrame([(1, 2, 0.0), (1, 1, 1.0), (2, 1, 0.25), (2, 2, None), (3, 1, None), (None, 1, 0.5)], "k long, t long, success_score double")
     got = {r.k: r.affinity for r in learning.affinity(df, "k", ["t"]).collect()}
-    assert got == {1: 0.7, 2: 0.25}
+    assert got == {1: 0.7, 2: 0.25, None: 0.5}
+    for fold in (learning.surprise, learning.q_values, learning.fisher):
+        assert {r.k for r in fold(df, "k", ["t"]).collect()} == {1, 2, None}
+    assert learning.surprise_step((3, 0.5, 0.4, 1), None) == (3, 0.5, 0.4, 1)
+    one = learning.online_sgd(df.selectExpr("*", "CAST(NULL AS double) AS f"), "k", ["t"], {"f": 0.2})
+    assert {(r.k, r.n, r.w_f) for r in one.collect()} == {(1, 2, 0.2), (2, 1, 0.2), (None, 1, 0.2)}
     assert learning.q_values(df.limit(0), "k", ["t"]).count() == 0
 
 
@@ -203,16 +303,59 @@ def test_located_chunks_are_slices(spark):
 def test_streamed_surprise_equals_the_batch_fold(spark):
     a = tables.actions(spark, SF)
     batch = {tuple(r) for r in learning.surprise(a, "agent_id", ["executed_at", "action_id"]).collect()}
-    out = jobs.run_once(jobs.running_surprise(jobs.event_stream(spark, f"{SF}/events.parquet")), "update")
+    out = jobs.run_once(jobs.running_surprise(jobs.event_stream(spark, f"{SF}/events.parquet")), "update", ["user_id"])
     assert {tuple(r) for r in out.collect()} == batch
 
 
+def test_updates_of_several_batches_are_merged(spark, tmp_path):
+    """The same events in three files: no user is lost, and each has the state after its last event."""
+    events = tables.base(spark, SF, "events")
+    cuts = events.approxQuantile("event_id", [0.34, 0.67], 0.0)
+    for i, where in enumerate((f"event_id < {cuts[0]}", f"event_id >= {cuts[0]} AND event_id < {cuts[1]}", f"event_id >= {cuts[1]}")):
+        events.where(where).coalesce(1).write.parquet(f"file://{tmp_path}/{i}")
+    import os
+    import shutil
+    import time
+
+    os.mkdir(tmp_path / "in")
+    for i in range(3):
+        for f in (tmp_path / str(i)).glob("*.parquet"):
+            shutil.copy(f, tmp_path / "in" / f"{i}.parquet")
+            os.utime(tmp_path / "in" / f"{i}.parquet", (time.time() - 100 + i, time.time() - 100 + i))
+    stream = jobs.event_stream(spark, f"file://{tmp_path}/in", 1)
+    got = {r.user_id: (r.n, r.momentum) for r in jobs.run_once(jobs.running_surprise(stream), "update", ["user_id"]).collect()}
+    scored = events.selectExpr("user_id", "event_id", "ts", "least(1.0, value / 100.0) AS success_score", f"CASE WHEN event_id < {cuts[0]} THEN 0 WHEN event_id < {cuts[1]} THEN 1 ELSE 2 END AS file")
+    want = {r.user_id: (r.n, r.momentum) for r in learning.surprise(scored, "user_id", ["file", "ts", "event_id"]).collect()}
+    assert got == want and len(got) == events.select("user_id").distinct().count()
+    tiers = jobs.run_once(jobs.running_tiers(jobs.event_stream(spark, f"file://{tmp_path}/in", 1)), "update", ["event_type", "tier"])
+    assert {tuple(r) for r in tiers.selectExpr("event_type", "tier", "n").collect()} == {tuple(r) for r in events.groupBy("event_type", (events.user_id % 3).alias("tier")).count().collect()}
+
+
+def test_memories_expire_after_their_time_to_live(spark, tmp_path):
+    """State goes at the end of a batch whose watermark has passed it; from then on a repeat is new again."""
+    import datetime as d
+    import os
+    import shutil
+    import time
+
+    day = d.datetime(2024, 1, 10)
+    schema = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double"
+    os.mkdir(tmp_path / "in")
+    for i, rows in enumerate(([(1, day, 1, "view", 1.0)], [(2, day + d.timedelta(days=1), 1, "view", 1.0), (3, day + d.timedelta(days=4), 2, "view", 1.0)], [(6, day + d.timedelta(days=4), 3, "view", 1.0)], [(4, day + d.timedelta(days=5), 1, "view", 1.0), (5, day + d.timedelta(days=5), 2, "view", 1.0)])):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"file://{tmp_path}/{i}")
+        for f in (tmp_path / str(i)).glob("*.parquet"):
+            shutil.copy(f, tmp_path / "in" / f"{i}.parquet")
+            os.utime(tmp_path / "in" / f"{i}.parquet", (time.time() - 100 + i, time.time() - 100 + i))
+    out = jobs.run_once(jobs.live_memory(jobs.event_stream(spark, f"file://{tmp_path}/in", 1), "48 hours"), "append")
+    assert sorted(r.event_id for r in out.collect()) == [1, 3, 4, 6]
+
+
 def test_release_deletes_staged_tables(spark):
     df = storage.staged(spark.range(3))
     storage.release(spark)
     import os
 
-    assert not os.path.exists(f"{storage.shared_folder(spark).removeprefix('file://')}/engine") and df.columns == ["id"]
+    assert not os.path.exists(f"{storage.shared_folder(spark).removeprefix('file://')}/engine/{spark.sparkContext.applicationId}") and df.columns == ["id"]
 
 
 def test_sentences_and_tautologies_equal_plain_python(spark):
@@ -233,36 +376,7 @@ def test_sentences_and_tautologies_equal_plain_python(spark):
         assert r.circular == bool(re.search(r"because\s+it\s+is|proves?\s+itself", low))
 
 
-def test_diffs_conflicts_and_seeds(spark):
-    from difflib import SequenceMatcher
-
-    from mnemospark import queries
-
-    q = queries.queries()
-    texts = {r.doc_id: r.text for r in tables.base(spark, SF, "documents").collect()}
-    want, first = set(), {}
-    for i in sorted(texts):
-        if len(texts[i]) >= 80:
-            a = first.setdefault(texts[i][:80], i)
-            if a != i and (s := SequenceMatcher(None, texts[a].split(), texts[i].split(), autojunk=False).ratio()) > 0.85:
-                want.add((a, i, "duplicate" if s > 0.95 else "overlap"))
-    assert {(r.a, r.b, r.kind) for r in q["j09_conflicts"](spark, SF).collect()} == want
-    diffs = q["m10_version_diff"](spark, SF)
-    versions = {(r.entity_id, r.version): r.data for r in tables.versions(spark, SF).collect()}
-    for r in diffs.collect():
-        assert (r.diff == "") == (versions[r.entity_id, r.version] == versions[r.entity_id, r.version - 1])
-    rows = tables.vectors(spark, SF).orderBy("id").collect()
-    m, ids = np.array([r.v for r in rows]), [r.id for r in rows]
-    chosen = [0]
-    while len(chosen) < 5:
-        d = np.min([((m - m[c]) ** 2).sum(axis=1) for c in chosen], axis=0)
-        chosen.append(int(np.argmax(d)))
-    assert [r.id for r in q["v13_farthest_point"](spark, SF).orderBy("place").collect()] == [ids[c] for c in chosen]
-
-
 def test_consolidation_compares_all_vectors(spark):
-    from mnemospark import queries
-
     v = tables.vectors(spark, SF)
     rows = v.orderBy("id").collect()
     ids = [r.id for r in rows]
@@ -277,7 +391,6 @@ def test_consolidation_compares_all_vectors(spark):
             want.add((ids[i], ids[by]))
     assert any(a % 20 and b % 20 for a, b in want)
     assert {(r.id, r.kept_by) for r in vectors.consolidated(v, 0.3, block=37).collect()} == want
-    assert {(r.id, r.kept_by) for r in queries.queries()["m17_bank_consolidation_all"](spark, SF).collect()} == want
     assert vectors.consolidated(v.limit(0), 0.3).count() == 0
 
 
@@ -332,3 +445,93 @@ def test_cycles_of_up_to_six_nodes(spark):
 
 def test_a_long_chain_is_acyclic(spark):
     assert graph.acyclic_rest(edges(spark, [(i, i + 1, 1.0) for i in range(53)])).count() == 0
+
+
+def test_graph_operators_take_odd_edges(spark):
+    e = spark.createDataFrame([(1, 2, 0.5, "x"), (1, 2, 0.9, "x"), (2, 2, 1.0, "x"), (2, 3, None, "x"), (None, 3, 1.0, "x"), (3, None, 1.0, "x"), (3, 1, 1.0, "x")], "a long, b long, strength double, depth string")
+    none = e.limit(0)
+    seed = spark.createDataFrame([(1,), (1,), (None,)], "seed long")
+    assert {(r.id, r.depth) for r in graph.reach(e, seed, 3).collect()} == {(1, 0), (2, 1), (3, 2)}
+    assert {(r.id, r.parent, r.strength) for r in graph.chain(e, 1, 1).collect()} == {(1, None, 1.0), (2, 1, 0.9)}
+    assert {tuple(r.path) for r in graph.cycles(e, 4).collect()} == {(1, 2, 3)}
+    assert {tuple(r.path) for r in graph.paths(e, 1, 3, 3).collect()} == {(1, 2, 3)}
+    assert {(r.a, r.b) for r in graph.acyclic_rest(e).collect()} == {(1, 2), (2, 2), (2, 3), (3, 1)}
+    assert {(r.a, r.b) for r in graph.both_ways(e).collect()} == {(1, 2), (2, 1), (2, 3), (3, 2), (3, 1), (1, 3)}
+    assert len(graph.activation(e, spark.createDataFrame([(1, 1.0)], "id long, activation double"), 2, 0.1, 0.0).collect()) == 2
+    for found in (graph.cycles(none, 4), graph.paths(none, 1, 2, 3), graph.acyclic_rest(none), graph.pagerank(none), graph.betweenness(none, none.selectExpr("a AS id")), graph.betweenness(none, none.selectExpr("a AS id"), -1), graph.closing(none, none, 3)):
+        assert found.count() == 0
+
+
+def test_long_ways_are_stripped(spark):
+    """A path of 60 edges is no cycle, and one that hangs on both sides of a cycle goes."""
+    path = [(i, i + 1, 1.0) for i in range(60)]
+    assert graph.acyclic_rest(edges(spark, path)).count() == 0
+    ring = [(100, 101, 1.0), (101, 100, 1.0), (60, 100, 1.0), (101, 200, 1.0)] + [(200 + i, 201 + i, 1.0) for i in range(20)]
+    assert {(r.a, r.b) for r in graph.acyclic_rest(edges(spark, path + ring)).collect()} == {(100, 101), (101, 100)}
+
+
+def test_equations_are_found(spark):
+    r = random.Random(4)
+    rows = [(x, y, 0.3 + 2 * x * y) for x, y in ((r.random(), r.random()) for _ in range(300))] + [(None, 0.5, 1.0), (0.5, 0.5, None)]
+    df = spark.createDataFrame(rows, "x double, y double, z double")
+    fits = learning.symbolic_fits(df, "z", ["x", "y"]).collect()
+    best = max((f for f in fits if f.best), key=lambda f: f.r2)
+    assert best.expression == "x * y" and abs(best.slope - 2) < 1e-9 and abs(best.intercept - 0.3) < 1e-9
+    assert all(f.complexity <= 4 for f in learning.symbolic_fits(df, "z", ["x", "y"], 4).collect())
+    assert not any(f.best for f in learning.symbolic_fits(df.limit(0), "z", ["x", "y"]).collect())
+
+
+def test_chunkers_take_odd_rows(spark):
+    rows = spark.createDataFrame([(1, None, 5), (2, "", 5), (None, "One two. Three.", 5), (3, "x" * 30_000 + ". Y.", 5), (4, " \n ", 5), (4, "One.", 5), (4, "One.", 5)], "id long, text string, chunk int")
+    none = rows.limit(0)
+    assert sorted((r.id or 0, r.chunk) for r in chunking.chunked(rows, 10, 1).collect()) == [(0, 0), (0, 1), (3, 0), (3, 1), (4, 0), (4, 0)]
+    assert {r.id for r in chunking.semantic(rows, 10, 0.1).collect()} == {None, 3, 4} == {r.id for r in chunking.located(rows, 10, 0).collect()}
+    assert {r.id: len(r.summary) for r in chunking.summaries(rows.where("id < 4"), 20).collect()} == {1: 0, 2: 0, 3: 2}
+    for f in (chunking.chunked(none, 10, 1), chunking.semantic(none, 10, 0.1), chunking.located(none, 10, 0), chunking.summaries(none, 10)):
+        assert f.count() == 0
+
+
+def test_named_phrases_equal_plain_python(spark):
+    import re
+
+    from mnemospark import queries
+
+    texts = {(r.conv_id, r.turn): r.text for r in tables.base(spark, SF, "conversations").collect()}
+    got = {(r.conv_id, r.turn): r.phrases for r in queries.queries()["t03_named_phrases"](spark, SF).collect()}
+    for key, text in texts.items():
+        found = [m[0] for m in re.finditer(r"\b[A-Z][a-zA-Z]+(?:[ \t\n\x0b\f\r]+[A-Z][a-zA-Z]+)*\b", text or "")]
+        assert got[key] == len(found) - bool(found and text.startswith(found[0]))
+
+
+def test_summaries_take_the_best_sentences_that_fit(spark):
+    """Every sentence left out scores less than one taken, or did not fit when its turn came."""
+    r = random.Random(5)
+    for _ in range(50):
+        sentences = [" ".join(r.choices(["alpha", "betas", "gamma", "is", "of"], k=r.randint(1, 12))).capitalize() + "." for _ in range(r.randint(1, 9))]
+        text = " ".join(sentences)
+        long = [w for s in sentences for w in s.lower().split() if len(w) > 4]
+        score = [1 / (1 + i) + min(len(s), 200) / 400 + sum(long.count(w) for w in s.lower().split() if len(w) > 4) / (10 * (1 + len(s.split()))) for i, s in enumerate(sentences)]
+        taken, size = set(), 0
+        for i in sorted(range(len(sentences)), key=lambda i: (-score[i], i)):
+            if size + len(sentences[i]) + 1 <= 90:
+                taken.add(i)
+                size += len(sentences[i]) + 1
+        assert chunking.summary(text, 90) == " ".join(sentences[i] for i in sorted(taken))
+
+
+def test_a_temporary_folder_is_made_in_local_mode_only():
+    import pytest
+
+    class Conf(dict):
+        def get(self, key, default=None):
+            return default
+
+    class Context:
+        master = "spark://host:7077"
+        getConf = staticmethod(Conf)
+
+    class Session:
+        conf, sparkContext = Conf(), Context()
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        storage.shared_folder(Session())
