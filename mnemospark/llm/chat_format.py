@@ -173,8 +173,7 @@ def format_conversations(conversations: DataFrame) -> DataFrame:
     ranges of a part. Almost every conversation has one part.
     """
     turns = conversations.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    n = int(conversations.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return turns.repartition(n, "conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").mapInArrow(_format, SCHEMA)
+    return turns.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").mapInArrow(_format, SCHEMA)
 
 
 _DIGEST = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64())])

@@ -369,8 +369,6 @@ def cluster(documents: DataFrame, n: int = 5, threshold: int = 80, block_ngrams:
 
     Two documents link when 100 * |A and B| >= threshold * |A or B|.
     """
-    spark = documents.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -385,7 +383,7 @@ def cluster(documents: DataFrame, n: int = 5, threshold: int = 80, block_ngrams:
     nodes = staged(nodes.where("rep is not null"), "nodes")
 
     met = rows.where("doc_id IS NOT NULL").select("text").mapInArrow(_keyed(n, threshold), _KEYED_SQL)
-    by_key = met.repartition(parts, F.coalesce("key", "b1")).sortWithinPartitions("key", "a1", "a2").mapInArrow(_meet, "a1 long, a2 long, b1 long, b2 long")
+    by_key = met.repartition(F.coalesce("key", "b1")).sortWithinPartitions("key", "a1", "a2").mapInArrow(_meet, "a1 long, a2 long, b1 long, b2 long")
     edges = staged(by_key.distinct(), "edges")
     a, b = (nodes.select(F.col("k1").alias(f"{s}1"), F.col("k2").alias(f"{s}2"), F.col("rep").alias(s)) for s in "ab")
     groups = components(edges.join(a, ["a1", "a2"]).join(b, ["b1", "b2"]).select("a", "b"), "candidates")
@@ -401,7 +399,7 @@ def cluster(documents: DataFrame, n: int = 5, threshold: int = 80, block_ngrams:
     dealt = rows.join(member.select("rep", "k1", "k2", "comp", "nb", "block").hint("merge"), rows.doc_id == member.rep)
     other = F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("other")
     dealt = dealt.select("rep", "k1", "k2", "comp", "block", "text", other).select("rep", "k1", "k2", "comp", "block", "text", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    links = staged(dealt.repartition(parts, "comp", "i", "j").sortWithinPartitions("comp", "i", "j", "rep").mapInArrow(_linked(n, threshold), "a long, b long"), "links")
+    links = staged(dealt.repartition("comp", "i", "j").sortWithinPartitions("comp", "i", "j", "rep").mapInArrow(_linked(n, threshold), "a long, b long"), "links")
     dropped(member)
     classes = components(links, "classes")
     dropped(links)

@@ -323,10 +323,9 @@ def _search(width: int, block: int):
 @owner
 def repeated_spans(documents: DataFrame, width: int = WIDTH, block: int = BLOCK_SUFFIXES, hot: int = HOT_REGIONS) -> DataFrame:
     """documents(doc_id, text) -> (doc, start, length): covered byte spans, which may overlap."""
-    parts = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), F.coalesce("text", F.lit("")).alias("text")).where(F.octet_length("text") >= width)
     found = rows.mapInArrow(_regions(width), _REGION_SQL)
-    judged = staged(found.repartition(parts, F.coalesce("anchor", F.xxhash64("doc", "p"))).sortWithinPartitions("anchor", "content", "doc", "p").mapInArrow(_judge, _REGION_SQL), "regions")
+    judged = staged(found.repartition(F.coalesce("anchor", F.xxhash64("doc", "p"))).sortWithinPartitions("anchor", "content", "doc", "p").mapInArrow(_judge, _REGION_SQL), "regions")
     settled = judged.where("anchor is null").select("doc", F.col("p").alias("start"), (F.col("n") + width - 1).cast("long").alias("length"))
     several = judged.where("anchor is not null")
     crowded = several.groupBy("anchor").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > hot)
@@ -334,7 +333,7 @@ def repeated_spans(documents: DataFrame, width: int = WIDTH, block: int = BLOCK_
     several = several.join(crowded, "anchor", "left").select("doc", "anchor", "content", "p", "n", salt)
     wanted = several.groupBy("doc").agg(F.collect_list(F.struct("anchor", "content", "p", "n", "salt")).alias("regions"))
     texted = rows.join(wanted, "doc").select("doc", "text", "regions").mapInArrow(_texts(width), _REGION_SQL + ", salt long, bytes binary")
-    searched = staged(texted.repartition(parts, "anchor", "salt").sortWithinPartitions("anchor", "doc", "p").mapInArrow(_search(width, block), "doc long, start long, length long, w1 long, w2 long"), "repeats")
+    searched = staged(texted.repartition("anchor", "salt").sortWithinPartitions("anchor", "doc", "p").mapInArrow(_search(width, block), "doc long, start long, length long, w1 long, w2 long"), "repeats")
     exact = searched.where("w1 is null").select("doc", "start", "length")
     windows = searched.where("w1 is not null")
     first = windows.groupBy("w1", "w2").agg(F.min(F.struct("doc", "start")).alias("first"), F.count(F.lit(1)).alias("m")).where("m > 1")

@@ -102,7 +102,6 @@ def write_tokens(documents: DataFrame, tokenizer_path: str, end_id: int = 1, out
     spark = documents.sparkSession
     check_words(load_tokenizer(tokenizer_path))
     out = out or new_path(spark, "tokens")
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard = TaskContext.get().partitionId()
@@ -135,7 +134,7 @@ def write_tokens(documents: DataFrame, tokenizer_path: str, end_id: int = 1, out
         yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "path": [f"{out}/{base}.arrow"], "docs_path": [f"{out}/{base}.docs.arrow"], "n_docs": [sum(map(len, starts))], "n_tokens": [total]})
 
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return staged(rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(write, MANIFEST), "manifest")
+    return staged(rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(write, MANIFEST), "manifest")
 
 
 def documents_of(path: str, docs_path: str) -> Iterator[tuple[pa.RecordBatch, list[Iterator[np.ndarray]]]]:
