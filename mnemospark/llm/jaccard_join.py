@@ -11,8 +11,11 @@
    sorted by size, its inner nodes the OR of their bitmaps and their range of
    sizes. A dual traversal prunes node pairs by the largest overlap possible
    and pairs whose documents are already linked to each other; what is left is
-   compared exactly. Groups above a bound are cut into blocks, and every pair of
-   blocks is a task of its own.
+   compared exactly. Groups above a bound are cut into blocks that are searched
+   by themselves; the classes found are merged by their first members; and what
+   is not in a group's largest class is compared with all of the group, block by
+   block. A link that is still missing has an end outside the largest class, so
+   none is lost, and a family of near copies costs what it holds, not its square.
 4. Components of the links give every document its class.
 
 Edge cases: null and empty texts have no n-gram and are linked with nothing;
@@ -37,7 +40,7 @@ from mnemospark.llm._components import components
 #: White space is U+0020 and U+0009 to U+000D.
 NOT_WHITE = np.ones(256, bool)
 NOT_WHITE[[9, 10, 11, 12, 13, 32]] = False
-#: n-grams of a candidate group that one task compares; larger groups are cut into blocks.
+#: n-grams that one task compares; larger candidate groups are cut into blocks of half as many.
 BLOCK_NGRAMS = 1_000_000
 BITS, LEAF, FAN = 2048, 32, 8
 #: Sizes of a level lie within this ratio (before partners are counted); buckets left out, in parts of the differences allowed.
@@ -283,6 +286,11 @@ class SignatureTree:
         overlap = min(x - max(0, self.fewest[a] - shared), y - max(0, self.fewest[b] - shared))
         return overlap * (100 + t) >= t * (self.least[a] + self.least[b])
 
+    def join(self, labels: np.ndarray) -> None:
+        """Links documents with equal labels."""
+        first: dict[int, int] = {}
+        self.parent = np.array([first.setdefault(x, i) for i, x in enumerate(labels.tolist())], np.int64)
+
     def compare(self, a: int, b: int, cross: np.ndarray | None) -> None:
         """Two leaves: bounds from the documents' own bitmaps, then exact intersections."""
         i, j = np.arange(self.lo[a], self.hi[a]), np.arange(self.lo[b], self.hi[b])
@@ -308,7 +316,7 @@ class SignatureTree:
             stack = [(root, root)]
             while stack:
                 a, b = stack.pop()
-                if cross is None and self.whole(a) and (a == b or self.whole(b) and self.find(self.lo[a]) == self.find(self.lo[b])):
+                if self.whole(a) and (a == b or self.whole(b) and self.find(self.lo[a]) == self.find(self.lo[b])):
                     continue
                 if a != b and not self.may_link(a, b):
                     continue
@@ -324,45 +332,62 @@ class SignatureTree:
         return np.array([self.find(x) for x in range(len(self.sets))], np.int64)
 
 
+_TASK = ["rep", "k1", "k2", "comp", "i", "j", "side", "label"]
+
+
 def _linked(n: int, threshold: int):
-    """Rows sorted by (comp, i, j) -> (id, root) of documents that are linked."""
+    """Rows sorted by (comp, i, j) -> (a, b): labels that a link joins. Where a task has two sides, only documents of different sides are compared."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
-    def solve(ids: list[int], sets: list[np.ndarray], blocks: list[int], pair: bool) -> pa.RecordBatch:
-        order = sorted(range(len(ids)), key=lambda k: (len(sets[k]), ids[k]))
+    def solve(rows: list[tuple[int, int, int]], sets: list[np.ndarray]) -> pa.RecordBatch:
+        order = sorted(range(len(rows)), key=lambda k: (len(sets[k]), rows[k]))
+        _, side, label = (np.array(x) for x in zip(*(rows[k] for k in order)))
         tree = SignatureTree([sets[k] for k in order], threshold)
-        root = tree.link(np.array([blocks[k] for k in order]) if pair else None)
-        own = np.array([ids[k] for k in order])
-        least = np.full(len(own), np.iinfo(np.int64).max)
-        np.minimum.at(least, root, own)
-        a, b = own, least[root]
+        tree.join(label)
+        root = tree.link(side if side.min() != side.max() else None)
+        least = np.full(len(label), np.iinfo(np.int64).max)
+        np.minimum.at(least, root, label)
+        a, first = np.unique(label, return_index=True)
+        b = least[root[first]]
         return pa.record_batch([pa.array(a[a != b]), pa.array(b[a != b])], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, ids, sets, blocks, seen = None, [], [], [], set()
+        group, held, sets, seen = None, [], [], set()
         for batch in batches:
             for piece in pieces(batch, "text"):
                 grams, off = ngram_sets(piece.column("text"), n)
                 k1, k2 = set_keys(grams, off)
-                cols = [piece.column(c).to_pylist() for c in ("comp", "i", "j", "rep", "block", "k1", "k2")]
-                for row, (comp, i, j, rep, block, e1, e2) in enumerate(zip(*cols)):
+                cols = [piece.column(c).to_pylist() for c in _TASK]
+                for row, (rep, e1, e2, comp, i, j, side, label) in enumerate(zip(*cols)):
                     if (k1[row], k2[row]) != (e1, e2):
                         continue  # another row with the same id
                     if group != (comp, i, j):
-                        if ids:
-                            yield solve(ids, sets, blocks, group[1] != group[2])
-                        group, ids, sets, blocks, seen = (comp, i, j), [], [], [], set()
-                    if rep not in seen:
-                        seen.add(rep)
-                        ids.append(rep)
+                        if held:
+                            yield solve(held, sets)
+                        group, held, sets, seen = (comp, i, j), [], [], set()
+                    if (rep, side) not in seen:
+                        seen.add((rep, side))
+                        held.append((rep, side, label))
                         sets.append(grams[off[row] : off[row + 1]].copy())
-                        blocks.append(block)
-        if ids:
-            yield solve(ids, sets, blocks, group[1] != group[2])
+        if held:
+            yield solve(held, sets)
 
     return run
 
 
+def _in_blocks(nodes: DataFrame, block_ngrams: int, count: str, block: str) -> DataFrame:
+    """nodes(rep, comp, size) with the number of blocks of their group and the block of each."""
+    sizes = nodes.groupBy("comp").agg(F.sum("size").alias("total"))
+    blocks = F.when(F.col("total") <= block_ngrams, 1).otherwise(F.ceil(2 * F.col("total") / block_ngrams)).cast("int")
+    return nodes.join(sizes.select("comp", blocks.alias(count)), "comp").withColumn(block, F.pmod(F.xxhash64("rep"), F.col(count)).cast("int"))
+
+
+def _labelled(nodes: DataFrame, classes: DataFrame) -> DataFrame:
+    """Nodes whose label is replaced by its component, where it has one."""
+    names = classes.select(F.col("id").alias("label"), "component")
+    return nodes.join(names, "label", "left").withColumn("label", F.coalesce("component", "label")).drop("component")
+
+
 @owner
 def cluster(documents: DataFrame, n: int = 5, threshold: int = 80, block_ngrams: int = BLOCK_NGRAMS) -> DataFrame:
     """documents(doc_id, text) -> (doc_id, n_shingles, component_id): classes of documents that reach each other by links.
@@ -390,19 +415,34 @@ def cluster(documents: DataFrame, n: int = 5, threshold: int = 80, block_ngrams:
 
     dropped(edges)
     member = nodes.join(groups, nodes.rep == groups.id).select("rep", "k1", "k2", "size", F.col("component").alias("comp"))
-    sizes = member.groupBy("comp").agg(F.sum("size").alias("total"))
-    blocks = F.when(F.col("total") <= block_ngrams, 1).otherwise(F.ceil(2 * F.col("total") / block_ngrams)).cast("int")
-    member = member.join(sizes.select("comp", blocks.alias("nb")), "comp").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("nb")).cast("int"))
-    member = staged(member, "members")
+    member = staged(_in_blocks(member, block_ngrams, "nb", "block"), "members")
     dropped(groups)
-    # The candidates grow with the corpus: their table is never broadcast.
-    dealt = rows.join(member.select("rep", "k1", "k2", "comp", "nb", "block").hint("merge"), rows.doc_id == member.rep)
-    other = F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("other")
-    dealt = dealt.select("rep", "k1", "k2", "comp", "block", "text", other).select("rep", "k1", "k2", "comp", "block", "text", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    links = staged(dealt.repartition("comp", "i", "j").sortWithinPartitions("comp", "i", "j", "rep").mapInArrow(_linked(n, threshold), "a long, b long"), "links")
-    dropped(member)
-    classes = components(links, "classes")
-    dropped(links)
+
+    def solved(tasks: DataFrame) -> DataFrame:
+        # The candidates grow with the corpus: their table is never broadcast.
+        dealt = rows.join(tasks.select(_TASK).hint("merge"), rows.doc_id == tasks.rep).select(*_TASK, "text")
+        return staged(dealt.repartition("comp", "i", "j").sortWithinPartitions("comp", "i", "j", "rep").mapInArrow(_linked(n, threshold), "a long, b long"), "links")
+
+    alone = [F.lit(0).alias("j"), F.lit(0).alias("side")]
+    found = solved(member.select("*", F.col("block").alias("i"), *alone, F.col("rep").alias("label")))
+    classes = components(found, "classes")
+    if not member.where("nb > 1").isEmpty():
+        cut = _labelled(member.where("nb > 1").withColumn("label", F.col("rep")), classes)
+        heads = _in_blocks(cut.where("rep = label").drop("nb", "block"), block_ngrams, "nb", "block")
+        more = solved(heads.select("*", F.col("block").alias("i"), *alone))
+        merged = staged(_labelled(cut, components(more, "classes")), "members")
+        parts = merged.groupBy("comp", "label").agg(F.sum("size").alias("total"))
+        largest = parts.groupBy("comp").agg(F.max_by("label", F.struct("total", "label")).alias("largest"))
+        minor = _in_blocks(merged.join(largest, "comp").where("label <> largest").drop("largest"), block_ngrams, "nm", "part")
+        minor = staged(minor, "members")
+        others = minor.select(*[c for c in minor.columns if c not in ("nm", "part")], F.lit(0).alias("side"), F.col("part").alias("i"), F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("j"))
+        every = merged.join(minor.groupBy("comp").agg(F.first("nm").alias("nm")), "comp")
+        every = every.select(*merged.columns, F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0), F.col("nm") - 1)).alias("i"), F.col("block").alias("j"))
+        last = solved(others.unionByName(every))
+        before = classes
+        classes = components(found.unionByName(more).unionByName(last), "classes")
+        dropped(before, more, merged, minor, last)
+    dropped(member, found)
 
     named = nodes.join(classes, nodes.rep == classes.id, "left").select("k1", "k2", F.coalesce("component", "rep").alias("component"))
     found = docs.join(named, ["k1", "k2"], "left")

@@ -85,3 +85,30 @@ def test_similar_sets_share_a_key():
             keys, own = J.bucket_keys(np.concatenate([x, y]), off, t)
             if k:
                 assert set(keys[own == 0]) & set(keys[own == 1]), (t, size)
+
+
+@pytest.mark.parametrize("block", [400, 1_500, 100_000])
+def test_a_large_family_in_blocks(spark, block):
+    """Near copies of one text, some far from most, beside families that only meet through one member."""
+    r = random.Random(block)
+    base = [f"b{i}" for i in range(60)]
+    rows = []
+    for i in range(150):
+        w = list(base)
+        for k in r.sample(range(60), r.choice([0, 1, 1, 2, 3])):
+            w[k] = f"x{r.randrange(40)}"
+        rows.append((i, " ".join(w)))
+    for step in range(25):  # a chain: each is near the one before only
+        w = list(base)
+        w[: 2 * step] = [f"c{k}" for k in range(2 * step)]
+        rows.append((1000 + step, " ".join(w)))
+    rows += [(2000 + i, rows[r.randrange(len(rows))][1]) for i in range(30)]
+    r.shuffle(rows)
+    got = J.cluster(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), 3, 80, block)
+    assert {x.doc_id: (x.n_shingles, x.component_id) for x in got.collect()} == brute(rows, 3, 80)
+
+
+def test_rows_without_an_id_carry_no_link(spark):
+    rows = [(None, "a b c d e f g h i j x"), (3, "a b c d e f g h i j k"), (5, "a b c d e f g h i j l"), (None, "zz yy")]
+    got = {(r.doc_id, r.component_id) for r in J.cluster(spark.createDataFrame(rows, "doc_id long, text string"), 1, 80).collect()}
+    assert got == {(3, 3), (5, 3), (None, None)}
