@@ -144,6 +144,14 @@ def salience(text: str | Column, kind: str | Column) -> Column:
     return F.least(F.lit(1.0), F.greatest(F.lit(0.0), score + bonus + F.when(marks, 0.1).otherwise(0.0)))
 
 
+def compacted(text: str | Column, least: int = 50) -> Column:
+    """The text with runs of white space as one space and without stop words between others; texts under ``least`` characters stay as they are."""
+    text = F.col(text) if isinstance(text, str) else text
+    stop = F.array(*map(F.lit, STOPWORDS))
+    kept = F.filter(F.split(text, r"\s+"), lambda w: (w != "") & ~F.array_contains(stop, F.lower(w)))
+    return F.when(F.length(text) >= least, F.array_join(kept, " ")).otherwise(text)
+
+
 def jaccard(a: str | Column, b: str | Column) -> Column:
     """Of two arrays as sets; 0 when both are empty."""
     return F.coalesce(F.try_divide(F.size(F.array_intersect(a, b)), F.size(F.array_union(a, b))), F.lit(0.0))

@@ -1,4 +1,9 @@
-"""Sorting, top-k and deduplication; every order ends in a unique key."""
+"""Sorting, top-k and deduplication; every order ends in a unique key.
+
+Edge cases, for all of them: null scores come last (``top_n``: count as 0); ties
+go to the smaller id; repeated rows count each; fewer rows than asked for are
+all returned; an empty table gives no rows.
+"""
 
 from __future__ import annotations
 
@@ -37,6 +42,29 @@ def ranked(df: DataFrame, keys: list[str], order: list, n: int) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("rank") <= n)
 
 
+def two_stage(df: DataFrame, first: str | Column, candidates: int, score: Column, n: int, ident: str = "id") -> DataFrame:
+    """(ident, score): of the ``candidates`` rows with the largest first value, the n that score best."""
+    few = df.orderBy((F.col(first) if isinstance(first, str) else first).desc_nulls_last(), ident).limit(candidates)
+    return few.select(ident, score.alias("score")).orderBy(F.desc_nulls_last("score"), ident).limit(n)
+
+
+def over_levels(levels: dict[str, DataFrame], n: int, ident: str = "id") -> DataFrame:
+    """(ident, level, idx, score): the n best over tables (ident, idx, score) of several levels."""
+    every = None
+    for name, df in levels.items():
+        df = df.select(ident, F.lit(name).alias("level"), F.col("idx").cast("long").alias("idx"), "score")
+        every = df if every is None else every.unionByName(df)
+    return every.orderBy(F.desc_nulls_last("score"), ident, "level", "idx").limit(n)
+
+
+def learnings(df: DataFrame, group: str, context: str, time: str, succeeded: Column, n: int, ident: str) -> DataFrame:
+    """Of each group's 2 n newest rows n, failures first; a success counts once a context, a failure each."""
+    newest = [F.desc(time), F.col(ident)]
+    t = ranked(df, [group], newest, 2 * n).drop("rank").withColumn("__ok", succeeded.cast("int"))
+    t = t.withColumn("__what", F.when(F.col("__ok") == 0, F.col(ident).cast("string")).otherwise(F.col(context)))
+    return ranked(first_per(t, [group, "__what"], newest), [group], [F.col("__ok"), *newest], n).select(group, ident)
+
+
 def by_priority(column: str, levels: list[str]) -> Column:
     """Place of a value in the list of levels; others last."""
     out = F.lit(len(levels) + 1)

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from mnemospark.functions import scores as S
+from mnemospark.operators import analytics as A
 from mnemospark.operators import learning as L
 from mnemospark.operators.topk import ranked
 from mnemospark.plans.registry import query
@@ -266,42 +267,34 @@ def residuals(spark, sf):
 
 @query("d28_claim_confidence", ctes("beliefs") + "SELECT statement, round(greatest(0.0, 0.3 * least(1.0, count(*) / 100.0) + 0.25 * avg(probability) + 0.25 * (1 - stddev_pop(probability)) + 0.2 * avg(CASE WHEN probability >= 0.5 THEN 1.0 ELSE 0.0 END) - least(0.3, 0.1 * (max(probability) - min(probability)))), 6) AS confidence FROM beliefs GROUP BY 1")
 def claim_confidence(spark, sf):
-    p = F.col("probability")
-    x = 0.3 * F.least(F.lit(1.0), rows() / 100.0) + 0.25 * F.avg(p) + 0.25 * (1 - F.stddev_pop(p)) + 0.2 * F.avg(F.when(p >= 0.5, 1.0).otherwise(0.0)) - F.least(F.lit(0.3), (F.max(p) - F.min(p)) * 0.1)
-    return T.beliefs(spark, sf).groupBy("statement").agg(S.rounded(F.greatest(F.lit(0.0), x)).alias("confidence"))
+    return A.claim_confidence(T.beliefs(spark, sf), "statement").withColumn("confidence", S.rounded("confidence"))
 
 
 @query("d29_citations", ctes("relations") + "SELECT to_id, count(*) AS citations, count(DISTINCT from_id % 5) AS kinds, round(avg(CASE WHEN confidence >= 0.95 THEN 1.0 ELSE 0.0 END), 6) AS verified, count(*) >= 2 AND count(DISTINCT from_id % 5) >= 2 AND avg(CASE WHEN confidence >= 0.95 THEN 1.0 ELSE 0.0 END) >= 0.8 AS valid FROM relations GROUP BY 1")
 def citations(spark, sf):
-    verified = F.avg(F.when(F.col("confidence") >= 0.95, 1.0).otherwise(0.0))
-    kinds = F.countDistinct(F.col("from_id") % 5)
-    return T.relations(spark, sf).groupBy("to_id").agg(rows().alias("citations"), kinds.alias("kinds"), S.rounded(verified).alias("verified"), ((rows() >= 2) & (kinds >= 2) & (verified >= 0.8)).alias("valid"))
+    return A.citation_summary(T.relations(spark, sf), "to_id", F.col("from_id") % 5, F.col("confidence") >= 0.95).withColumn("verified", S.rounded("verified"))
 
 
 CHANGE = ctes("actions") + ", t AS (SELECT *, success_score - lag(success_score) OVER (PARTITION BY agent_id ORDER BY executed_at, action_id) AS d FROM actions)"
 
 
 def _changes(spark, sf):
-    w = Window.partitionBy("agent_id").orderBy("executed_at", "action_id")
-    return T.actions(spark, sf).withColumn("d", F.col("success_score") - F.lag("success_score").over(w)).where("d IS NOT NULL")
+    return A.changes(T.actions(spark, sf), "agent_id", ORDER, "success_score")
 
 
 @query("d30_counterfactual", CHANGE + " SELECT action_id, round(CASE WHEN k >= 50 THEN least(1.5, d / 0.5) ELSE least(1.5, -d / 0.5) END, 6) AS flexibility FROM t WHERE d IS NOT NULL")
 def counterfactual(spark, sf):
-    d = F.col("d") / 0.5
-    return _changes(spark, sf).select("action_id", S.rounded(F.when(F.col("k") >= 50, F.least(F.lit(1.5), d)).otherwise(F.least(F.lit(1.5), -d))).alias("flexibility"))
+    return _changes(spark, sf).select("action_id", S.rounded(A.counterfactual_flexibility("d", F.col("k") >= 50)).alias("flexibility"))
 
 
 @query("d31_flexibility", CHANGE + " SELECT agent_id, round(0.4 * avg(least(1.5, abs(d) / 0.5)) + 0.3 * least(1.0, count(*) / 100.0) + 0.3 * avg(abs(d)), 6) AS score FROM t WHERE d IS NOT NULL GROUP BY 1")
 def flexibility(spark, sf):
-    d = F.abs("d")
-    return _changes(spark, sf).groupBy("agent_id").agg(S.rounded(0.4 * F.avg(F.least(F.lit(1.5), d / 0.5)) + 0.3 * F.least(F.lit(1.0), rows() / 100.0) + 0.3 * F.avg(d)).alias("score"))
+    return A.flexibility(_changes(spark, sf), "agent_id").withColumn("score", S.rounded("score"))
 
 
 @query("d32_meta_judge", ctes("actions") + "SELECT action_id, round(least(1.0, greatest(0.0, success_score + CASE WHEN k >= 50 THEN 0.1 ELSE -0.1 END - 0.1 * abs(success_score - 0.5))), 6) AS score FROM actions")
 def meta_judge(spark, sf):
-    s = F.col("success_score")
-    return T.actions(spark, sf).select("action_id", S.rounded(S.clamp(s + F.when(F.col("k") >= 50, 0.1).otherwise(-0.1) - F.abs(s - 0.5) * 0.1)).alias("score"))
+    return T.actions(spark, sf).select("action_id", S.rounded(A.meta_judged("success_score", F.col("k") >= 50)).alias("score"))
 
 
 _FORMS = L.expressions(["k", "hour"], 15)
@@ -322,21 +315,17 @@ def importance_equation(spark, sf):
 
 @query("d34_vote", ctes("actions") + "SELECT context, count(*) AS votes, CAST(count(*) FILTER (success_score >= 0.5) AS BIGINT) AS yes, count(*) FILTER (success_score >= 0.5) >= greatest(1, ceil(count(*) * 0.5)) AS accepted FROM actions GROUP BY 1")
 def vote(spark, sf):
-    yes = F.count_if(F.col("success_score") >= 0.5)
-    return T.actions(spark, sf).groupBy("context").agg(rows().alias("votes"), yes.alias("yes"), (yes >= F.greatest(F.lit(1), F.ceil(rows() * 0.5))).alias("accepted"))
+    return A.vote(T.actions(spark, sf), "context", F.col("success_score") >= 0.5)
 
 
 @query("d35_attention", AGE + ", g AS (SELECT k, min(h) AS h, count(*) AS n, avg(success_score) AS e FROM t GROUP BY 1) SELECT k, round(0.5 * (exp(-h / 24) + least(1.0, n / 100.0)) + 0.5 * e, 6) AS attention FROM g")
 def attention(spark, sf):
-    g = _aged(spark, sf).groupBy("k").agg(F.min("h").alias("h"), rows().alias("n"), F.avg("success_score").alias("e"))
-    return g.select("k", S.rounded((F.exp(-F.col("h") / 24) + F.least(F.lit(1.0), F.col("n") / 100.0)) * 0.5 + F.col("e") * 0.5).alias("attention"))
+    return A.attention(_aged(spark, sf), "k", "h", "success_score").withColumn("attention", S.rounded("attention"))
 
 
 @query("d36_cache_eviction", AGE + ", g AS (SELECT context, min(h) AS h, count(*) AS n, avg(k) AS tokens FROM t GROUP BY 1) SELECT context, round(0.4 / (h + 1) + 0.4 * least(1.0, n / 10.0) + 0.2 * tokens / 1000, 6) AS score FROM g ORDER BY 0.4 / (h + 1) + 0.4 * least(1.0, n / 10.0) + 0.2 * tokens / 1000, context LIMIT 20")
 def cache_eviction(spark, sf):
-    g = _aged(spark, sf).groupBy("context").agg(F.min("h").alias("h"), rows().alias("n"), F.avg("k").alias("tokens"))
-    s = S.eviction_score("h", "n", "tokens")
-    return g.select("context", s.alias("s")).orderBy("s", "context").limit(20).select("context", S.rounded("s").alias("score"))
+    return A.evictable(_aged(spark, sf), "context", "h", "k", 20).withColumn("score", S.rounded("score"))
 
 
 @query("d37_significance", EFFECT + f" SELECT action_type, CASE WHEN 2 * (1 - {_cdf_sql('abs(b / se)')}) < 0.05 THEN 'significant' ELSE 'inconclusive' END AS verdict FROM e")
@@ -346,9 +335,7 @@ def significance(spark, sf):
 
 @query("d38_validated_improvement", AGE + " SELECT action_type, round(avg(success_score) FILTER (h < 360) - avg(success_score) FILTER (h >= 360), 6) AS gain, avg(success_score) FILTER (h < 360) - avg(success_score) FILTER (h >= 360) > 0.01 AS improved FROM t GROUP BY 1")
 def validated_improvement(spark, sf):
-    half = lambda c: F.avg(F.when(c, F.col("success_score")))
-    gain = half(F.col("h") < 360) - half(F.col("h") >= 360)
-    return _aged(spark, sf).groupBy("action_type").agg(S.rounded(gain).alias("gain"), (gain > 0.01).alias("improved"))
+    return A.improvement(_aged(spark, sf), "action_type", "success_score", F.col("h") < 360).withColumn("gain", S.rounded("gain"))
 
 
 @query("c01_full_consolidation", ctes("actions", "associations") + ", r AS (SELECT * FROM actions WHERE executed_at >= (SELECT max(executed_at) FROM actions) - INTERVAL 24 HOUR), p AS (SELECT 'pattern' AS step, action_type AS what, count(*) AS n FROM r GROUP BY 2 HAVING count(*) >= 3), c AS (SELECT 'causal' AS step, action_type || '->' || b AS what, count(*) AS n FROM (SELECT action_type, lead(action_type) OVER (PARTITION BY agent_id ORDER BY executed_at, action_id) AS b FROM r) WHERE b IS NOT NULL GROUP BY 2 HAVING count(*) >= 2), a AS (SELECT 'association' AS step, CASE WHEN strength >= 0.3 THEN 'kept' ELSE 'pruned' END AS what, count(*) AS n FROM associations GROUP BY 2) SELECT * FROM p UNION ALL SELECT * FROM c UNION ALL SELECT * FROM a")
@@ -368,7 +355,7 @@ def full_consolidation(spark, sf):
 @query("c02_validation_pipeline", "WITH v AS (SELECT doc_id, CASE WHEN text IS NULL OR length(text) < 20 THEN 'too_short' WHEN regexp_matches(lower(text), 'worthless|pathetic|idiot') THEN 'flagged' WHEN regexp_matches(text, '[0-9]{3}-[0-9]{2}-[0-9]{4}') THEN 'personal' ELSE 'valid' END AS verdict, lang FROM documents) SELECT lang, verdict, count(*) AS n FROM v GROUP BY 1, 2")
 def validation_pipeline(spark, sf):
     t = F.col("text")
-    v = F.when(t.isNull() | (F.length(t) < 20), "too_short").when(F.rlike(F.lower(t), F.lit("worthless|pathetic|idiot")), "flagged").when(F.rlike(t, F.lit("[0-9]{3}-[0-9]{2}-[0-9]{4}")), "personal").otherwise("valid")
+    v = A.first_rule({"too_short": t.isNull() | (F.length(t) < 20), "flagged": F.rlike(F.lower(t), F.lit("worthless|pathetic|idiot")), "personal": F.rlike(t, F.lit("[0-9]{3}-[0-9]{2}-[0-9]{4}"))}, "valid")
     return T.base(spark, sf, "documents").groupBy("lang", v.alias("verdict")).agg(rows().alias("n"))
 
 

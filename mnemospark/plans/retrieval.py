@@ -172,9 +172,9 @@ def query_expansion(spark, sf, terms=("the", "ing", "tion")):
 
 @query("k05_hierarchical_search", ctes("entities", "observations") + ", h AS (SELECT id AS entity_id, 'summary' AS level, -1 AS idx, importance AS score FROM entities WHERE tier = 'core' UNION ALL SELECT entity_id, 'chunk', seq, length(content) / 1000.0 FROM observations) SELECT entity_id, level, idx, round(score, 6) AS score FROM h ORDER BY score DESC, entity_id, level, idx LIMIT 25")
 def hierarchical_search(spark, sf):
-    e = T.entities(spark, sf).where("tier = 'core'").select(F.col("id").alias("entity_id"), F.lit("summary").alias("level"), F.lit(-1).cast("long").alias("idx"), F.col("importance").alias("score"))
-    o = T.observations(spark, sf).select("entity_id", F.lit("chunk").alias("level"), F.col("seq").cast("long").alias("idx"), (F.length("content") / 1000.0).alias("score"))
-    return e.unionByName(o).orderBy(F.desc("score"), "entity_id", "level", "idx").limit(25).withColumn("score", S.rounded("score"))
+    e = T.entities(spark, sf).where("tier = 'core'").select(F.col("id").alias("entity_id"), F.lit(-1).alias("idx"), F.col("importance").alias("score"))
+    o = T.observations(spark, sf).select("entity_id", F.col("seq").alias("idx"), (F.length("content") / 1000.0).alias("score"))
+    return K.over_levels({"summary": e, "chunk": o}, 25, "entity_id").withColumn("score", S.rounded("score"))
 
 
 @query("k06_pending_by_priority", "SELECT o_orderkey, o_orderpriority FROM orders WHERE o_orderstatus = 'O' ORDER BY CASE o_orderpriority WHEN '1-URGENT' THEN 1 WHEN '2-HIGH' THEN 2 WHEN '3-MEDIUM' THEN 3 ELSE 4 END, o_orderdate, o_orderkey LIMIT 30")
@@ -191,24 +191,19 @@ def forgetting_candidates(spark, sf):
 
 @query("k09_two_stage_patterns", ctes("entities") + ", a AS (SELECT id, access_count, importance, lang FROM entities ORDER BY importance DESC, id LIMIT 100) SELECT id, round(CASE WHEN lang = 'en' THEN 0.6 ELSE 0.0 END + access_count / 100.0, 6) AS similarity FROM a ORDER BY CASE WHEN lang = 'en' THEN 0.6 ELSE 0.0 END + access_count / 100.0 DESC, id LIMIT 10")
 def two_stage_patterns(spark, sf):
-    first = T.entities(spark, sf).orderBy(F.desc("importance"), "id").limit(100)
     s = F.when(F.col("lang") == "en", 0.6).otherwise(0.0) + F.col("access_count") / 100.0
-    return first.select("id", s.alias("s")).orderBy(F.desc("s"), "id").limit(10).select("id", S.rounded("s").alias("similarity"))
+    return K.two_stage(T.entities(spark, sf), "importance", 100, s, 10).select("id", S.rounded("score").alias("similarity"))
 
 
 @query("k10_reusable_components", "SELECT p_partkey, round(0.4 * (CASE WHEN p_brand = 'Brand#2' THEN 0.5 ELSE 0 END + CASE WHEN p_size > 25 THEN 0.5 ELSE 0 END) + 0.6 * q, 6) AS score FROM (SELECT *, p_retailprice / 2000.0 AS q FROM part ORDER BY p_retailprice DESC, p_partkey LIMIT 60) ORDER BY 0.4 * (CASE WHEN p_brand = 'Brand#2' THEN 0.5 ELSE 0 END + CASE WHEN p_size > 25 THEN 0.5 ELSE 0 END) + 0.6 * q DESC, p_partkey LIMIT 15")
 def reusable_components(spark, sf):
-    p = T.base(spark, sf, "part").orderBy(F.desc("p_retailprice"), "p_partkey").limit(60)
     s = (F.when(F.col("p_brand") == "Brand#2", 0.5).otherwise(0.0) + F.when(F.col("p_size") > 25, 0.5).otherwise(0.0)) * 0.4 + F.col("p_retailprice") / 2000.0 * 0.6
-    return p.select("p_partkey", s.alias("s")).orderBy(F.desc("s"), "p_partkey").limit(15).select("p_partkey", S.rounded("s").alias("score"))
+    return K.two_stage(T.base(spark, sf, "part"), "p_retailprice", 60, s, 15, "p_partkey").select("p_partkey", S.rounded("score").alias("score"))
 
 
 @query("k11_learnings_for_action", ctes("actions") + ", t AS (SELECT action_id, action_type, context, success_score, executed_at FROM (SELECT *, row_number() OVER (PARTITION BY action_type ORDER BY executed_at DESC, action_id) AS rn FROM actions) WHERE rn <= 10), d AS (SELECT *, CASE WHEN success_score < 0.5 THEN 0 ELSE 1 END AS ok, row_number() OVER (PARTITION BY action_type, CASE WHEN success_score < 0.5 THEN CAST(action_id AS VARCHAR) ELSE context END ORDER BY executed_at DESC, action_id) AS dup FROM t) SELECT action_type, action_id FROM (SELECT *, row_number() OVER (PARTITION BY action_type ORDER BY ok, executed_at DESC, action_id) AS r FROM d WHERE dup = 1) WHERE r <= 5")
 def learnings_for_action(spark, sf, k: int = 5):
-    newest = [F.desc("executed_at"), F.col("action_id")]
-    t = K.ranked(T.actions(spark, sf), ["action_type"], newest, 2 * k).drop("rank")
-    t = t.withColumn("ok", (F.col("success_score") >= 0.5).cast("int")).withColumn("what", F.when(F.col("ok") == 0, F.col("action_id").cast("string")).otherwise(F.col("context")))
-    return K.ranked(K.first_per(t, ["action_type", "what"], newest), ["action_type"], [F.col("ok"), *newest], k).select("action_type", "action_id")
+    return K.learnings(T.actions(spark, sf), "action_type", "context", "executed_at", F.col("success_score") >= 0.5, k, "action_id")
 
 
 @query("u02_outer_union_of_scores", ctes("associations", "causal_links") + ", a AS (SELECT a_id AS id, count(*) AS x FROM associations GROUP BY 1), b AS (SELECT effect_id AS id, count(*) AS y FROM causal_links GROUP BY 1) SELECT coalesce(a.id, b.id) AS id, coalesce(x, 0) AS out_degree, coalesce(y, 0) AS in_degree FROM a FULL JOIN b ON a.id = b.id")

@@ -114,3 +114,14 @@ def formatted(spark, sf):
 @query("t43_iso_week", ctes("actions") + "SELECT CAST(isoyear(executed_at) AS INTEGER) AS year, CAST(week(executed_at) AS INTEGER) AS week, count(*) AS n FROM actions GROUP BY 1, 2")
 def iso_week(spark, sf):
     return T.actions(spark, sf).groupBy(F.expr("extract(YEAROFWEEK FROM executed_at)").alias("year"), F.weekofyear("executed_at").alias("week")).agg(rows().alias("n"))
+
+
+@query("s27_migrations", ctes("entities") + "SELECT id, tier, access_count, access_count >= 25 AS hot, CASE WHEN access_count >= 25 THEN 'hot:' || tier ELSE tier END AS shelf FROM entities")
+def migrations(spark, sf):
+    """A stored table with two migrations, of which the second reads what the first has added; a repeated run applies nothing."""
+    path = _folder(spark)
+    T.entities(spark, sf).select("id", "tier", "access_count").write.parquet(f"{path}/v0")
+    steps = [("add_hot", {"hot": "access_count >= 25"}), ("add_shelf", {"shelf": "CASE WHEN hot THEN 'hot:' || tier ELSE tier END"})]
+    storage.migrate(spark, path, steps[:1])
+    storage.migrate(spark, path, steps)
+    return storage.migrate(spark, path, steps).select("id", "tier", "access_count", "hot", "shelf")

@@ -306,3 +306,13 @@ def coherence(spark, sf):
     w = Window.partitionBy("conv_id").orderBy("turn")
     t = T.base(spark, sf, "conversations").select("conv_id", "turn", F.array_distinct(X.words("text")).alias("w"))
     return t.withColumn("v", F.lead("w").over(w)).where("v IS NOT NULL").groupBy("conv_id").agg(S.rounded(F.avg(X.jaccard("w", "v"))).alias("coherence"))
+
+
+@query("t34_compressed_observations", ctes("observations") + f", c AS (SELECT entity_id, content, CASE WHEN length(content) >= 50 THEN array_to_string(list_filter(string_split_regex(content, '\\s+'), lambda w: w <> '' AND lower(w) NOT IN ({_STOP})), ' ') ELSE content END AS short FROM observations), t AS (SELECT entity_id, count(*) AS observations, CAST(count(*) FILTER (short <> content) AS BIGINT) AS compressed, CAST(sum(floor(length(content) / 4)) AS BIGINT) AS tokens, CAST(sum(floor(length(short) / 4)) AS BIGINT) AS kept_tokens FROM c GROUP BY 1) SELECT entity_id, observations, compressed, tokens, kept_tokens, round(CASE WHEN tokens > 0 THEN 100.0 * (tokens - kept_tokens) / tokens ELSE 0 END, 6) AS reduction_pct FROM t")
+def compressed_observations(spark, sf):
+    """What compaction saves of each entity's observations; the originals are kept beside them."""
+    c = T.observations(spark, sf).withColumn("short", X.compacted("content"))
+    tokens = lambda x: F.floor(F.length(x) / 4)
+    t = c.groupBy("entity_id").agg(rows().alias("observations"), F.count_if(F.col("short") != F.col("content")).alias("compressed"), F.sum(tokens("content")).alias("tokens"), F.sum(tokens("short")).alias("kept_tokens"))
+    saved = F.when(F.col("tokens") > 0, (F.col("tokens") - F.col("kept_tokens")) * 100.0 / F.col("tokens")).otherwise(0.0)
+    return t.select("*", S.rounded(saved).alias("reduction_pct"))

@@ -86,7 +86,7 @@ def bm25(docs, terms, k1: float = 1.5, b: float = 0.75):
     terms = list(dict.fromkeys(terms))
     w = X.words("text")
     counted = docs.select("id", F.size(w).alias("len"), F.filter(w, lambda x: x.isin(*terms)).alias("hits")).where("len > 0")
-    times = [F.size(F.filter("hits", lambda x, t=t: x == t)).alias(f"t{i}") for i, t in enumerate(terms)]
+    times = [(F.size("hits") - F.size(F.array_remove("hits", t))).alias(f"t{i}") for i, t in enumerate(terms)]
     counted = storage.staged(counted.select("id", "len", *times), "terms")  # the texts are read once
     n, mean, *df = counted.agg(rows(), F.avg("len"), *[F.count_if(F.col(f"t{i}") > 0) for i in range(len(terms))]).first()  # one row
     total = F.lit(0.0)

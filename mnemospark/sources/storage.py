@@ -69,6 +69,29 @@ def release(spark: SparkSession) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def migrate(spark: SparkSession, path: str, migrations: list[tuple[str, dict[str, str]]]) -> DataFrame:
+    """The table at ``path`` after all migrations (name, new or replaced columns as SQL expressions), each applied once, in order.
+
+    Versions are folders below ``path`` ("v0" is the table as it began), and the
+    log of applied migrations is a row a version, so a migration that was broken
+    off is applied again. A migration keeps all other columns; one whose name is
+    in the log is skipped; an empty table keeps its new columns.
+    """
+    schema = "version int, name string"
+    fs = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/applied").getFileSystem(spark._jsc.hadoopConfiguration())
+    log = spark.read.schema(schema).json(f"{path}/applied") if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/applied")) else spark.createDataFrame([], schema)
+    done = {r.name: r.version for r in log.collect()}  # a row a migration
+    version = max(done.values(), default=0)
+    for name, columns in migrations:
+        if name not in done:
+            now = spark.read.parquet(f"{path}/v{version}").withColumns({c: F.expr(e) for c, e in columns.items()})
+            version += 1
+            now.write.mode("overwrite").parquet(f"{path}/v{version}")
+            append_json_lines(spark.createDataFrame([(version, name)], schema), f"{path}/applied")
+            done[name] = version
+    return spark.read.parquet(f"{path}/v{version}")
+
+
 def append_json_lines(df: DataFrame, path: str) -> None:
     df.write.mode("append").json(path)
 

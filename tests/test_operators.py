@@ -5,7 +5,7 @@ import random
 
 import numpy as np
 
-from mnemospark.operators import chunking, graph, learning, vectors
+from mnemospark.operators import analytics, chunking, graph, learning, vectors
 from mnemospark.operators import filters, topk
 from mnemospark.sources import storage, tables
 from mnemospark.streaming import jobs
@@ -271,6 +271,16 @@ def test_files_round_trip(spark, tmp_path):
     assert storage.changed_files(files, files.select("path", "sha256")).count() == 0
 
 
+def test_migrations_are_applied_once(spark, tmp_path):
+    path = f"file://{tmp_path}/t"
+    spark.createDataFrame([(1, 2), (None, 3)], "id long, x int").write.parquet(f"{path}/v0")
+    one, two = ("y", {"y": "x + 1"}), ("x", {"x": "x * 10", "z": "'new'"})
+    assert {tuple(r) for r in storage.migrate(spark, path, [one]).collect()} == {(1, 2, 3), (None, 3, 4)}
+    for _ in range(2):
+        assert {tuple(r) for r in storage.migrate(spark, path, [one, two]).collect()} == {(1, 20, 3, "new"), (None, 30, 4, "new")}
+    assert len(list(tmp_path.glob("t/v*"))) == 3
+
+
 def test_late_rows_are_dropped(spark, tmp_path):
     import datetime as d
 
@@ -535,3 +545,19 @@ def test_a_temporary_folder_is_made_in_local_mode_only():
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         storage.shared_folder(Session())
+
+
+def test_analytics_take_odd_rows(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([("a", 0.9, 1), ("a", None, 2), ("a", 0.9, 3), (None, 0.2, 1), ("b", None, 1)], "g string, p double, t int")
+    none = df.limit(0)
+    assert {r.g: (r.votes, r.yes, r.accepted) for r in analytics.vote(df, "g", F.col("p") > 0.5).collect()} == {"a": (3, 2, True), None: (1, 0, False), "b": (1, 0, False)}
+    assert math.isclose({r.g: r.confidence for r in analytics.claim_confidence(df, "g", "p").collect()}["a"], 0.3 * 0.03 + 0.25 * 0.9 + 0.25 + 0.2)
+    assert [(r.g, r.d) for r in analytics.changes(df, "g", ["t"], "p").collect()] == []
+    assert {r.g: r.gain for r in analytics.improvement(df, "g", "p", F.col("t") < 2).collect()} == {"a": 0.0, None: None, "b": None}
+    assert {r.v for r in df.select(analytics.first_rule({"missing": F.col("p").isNull(), "low": F.col("p") < 0.5}, "fine").alias("v")).collect()} == {"missing", "low", "fine"}
+    assert [(r.t, r.score) for r in topk.two_stage(df.where("g = 'a'"), "p", 2, F.col("p") * 2, 5, "t").collect()] == [(1, 1.8), (3, 1.8)]
+    assert {(r.g, r.t) for r in topk.learnings(df, "g", "g", "t", F.coalesce(F.col("p") > 0.5, F.lit(False)), 2, "t").collect()} == {("a", 2), ("a", 3), (None, 1), ("b", 1)}
+    for f in (analytics.vote(none, "g", F.col("p") > 0.5), analytics.attention(none, "g", "p", "p"), analytics.evictable(none, "g", "p", "p", 3), analytics.flexibility(none, "g", "p"), analytics.citation_summary(none, "g", F.col("t"), F.col("p") > 0)):
+        assert f.count() == 0
