@@ -10,7 +10,6 @@ from mnemospark.functions import scores as S
 from mnemospark.functions import text as X
 from mnemospark.functions import vector as V
 from mnemospark.operators import vectors as O
-from mnemospark.operators.topk import ranked
 from mnemospark.plans.registry import query
 from mnemospark.sources import storage
 from mnemospark.sources import tables as T

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import threading
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -43,17 +44,29 @@ def staged(df: DataFrame, name: str = "stage") -> DataFrame:
     return out
 
 
+_lock = threading.Lock()
+#: How many threads hold a setting of a session, and what it was before the first of them.
+_held: dict[tuple[int, str], list] = {}
+
+
 @contextmanager
 def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
-    old = spark.conf.get(key, None)
-    spark.conf.set(key, value)
+    """The session's setting inside; the last of several threads that leave puts the old one back."""
+    with _lock:
+        held = _held.setdefault((id(spark), key), [0, spark.conf.get(key, None)])
+        held[0] += 1
+        spark.conf.set(key, value)
     try:
         yield
     finally:
-        if old is None:
-            spark.conf.unset(key)
-        else:
-            spark.conf.set(key, old)
+        with _lock:
+            held[0] -= 1
+            if not held[0]:
+                del _held[id(spark), key]
+                if held[1] is None:
+                    spark.conf.unset(key)
+                else:
+                    spark.conf.set(key, held[1])
 
 
 def dropped(table: DataFrame) -> None:

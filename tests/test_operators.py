@@ -561,3 +561,14 @@ def test_analytics_take_odd_rows(spark):
     assert {(r.g, r.t) for r in topk.learnings(df, "g", "g", "t", F.coalesce(F.col("p") > 0.5, F.lit(False)), 2, "t").collect()} == {("a", 2), ("a", 3), (None, 1), ("b", 1)}
     for f in (analytics.vote(none, "g", F.col("p") > 0.5), analytics.attention(none, "g", "p", "p"), analytics.evictable(none, "g", "p", "p", 3), analytics.flexibility(none, "g", "p"), analytics.citation_summary(none, "g", F.col("t"), F.col("p") > 0)):
         assert f.count() == 0
+
+
+def test_settings_come_back_when_the_last_thread_leaves(spark):
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    old = spark.conf.get(key)
+    a, b = storage.setting(spark, key, "true"), storage.setting(spark, key, "true")
+    a.__enter__(), b.__enter__()
+    a.__exit__(None, None, None)
+    assert spark.conf.get(key) == "true"
+    b.__exit__(None, None, None)
+    assert spark.conf.get(key) == old
