@@ -12,10 +12,11 @@
    sizes. A dual traversal prunes node pairs by the largest overlap possible
    and pairs whose documents are already linked to each other; what is left is
    compared exactly. Groups above a bound are cut into blocks that are searched
-   by themselves; the classes found are merged by their first members; and what
-   is not in a group's largest class is compared with all of the group, block by
-   block. A link that is still missing has an end outside the largest class, so
-   none is lost, and a family of near copies costs what it holds, not its square.
+   by themselves, and classes of a family are merged by their first members. A
+   link that is still missing has an end outside the group's largest class: what
+   is outside is compared with all of the group, block by block, where that is
+   less than every block with every other. So none is lost, and a family of near
+   copies costs what it holds, not its square.
 4. Components of the links give every document its class.
 
 Edge cases: null and empty texts have no n-gram and are linked with nothing;
@@ -382,6 +383,28 @@ def _in_blocks(nodes: DataFrame, block_ngrams: int, count: str, block: str) -> D
     return nodes.join(sizes.select("comp", blocks.alias(count)), "comp").withColumn(block, F.pmod(F.xxhash64("rep"), F.col(count)).cast("int"))
 
 
+def _across(merged: DataFrame, block_ngrams: int) -> DataFrame:
+    """Tasks that compare what the blocks' own searches have not: for each group the cheaper of two ways.
+
+    Either what is not in the group's largest class, in parts, with every block,
+    or every block with every other.
+    """
+    classes = merged.groupBy("comp", "label").agg(F.sum("size").alias("size"))
+    group = classes.groupBy("comp").agg(F.max_by("label", F.struct("size", "label")).alias("largest"), F.sum("size").alias("total"), F.max("size").alias("most"))
+    minor = F.col("total") - F.col("most")
+    parts = F.when(minor <= block_ngrams, 1).otherwise(F.ceil(2 * minor / block_ngrams)).cast("int")
+    group = group.join(merged.groupBy("comp").agg(F.first("nb").alias("n")), "comp")
+    group = group.select("comp", "largest", parts.alias("nm"), (parts * F.col("total") + F.col("n") * minor < (F.col("n") - 1) * F.col("total")).alias("few"))
+    rows = merged.join(group, "comp")
+    columns = ["rep", "k1", "k2", "comp", "label"]
+    upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    some = rows.where("few AND label <> largest").select(*columns, F.pmod(F.xxhash64("rep"), F.col("nm")).cast("int").alias("i"), upto("nb").alias("j"), F.lit(0).alias("side"))
+    every = rows.where("few").select(*columns, upto("nm").alias("i"), F.col("block").alias("j"), F.lit(1).alias("side"))
+    pairs = rows.where("NOT few").select(*columns, "block", upto("nb").alias("other")).where("block <> other")
+    pairs = pairs.select(*columns, F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).cast("int").alias("side"))
+    return some.unionByName(every).unionByName(pairs)
+
+
 def _labelled(nodes: DataFrame, classes: DataFrame) -> DataFrame:
     """Nodes whose label is replaced by its component, where it has one."""
     names = classes.select(F.col("id").alias("label"), "component")
@@ -418,31 +441,32 @@ def cluster(documents: DataFrame, n: int = 5, threshold: int = 80, block_ngrams:
     member = staged(_in_blocks(member, block_ngrams, "nb", "block"), "members")
     dropped(groups)
 
-    def solved(tasks: DataFrame) -> DataFrame:
-        # The candidates grow with the corpus: their table is never broadcast.
-        dealt = rows.join(tasks.select(_TASK).hint("merge"), rows.doc_id == tasks.rep).select(*_TASK, "text")
-        return staged(dealt.repartition("comp", "i", "j").sortWithinPartitions("comp", "i", "j", "rep").mapInArrow(_linked(n, threshold), "a long, b long"), "links")
+    # The candidates grow with the corpus: their table is never broadcast. All texts move once, those of large groups again.
+    texts = rows.join(member.select("rep", "k1", "k2", "comp", "nb", "block").hint("merge"), rows.doc_id == member.rep).drop("doc_id")
+    texts = staged(texts, "texts")
+
+    def solved(dealt: DataFrame) -> DataFrame:
+        return staged(dealt.select(*_TASK, "text").repartition("comp", "i", "j").sortWithinPartitions("comp", "i", "j", "rep").mapInArrow(_linked(n, threshold), "a long, b long"), "links")
+
+    def texted(tasks: DataFrame) -> DataFrame:
+        large = texts.where("nb > 1").select("rep", "k1", "k2", "text")
+        return tasks.hint("merge").join(large, ["rep", "k1", "k2"])
 
     alone = [F.lit(0).alias("j"), F.lit(0).alias("side")]
-    found = solved(member.select("*", F.col("block").alias("i"), *alone, F.col("rep").alias("label")))
+    found = solved(texts.select("*", F.col("block").alias("i"), *alone, F.col("rep").alias("label")))
     classes = components(found, "classes")
     if not member.where("nb > 1").isEmpty():
-        cut = _labelled(member.where("nb > 1").withColumn("label", F.col("rep")), classes)
-        heads = _in_blocks(cut.where("rep = label").drop("nb", "block"), block_ngrams, "nb", "block")
-        more = solved(heads.select("*", F.col("block").alias("i"), *alone))
+        cut = staged(_labelled(member.where("nb > 1").withColumn("label", F.col("rep")), classes), "members")
+        first = F.sum(F.when(F.col("rep") == F.col("label"), F.col("size")).otherwise(0))
+        families = cut.groupBy("comp").agg(F.sum("size").alias("total"), first.alias("first")).where("2 * first <= total").select("comp")
+        heads = _in_blocks(cut.where("rep = label").drop("nb", "block").join(families, "comp", "left_semi"), block_ngrams, "nb", "block")
+        more = solved(texted(heads.select("*", F.col("block").alias("i"), *alone)))
         merged = staged(_labelled(cut, components(more, "classes")), "members")
-        parts = merged.groupBy("comp", "label").agg(F.sum("size").alias("total"))
-        largest = parts.groupBy("comp").agg(F.max_by("label", F.struct("total", "label")).alias("largest"))
-        minor = _in_blocks(merged.join(largest, "comp").where("label <> largest").drop("largest"), block_ngrams, "nm", "part")
-        minor = staged(minor, "members")
-        others = minor.select(*[c for c in minor.columns if c not in ("nm", "part")], F.lit(0).alias("side"), F.col("part").alias("i"), F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("j"))
-        every = merged.join(minor.groupBy("comp").agg(F.first("nm").alias("nm")), "comp")
-        every = every.select(*merged.columns, F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0), F.col("nm") - 1)).alias("i"), F.col("block").alias("j"))
-        last = solved(others.unionByName(every))
+        last = solved(texted(_across(merged, block_ngrams)))
         before = classes
         classes = components(found.unionByName(more).unionByName(last), "classes")
-        dropped(before, more, merged, minor, last)
-    dropped(member, found)
+        dropped(before, cut, more, merged, last)
+    dropped(member, texts, found)
 
     named = nodes.join(classes, nodes.rep == classes.id, "left").select("k1", "k2", F.coalesce("component", "rep").alias("component"))
     found = docs.join(named, ["k1", "k2"], "left")
