@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from mnemospark.sources.storage import setting, shared_folder
+
 #: Text bytes that one numpy step works on; bounds a worker's memory whatever the batch or text size.
 PIECE_BYTES = 2 << 20
 
@@ -35,30 +37,12 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
-
-    Where it is unset a temporary folder is made and set, in local mode only: on
-    a cluster such a folder would be another one on every machine.
-    """
-    key = "spark.checkpoint.dir"
-    found = spark.conf.get(key, None) or spark.sparkContext.getConf().get(key)
-    if not found:
-        if spark.sparkContext.master.split("[")[0] != "local":
-            raise ValueError(f"{key} must name a folder that the driver and all executors share")
-        import tempfile
-
-        found = "file://" + tempfile.mkdtemp(prefix="mnemospark-")
-        spark.conf.set(key, found)
-    return found.rstrip("/")
-
-
 #: Paths made by the operator that runs, for its result to own; a list a thread.
 _made: ContextVar[list[str] | None] = ContextVar("made", default=None)
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    path = f"{shared_dir(spark)}/mnemospark/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/mnemospark/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     if (own := _made.get()) is not None:
         own.append(path)
     return path
@@ -108,19 +92,6 @@ def release(result: DataFrame) -> None:
             own.remove(path)
 
 
-@contextmanager
-def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
-    old = spark.conf.get(key, None)
-    spark.conf.set(key, value)
-    try:
-        yield
-    finally:
-        if old is None:
-            spark.conf.unset(key)
-        else:
-            spark.conf.set(key, old)
-
-
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Cuts the lineage: the rows as a Parquet table in the shared folder, reread.
 
@@ -338,11 +309,6 @@ def words_of(texts: pa.Array, is_word: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return raw, starts, ends, hashes, at
 
 
-def hot_rows(counts: np.ndarray) -> np.ndarray:
-    """Row number of each item when row i has counts[i] items."""
-    return np.repeat(np.arange(len(counts)), counts)
-
-
 def group_runs(keys: list[np.ndarray]) -> np.ndarray:
     """True where a row differs from the one before in any key (rows in sorted order)."""
     n = len(keys[0])

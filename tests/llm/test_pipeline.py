@@ -6,7 +6,8 @@ import public_tokenizers
 
 import corpus_pipeline as P
 from mnemospark.llm import jaccard_join
-from mnemospark.llm._common import release, shared_dir, staged
+from mnemospark.llm._common import release, staged
+from mnemospark.sources.storage import shared_folder
 from mnemospark.llm._words import load_tokenizer
 from tests.llm.test_decontaminate import brute as hits
 from tests.llm.test_jaccard_join import brute as classes
@@ -68,7 +69,7 @@ def test_stages_do_not_touch_each_others_tables(spark, sf_dir):
 
 
 def tables(spark):
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/mnemospark/{spark.sparkContext.applicationId}")
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/mnemospark/{spark.sparkContext.applicationId}")
     files = path.getFileSystem(spark._jsc.hadoopConfiguration())
     return {s.getPath().getName() for s in files.listStatus(path)} if files.exists(path) else set()
 
