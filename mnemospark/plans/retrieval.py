@@ -164,9 +164,11 @@ EXPANSION = ", q AS (SELECT unnest(['the', 'ing', 'tion']) AS q), h AS (SELECT i
 @query("k04_query_expansion", ctes("entities") + EXPANSION + " SELECT id, round(max(s), 6) AS score, arg_max(q, s) AS best FROM h GROUP BY id ORDER BY max(s) DESC, id LIMIT 10")
 def query_expansion(spark, sf, terms=("the", "ing", "tion")):
     """Hits of every expansion of a query; each entity keeps its best score."""
-    text = F.lower("content")
-    hits = F.filter(F.array(*[F.struct(((F.length(text) - F.length(F.replace(text, F.lit(t), F.lit("")))) / float(len(t)) / F.length("content")).alias("s"), F.lit(t).alias("q")) for t in terms]), lambda x: x["s"] > 0)
-    best = T.entities(spark, sf).select("id", F.array_max(hits).alias("b")).where("b IS NOT NULL")
+    low = T.entities(spark, sf).select("id", F.lower("content").alias("low"), F.length("content").alias("n"))
+    gone = lambda t: F.octet_length("low") - F.octet_length(F.replace("low", F.lit(t), F.lit("")))
+    found = [(gone(t) / float(len(t.encode())) / F.col("n")).alias("s") for t in terms]
+    hits = [F.when(F.contains("low", F.lit(t)), F.struct(s, F.lit(t).alias("q"))) for s, t in zip(found, terms)]
+    best = low.select("id", F.greatest(*hits, F.lit(None)).alias("b")).where("b IS NOT NULL")
     return best.orderBy(F.desc("b.s"), "id").limit(10).select("id", S.rounded("b.s").alias("score"), F.col("b.q").alias("best"))
 
 

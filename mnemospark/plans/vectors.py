@@ -7,7 +7,6 @@ import math
 from pyspark.sql import functions as F
 
 from mnemospark.functions import scores as S
-from mnemospark.functions import text as X
 from mnemospark.functions import vector as V
 from mnemospark.operators import vectors as O
 from mnemospark.plans.registry import query
@@ -83,10 +82,11 @@ def bm25(docs, terms, k1: float = 1.5, b: float = 0.75):
     repeated ids are each a document; repeated terms count once.
     """
     terms = list(dict.fromkeys(terms))
-    w = X.words("text")
-    counted = docs.select("id", F.size(w).alias("len"), F.filter(w, lambda x: x.isin(*terms)).alias("hits")).where("len > 0")
+    low = docs.select("id", F.lower("text").alias("low"))
+    whole = r"(?<!\S)(?:" + "|".join(f"\\Q{t}\\E" for t in terms) + r")(?!\S)"
+    counted = low.select("id", F.regexp_count("low", F.lit(r"\S+")).alias("len"), F.regexp_extract_all("low", F.lit(whole), F.lit(0)).alias("hits"))
     times = [(F.size("hits") - F.size(F.array_remove("hits", t))).alias(f"t{i}") for i, t in enumerate(terms)]
-    counted = storage.staged(counted.select("id", "len", *times), "terms")  # the texts are read once
+    counted = storage.staged(counted.select("id", "len", *times), "terms").where("len > 0")  # the texts are read once
     n, mean, *df = counted.agg(rows(), F.avg("len"), *[F.count_if(F.col(f"t{i}") > 0) for i in range(len(terms))]).first()  # one row
     total = F.lit(0.0)
     for i, d in enumerate(df):
