@@ -94,7 +94,7 @@ def _betweenness_sql(depth: int) -> str:
     return out + ", x AS (SELECT v.t AS id, sum(v.paths * w.paths / e.paths) AS score FROM p e JOIN p v ON v.s = e.s JOIN p w ON w.s = v.t AND w.t = e.t WHERE v.d + w.d = e.d AND v.d > 0 AND w.d > 0 GROUP BY 1) SELECT l0.t AS id, round(coalesce(score, 0) / CASE WHEN n > 2 THEN (n - 1) * (n - 2) ELSE 1 END, 6) AS score FROM l0 LEFT JOIN x ON x.id = l0.t, n"
 
 
-@query("g09_betweenness", _betweenness_sql(12))
+@query("g09_betweenness", _betweenness_sql(30))
 def betweenness(spark, sf):
     e = T.associations(spark, sf).where("strength >= 0.2").select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))
     return G.betweenness(e, G.both_ways(e).select(F.col("a").alias("id")).distinct()).select("id", S.rounded("score").alias("score"))
