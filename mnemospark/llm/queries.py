@@ -10,7 +10,7 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from mnemospark.llm import bpe, chat_format, decontaminate, exact_dedup, html_text, jaccard_join, language_id, quality, suffix_dedup, token_files
+from mnemospark.llm import bpe, byte_bpe, chat_format, conversation_repair, decontaminate, exact_dedup, fill_in_middle, html_text, jaccard_join, language_id, quality, suffix_dedup, token_files
 from mnemospark.llm._common import flat_bytes, owner, read
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -165,9 +165,66 @@ def op10_quality(spark, sf_dir):
     return quality.score(docs.select("doc_id", held.alias("held_out"), "text"), model, keep_text=False)
 
 
+def damaged(rows):
+    """The contract's damage: by a hash of conv_id and turn, rows are dropped (a flag), emptied, stripped of stops, repeated or given to the user; nulls are one space."""
+    plain = [F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn", "role", "text")]
+    kind = F.crc32(F.concat_ws(":", *plain[:2]).cast("binary")) % 20
+    text = F.when(kind == 1, "").when(kind == 2, F.regexp_replace(plain[3], "[.!?]", "")).otherwise(plain[3])
+    role = F.when(kind == 4, "user").otherwise(plain[2])
+    made = rows.select("conv_id", "turn", role.alias("role"), text.alias("text"), (kind == 0).alias("gone"), F.when(kind == 3, 2).otherwise(1).alias("times"))
+    return made.withColumn("copy", F.explode(F.sequence(F.lit(1), "times"))).drop("times", "copy")
+
+
+@owner
+def op11_conversation_repair(spark, sf_dir):
+    plans, repaired = conversation_repair.repair(damaged(read(spark, sf_dir, "conversations")), "gone")
+    hashed = conversation_repair.digest_repaired(repaired).select(F.col("conv_id").alias("id"), "sha256")
+    sha = F.coalesce("sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256")
+    return plans.join(hashed, plans.conv_id.eqNullSafe(hashed.id), "left").select(*plans.columns, sha)
+
+
+@owner
+def op12_fill_in_middle(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    made = fill_in_middle.transform(docs, unit="line", seed=7, rate=100, spm=50, keep_text=False)
+    return made.select("doc_id", F.col("n_units").alias("n"), "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(fill_in_middle.restored(), 256).alias("restored_sha256"))
+
+
+OP12_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('7:' || CAST(doc_id AS VARCHAR)) AS x FROM documents),
+u AS (SELECT doc_id, t, regexp_extract_all(t, '[^\n]*\n|[^\n]+') AS u, CAST('0x' || x[1:8] AS BIGINT) AS h1, CAST('0x' || x[9:16] AS BIGINT) AS h2, CAST('0x' || x[17:24] AS BIGINT) AS h3, CAST('0x' || x[25:32] AS BIGINT) AS h4 FROM d),
+c AS (SELECT *, len(u) AS n, least(h1 % (len(u) + 1), h2 % (len(u) + 1)) AS i, greatest(h1 % (len(u) + 1), h2 % (len(u) + 1)) AS j FROM u),
+p AS (SELECT *, array_to_string(u[1:i], '') AS p, array_to_string(u[i + 1:j], '') AS m, array_to_string(u[j + 1:], '') AS s,
+  CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 100 THEN 'plain' WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM c)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+  sha256(t) AS restored_sha256
+FROM p
+"""
+
+
+RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+
+
+def byte_digests(ids, off, raw, bound):
+    """n_tokens, ids_sha256 and decoded_sha256."""
+    out = [pa.array(np.diff(off).astype(np.int64))]
+    for data, ends in ((ids.astype("<u4").view(np.uint8), 4 * off), (raw, bound)):
+        view = memoryview(np.ascontiguousarray(data))
+        out.append(pa.array([hashlib.sha256(view[a:b]).hexdigest() for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())], pa.string()))
+    return out
+
+
+@owner
+def op13_byte_bpe(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    codec = byte_bpe.Codec(spark, RANKS, public_tokenizers.PATTERN)
+    return byte_bpe.encode_then(docs, codec, ["doc_id"], "n_tokens long, ids_sha256 string, decoded_sha256 string", byte_digests)
+
+
 def queries():
-    return {"op1_chat_formatting": op1_chat_formatting, "op2_decontaminate": op2_decontaminate, "op3_token_files": op3_token_files, "op4_suffix_dedup": op4_suffix_dedup, "op6_exact_dedup": op6_exact_dedup, "op7_jaccard_join": op7_jaccard_join, "op8_html_text": op8_html_text, "op9_bpe": op9_bpe, "op5_language_id": op5_language_id, "op10_quality": op10_quality}
+    return {"op1_chat_formatting": op1_chat_formatting, "op2_decontaminate": op2_decontaminate, "op3_token_files": op3_token_files, "op4_suffix_dedup": op4_suffix_dedup, "op6_exact_dedup": op6_exact_dedup, "op7_jaccard_join": op7_jaccard_join, "op8_html_text": op8_html_text, "op9_bpe": op9_bpe, "op5_language_id": op5_language_id, "op10_quality": op10_quality, "op11_conversation_repair": op11_conversation_repair, "op12_fill_in_middle": op12_fill_in_middle, "op13_byte_bpe": op13_byte_bpe}
 
 
 def oracle_sql():
-    return {"op1_chat_formatting": OP1_SQL, "op2_decontaminate": OP2_SQL, "op6_exact_dedup": OP6_SQL, "op7_jaccard_join": OP7_SQL}
+    return {"op1_chat_formatting": OP1_SQL, "op2_decontaminate": OP2_SQL, "op6_exact_dedup": OP6_SQL, "op7_jaccard_join": OP7_SQL, "op12_fill_in_middle": OP12_SQL}

@@ -18,4 +18,4 @@ def test_equals_sql(spark, sf_dir, name):
 
 
 def test_every_operator_is_registered():
-    assert {n.split("_")[0] for n in Q.queries()} == {f"op{i}" for i in range(1, 11)}
+    assert {n.split("_")[0] for n in Q.queries()} == {f"op{i}" for i in range(1, 14)}
