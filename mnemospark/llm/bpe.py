@@ -4,7 +4,8 @@ The corpus's most frequent words (counted over all rows) and their token ids are
 compiled into a minimal acyclic automaton with shared suffixes. Every edge
 carries the number of words that sort before it, so the outputs along a path add
 up to the word's rank and the rank addresses its ids: a transducer from words to
-ids. The file is sent to every executor once and memory-mapped by its workers;
+ids. It goes to the executors as a broadcast of a few megabytes, so that any that
+start later get it, too; a worker writes it to a file and maps that;
 distinct words of a batch walk it in lockstep in numpy. Words outside the
 lexicon are merged exactly, by the tokenizer's own merge rules. Decoding joins
 the vocabulary's strings.
@@ -18,7 +19,6 @@ are replaced.
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -26,11 +26,10 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import SparkFiles
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mnemospark.llm._common import flat_bytes, new_path, pieces, staged, with_fields
+from mnemospark.llm._common import flat_bytes, pieces, staged, with_fields
 from mnemospark.llm._words import WordEncoder, check_words, load_tokenizer
 
 #: Words of the lexicon; bounds the automaton (a few MB) whatever the corpus.
@@ -92,24 +91,28 @@ def compile_automaton(words: list[bytes]) -> dict[str, np.ndarray]:
 class Transducer:
     """A memory-mapped automaton; ``find`` gives the ranks of words, ``fill`` the ids by rank."""
 
-    def __init__(self, path: str):
-        with open(path, "rb") as f:
-            sizes = np.frombuffer(f.read(8 * len(_PARTS)), np.int64)
+    def __init__(self, raw: bytes):
+        with tempfile.TemporaryFile() as f:  # the file goes with the mapping
+            f.write(raw)
+            f.flush()
+            whole = np.memmap(f, np.uint8, "r")
         at = 8 * len(_PARTS)
-        for (name, kind), n in zip(_PARTS.items(), sizes):
-            setattr(self, name, np.memmap(path, kind, "r", at, (int(n),)) if n else np.zeros(0, kind))
-            at += -(-int(n) * np.dtype(kind).itemsize // 8) * 8
+        for (name, kind), n in zip(_PARTS.items(), whole[:at].view(np.int64).tolist()):
+            size = n * np.dtype(kind).itemsize
+            setattr(self, name, whole[at : at + size].view(kind))
+            at += -(-size // 8) * 8
         owner = np.repeat(np.arange(len(self.first) - 1, dtype=np.int64), np.diff(self.first))
         self.keys = owner * 256 + self.label
         self.root = len(self.first) - 2
 
     @staticmethod
-    def write(path: str, parts: dict[str, np.ndarray]) -> None:
-        with open(path, "wb") as f:
-            f.write(np.array([len(parts[k]) for k in _PARTS], np.int64).tobytes())
-            for k, kind in _PARTS.items():
-                raw = parts[k].astype(kind).tobytes()
-                f.write(raw + b"\0" * (-len(raw) % 8))
+    def packed(parts: dict[str, np.ndarray]) -> bytes:
+        """The parts one after the other, each from a multiple of eight bytes on, after their lengths."""
+        out = [np.array([len(parts[k]) for k in _PARTS], np.int64).tobytes()]
+        for k, kind in _PARTS.items():
+            raw = parts[k].astype(kind).tobytes()
+            out.append(raw + b"\0" * (-len(raw) % 8))
+        return b"".join(out)
 
     def fill(self, table) -> None:
         table.extend([self.ids[a:b].tolist() for a, b in zip(self.start[:-1], self.start[1:])])
@@ -160,35 +163,35 @@ def frequent_words(documents: DataFrame, n: int = LEXICON_WORDS, text: str = "te
     return [] if least is None else [r.w for r in counts.where(F.col("step") >= least).select("w").collect()]
 
 
-def build_lexicon(documents: DataFrame, tokenizer_path: str, n: int = LEXICON_WORDS, text: str = "text") -> str:
-    """Compiles the lexicon and sends its file, through the shared folder, to every executor; returns the file's name there."""
-    spark = documents.sparkSession
-    check_words(load_tokenizer(tokenizer_path))
-    words = sorted(w.encode() for w in frequent_words(documents, n, text))
+class Lexicon:
+    """A compiled lexicon, for all executors there are and will be."""
+
+    def __init__(self, spark: SparkSession, packed: bytes):
+        self.name = uuid.uuid4().hex
+        self.packed = spark.sparkContext.broadcast(packed)  # bounded by LEXICON_WORDS
+
+
+def build_lexicon(documents: DataFrame, tokenizer_path: str, n: int = LEXICON_WORDS, text: str = "text") -> Lexicon:
+    """Compiles the frequent words of documents and their ids."""
     tokenizer = load_tokenizer(tokenizer_path)
+    check_words(tokenizer)
+    words = sorted(w.encode() for w in frequent_words(documents, n, text))
     ids = [e.ids for e in tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
     parts = compile_automaton(words)
     parts["start"] = np.concatenate([[0], np.cumsum([len(i) for i in ids])]) if ids else np.zeros(1)
     parts["ids"] = np.array([x for i in ids for x in i])
-    name = f"lexicon-{uuid.uuid4().hex}.bin"
-    shared = f"{new_path(spark, 'lexicon')}/{name}"
-    with tempfile.TemporaryDirectory() as folder:
-        Transducer.write(f"{folder}/{name}", parts)
-        here, there = (spark._jvm.org.apache.hadoop.fs.Path(x) for x in (f"file://{os.path.realpath(folder)}/{name}", shared))
-        there.getFileSystem(spark._jsc.hadoopConfiguration()).copyFromLocalFile(False, True, here, there)
-    spark.sparkContext.addFile(shared)
-    return name
+    return Lexicon(documents.sparkSession, Transducer.packed(parts))
 
 
 _encoders: dict[tuple[str, str], WordEncoder] = {}
 
 
-def encoder(tokenizer_path: str, lexicon: str) -> WordEncoder:
+def encoder(tokenizer_path: str, lexicon: Lexicon) -> WordEncoder:
     """The worker's encoder; made once."""
-    key = tokenizer_path, lexicon
+    key = tokenizer_path, lexicon.name
     if key not in _encoders:
         _encoders.clear()
-        _encoders[key] = WordEncoder(load_tokenizer(tokenizer_path), Transducer(SparkFiles.get(lexicon)))
+        _encoders[key] = WordEncoder(load_tokenizer(tokenizer_path), Transducer(lexicon.packed.value))
     return _encoders[key]
 
 
@@ -214,13 +217,13 @@ def joined(strings: pa.Array, lists: pa.Array) -> pa.Array:
     return pc.binary_join(pa.ListArray.from_arrays(lists.offsets, strings.take(lists.values)), " ")
 
 
-def encode_batches(batches: Iterator[pa.RecordBatch], at: int, tokenizer_path: str, lexicon: str) -> Iterator[pa.RecordBatch]:
+def encode_batches(batches: Iterator[pa.RecordBatch], at: int, tokenizer_path: str, lexicon: Lexicon) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for piece in pieces(batch, at):
             yield pa.RecordBatch.from_arrays([*piece.columns, id_lists(*encoder(tokenizer_path, lexicon).encode(piece.column(at)))], names=[*piece.schema.names, "ids"])
 
 
-def encode(documents: DataFrame, tokenizer_path: str, lexicon: str, text: str = "text") -> DataFrame:
+def encode(documents: DataFrame, tokenizer_path: str, lexicon: Lexicon, text: str = "text") -> DataFrame:
     """Adds ids, the token ids of the whole text."""
     kept = documents.drop("ids")
     at = kept.columns.index(text)
@@ -240,7 +243,7 @@ def decode(encoded: DataFrame, tokenizer_path: str, ids: str = "ids") -> DataFra
     return kept.mapInArrow(run, with_fields(kept.schema, decoded="string"))
 
 
-def encode_then(documents: DataFrame, tokenizer_path: str, lexicon: str, columns: list[str], schema: str, digest: Callable[[pa.Array, pa.Array], list[pa.Array]]) -> DataFrame:
+def encode_then(documents: DataFrame, tokenizer_path: str, lexicon: Lexicon, columns: list[str], schema: str, digest: Callable[[pa.Array, pa.Array], list[pa.Array]]) -> DataFrame:
     """columns of documents and what digest(ids, decoded) gives; ids and decoded texts never leave the worker."""
     kept = documents.select(*columns, "text")
 
