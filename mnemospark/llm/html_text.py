@@ -54,6 +54,9 @@ from mnemospark.llm._suffix import SuffixArray, intervals, left_diverse
 #: Tokens of a boilerplate run, pages that must share it, and pages of a host that one task reads.
 MIN_TOKENS, MIN_PAGES, PAGES_PER_GROUP = 6, 3, 2000
 
+#: A longer path of containers is known by its hash, so that deep nesting doesn't grow with its square.
+LONGEST_PATH = 400
+
 #: Names of elements, and words of class, id and role attributes.
 RAW = ["script", "style", "textarea", "title", "noscript", "template", "iframe", "svg", "select", "object", "xmp", "noembed", "noframes"]
 SKIPPED = {"head", "nav", "header", "footer", "aside", "form", "button", "menu", "dialog", "fieldset", "label", "search"}
@@ -65,7 +68,7 @@ ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form
 #: Whole classes and ids of what repeats can't show, as it differs from page to page: adverts and reader comments.
 NAMES = {"ad", "ads", "advert", "advertisement", "sponsored", "comment", "comments", "comment-list", "commentlist", "comments-area", "respond", "disqus_thread"}
 _TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({'|'.join(RAW)})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*|[^>]*)>|<[!?][^>]*>|<(?=/?[a-zA-Z])[^>]*\Z",
+    rf"<!--.*?(?:-->|\Z)|<({'|'.join(RAW)})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*|[^>]*)>|<[!?][^>]*(?:>|\Z)|<(?=/?[a-zA-Z])[^>]*\Z",
     re.S | re.I,
 )
 _NAMED = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
@@ -96,6 +99,7 @@ def blocks_of(page: str) -> tuple[list[tuple[str, str]], bool]:
     inside: list[tuple[str, str]] = []
     outside: list[tuple[str, str]] = []
     stack: list[tuple[str, bool, bool, str]] = []  # open containers: name, skipped, in an article, path
+    opened: dict[str, int] = {}  # how many of each name are on the stack
     skipped = main = declared = False
     path = ""
     parts: list[str] = []
@@ -124,10 +128,11 @@ def blocks_of(page: str) -> tuple[list[tuple[str, str]], bool]:
         if name not in CONTAINERS and name not in SKIPPED and name not in MAIN:
             continue
         if m[2]:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    del stack[k:]
-                    break
+            closed = not opened.get(name)  # an end tag without its beginning closes nothing
+            while not closed:
+                gone = stack.pop()[0]
+                opened[gone] -= 1
+                closed = gone == name
             skipped, main, path = stack[-1][1:] if stack else (False, False, "")
         elif not (attributes := m[4] or "").rstrip().endswith("/"):
             no_text, is_main, own = named(attributes) if attributes and name not in ("html", "body") else (False, False, "")
@@ -136,8 +141,11 @@ def blocks_of(page: str) -> tuple[list[tuple[str, str]], bool]:
                 main, path = True, ""
             elif own:
                 path = f"{path}/{name}.{own}"
+                if len(path) > LONGEST_PATH:
+                    path = hashlib.blake2b(path.encode("utf-8", "surrogatepass"), digest_size=16).hexdigest()
             declared = declared or (main and not skipped)
             stack.append((name, skipped, main, path))
+            opened[name] = opened.get(name, 0) + 1
     if not skipped and at < len(page):
         parts.append(page[at:])
     close()

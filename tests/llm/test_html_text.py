@@ -1,4 +1,7 @@
 import random
+import time
+
+import pytest
 
 from mnemospark.llm import html_text as H
 
@@ -162,3 +165,35 @@ def test_given_pages_equal_another_parser(spark, sf_dir):
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     want = {r.page_id: (r.url, plain(r.html)) for r in pages.collect()}
     assert {r.page_id: (r.url, r.text) for r in H.main_text(pages).collect()} == want
+
+
+HOSTILE = {
+    "declarations": "<!" * 500_000,
+    "end tags": "<div>" * 100_000 + "</li>" * 100_000,
+    "attributes": "<div " + 'class="a b" id=c ' * 60_000 + ">x",
+    "open quotes": '<div a="' * 130_000,
+    "open quotes, one end": '<div a="' * 130_001 + ">x",
+    "starts": "<div" * 250_000,
+    "raw starts": "<script" * 150_000,
+    "raw ends": "<script>" + "</script " * 110_000,
+    "nested": "".join(f"<div class='c{chr(97 + k % 26)}{chr(97 + k % 23)}'>x" for k in range(45_000)),
+    "comments": "<!--" * 250_000,
+    "references": "&amp" * 250_000,
+    "spaces": "<p class" + " " * 500_000 + "<p role" + " " * 500_000 + ">x",
+}
+
+
+@pytest.mark.parametrize("kind", sorted(HOSTILE))
+def test_hostile_pages_take_seconds_at_most(kind):
+    """A page of about 1 MB; each was quadratic in some earlier version, or might be."""
+    begun = time.process_time()
+    H.blocks_of(HOSTILE[kind])
+    assert time.process_time() - begun < 5
+
+
+def test_end_tags_close_what_is_open():
+    assert texts("<body><div><p>a</section></div><nav>n<div>m</nav>b</div>c") == (["a", "b", "c"], False)
+    assert texts("<article><p>x</article></article></main><footer>f</footer>y") == (["x"], True)
+    deep = "<article>" + "".join(f"<div class=k{chr(97 + k % 26)}>" for k in range(300)) + "x"
+    (_, path), = H.blocks_of(deep)[0]
+    assert 0 < len(path) <= H.LONGEST_PATH
