@@ -5,7 +5,8 @@ language; the smoothed log-probability matrix is broadcast and every batch is
 scored in numpy: sparse feature indices, one gather and segment sum a language.
 
 The model is fitted on at most ``max_rows`` labelled rows (the smallest by a
-hash of their id), a documented bound; each language weighs the same (uniform
+hash of their id) and has at most ``max_languages`` languages (those that most
+of these rows have, ties by name), documented bounds; each language weighs the same (uniform
 prior), so the mix of the corpus doesn't tilt short texts.
 
 Edge cases: a text that is null or has no letter is ``und`` with score 0; ties
@@ -31,6 +32,8 @@ from mnemospark.llm._common import bounded, pieces, with_fields
 BUCKETS = 1 << 15
 ORDERS = (1, 2, 3)
 MAX_TRAINING_ROWS = 20_000
+#: Languages of a model; bounds the broadcast matrix (34 MB).
+MAX_LANGUAGES = 256
 UNKNOWN = "und"
 #: Characters of one text that are scored at once.
 SLICE_CHARS = 1 << 20
@@ -118,12 +121,14 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some), pa.string()), pa.array(some.astype(np.int32)), pa.array(total[some])], names=["lang", "bucket", "n"])
 
 
-def train(labelled: DataFrame, max_rows: int = MAX_TRAINING_ROWS, alpha: float = 0.5) -> Model:
-    """Fits on labelled(doc_id, text, lang); at most ``max_rows`` rows, whatever the table's size."""
+def train(labelled: DataFrame, max_rows: int = MAX_TRAINING_ROWS, alpha: float = 0.5, max_languages: int = MAX_LANGUAGES) -> Model:
+    """Fits on labelled(doc_id, text, lang); at most ``max_rows`` rows, whatever the table's size, and the ``max_languages`` languages that most of them have."""
     rows = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     chosen = bounded(rows.select("doc_id"), "doc_id", max_rows, 5).distinct()
     sample = rows.select("doc_id", "text", "lang").join(F.broadcast(chosen), "doc_id", "left_semi")
-    # At most BUCKETS rows a language come to the driver, and not more languages than sampled rows.
+    common = sample.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages)
+    sample = sample.join(F.broadcast(common.select("lang")), "lang", "left_semi")
+    # At most BUCKETS rows a language come to the driver.
     counted = sample.select("text", "lang").mapInArrow(_count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     languages = sorted(set(counted.lang))
     weights = np.zeros((len(languages), BUCKETS + 1), np.float32)

@@ -11,7 +11,8 @@ hash of their id) and ``max_pairs`` pairs, both documented bounds.
 
 Edge cases: null and empty texts have the all-zero feature vector and get a
 score like any other; labels that are null or have no document aren't learnt
-from; a document with several labels counts once for each; with one class only
+from; a document with several labels counts once for each; of several documents
+with one id, the text that comes last in binary order is learnt from; with one class only
 (or no label) every score is that class's share (0.5 without labels); repeated
 rows score alike; clashing columns (``score``, ``predicted``) are replaced.
 """
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mnemospark.llm._common import bounded, flat_bytes, pieces, with_fields, words_of
+from mnemospark.llm._common import bounded, flat_bytes, pieces, staged, with_fields, words_of
 
 MAX_TRAINING_ROWS, MAX_PAIRS = 20_000, 60_000
 
@@ -150,8 +151,9 @@ def probability(model: Model, x: np.ndarray) -> np.ndarray:
 def train(documents: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAINING_ROWS, max_pairs: int = MAX_PAIRS) -> Model:
     """Fits on documents(doc_id, text) and labels(doc_id, quality in 0/1)."""
     marked = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", "quality")
-    chosen = bounded(marked, "doc_id", max_rows, 11)
-    rows = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    chosen = staged(bounded(marked, "doc_id", max_rows, 11), "labels")
+    texts = documents.select("doc_id", "text").join(F.broadcast(chosen.select("doc_id").distinct()), "doc_id", "left_semi")
+    rows = texts.groupBy("doc_id").agg(F.max("text").alias("text")).join(F.broadcast(chosen), "doc_id")  # as many as there are labels
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

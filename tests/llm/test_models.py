@@ -170,3 +170,28 @@ def test_bounded_samples_are_the_smallest_hashes(spark):
     more = {r.doc_id for r in bounded(df, "doc_id", 12_000, 5).collect()}
     assert len(few) == 300 and len(more) == 12_000 and few <= more
     assert bounded(df.limit(5), "doc_id", 300, 5).count() == 5
+
+
+def test_many_rows_of_one_id_come_as_one(spark):
+    """Labels choose documents by id; of 20,000 rows with two ids the driver gets two."""
+    docs = spark.range(20_000).selectExpr("id % 2 AS doc_id", "concat('Good text, number ', id, '. It goes on.') AS text")
+    labels = spark.createDataFrame([(0, 1), (1, 0), (0, 1), (None, 1)], "doc_id long, quality int")
+    seen = []
+    real, Q.fit = Q.fit, lambda x, y, *rest: seen.append((len(x), sorted(y.tolist()))) or real(x, y, *rest)
+    try:
+        model = Q.train(docs, labels, max_rows=10)
+    finally:
+        Q.fit = real
+    assert seen == [(3, [0, 1, 1])]
+    last = Q.train(spark.createDataFrame([(0, "Good text, number 9998. It goes on."), (1, "Good text, number 9999. It goes on.")], "doc_id long, text string"), labels)
+    assert np.allclose(model.weights, last.weights) and np.allclose(model.mean, last.mean)
+
+
+def test_many_languages_have_a_bounded_model(spark):
+    rows = [(k, f"text of language {k}", f"l{k:05}") for k in range(5000)] + [(10_000 + k, "viele Worte und noch mehr Worte", "de") for k in range(4)] + [(20_000 + k, "many words and still more words", "en") for k in range(3)]
+    model = L.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert len(model.languages) == L.MAX_LANGUAGES and {"de", "en", "l00000"} < set(model.languages) and model.weights.nbytes < 40e6
+    two = L.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), max_languages=2)
+    assert two.languages == ["de", "en"]
+    got = L.identify(spark.createDataFrame([("noch mehr Worte",), ("more words",)], "text string"), two)
+    assert [r.lang_pred for r in got.collect()] == ["de", "en"]
