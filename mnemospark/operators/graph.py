@@ -7,8 +7,7 @@ written to the shared folder.
 Edge cases, for all operators: an edge with a null end is left out; repeated
 edges count once, but where their strengths differ (``chain``, ``activation``:
 the strongest counts); a loop (a = b) leads to a node that is reached already,
-and is no cycle of ``cycles``, but one of ``closing`` and ``acyclic_rest``; a
-seed without edges is its own only node; an empty edge table gives no edge, no
+and is no cycle of ``cycles``; a seed without edges is its own only node; an empty edge table gives no edge, no
 path and no score; other columns, of any name, are ignored.
 """
 
@@ -16,14 +15,15 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from mnemospark.operators import adjacency
+from mnemospark.operators.adjacency import MAX_EDGES, longs
 from mnemospark.sources.storage import dropped, staged
 
-#: Directed edges up to which betweenness broadcasts its adjacency; beyond, it joins level by level.
-MAX_BROADCAST_EDGES = 2_000_000
 #: Sources whose paths betweenness follows at once in joins.
 SOURCE_BLOCK = 1_000
 
@@ -44,16 +44,20 @@ def both_ways(edges: DataFrame) -> DataFrame:
     return e.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")).select("e.a", "e.b").distinct()
 
 
-def reach(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
+def reach(edges: DataFrame, seeds: DataFrame, depth: int, most: int = MAX_EDGES) -> DataFrame:
     """(seed, id, depth): nodes within ``depth`` steps along edges(a, b), at their smallest depth.
 
-    The frontier is joined with the edges, reduced to one row a node and
-    stripped of nodes seen before: work grows with edges touched, not walks.
+    Graphs of up to ``most`` edges are searched by tasks, each from its own
+    seeds. In larger ones the frontier is joined with the edges, reduced to one
+    row a node and stripped of nodes seen before: work grows with edges touched,
+    not walks.
     """
     seen = frontier = seeds.select("seed", F.col("seed").alias("id"), F.lit(0).alias("depth")).where("seed IS NOT NULL").distinct()
     if not depth:
         return seen
     near = staged(_ends(edges), "edges")
+    if (graph := adjacency.broadcast(near, most)) is not None:
+        return _reach_in_tasks(seen.select(F.col("seed").cast("long")), graph, depth)
     for d in range(1, depth + 1):
         step = frontier.select("seed", F.col("id").alias("a")).join(near, "a").select("seed", F.col("b").alias("id")).distinct()
         frontier = step.join(seen.select("seed", "id"), ["seed", "id"], "left_anti").withColumn("depth", F.lit(d))
@@ -63,12 +67,21 @@ def reach(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
         seen = seen.unionByName(frontier)
 
 
-def closing(edges: DataFrame, candidates: DataFrame, depth: int) -> DataFrame:
-    """candidates(a, b) with cyclic: whether a is within ``depth`` steps of b along edges(a, b)."""
-    c = candidates.select("a", "b")
-    back = reach(edges, c.select(F.col("b").alias("seed")).distinct(), depth)
-    back = back.select(F.col("seed").alias("b"), F.col("id").alias("a"), F.lit(True).alias("hit"))
-    return c.join(back, ["a", "b"], "left").select("a", "b", F.coalesce("hit", F.lit(False)).alias("cyclic"))
+def _reach_in_tasks(seeds: DataFrame, graph, depth: int) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        g = graph.value
+        for batch in batches:
+            seeds = batch.column(0).to_numpy()
+            for seed, place in zip(seeds.tolist(), g.places(seeds).tolist()):
+                levels = [np.array([seed])]
+                for nodes, _ in g.levels(place) if place >= 0 else ():
+                    levels.append(g.nodes[nodes])
+                    if len(levels) > depth:
+                        break
+                size = [len(x) for x in levels]
+                yield pa.RecordBatch.from_arrays([*longs(np.full(sum(size), seed), np.concatenate(levels)), pa.array(np.repeat(np.arange(len(size)), size), pa.int32())], names=["seed", "id", "depth"])
+
+    return seeds.mapInArrow(run, "seed long, id long, depth int")
 
 
 def chain(edges: DataFrame, seed: int, depth: int) -> DataFrame:
@@ -142,7 +155,7 @@ def pagerank(edges: DataFrame, rounds: int = 20, damping: float = 0.85, every: i
     return rank
 
 
-def betweenness(edges: DataFrame, sources: DataFrame, most: int = MAX_BROADCAST_EDGES, block: int = SOURCE_BLOCK) -> DataFrame:
+def betweenness(edges: DataFrame, sources: DataFrame, most: int = MAX_EDGES, block: int = SOURCE_BLOCK) -> DataFrame:
     """(id, score) of the nodes that a shortest path of the undirected simple graph begins at, ends at or passes: Brandes from every source(id).
 
     Up to ``most`` directed edges the adjacency is broadcast and every task
@@ -218,23 +231,3 @@ def _betweenness_joined(both: DataFrame, seeds: DataFrame, block: int) -> DataFr
     if total is None:
         return seeds.select("id", F.lit(0.0).alias("score")).limit(0)
     return total.groupBy("id").agg(F.sum("share").alias("score"))
-
-
-def acyclic_rest(edges: DataFrame) -> DataFrame:
-    """What is left of edges(a, b) when nodes without incoming or without outgoing edges are stripped until nothing changes: empty for a DAG.
-
-    The longest path bounds the rounds; stripping both ends halves them.
-    """
-    left = staged(_ends(edges), "strip")
-    n = left.count()
-    while n:
-        entered = left.select(F.col("b").alias("a")).distinct()
-        gone_on = left.select(F.col("a").alias("b")).distinct()
-        kept = staged(left.join(entered, "a", "left_semi").join(gone_on, "b", "left_semi").select("a", "b"), "strip")
-        m = kept.count()
-        dropped(left)
-        left = kept
-        if m == n:
-            break
-        n = m
-    return left

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from mnemospark.functions import scores as S
+from mnemospark.functions import text as X
+from mnemospark.operators import cycles as C
 from mnemospark.operators import graph as G
 from mnemospark.plans.registry import query
 from mnemospark.sources import tables as T
@@ -112,7 +114,7 @@ def recency_weights(spark, sf):
 def would_create_cycle(spark, sf, depth: int = 10):
     """Every edge: whether a way of up to ten steps leads back."""
     e = _links(spark, sf, 0.4)
-    return G.closing(e, e, depth)
+    return C.closing(e, e, depth)
 
 
 def _chain_sql(depth: int) -> str:
@@ -146,38 +148,63 @@ def spread_activation(spark, sf):
     return G.activation(e, seeds, 2, 0.3, 0.05).withColumn("activation", S.rounded("activation"))
 
 
-@query("g16_cycles", ctes("causal_links", recursive=True) + ", e AS (SELECT cause_id AS a, effect_id AS b FROM causal_links WHERE strength >= 0.6), w(path, last) AS (SELECT [a, b], b FROM e WHERE a < b UNION ALL SELECT list_append(path, b), b FROM w JOIN e ON a = last WHERE len(path) < 6 AND b > path[1] AND NOT list_contains(path, b)) SELECT CAST(len(path) AS INT) AS length, array_to_string(path, '>') AS cycle, CASE WHEN len(path) <= 2 THEN 'CRITICAL' WHEN len(path) <= 4 THEN 'HIGH' ELSE 'MEDIUM' END AS severity FROM w JOIN e ON a = last AND b = path[1]")
-def cycles(spark, sf, most: int = 6):
-    """Simple cycles of up to six causes. Their number grows with the sixth power of a node's edges."""
-    c = G.cycles(_links(spark, sf, 0.6), most)
-    severity = F.when(F.col("length") <= 2, "CRITICAL").when(F.col("length") <= 4, "HIGH").otherwise("MEDIUM")
-    return c.select("length", F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("cycle"), severity.alias("severity"))
+#: What follows what in all agents' chains, repeats included, seen three times and more.
+FOLLOWS = ", e AS (SELECT a, b FROM chains GROUP BY a, b HAVING sum(evidence_count) >= 3)"
+#: For every edge the shortest way back, the smallest node first at each step from its start; closed paths graded by their length.
+SHORTEST = """, r(seed, id, depth) AS (SELECT DISTINCT b, b, 0 FROM e UNION SELECT seed, b, depth + 1 FROM r JOIN e ON id = a WHERE depth < 30),
+m AS (SELECT seed, id, min(depth) AS d FROM r GROUP BY 1, 2),
+p AS (SELECT x.seed, x.id, min(a) AS before FROM m x JOIN e ON b = x.id JOIN m y ON y.seed = x.seed AND y.id = a AND y.d = x.d - 1 GROUP BY 1, 2),
+w(seed, id, path) AS (SELECT b, a, [a] FROM e JOIN m ON seed = b AND id = a UNION ALL SELECT w.seed, before, list_prepend(before, path) FROM w JOIN p ON p.seed = w.seed AND p.id = w.id),
+c AS (SELECT DISTINCT list_concat(path[list_position(path, list_min(path)):], path[1:list_position(path, list_min(path)) - 1]) AS path FROM w WHERE id = seed)
+SELECT CAST(len(path) AS INT) AS length, array_to_string(path, '>') AS cycle, CASE WHEN len(path) + 1 <= 2 THEN 'CRITICAL' WHEN len(path) + 1 <= 4 THEN 'HIGH' WHEN len(path) + 1 <= 6 THEN 'MEDIUM' ELSE 'LOW' END AS severity FROM c"""
 
 
-@query("g17_chain_validation", ctes("causal_links") + "SELECT CASE WHEN strength < 0.3 THEN 'weak' WHEN EXISTS (SELECT 1 FROM causal_links y WHERE y.cause_id = x.effect_id AND y.effect_id = x.cause_id) THEN 'circular' ELSE 'valid' END AS verdict, count(*) AS n FROM causal_links x GROUP BY 1")
-def chain_validation(spark, sf):
-    e = _links(spark, sf)
-    back = e.select(F.col("b").alias("a"), F.col("a").alias("b"), F.lit(True).alias("back"))
-    v = F.when(F.col("strength") < 0.3, "weak").when(F.col("back"), "circular").otherwise("valid")
-    return e.join(back, ["a", "b"], "left").groupBy(v.alias("verdict")).agg(rows().alias("n"))
+@query("g16_cycles", ctes("chains", recursive=True) + FOLLOWS + SHORTEST)
+def cycles(spark, sf):
+    """A shortest cycle through every edge that lies on one, graded by its closed path: a node that leads to itself is critical."""
+    e = T.chains(spark, sf).groupBy("a", "b").agg(F.sum("evidence_count").alias("n")).where("n >= 3")
+    closed = F.col("length") + 1
+    severity = F.when(closed <= 2, "CRITICAL").when(closed <= 4, "HIGH").when(closed <= 6, "MEDIUM").otherwise("LOW")
+    return C.shortest_cycles(e).select("length", F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("cycle"), severity.alias("severity"))
+
 
+#: Edges (of e) that lie on a cycle, by the closure of all ways.
+CLOSURE = ", r(s, t) AS (SELECT a, b FROM e UNION SELECT s, b FROM r JOIN e ON t = a)"
 
-#: Edges (of e) on a way from one cycle to another, or on a cycle, counted by the closure of all ways.
-ON_CYCLES = ", r(s, t) AS (SELECT a, b FROM e UNION SELECT s, b FROM r JOIN e ON t = a), c AS (SELECT s AS id FROM r WHERE s = t) SELECT CAST(count(*) AS INT) AS edges_on_cycles FROM e WHERE a IN (SELECT id FROM c UNION SELECT t FROM r JOIN c ON s = id) AND b IN (SELECT id FROM c UNION SELECT s FROM r JOIN c ON t = id)"
 
+def _opposed_sql(x: str, y: str) -> str:
+    return "CASE " + " ".join(f"WHEN contains(lower({x}), '{a}') AND contains(lower({y}), '{b}') THEN '{kind}'" for a, b, kind in X.OPPOSITES) + " END"
 
-@query("g18_has_cycles", "WITH RECURSIVE e AS (SELECT c_custkey + 1000 AS a, CAST(c_nationkey + 100 AS BIGINT) AS b FROM customer UNION SELECT n_nationkey + 100, n_regionkey FROM nation)" + ON_CYCLES)
+
+@query("g17_chain_validation", ctes("chains", "entities", recursive=True) + f", e AS (SELECT agent_id * 1000 + a AS a, agent_id * 1000 + b AS b FROM chains){CLOSURE}, l AS (SELECT agent_id, s IS NOT NULL AS on_cycle, strength < 0.5 AS weak, {_opposed_sql('x.content', 'y.content')} AS opposed FROM chains c LEFT JOIN r ON s = agent_id * 1000 + c.b AND t = agent_id * 1000 + c.a LEFT JOIN entities x ON x.id = c.a LEFT JOIN entities y ON y.id = c.b) SELECT agent_id, count(*) AS links, count(*) FILTER (on_cycle) AS on_cycles, count(*) FILTER (weak) AS weak_links, count(opposed) AS contradictions, max(opposed) AS reason, NOT bool_or(on_cycle OR weak OR opposed IS NOT NULL) AS is_valid, CASE WHEN bool_or(on_cycle) THEN 'HIGH' WHEN bool_or(weak OR opposed IS NOT NULL) THEN 'MEDIUM' END AS severity FROM l GROUP BY agent_id")
+def chain_validation(spark, sf):
+    """Every agent's chain: links on cycles of any length, weak links, and links between statements that oppose each other."""
+    c = T.chains(spark, sf).withColumns({"x": F.col("agent_id") * 1000 + F.col("a"), "y": F.col("agent_id") * 1000 + F.col("b")})
+    on = C.cyclic_edges(c.select(F.col("x").alias("a"), F.col("y").alias("b"))).select(F.col("a").alias("x"), F.col("b").alias("y"), F.lit(True).alias("on_cycle"))
+    said = T.entities(spark, sf).select("id", F.lower("content").alias("said"))
+    words = {w for a, b, _ in X.OPPOSITES for w in (a, b)}
+    said = said.select("id", *(F.contains("said", F.lit(w)).alias(w) for w in sorted(words)))  # texts don't move: their words do
+    links = c.join(on, ["x", "y"], "left").join(said.alias("p"), F.col("p.id") == F.col("a"), "left").join(said.alias("q"), F.col("q.id") == F.col("b"), "left")
+    opposed = F.coalesce(*(F.when(F.col(f"p.{a}") & F.col(f"q.{b}"), kind) for a, b, kind in X.OPPOSITES))
+    cycle, weak, reason = F.coalesce("on_cycle", F.lit(False)), F.col("strength") < 0.5, opposed
+    g = links.groupBy("agent_id").agg(rows().alias("links"), F.count_if(cycle).alias("on_cycles"), F.count_if(weak).alias("weak_links"), F.count(reason).alias("contradictions"), F.max(reason).alias("reason"))
+    valid = (F.col("on_cycles") == 0) & (F.col("weak_links") == 0) & (F.col("contradictions") == 0)
+    return g.withColumns({"is_valid": valid, "severity": F.when(F.col("on_cycles") > 0, "HIGH").when(~valid, "MEDIUM")})
+
+
+@query("g18_has_cycles", "WITH RECURSIVE e AS (SELECT c_custkey + 1000 AS a, CAST(c_nationkey + 100 AS BIGINT) AS b FROM customer UNION SELECT n_nationkey + 100, n_regionkey FROM nation)" + CLOSURE + " SELECT CAST(count(*) AS INT) AS edges_on_cycles FROM e JOIN r ON s = b AND t = a")
 def has_cycles(spark, sf):
-    """Customer to nation to region is a DAG: nothing is left after stripping."""
+    """Customer to nation to region is a DAG: no edge lies on a cycle."""
     c = T.base(spark, sf, "customer").select((F.col("c_custkey") + 1000).alias("a"), (F.col("c_nationkey") + 100).cast("long").alias("b"))
     n = T.base(spark, sf, "nation").select((F.col("n_nationkey") + 100).cast("long").alias("a"), F.col("n_regionkey").cast("long").alias("b"))
-    return G.acyclic_rest(c.unionByName(n)).agg(rows().cast("int").alias("edges_on_cycles"))
+    return C.cyclic_edges(c.unionByName(n)).agg(rows().cast("int").alias("edges_on_cycles"))
 
 
-@query("g18_has_cycles_links", ctes("causal_links", recursive=True) + ", e AS (SELECT cause_id AS a, effect_id AS b FROM causal_links WHERE strength >= 0.6)" + ON_CYCLES)
+@query("g18_has_cycles_links", ctes("causal_links", recursive=True) + ", e AS (SELECT cause_id AS a, effect_id AS b FROM causal_links WHERE strength >= 0.6)" + CLOSURE + ", n AS (SELECT a AS id FROM e UNION SELECT b FROM e), k AS (SELECT x.s AS id, min(x.t) AS component FROM r x JOIN r y ON y.s = x.t AND y.t = x.s GROUP BY 1) SELECT component, count(*) AS nodes, (SELECT count(*) FROM e JOIN k i ON i.id = a JOIN k j ON j.id = b WHERE i.component = k.component AND j.component = k.component) AS edges_on_cycles FROM k GROUP BY component")
 def has_cycles_links(spark, sf):
-    """Causal links left after stripping: none where they have no cycle."""
-    return G.acyclic_rest(_links(spark, sf, 0.6)).agg(rows().cast("int").alias("edges_on_cycles"))
+    """Strongly connected components of causal links: none where the model is a DAG."""
+    e = C.cyclic_edges(_links(spark, sf, 0.6))
+    return e.groupBy("component").agg(F.count_distinct("a").alias("nodes"), rows().alias("edges_on_cycles"))
 
 
 @query("g20_provenance_chain", "SELECT o_orderkey, l_linenumber AS place, p_name AS source FROM orders JOIN lineitem ON o_orderkey = l_orderkey JOIN part ON l_partkey = p_partkey WHERE o_orderkey % 100 = 0 AND l_linenumber <= 3".replace("o_orderkey % 100 = 0 AND ", ""))

@@ -9,6 +9,7 @@ from mnemospark.functions import scores as S
 from mnemospark.functions import text as X
 from mnemospark.functions import vector as V
 from mnemospark.operators import chunking as C
+from mnemospark.operators import cycles
 from mnemospark.operators import graph as G
 from mnemospark.operators import near_texts as N
 from mnemospark.operators import vectors as O
@@ -84,17 +85,16 @@ def hash_embedding(spark, sf, dimensions: int = 16):
     return t.where("v <> 0").join(n, ["conv_id", "turn"]).select("conv_id", "turn", "d", S.rounded(F.col("v") / F.col("n")).alias("value"))
 
 
-@query("m05_causal_upsert", ctes("causal_links") + ", e AS (SELECT cause_id, effect_id, strength, evidence_count FROM causal_links), n AS (SELECT k AS a, (k * 7 + 3) % 100 AS b, round(max(success_score), 4) AS s FROM actions GROUP BY 1, 2), v AS (SELECT a, b, s, strength, evidence_count, EXISTS (SELECT 1 FROM e y WHERE y.cause_id = n.b AND y.effect_id = n.a AND y.strength >= 0.4) AS cyclic FROM n LEFT JOIN e ON e.cause_id = a AND e.effect_id = b) SELECT a, b, CASE WHEN a = b THEN 'self' WHEN cyclic THEN 'cycle' WHEN strength IS NULL THEN 'insert' ELSE 'update' END AS op, round(CASE WHEN a = b OR cyclic THEN NULL WHEN strength IS NULL THEN s ELSE (strength + s) / 2 END, 6) AS strength FROM v")
-def causal_upsert(spark, sf):
-    """New causal links: self links and two-step cycles are refused, known links averaged."""
-    e = T.causal_links(spark, sf)
+@query("m05_causal_upsert", ctes("causal_links", recursive=True) + ", e AS (SELECT * FROM causal_links WHERE strength >= 0.8), r(seed, id, depth) AS (SELECT DISTINCT (k * 7 + 3) % 100, (k * 7 + 3) % 100, 0 FROM actions UNION SELECT seed, effect_id, depth + 1 FROM r JOIN e ON cause_id = id WHERE depth < 10), w AS (SELECT DISTINCT seed, id FROM r), n AS (SELECT k AS a, (k * 7 + 3) % 100 AS b, round(max(success_score), 4) AS s FROM actions GROUP BY 1, 2), v AS (SELECT a, b, s, strength, evidence_count, id IS NOT NULL AS cyclic FROM n LEFT JOIN e ON e.cause_id = a AND e.effect_id = b LEFT JOIN w ON seed = b AND id = a) SELECT a, b, CASE WHEN a = b THEN 'self' WHEN cyclic THEN 'cycle' WHEN strength IS NULL THEN 'insert' ELSE 'update' END AS op, round(CASE WHEN a = b OR cyclic THEN NULL WHEN strength IS NULL THEN s ELSE (strength + s) / 2 END, 6) AS strength, CASE WHEN a = b OR cyclic THEN NULL ELSE coalesce(evidence_count, 0) + 1 END AS evidence_count FROM v")
+def causal_upsert(spark, sf, depth: int = 10):
+    """New causal links: self links and those that close a cycle of up to ten steps back are refused, known links averaged and their evidence counted."""
+    e = T.causal_links(spark, sf).where("strength >= 0.8").select(F.col("cause_id").alias("a"), F.col("effect_id").alias("b"), "strength", "evidence_count")
     n = T.actions(spark, sf).groupBy(F.col("k").alias("a"), ((F.col("k") * 7 + 3) % 100).alias("b")).agg(S.rounded(F.max("success_score"), 4).alias("s"))
-    known = e.select(F.col("cause_id").alias("a"), F.col("effect_id").alias("b"), "strength")
-    back = e.where("strength >= 0.4").select(F.col("effect_id").alias("a"), F.col("cause_id").alias("b"), F.lit(True).alias("cyclic"))
-    j = n.join(known, ["a", "b"], "left").join(back, ["a", "b"], "left")
+    j = n.join(e, ["a", "b"], "left").join(cycles.closing(e, n, depth), ["a", "b"], "left")
     op = F.when(F.col("a") == F.col("b"), "self").when(F.col("cyclic"), "cycle").when(F.col("strength").isNull(), "insert").otherwise("update")
-    new = F.when(op.isin("self", "cycle"), None).when(F.col("strength").isNull(), F.col("s")).otherwise((F.col("strength") + F.col("s")) / 2)
-    return j.select("a", "b", op.alias("op"), S.rounded(new).alias("strength"))
+    kept = ~op.isin("self", "cycle")
+    new = F.when(F.col("strength").isNull(), F.col("s")).otherwise((F.col("strength") + F.col("s")) / 2)
+    return j.select("a", "b", op.alias("op"), S.rounded(F.when(kept, new)).alias("strength"), F.when(kept, F.coalesce("evidence_count", F.lit(0)) + 1).alias("evidence_count"))
 
 
 @query("m10_version_diff", ctes("versions") + ", p AS (SELECT entity_id, version, lag(data) OVER (PARTITION BY entity_id ORDER BY version) AS old, data AS new FROM versions), l AS (SELECT *, string_split(old, ':') AS o, string_split(new, ':') AS n FROM p WHERE old IS NOT NULL), h AS (SELECT entity_id, version, o[1] <> n[1] AS x, o[2] <> n[2] AS y, o, n FROM l) SELECT entity_id, version, CASE WHEN NOT x AND NOT y THEN '' WHEN x AND y THEN concat_ws(chr(10), '--- ', '+++ ', '@@ -1,2 +1,2 @@', '-' || o[1], '-' || o[2], '+' || n[1], '+' || n[2]) WHEN x THEN concat_ws(chr(10), '--- ', '+++ ', '@@ -1 +1 @@', '-' || o[1], '+' || n[1]) ELSE concat_ws(chr(10), '--- ', '+++ ', '@@ -2 +2 @@', '-' || o[2], '+' || n[2]) END AS diff FROM h")
@@ -258,7 +258,7 @@ def keyword_activation(spark, sf):
 def citation_cycle(spark, sf, depth: int = 10):
     """Nodes that reach themselves within ten citations."""
     e = T.causal_links(spark, sf).where("strength >= 0.6").select(F.col("cause_id").alias("a"), F.col("effect_id").alias("b"))
-    return G.closing(e, e, depth - 1).where("cyclic").select(F.col("a").alias("id")).distinct()
+    return cycles.closing(e, e, depth - 1).where("cyclic").select(F.col("a").alias("id")).distinct()
 
 
 @query("c04_multi_source_recall", ctes("entities", "feedback") + ", r AS (SELECT source, (sum(success) + 1) / (count(*) + 2) AS rel FROM feedback GROUP BY 1) SELECT id, round(importance * rel, 6) AS score FROM entities JOIN r ON entity_type = source WHERE tier = 'core' ORDER BY importance * rel DESC, id LIMIT 25")

@@ -63,6 +63,13 @@ def associations(spark, sf_dir) -> DataFrame:
     return _steps(spark, sf_dir).groupBy(F.least("k", "k2").alias("a_id"), F.greatest("k", "k2").alias("b_id")).agg(n.alias("co_activation_count"), F.least(F.lit(1.0), rounded(n * 0.1, 6)).alias("strength"))
 
 
+def chains(spark, sf_dir) -> DataFrame:
+    """Each agent's causal chain: what follows what, repeats included, and how well it went."""
+    w = Window.partitionBy("agent_id").orderBy("executed_at", "action_id")
+    steps = actions(spark, sf_dir).select("agent_id", F.col("k").alias("a"), F.lead("k").over(w).alias("b"), F.lead("success_score").over(w).alias("s")).where("b IS NOT NULL")
+    return steps.groupBy("agent_id", "a", "b").agg(F.count(F.lit(1)).alias("evidence_count"), rounded(F.avg("s"), 6).alias("strength"))
+
+
 def beliefs(spark, sf_dir) -> DataFrame:
     return actions(spark, sf_dir).groupBy("agent_id", F.col("action_type").alias("statement")).agg(rounded(F.avg("success_score"), 6).alias("probability"), F.sum(F.when(F.col("success_score") >= 0.5, 1).otherwise(-1)).alias("evidence_balance"))
 
@@ -89,11 +96,12 @@ SQL = {
     "steps": "steps AS (SELECT * FROM (SELECT *, lead(k) OVER (PARTITION BY agent_id ORDER BY executed_at, action_id) AS k2 FROM actions) WHERE k2 IS NOT NULL AND k <> k2)",
     "causal_links": "causal_links AS (SELECT k AS cause_id, k2 AS effect_id, count(*) AS evidence_count, least(1.0, round(count(*) * 0.2, 6)) AS strength FROM steps GROUP BY k, k2)",
     "associations": "associations AS (SELECT least(k, k2) AS a_id, greatest(k, k2) AS b_id, count(*) AS co_activation_count, least(1.0, round(count(*) * 0.1, 6)) AS strength FROM steps GROUP BY 1, 2)",
+    "chains": "chains AS (SELECT agent_id, a, b, count(*) AS evidence_count, round(avg(s), 6) AS strength FROM (SELECT agent_id, k AS a, lead(k) OVER w AS b, lead(success_score) OVER w AS s FROM actions WINDOW w AS (PARTITION BY agent_id ORDER BY executed_at, action_id)) WHERE b IS NOT NULL GROUP BY 1, 2, 3)",
     "beliefs": "beliefs AS (SELECT agent_id, action_type AS statement, round(avg(success_score), 6) AS probability, CAST(sum(CASE WHEN success_score >= 0.5 THEN 1 ELSE -1 END) AS BIGINT) AS evidence_balance FROM actions GROUP BY 1, 2)",
     "feedback": "feedback AS (SELECT doc_id, source, CAST(quality AS BIGINT) AS success, CAST(toxic AS BIGINT) AS toxic FROM labels JOIN documents USING (doc_id))",
     "versions": "versions AS (SELECT o_custkey AS entity_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS version, concat_ws(':', o_orderstatus, o_orderpriority) AS data, o_totalprice AS price, o_orderdate AS created_at FROM orders)",
 }
-_NEEDS = {"steps": ["actions"], "causal_links": ["steps"], "associations": ["steps"], "beliefs": ["actions"]}
+_NEEDS = {"steps": ["actions"], "chains": ["actions"], "causal_links": ["steps"], "associations": ["steps"], "beliefs": ["actions"]}
 
 
 def ctes(*names: str, recursive: bool = False) -> str:

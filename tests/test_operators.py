@@ -5,7 +5,7 @@ import random
 
 import numpy as np
 
-from mnemospark.operators import analytics, chunking, graph, learning, vectors
+from mnemospark.operators import analytics, chunking, cycles, graph, learning, vectors
 from mnemospark.operators import filters, topk
 from mnemospark.sources import storage, tables
 from mnemospark.streaming import jobs
@@ -77,9 +77,9 @@ def test_pagerank_sums_to_one_and_ranks_the_hub(spark):
     assert math.isclose(sum(got.values()), 1.0, abs_tol=1e-9) and max(got, key=got.get) == 0
 
 
-def test_acyclic_rest(spark):
-    assert graph.acyclic_rest(edges(spark, [(1, 2, 1.0), (2, 3, 1.0), (1, 3, 1.0)])).count() == 0
-    left = graph.acyclic_rest(edges(spark, [(1, 2, 1.0), (2, 3, 1.0), (3, 2, 1.0)]))
+def test_edges_on_cycles(spark):
+    assert cycles.cyclic_edges(edges(spark, [(1, 2, 1.0), (2, 3, 1.0), (1, 3, 1.0)])).count() == 0
+    left = cycles.cyclic_edges(edges(spark, [(1, 2, 1.0), (2, 3, 1.0), (3, 2, 1.0)]))
     assert {(r.a, r.b) for r in left.collect()} == {(2, 3), (3, 2)}
 
 
@@ -409,7 +409,7 @@ def test_ways_back_of_up_to_ten_steps_close_a_cycle(spark):
     long = [(200 + i, 200 + (i + 1) % 12, 1.0) for i in range(12)]  # eleven
     e = edges(spark, [*ring, *long, (7, 8, 1.0), (9, 9, 1.0)])
     want = {(a, b, a < 200) for a, b, _ in ring + long} | {(7, 8, False), (9, 9, True)}
-    assert {tuple(r) for r in graph.closing(e, e, 10).collect()} == want
+    assert {tuple(r) for r in cycles.closing(e, e, 10).collect()} == want
 
 
 def test_conflicts_equal_unblocked_brute_force(spark):
@@ -454,7 +454,7 @@ def test_cycles_of_up_to_six_nodes(spark):
 
 
 def test_a_long_chain_is_acyclic(spark):
-    assert graph.acyclic_rest(edges(spark, [(i, i + 1, 1.0) for i in range(53)])).count() == 0
+    assert cycles.cyclic_edges(edges(spark, [(i, i + 1, 1.0) for i in range(53)])).count() == 0
 
 
 def test_graph_operators_take_odd_edges(spark):
@@ -465,19 +465,19 @@ def test_graph_operators_take_odd_edges(spark):
     assert {(r.id, r.parent, r.strength) for r in graph.chain(e, 1, 1).collect()} == {(1, None, 1.0), (2, 1, 0.9)}
     assert {tuple(r.path) for r in graph.cycles(e, 4).collect()} == {(1, 2, 3)}
     assert {tuple(r.path) for r in graph.paths(e, 1, 3, 3).collect()} == {(1, 2, 3)}
-    assert {(r.a, r.b) for r in graph.acyclic_rest(e).collect()} == {(1, 2), (2, 2), (2, 3), (3, 1)}
+    assert {(r.a, r.b) for r in cycles.cyclic_edges(e).collect()} == {(1, 2), (2, 2), (2, 3), (3, 1)}
     assert {(r.a, r.b) for r in graph.both_ways(e).collect()} == {(1, 2), (2, 1), (2, 3), (3, 2), (3, 1), (1, 3)}
     assert len(graph.activation(e, spark.createDataFrame([(1, 1.0)], "id long, activation double"), 2, 0.1, 0.0).collect()) == 2
-    for found in (graph.cycles(none, 4), graph.paths(none, 1, 2, 3), graph.acyclic_rest(none), graph.pagerank(none), graph.betweenness(none, none.selectExpr("a AS id")), graph.betweenness(none, none.selectExpr("a AS id"), -1), graph.closing(none, none, 3)):
+    for found in (graph.cycles(none, 4), graph.paths(none, 1, 2, 3), cycles.cyclic_edges(none), graph.pagerank(none), graph.betweenness(none, none.selectExpr("a AS id")), graph.betweenness(none, none.selectExpr("a AS id"), -1), cycles.closing(none, none, 3)):
         assert found.count() == 0
 
 
 def test_long_ways_are_stripped(spark):
     """A path of 60 edges is no cycle, and one that hangs on both sides of a cycle goes."""
     path = [(i, i + 1, 1.0) for i in range(60)]
-    assert graph.acyclic_rest(edges(spark, path)).count() == 0
+    assert cycles.cyclic_edges(edges(spark, path)).count() == 0
     ring = [(100, 101, 1.0), (101, 100, 1.0), (60, 100, 1.0), (101, 200, 1.0)] + [(200 + i, 201 + i, 1.0) for i in range(20)]
-    assert {(r.a, r.b) for r in graph.acyclic_rest(edges(spark, path + ring)).collect()} == {(100, 101), (101, 100)}
+    assert {(r.a, r.b) for r in cycles.cyclic_edges(edges(spark, path + ring)).collect()} == {(100, 101), (101, 100)}
 
 
 def test_equations_are_found(spark):
