@@ -10,10 +10,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from mnemospark.functions import vector as V
+from mnemospark.operators.adjacency import MAX_EDGES
 from mnemospark.sources import storage
 
-#: Query vectors that a task holds at once, and vectors that it streams past them.
-QUERY_BLOCK, VECTOR_BLOCK = 1024, 262_144
+#: Bytes of query vectors that a task holds at once (MIN_BLOCK of them at least), vectors that it streams past them, and queries that meet them in one step.
+BLOCK_BYTES, MIN_BLOCK, VECTOR_BLOCK, STEP = 32 << 20, 4096, 262_144, 1024
 #: Candidates that a re-ranking takes.
 MAX_CANDIDATES = 10_000
 
@@ -65,26 +66,88 @@ def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.n
     return np.take_along_axis(scores, order, 1), np.take_along_axis(ids, order, 1)
 
 
-def knn(vectors: DataFrame, queries: DataFrame, k: int, least: float = -1.0, query_block: int = QUERY_BLOCK, vector_block: int = VECTOR_BLOCK) -> DataFrame:
+class _Nearest:
+    """The k best of each query of a tile, itself left out."""
+
+    schema = "query long, id long, score double"
+
+    def __init__(self, ids: np.ndarray, unit: np.ndarray, k: int, least: float):
+        self.own, self.unit, self.k, self.least = ids, unit, k, least
+        self.best: list = [(np.empty((0, 0)), np.empty((0, 0), np.int64))] * -(-len(ids) // STEP)
+
+    def add(self, ids: np.ndarray, m: np.ndarray) -> None:
+        for i, (scores, found) in enumerate(self.best):
+            part = slice(i * STEP, (i + 1) * STEP)
+            s = self.unit[part] @ m.T
+            s[self.own[part][:, None] == ids[None]] = -np.inf
+            where = np.broadcast_to(ids, s.shape)
+            if scores.size:
+                s, where = np.concatenate([scores, s], axis=1), np.concatenate([found, where], axis=1)
+            self.best[i] = _best(s, where, self.k)
+
+    def result(self) -> list[pa.Array]:
+        scores, ids = (np.concatenate([b[n] for b in self.best]) for n in (0, 1))
+        keep = (scores >= self.least) & np.isfinite(scores)
+        return [pa.array(np.broadcast_to(self.own[:, None], keep.shape)[keep]), pa.array(ids[keep]), pa.array(scores[keep])]
+
+
+class _First:
+    """The first vector of a tile before each query (ids are places in an order) with a cosine above ``least``."""
+
+    schema = "query long, first long"
+
+    def __init__(self, ids: np.ndarray, unit: np.ndarray, least: float):
+        self.own, self.unit, self.least = ids, unit, least
+        self.first = np.full(len(ids), np.iinfo(np.int64).max)
+
+    def add(self, ids: np.ndarray, m: np.ndarray) -> None:
+        order = np.argsort(ids)
+        ids, m = ids[order], m[order]
+        for at in range(0, len(self.own), STEP):
+            part = slice(at, at + STEP)
+            near = (self.unit[part] @ m.T > self.least) & (ids[None] < self.own[part][:, None])
+            hit = np.flatnonzero(near.any(axis=1))
+            self.first[part][hit] = np.minimum(self.first[part][hit], ids[near[hit].argmax(axis=1)])
+
+    def result(self) -> list[pa.Array]:
+        hit = self.first < np.iinfo(np.int64).max
+        return [pa.array(self.own[hit]), pa.array(self.first[hit])]
+
+
+def _blocks(rows: DataFrame, size: int = 0) -> int:
+    """Blocks of ``size`` rows, or of BLOCK_BYTES."""
+    n = rows.select("id").count()
+    if n > MIN_BLOCK and not size:
+        long = rows.select(F.size("v")).first()[0]
+        size = max(MIN_BLOCK, BLOCK_BYTES // (8 * max(1, long)))
+    return max(1, -(-n // (size or MIN_BLOCK)))
+
+
+def knn(vectors: DataFrame, queries: DataFrame, k: int, least: float = -1.0, query_block: int = 0, vector_block: int = VECTOR_BLOCK) -> DataFrame:
     """(query, id, score, rank): the k nearest of each query by cosine, itself left out; exact.
 
     Queries and vectors are dealt into blocks, and every pair of blocks is one
     tile: a task holds the tile's queries, streams its vectors past them and
-    keeps the k best a query, so that memory is bounded by a block of queries. A
-    query is sent once for each block of vectors and a vector once for each
-    block of queries; nothing passes through the driver. The tiles' lists are
-    merged by a window with k rows a tile and query.
+    keeps the k best a query, so that memory is bounded by a block of queries
+    (BLOCK_BYTES, or ``query_block`` rows). A query is sent once for each block
+    of vectors and a vector once for each block of queries; nothing passes
+    through the driver. The tiles' lists are merged by a window with k rows a
+    tile and query. For a graph of all vectors' neighbours see ``knn_graph``.
 
     Edge cases: rows without an id or vector or with nulls in it are left out;
     vectors of different lengths don't meet; a zero vector has cosine 0 with all; repeated ids of
     the queries are one query (the first of them by value), of the vectors each
     its own; ties go to the smaller id; without queries or vectors: no rows.
     """
-    spark = vectors.sparkSession
-    g, h = (max(1, -(-df.select("id").count() // size)) for df, size in ((queries, query_block), (vectors, vector_block)))
+    g, h = _blocks(queries, query_block), _blocks(vectors, vector_block)
     v = usable(vectors.select("id", "v"))
     q = usable(queries.select("id", "v")).groupBy("id").agg(F.min("v").alias("v"))
-    return _tiled(spark, _dealt(q, v, g, h), k, least)
+    return _ranked(_tiled(_dealt(q, v, g, h), lambda ids, unit: _Nearest(ids, unit, k, least), _Nearest.schema), k)
+
+
+def _ranked(found: DataFrame, k: int) -> DataFrame:
+    w = Window.partitionBy("query").orderBy(F.desc("score"), "id")
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 def _dealt(q: DataFrame, v: DataFrame, g: int, h: int) -> DataFrame:
@@ -95,53 +158,147 @@ def _dealt(q: DataFrame, v: DataFrame, g: int, h: int) -> DataFrame:
     return left.unionByName(right).select(((F.col("i") * h + F.col("j")) * 65_536 + F.size("v") % 65_536).alias("tile"), "side", "id", "v")
 
 
-def _tiled(spark, dealt: DataFrame, k: int, least: float) -> DataFrame:
-    """The k best of each query over all tiles it is in."""
+def _tiled(dealt: DataFrame, make, schema: str) -> DataFrame:
+    """What make(ids, unit vectors of a tile's queries) gives when the tile's vectors have been added."""
+    names = [x.split(" ")[0] for x in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tile, qid, unit = None, [], []
-        scores = ids = None
-
-        def close() -> pa.RecordBatch:
-            n = np.concatenate(qid) if qid else np.zeros(0, np.int64)
-            if scores is None or not len(n):
-                return pa.RecordBatch.from_pydict({"query": pa.array([], pa.int64()), "id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
-            keep = (scores >= least) & np.isfinite(scores)
-            return pa.RecordBatch.from_arrays([pa.array(np.broadcast_to(n[:, None], keep.shape)[keep]), pa.array(ids[keep]), pa.array(scores[keep])], names=["query", "id", "score"])
-
+        tile, ids, unit, state = None, [], [], None
         for batch in batches:
             key, side = batch.column("tile").to_numpy(), batch.column("side").to_numpy()
             cut = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (side[1:] != side[:-1])])) if len(key) else []
             for lo, hi in zip(cut, [*cut[1:], len(key)]):
                 if key[lo] != tile:
-                    if tile is not None:
-                        yield close()
-                    tile, qid, unit, scores, ids = key[lo], [], [], None, None
+                    if state is not None:
+                        yield pa.RecordBatch.from_arrays(state.result(), names=names)
+                    tile, ids, unit, state = key[lo], [], [], None
                 part = batch.slice(lo, hi - lo)
                 own, m = part.column("id").to_numpy(), _matrix(part.column("v"))
                 if side[lo] == 0:
-                    qid.append(own)
+                    ids.append(own)
                     unit.append(m)
-                    continue
-                if not qid:
-                    continue
-                if len(qid) > 1:
-                    qid, unit = [np.concatenate(qid)], [np.concatenate(unit)]
-                for at in range(0, len(own), 2048):
-                    o = own[at : at + 2048]
-                    s = unit[0] @ m[at : at + 2048].T
-                    s[qid[0][:, None] == o[None]] = -np.inf
-                    i = np.broadcast_to(o, s.shape)
-                    if scores is not None:
-                        s, i = np.concatenate([scores, s], axis=1), np.concatenate([ids, i], axis=1)
-                    scores, ids = _best(s, i, k)
-        if tile is not None:
+                elif ids:
+                    state = state or make(np.concatenate(ids), np.concatenate(unit))
+                    for at in range(0, len(own), 2 * STEP):
+                        state.add(own[at : at + 2 * STEP], m[at : at + 2 * STEP])
+        if state is not None:
+            yield pa.RecordBatch.from_arrays(state.result(), names=names)
+
+    n = int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return dealt.repartition(n, "tile").sortWithinPartitions("tile", "side").mapInArrow(run, schema)
+
+
+def _salted_best(pairs: DataFrame, k: int, more: list[str] = ()) -> DataFrame:
+    """The k best rows (query, id, score) of each query, ties by id; a query with very many rows is first cut down in parts."""
+    for salt in ([F.pmod(F.xxhash64("id"), F.lit(16)).alias("salt")], []):
+        w = Window.partitionBy("query", *salt).orderBy(F.desc("score"), "id")
+        pairs = pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query", "id", "score", *more)
+    return pairs
+
+
+def knn_graph(vectors: DataFrame, k: int, least: float = -1.0, rounds: int = 12, stop: float = 0.002, wide: int = 0, small: int = MIN_BLOCK) -> DataFrame:
+    """(query, id, score, rank): about the k nearest of every vector, by descent: what is near to a neighbour is tried, until few lists change.
+
+    Vectors begin with the nearest of those that lie on the same side of a few
+    random planes. A round brings the vectors of each list, both ways, together
+    at its owner, compares those pairs of which one is new there, and sends on
+    what is better than the worst that a vector has so far. A round so sends
+    about 2 * wide vectors for each vector, not each to all; ``recall`` measures
+    the result. ``wide`` is the length of the lists meanwhile (4 * k and 24 at
+    least), and of those that others' lists give a vector, the ones with the
+    smallest hashes take part: as a search it is approximate by its method. Up
+    to ``small`` vectors are compared exactly.
+
+    Edge cases: as in ``knn``; vectors of another length than most are left out;
+    repeated ids are one vector.
+    """
+    spark = vectors.sparkSession
+    wide = wide or max(24, 4 * k)
+    v = storage.staged(_one_length(usable(vectors.select("id", "v"))).groupBy("id").agg(F.min("v").alias("v")), "descent")
+    n = v.count()
+    if n <= small:
+        return knn(v, v, k, least)
+    lists = storage.staged(_salted_best(_on_one_side(v, n, wide).withColumn("new", F.lit(True)), wide, ["new"]), "lists")
+    for _ in range(rounds):
+        ways = lists.select(F.col("query").alias("x"), F.col("id").alias("p"), "new")
+        back = lists.select(F.col("id").alias("query"), F.col("query").alias("id"), (-F.abs(F.xxhash64("query", "id"))).cast("double").alias("score"), "new")
+        ways = ways.unionByName(_salted_best(back, wide, ["new"]).select(F.col("query").alias("x"), F.col("id").alias("p"), "new"))
+        ways = ways.groupBy("x", "p").agg(F.max("new").alias("new"))
+        worst = lists.groupBy(F.col("query").alias("id")).agg(F.when(F.count(F.lit(1)) >= wide, F.min("score")).alias("worst"))
+        met = ways.join(v.join(worst, "id", "left").select(F.col("id").alias("p"), "v", F.coalesce("worst", F.lit(-2.0)).alias("worst")), "p")
+        tried = met.select("x", "p", "new", "worst", "v").repartition("x").sortWithinPartitions("x").mapInArrow(_compare, "query long, id long, score double")
+        both = lists.withColumn("new", F.lit(False)).unionByName(tried.withColumn("new", F.lit(True)))
+        both = both.groupBy("query", "id").agg(F.max("score").alias("score"), F.min("new").alias("new"))
+        after = storage.staged(_salted_best(both, wide, ["new"]), "lists")
+        storage.dropped(lists)
+        lists = after
+        if lists.where("new").count() <= stop * n * wide:
+            break
+    return _ranked(lists.where(F.col("score") >= least).select("query", "id", "score"), k)
+
+
+def _on_one_side(v: DataFrame, n: int, wide: int, times: int = 3) -> DataFrame:
+    """(query, id, score): for every vector the nearest of a block of those on the same side of some random planes, ``times`` over."""
+    long = v.select(F.size("v")).first()[0]
+    bits = max(1, min(16, (n // 256).bit_length()))
+    planes = np.random.default_rng(5).standard_normal((times, bits, long))
+
+    def sides(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            m = _matrix(b.column("v"))
+            for t in range(times):
+                code = ((m @ planes[t].T > 0) @ (1 << np.arange(bits))).astype(np.int64) * times + t
+                yield pa.RecordBatch.from_arrays([pa.array(code), b.column("id"), b.column("v")], names=["tile", "id", "v"])
+
+    dealt = v.select("id", "v").mapInArrow(sides, "tile long, id long, v array<double>")
+    dealt = storage.staged(dealt, "sides")
+    parts = dealt.groupBy("tile").agg(F.ceil(F.count(F.lit(1)) / MIN_BLOCK).alias("parts"))  # at most times * 65,536 rows
+    cut = dealt.join(F.broadcast(parts), "tile").withColumn("tile", F.xxhash64("tile", F.pmod(F.xxhash64("id", F.lit(3)), "parts")))
+    both = cut.select("tile", F.explode(F.array(F.lit(0), F.lit(1))).alias("side"), "id", "v")
+    return _tiled(both, lambda ids, unit: _Nearest(ids, unit, wide, -2.0), _Nearest.schema).groupBy("query", "id").agg(F.max("score").alias("score"))
+
+
+def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of the vectors that meet at x, the pairs of which one is new there, where they are better than the worst of the first."""
+    held: list[pa.RecordBatch] = []
+
+    def close() -> pa.RecordBatch:
+        t = pa.Table.from_batches(held).combine_chunks()
+        held.clear()
+        p, new, worst = (t.column(c).to_numpy() for c in ("p", "new", "worst"))
+        m = _matrix(t.column("v").combine_chunks())
+        x = t.column("x").to_numpy()
+        cut = np.flatnonzero(np.append(True, x[1:] != x[:-1])).tolist()
+        out = []
+        for a, b in zip(cut, [*cut[1:], len(x)]):
+            s = m[a:b] @ m[a:b].T
+            i, j = np.nonzero((s > worst[a:b, None]) & (new[a:b, None] | new[None, a:b]) & (p[a:b, None] != p[None, a:b]))
+            out.append((p[a:b][i], p[a:b][j], s[i, j]))
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names=["query", "id", "score"])
+
+    last = None
+    for batch in batches:
+        x = batch.column("x").to_numpy()
+        if not len(x):
+            continue
+        if held and x[0] != last:
             yield close()
+        end = int(np.searchsorted(x, x[-1]))  # the last owner may go on
+        if end:
+            held.append(batch.slice(0, end))
+            yield close()
+        held.append(batch.slice(end))
+        last = x[-1]
+    if held:
+        yield close()
 
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    found = dealt.repartition(n, "tile").sortWithinPartitions("tile", "side").mapInArrow(run, "query long, id long, score double")
-    w = Window.partitionBy("query").orderBy(F.desc("score"), "id")
-    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+def recall(graph: DataFrame, vectors: DataFrame, queries: DataFrame, k: int) -> tuple[int, float]:
+    """(queries, share of their k places that the graph fills with vectors as near as the true ones)."""
+    truth = knn(vectors, queries, k).groupBy("query").agg(F.min("score").alias("worst"), F.count(F.lit(1)).alias("n"))
+    hit = graph.join(truth, "query").where(F.col("score") >= F.col("worst") - 1e-9).groupBy("query").agg(F.least(F.first("n"), F.count(F.lit(1))).alias("hit"))
+    n, total, hits = truth.join(hit, "query", "left").agg(F.count(F.lit(1)), F.sum("n"), F.sum("hit")).first()  # one row
+    return n, (hits or 0) / total if total else 1.0
 
 
 class VectorIndex:
@@ -193,11 +350,11 @@ class VectorIndex:
         left = q.join(cut, "list").select("id", "v", "list", every, F.lit(0).alias("side"))
         right = self.listed.join(cut, "list").select("id", "v", "list", F.pmod(F.xxhash64("id"), F.col("parts")).alias("part"), F.lit(1).alias("side"))
         # The queries of a list are held by one task: they are cut into blocks as well.
-        many = q.groupBy("list").agg((F.floor(F.count(F.lit(1)) / QUERY_BLOCK) + 1).cast("long").alias("blocks"))
+        many = q.groupBy("list").agg((F.floor(F.count(F.lit(1)) / MIN_BLOCK) + 1).cast("long").alias("blocks"))
         left = left.join(F.broadcast(many), "list").withColumn("b", F.pmod(F.xxhash64("id", F.lit(1)), F.col("blocks"))).drop("blocks")
         right = right.join(F.broadcast(many), "list").withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).drop("blocks")
         dealt = left.unionByName(right).select(F.xxhash64("list", "part", "b").alias("tile"), "side", "id", "v")
-        return _tiled(self.listed.sparkSession, dealt, k, least)
+        return _ranked(_tiled(dealt, lambda ids, unit: _Nearest(ids, unit, k, least), _Nearest.schema), k)
 
     def probes_for(self, queries: DataFrame, k: int, recall: float = 0.9) -> tuple[int, float]:
         """(the fewest lists, doubling, that reach the recall against brute force on these queries; the recall)."""
@@ -210,64 +367,100 @@ class VectorIndex:
             probes = min(len(self.centres), 2 * probes)
 
 
-def consolidated(vectors: DataFrame, least: float, block: int = 4 * QUERY_BLOCK, order: list[str] = ("id",)) -> DataFrame:
+def _in_order(rows: DataFrame, order: list[str]) -> DataFrame:
+    """A staged table with a number, place, that grows in the order (names of columns, "-" before one that descends)."""
+    by = [F.col(o[1:]).desc_nulls_last() if o[0] == "-" else F.col(o).asc_nulls_last() for o in order]
+    return storage.staged(rows.orderBy(*by, "v").withColumn("place", F.monotonically_increasing_id()), "placed")
+
+
+def consolidated(vectors: DataFrame, least: float, order: list[str] = ("id",), small: int = MIN_BLOCK) -> DataFrame:
     """(id, kept_by): vectors that give way, each to the first kept one before it with a cosine above ``least``.
 
-    In ``order`` (names of columns, "-" before one that descends; id last), a
-    vector is kept when no kept one before it is that similar; all are compared.
-    The first rows left come in blocks: what is kept of a block is settled among
-    its own rows and broadcast, and every row left gives way to the first of
-    them or stays for the next block. The rounds, a scan of what is left each,
-    are the kept rows divided by those kept of a block: greedy elimination is
-    quadratic in what it keeps.
+    In ``order`` (id last), a vector is kept when no kept one before it is that
+    similar: a greedy choice, made in rounds. In a round all undecided vectors
+    that have no undecided similar one before them are kept, and what is similar
+    to these gives way; for orders that have nothing to do with similarity, the
+    rounds grow with the logarithm of the vectors. All is compared in tiles that
+    pass on one row a vector; pairs are never listed. Up to ``small`` undecided
+    vectors are settled by one task in a row.
 
-    Edge cases: as in ``knn``; null values of the order's columns come last;
+    Edge cases: as in ``knn``, but vectors of another length than most are left out; null values of the order's columns come last;
     repeated ids are compared like others and all but the first give way if similar.
     """
-    spark = vectors.sparkSession
-    hits = storage.new_path(spark, "given_way")
     names = [o.lstrip("-") for o in order]
-    by = [F.col(o[1:]).desc_nulls_last() if o[0] == "-" else F.col(o).asc_nulls_last() for o in order]
-    rest = _one_length(usable(vectors.select("id", "v", *[n for n in names if n != "id"]))).withColumn("row", F.monotonically_increasing_id())
-    rest = first = storage.staged(rest, "consolidated")
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rest.schema.fields)
-    old = None
+    placed = _in_order(_one_length(usable(vectors.select("id", "v", *[n for n in names if n != "id"]))), list(order))
+    left = placed.select(F.col("place").alias("id"), "v")
+    first = lambda q, v: _tiled(_dealt(q, v, _blocks(q), _blocks(v, VECTOR_BLOCK)), lambda ids, unit: _First(ids, unit, least), _First.schema)
+    kept = []
+    while left.count() > small:
+        now = storage.staged(left.join(first(left, left).select(F.col("query").alias("id")).distinct(), "id", "left_anti"), "kept")
+        kept.append(now)
+        rest = left.join(now.select("id"), "id", "left_anti")
+        left = storage.staged(rest.join(first(rest, now).select(F.col("query").alias("id")).distinct(), "id", "left_anti"), "undecided")
+
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if held:
+            t = pa.Table.from_batches(held).combine_chunks()
+            m = _matrix(t.column("v").combine_chunks())
+            gone = np.zeros(len(m), bool)
+            for i in range(len(m)):
+                if not gone[i]:
+                    gone[i + 1 :] |= m[i + 1 :] @ m[i] > least
+            yield from t.filter(pa.array(~gone)).to_batches()
+
+    stay = left.repartition(1).sortWithinPartitions("id").mapInArrow(settle, "id long, v array<double>")
+    for now in kept:
+        stay = stay.unionByName(now)
+    stay = storage.staged(stay, "kept")
+    gone = placed.select(F.col("place").alias("id"), "v").join(stay.select("id"), "id", "left_anti")
+    by = first(gone, stay).groupBy(F.col("query").alias("place")).agg(F.min("first").alias("first"))
+    ids = placed.select("place", "id")
+    return by.join(ids, "place").join(ids.select(F.col("place").alias("first"), F.col("id").alias("kept_by")), "first").select("id", "kept_by")
+
+
+def clusters_around(memories: DataFrame, anchors: DataFrame, least: float = 0.8, k: int = 10, order: list[str] = ("id",), most: int = MAX_EDGES) -> DataFrame:
+    """(anchor, id, score): clusters of memories(id, v) around anchors (rows of memories with the order's columns).
+
+    In ``order`` (id last), an anchor takes its k nearest with a cosine of
+    ``least`` and more, unless an anchor before it has taken it. Only an
+    anchor's k links decide: up to ``most`` of them are settled by one task in a
+    row, more in rounds of joins, in which all anchors without an undecided one
+    before them that would take them, take theirs.
+
+    Edge cases: as in ``knn``; an anchor with nothing near takes nothing; ids
+    are unique.
+    """
+    placed = _in_order(usable(anchors), list(order)).select("id", "place")
+    near = storage.staged(knn(memories, anchors.select("id", "v"), k, least).select(F.col("query").alias("anchor"), "id", "score"), "near")
+    links = near.join(placed.select(F.col("id").alias("anchor"), F.col("place").alias("a")), "anchor").join(placed.withColumnRenamed("place", "b"), "id").where("a < b")
+    links = storage.staged(links.select("a", "b").distinct(), "links")
+    taken = _taken_in_a_row(links) if links.count() <= most else _taken_in_rounds(links)
+    gone = placed.join(taken, "place").select(F.col("id").alias("anchor"))
+    return near.join(gone, "anchor", "left_anti").select("anchor", "id", "score")
 
-    def against(rows: np.ndarray, ids: np.ndarray, kept: np.ndarray, m: np.ndarray):
-        """rows of the block in order; kept: places of those kept; m: their vectors."""
-        shared = spark.sparkContext.broadcast((rows, ids, kept, m))
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            rows, ids, kept, m = shared.value
-            sorter = np.argsort(rows)
-            for batch in batches:
-                for at in range(0, batch.num_rows, 512):
-                    b = batch.slice(at, 512)
-                    own = b.column("row").to_numpy()
-                    k = np.minimum(np.searchsorted(rows, own, sorter=sorter), len(rows) - 1)
-                    place = np.where(rows[sorter[k]] == own, sorter[k], len(rows))
-                    s = _matrix(b.column("v")) @ m.T > least
-                    s &= kept[None] < place[:, None]
-                    hit, stays = s.any(axis=1), ~np.isin(place, kept)
-                    yield pa.RecordBatch.from_arrays([*b.columns, pa.array(ids[kept[s.argmax(axis=1)]], pa.int64(), mask=~hit)], names=[*b.schema.names, "kept_by"]).filter(pa.array(stays))
-
-        return run
-
-    while head := rest.orderBy(*by, "row").limit(block).select("row", "id", "v").collect():
-        rows, ids, m = np.array([r.row for r in head]), np.array([r.id for r in head]), _unit(np.array([r.v for r in head], dtype=np.float64))
-        kept, gone = [], np.zeros(len(ids), bool)
-        for i in range(len(ids)):
-            if not gone[i]:
-                kept.append(i)
-                gone[i + 1 :] |= m[i + 1 :] @ m[i] > least
-        now = storage.staged(rest.mapInArrow(against(rows, ids, np.array(kept), m[kept]), kinds + ", kept_by long"), "consolidated")
-        now.where("kept_by IS NOT NULL").select("id", "kept_by").write.mode("append").parquet(hits)
-        storage.dropped(old or first)
-        rest, old = now.where("kept_by IS NULL").drop("kept_by"), now
-    if old is None:
-        return spark.createDataFrame([], "id long, kept_by long")
-    storage.dropped(old)
-    return spark.read.schema("id long, kept_by long").parquet(hits)
+def _taken_in_a_row(links: DataFrame) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        taken: set[int] = set()
+        for batch in batches:
+            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if a not in taken:
+                    taken.add(b)
+        yield pa.RecordBatch.from_arrays([pa.array(sorted(taken), pa.int64())], names=["place"])
+
+    return links.repartition(1).sortWithinPartitions("a", "b").mapInArrow(run, "place long")
+
+
+def _taken_in_rounds(links: DataFrame) -> DataFrame:
+    taken = links.select(F.col("b").alias("place")).limit(0)
+    while not links.isEmpty():
+        free = links.select("a").distinct().join(links.select(F.col("b").alias("a")).distinct(), "a", "left_anti")
+        now = storage.staged(links.join(free, "a", "left_semi").select(F.col("b").alias("place")).distinct(), "taken")
+        taken = taken.unionByName(now)
+        gone = now.select(F.col("place").alias("a"))
+        links = storage.staged(links.join(free, "a", "left_anti").join(gone, "a", "left_anti").join(gone.withColumnRenamed("a", "b"), "b", "left_anti").select("a", "b"), "links")
+    return taken
 
 
 def consolidated_bank(memories: DataFrame, similar: float, old_days: int, least_uses: int, most: int) -> DataFrame:

@@ -140,6 +140,23 @@ def bank_consolidation(spark, sf, similar: float = 0.3, most: int = 100):
     return O.consolidated_bank(_bank(spark, sf), similar, 60, 2, most)
 
 
+CLUSTERS = """, m AS (SELECT id, v, (id * 37 % 101) / 100.0 AS importance, id % 7 AS uses FROM vectors),
+f AS (SELECT *, row_number() OVER (ORDER BY uses DESC, importance DESC, id) AS i FROM m WHERE uses >= 3),
+n AS (SELECT f.i AS i, f.id AS anchor, m.id AS id, list_cosine_similarity(f.v, m.v) AS s FROM f JOIN m ON f.id <> m.id WHERE list_cosine_similarity(f.v, m.v) >= 0.35 QUALIFY row_number() OVER (PARTITION BY f.id ORDER BY s DESC, m.id) <= 10),
+l AS (SELECT i, list(id) AS near FROM n GROUP BY i),
+r(i, taken, anchor) AS (SELECT 0::BIGINT, []::BIGINT[], NULL::BIGINT UNION ALL SELECT r.i + 1, CASE WHEN list_contains(taken, f.id) THEN taken ELSE list_concat(taken, coalesce(near, [])) END, CASE WHEN list_contains(taken, f.id) THEN NULL ELSE f.id END FROM r JOIN f ON f.i = r.i + 1 LEFT JOIN l ON l.i = r.i + 1)
+SELECT n.anchor AS anchor, count(*) AS members, round(avg(s), 6) AS avg_similarity, string_agg(CAST(n.id AS VARCHAR), ',' ORDER BY n.id) AS ids FROM n JOIN r ON r.anchor = n.anchor GROUP BY n.anchor"""
+
+
+@query("m18_memory_clusters", ctes("vectors", recursive=True) + CLUSTERS)
+def memory_clusters(spark, sf, least: float = 0.35, uses: int = 3):
+    """Memories that are like a frequent one, the most used first; the given vectors have no pair as similar as the usual 0.8."""
+    m = T.vectors(spark, sf).select("id", "v", (F.col("id") * 37 % 101 / 100.0).alias("importance"), (F.col("id") % 7).alias("uses"))
+    c = O.clusters_around(m, m.where(F.col("uses") >= uses), least, 10, ["-uses", "-importance", "id"])
+    ids = F.array_join(F.transform(F.sort_array(F.collect_list("id")), lambda x: x.cast("string")), ",")  # ten at most
+    return c.groupBy("anchor").agg(rows().alias("members"), S.rounded(F.avg("score")).alias("avg_similarity"), ids.alias("ids"))
+
+
 @query("j09_conflicts")
 def conflicts(spark, sf):
     """All near copies, wherever they differ and however short."""

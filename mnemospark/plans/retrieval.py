@@ -412,7 +412,9 @@ def replace_block(spark, sf):
     return T.entities(spark, sf).select("id", F.md5(F.when(ok, new).otherwise(F.col("content"))).alias("digest"))
 
 
-@query("m18_prune_links", ctes("associations") + "SELECT a_id, b_id, round(least(1.0, strength * CASE WHEN co_activation_count >= 3 THEN 1.2 ELSE 1.0 END), 6) AS strength FROM associations WHERE least(1.0, strength * CASE WHEN co_activation_count >= 3 THEN 1.2 ELSE 1.0 END) >= 0.3")
+@query("m18_prune_links", ctes("associations", "entities") + ", s AS (SELECT a_id, b_id, CASE WHEN importance > 0.7 THEN least(1.0, strength * 1.2) ELSE strength END AS s FROM associations LEFT JOIN entities ON id = a_id) SELECT a_id, b_id, round(s, 6) AS strength FROM s WHERE s >= 0.3")
 def prune_links(spark, sf):
-    s = F.least(F.lit(1.0), F.col("strength") * F.when(F.col("co_activation_count") >= 3, 1.2).otherwise(1.0))
-    return T.associations(spark, sf).withColumn("s", s).where("s >= 0.3").select("a_id", "b_id", S.rounded("s").alias("strength"))
+    """Links from important memories are strengthened, then weak ones go."""
+    of = T.entities(spark, sf).select(F.col("id").alias("a_id"), "importance")
+    s = F.when(F.col("importance") > 0.7, F.least(F.lit(1.0), F.col("strength") * 1.2)).otherwise(F.col("strength"))
+    return T.associations(spark, sf).join(of, "a_id", "left").withColumn("s", s).where("s >= 0.3").select("a_id", "b_id", S.rounded("s").alias("strength"))

@@ -139,6 +139,15 @@ def knn_graph(spark, sf):
     return k.select(F.least("query", "id").alias("a"), F.greatest("query", "id").alias("b")).distinct()
 
 
+@query("v09_knn_graph_descent", ctes("vectors") + "SELECT count(*) AS queries, true AS reached FROM vectors WHERE id % 20 = 0")
+def knn_graph_descent(spark, sf, k: int = 5, least_recall: float = 0.9):
+    """The graph of all vectors' neighbours by descent, measured against brute force on every twentieth."""
+    v = T.vectors(spark, sf)
+    graph = O.knn_graph(v, k, small=0)
+    n, found = O.recall(graph, v, v.where("id % 20 = 0"), k)
+    return spark.createDataFrame([(n, found >= least_recall)], "queries long, reached boolean")
+
+
 @query("v10_weighted_recall", VEC + ", e AS (SELECT doc_id AS id, (doc_id * 37 % 101) / 100.0 AS importance FROM documents WHERE contains(lower(text), 'haedtion')), t AS (SELECT id, s FROM c ORDER BY s DESC, id LIMIT 50) SELECT coalesce(t.id, e.id) AS id, round(coalesce(0.7 * s, 0) + coalesce(0.3 * importance, 0), 6) AS score FROM t FULL JOIN e ON t.id = e.id ORDER BY coalesce(0.7 * s, 0) + coalesce(0.3 * importance, 0) DESC, coalesce(t.id, e.id) LIMIT 10")
 def weighted_recall(spark, sf):
     dense = _scored(spark, sf).select("id", "s").orderBy(F.desc("s"), "id").limit(50)

@@ -400,7 +400,8 @@ def test_consolidation_compares_all_vectors(spark):
         else:
             want.add((ids[i], ids[by]))
     assert any(a % 20 and b % 20 for a, b in want)
-    assert {(r.id, r.kept_by) for r in vectors.consolidated(v, 0.3, block=37).collect()} == want
+    for small in (10_000, 100, 0):
+        assert {(r.id, r.kept_by) for r in vectors.consolidated(v, 0.3, small=small).collect()} == want
     assert vectors.consolidated(v.limit(0), 0.3).count() == 0
 
 
