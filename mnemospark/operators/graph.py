@@ -138,6 +138,48 @@ def activation(edges: DataFrame, seeds: DataFrame, depth: int, decay: float, lea
     return seen
 
 
+def spread(edges: DataFrame, seeds: DataFrame, depth: int, decay: float, least: float) -> DataFrame:
+    """(id, activation): what seeds(seed, id, activation) spread along edges(a, b, strength), added up and capped at 1.
+
+    Each seed spreads by itself, over fewer than ``depth`` steps: a node takes
+    the largest activation of the first level that reaches it, and hands on
+    activation * strength * (1 - decay) where that is ``least`` and more. A seed
+    that is given twice (under two numbers) counts twice.
+    """
+    near = staged(_strongest(edges), "edges")
+    seen = level = seeds.where("seed IS NOT NULL AND id IS NOT NULL").groupBy("seed", "id").agg(F.max("activation").alias("activation"))
+    for _ in range(depth - 1):
+        passed = F.col("activation") * F.col("strength") * (1 - decay)
+        step = level.where(F.col("activation") >= least).withColumnRenamed("id", "a").join(near, "a").select("seed", F.col("b").alias("id"), passed.alias("activation"))
+        step = step.where(F.col("activation") >= least).groupBy("seed", "id").agg(F.max("activation").alias("activation"))
+        level = staged(step.join(seen, ["seed", "id"], "left_anti"), "spread")
+        seen = seen.unionByName(level)
+    return seen.groupBy("id").agg(F.least(F.lit(1.0), F.sum("activation")).alias("activation"))
+
+
+def chain_back(links: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
+    """(start, place, id): from each starts(id) back along links(id, previous), ``depth`` rows with the start (place 0) at most.
+
+    Tables of the ancestors 1, 2, 4 and so on steps back are made by joining
+    each with itself, so that the rounds are the binary digits of ``depth``. A
+    chain ends where the previous id is null or no row of links (a broken link);
+    one that runs into a cycle goes round it until ``depth``; of several links
+    of one id the one to the largest previous id counts; a start without a row
+    has no chain.
+    """
+    own = staged(links.where("id IS NOT NULL").groupBy("id").agg(F.max("previous").alias("to")), "links")
+    up = own.where("to IS NOT NULL").join(own.select(F.col("id").alias("to")), "to", "left_semi").select("id", "to")
+    have = starts.select("id").distinct().join(own, "id", "left_semi").select(F.col("id").alias("start"), F.lit(0).alias("place"), "id")
+    span = 1
+    while span < depth:
+        up = staged(up, "up")
+        far = have.join(up, "id").select("start", (F.col("place") + span).alias("place"), F.col("to").alias("id"))
+        have = have.unionByName(far.where(F.col("place") < depth))
+        up = up.join(up.select(F.col("id").alias("to"), F.col("to").alias("then")), "to").select("id", F.col("then").alias("to"))
+        span *= 2
+    return have
+
+
 def pagerank(edges: DataFrame, rounds: int = 20, damping: float = 0.85, every: int = 5) -> DataFrame:
     """(id, rank) on an undirected simple graph (no dangling nodes); lineage is cut every few rounds."""
     both = staged(both_ways(edges), "pagerank")

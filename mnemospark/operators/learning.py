@@ -18,6 +18,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from mnemospark.functions import scores
+from mnemospark.sources import storage
+
 
 def folded(df: DataFrame, key: str, order: list[str], values: list[str], start: Callable, step: Callable, schema: str, result: Callable, needed: int | None = None) -> DataFrame:
     """One row per key: result(state) after step(state, *values) over its rows in order.
@@ -55,6 +58,96 @@ def folded(df: DataFrame, key: str, order: list[str], values: list[str], start:
     return rows.repartition(key).sortWithinPartitions(key, *[f"__{i}" for i in range(len(order))], *[f"__v{i}" for i in range(len(values))]).mapInArrow(run, f"{key} {kind}, {schema}")
 
 
+def appended(edits: DataFrame, key: str, order: list[str], text: str, read_only: str, limit: int) -> DataFrame:
+    """(key, block, applied, refused): each key's block after its edit log, in order.
+
+    The first text begins the block, however long; each other one is appended
+    after a newline, and refused whole where the block is read-only or would
+    exceed ``limit`` characters. A task holds one block at a time.
+    """
+
+    def step(state: tuple | None, more: str, fixed: bool) -> tuple:
+        if state is None:
+            return more, 0, 0
+        block, applied, refused = state
+        if fixed or len(block) + 1 + len(more) > limit:
+            return block, applied, refused + 1
+        return f"{block}\n{more}", applied + 1, refused
+
+    return folded(edits, key, order, [text, read_only], lambda: None, step, "block string, applied long, refused long", lambda s: s, needed=1)
+
+
+def scanned(df: DataFrame, key: str, order: list[str], value: str, start: Callable, step: Callable, schema: str) -> DataFrame:
+    """Every row of (key, order, value) with what step(state, value) -> (state, result) gives for it, over each key's rows in order."""
+    columns = [x.split(" ")[0] for x in schema.split(", ")]
+    rows = df.select(key, *order, value).where(F.col(value).isNotNull())
+    full = T.StructType([*rows.schema.fields, *T._parse_datatype_string(schema).fields])
+    types = to_arrow_schema(full)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, state, begun = None, None, False
+        for b in batches:
+            out = []
+            for k, v in zip(b.column(0).to_pylist(), b.column(b.num_columns - 1).to_pylist()):
+                if not begun or k != last:
+                    last, state, begun = k, start(), True
+                state, found = step(state, v)
+                out.append(found)
+            if out:
+                yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(c, types.field(n).type) for n, c in zip(columns, zip(*out)))], names=full.fieldNames())
+
+    return rows.repartition(key).sortWithinPartitions(key, *order, value).mapInArrow(run, full)
+
+
+#: Fixed values of the surprise scan: smoothing, boost, thresholds, and how many memories follow one of high surprise.
+BETA, BOOST, STORE, HIGH, AT_ONCE, FOLLOWERS = 0.9, 1.3, 0.4, 0.7, 0.8, 3
+
+
+def promote_step(state: tuple, raw: float) -> tuple:
+    """((momentum, followers left, threshold, recent scores), (score, promoted)) after one more raw score."""
+    momentum, followers, threshold, recent = state
+    rise = raw - momentum
+    score = min(1.0, raw * BOOST) if rise > 0.1 else raw * 0.95 if rise < -0.1 else raw
+    stored = score >= (threshold * 0.7 if followers > 0 else threshold)
+    if score >= HIGH:
+        followers = FOLLOWERS
+    elif followers > 0:
+        followers, stored = followers - 1, True
+    recent = [*recent, score][-100:]
+    if len(recent) >= 10:
+        mean = sum(recent[-50:]) / len(recent[-50:])
+        threshold = min(0.7, threshold + 0.05) if mean > 0.6 else max(0.2, threshold - 0.05) if mean < 0.3 else threshold
+    return (BETA * momentum + (1 - BETA) * raw, followers, threshold, recent), (score, stored or score >= AT_ONCE)
+
+
+def consolidated_memories(memories: DataFrame, key: str, hours: int, most: int, topics: int = 5) -> DataFrame:
+    """memories(key, id, text, at, salience) of the last ``hours`` -> (key, id, at, score, verdict).
+
+    A memory's raw score is half its novelty (against the beginnings of the
+    ``topics`` memories before it), 0.3 salience and 0.2 how little it goes on
+    with their words; the scan smooths it and decides. Beyond ``most`` promoted
+    memories, those of the lowest retention are forgotten.
+    """
+    last = F.lit(memories.agg(F.max("at")).first()[0]).cast(memories.schema["at"].dataType)  # one row
+    words = lambda text: F.array_distinct(F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != ""))
+    rows = memories.where(F.col("at") > last - F.make_interval(hours=F.lit(hours))).select(key, "id", "at", "salience", words("text").alias("all"), words(F.substring("text", 1, 100)).alias("begin"))
+    before = F.collect_list("begin").over(Window.partitionBy(key).orderBy("at", "id").rowsBetween(-topics, -1))
+    rows = rows.withColumn("topics", before).withColumn("like", F.transform("topics", lambda t: F.coalesce(F.try_divide(F.size(F.array_intersect("begin", t)), F.size(F.array_union("begin", t))), F.lit(0.0))))
+    novelty = F.coalesce(1 - F.array_max("like"), F.lit(1.0)) * F.when(F.size(F.filter("like", lambda x: x > 0.8)) >= 5, 0.5).otherwise(1.0)
+    shared = F.aggregate("topics", F.lit(0), lambda n, t: n + F.size(F.array_intersect("all", t))) / F.size("topics")
+    temporal = F.when(F.size("topics") == 0, 0.5).when(shared < 2, 0.7).when(shared > 10, 0.4).otherwise(0.5)
+    raw = rows.select(key, "at", "id", F.round(novelty * 0.5 + F.col("salience") * 0.3 + temporal * 0.2 + 1e-10, 9).alias("raw"))
+    judged = storage.staged(scanned(raw, key, ["at", "id"], "raw", lambda: (0.5, 0, STORE, []), promote_step, "score double, promoted boolean"), "judged")
+    excess = judged.where("promoted").count() - most
+    verdict = F.when(F.col("promoted"), "promoted").otherwise("skipped")
+    if excess <= 0:
+        return judged.select(key, "id", "at", "score", verdict.alias("verdict"))
+    days = F.floor((F.unix_timestamp(last.cast("timestamp")) - F.unix_timestamp(F.col("at").cast("timestamp"))) / 86400)
+    kept = F.round(scores.retention_score("score", F.lit(0), days, 0.1) + 1e-10, 9)
+    gone = judged.where("promoted").select(key, "id", kept.alias("kept")).orderBy("kept", key, "id").limit(excess).select(key, "id", F.lit(True).alias("gone"))
+    return judged.join(gone, [key, "id"], "left").select(key, "id", "at", "score", F.when(F.col("gone"), "forgotten").otherwise(verdict).alias("verdict"))
+
+
 def surprise_step(state: tuple, score: float | None) -> tuple:
     """(n, mean, momentum, promoted) after one more score; a null score changes nothing."""
     if score is None:

@@ -71,3 +71,25 @@ def by_priority(column: str, levels: list[str]) -> Column:
     for i, level in reversed(list(enumerate(levels, 1))):
         out = F.when(F.col(column) == level, i).otherwise(out)
     return out
+
+
+def upserted(old: DataFrame, given: DataFrame) -> DataFrame:
+    """old(name, entity_type, access_count, current_version, observations) after the batch given(name, entity_type, at, observations), with op.
+
+    Observations are counts here. Rows of one name are taken in the order of
+    ``at``: the first inserts an unknown name (no access, version 1), each other
+    one counts an access and a version; the last gives the type; observations
+    add up. Rows without a name fail by themselves and change nothing; names of
+    ``old`` are unique; what isn't in the batch is kept.
+    """
+    n = given.where("name IS NOT NULL").groupBy("name").agg(F.count(F.lit(1)).alias("times"), F.max(F.struct("at", "entity_type")).alias("last"), F.sum("observations").alias("more"))
+    known, times = F.col("current_version").isNotNull(), F.coalesce("times", F.lit(0))
+    op = F.when(~known, "insert").when(F.col("times").isNull(), "keep").otherwise("update")
+    return old.join(n, "name", "full_outer").select(
+        "name",
+        F.coalesce("last.entity_type", "entity_type").alias("entity_type"),
+        F.when(known, F.col("access_count") + times).otherwise(times - 1).alias("access_count"),
+        F.when(known, F.col("current_version") + times).otherwise(times).alias("current_version"),
+        (F.coalesce("observations", F.lit(0)) + F.coalesce("more", F.lit(0))).alias("observations"),
+        op.alias("op"),
+    )

@@ -539,6 +539,70 @@ def kmeans(vectors: DataFrame, k: int, seed: int = 1) -> DataFrame:
     return KMeans(k=k, seed=seed, maxIter=100, tol=1e-3).fit(df).transform(df).select("id", F.col("prediction").alias("cluster"))
 
 
+class Prototypes:
+    """Centres of clusters by Lloyd's rounds, a bounded model: k vectors on the driver and in a broadcast.
+
+    The rounds begin with the k vectors of the smallest ids, so the result is
+    the same on every run. A round adds up the vectors of each centre in every
+    task, and the tasks' sums in Spark; k times their length numbers come back.
+    Vectors as near to two centres (to nine digits) go to the first; a centre
+    that no vector is nearest to stays.
+    """
+
+    def __init__(self, vectors: DataFrame, k: int, rounds: int = 5):
+        self.rows = _one_length(usable(vectors))
+        first = self.rows.select("id", "v").orderBy("id", "v").limit(k).collect()
+        self.centres = np.array([r.v for r in first], dtype=np.float64) if first else np.zeros((0, 1))
+        for _ in range(rounds if first else 0):
+            sums = self._nearest(self.rows.select("id", "v"), True).select("cluster", "n", F.posexplode("v").alias("i", "x"))
+            for r in sums.groupBy("cluster", "i").agg((F.sum("x") / F.sum("n")).alias("x")).toArrow().to_pylist():
+                self.centres[r["cluster"], r["i"]] = r["x"]
+
+    def _nearest(self, rows: DataFrame, summed: bool) -> DataFrame:
+        shared = rows.sparkSession.sparkContext.broadcast(self.centres)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            c = shared.value
+            total, count = np.zeros_like(c), np.zeros(len(c), np.int64)
+            for b in batches:
+                if not b.num_rows:
+                    continue
+                x = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
+                near = np.concatenate([np.round(np.sqrt(((x[a : a + STEP, None] - c[None]) ** 2).sum(axis=2)), 9).argmin(axis=1) for a in range(0, len(x), STEP)])
+                if summed:
+                    np.add.at(total, near, x)
+                    count += np.bincount(near, minlength=len(c))
+                else:
+                    yield pa.RecordBatch.from_arrays([b.column(0), pa.array(near)], names=["id", "cluster"])
+            if summed:
+                some = np.flatnonzero(count)
+                yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(count[some]), pa.array(list(total[some]), pa.list_(pa.float64()))], names=["cluster", "n", "v"])
+
+        return rows.mapInArrow(run, "cluster long, n long, v array<double>" if summed else "id long, cluster long")
+
+    def assigned(self) -> DataFrame:
+        """(id, cluster) of the vectors that the centres were fitted on."""
+        return self._nearest(self.rows.select("id", "v"), False)
+
+    def patterns(self, quality: str, size: int = 5, least: float = 0.3) -> DataFrame:
+        """(cluster, n, total_weight, avg_quality): clusters of ``size`` vectors and more with a mean quality of ``least`` and more."""
+        own = self.rows.select("id", F.col(quality).alias("quality")).join(self.assigned(), "id")
+        g = own.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.sum("quality").alias("total_weight"), F.avg("quality").alias("avg_quality"))
+        return g.where((F.col("n") >= size) & (F.col("avg_quality") >= least))
+
+    def boosted(self, scored: DataFrame, kept: list[int], factor: float = 1.25, least: float = 0.6) -> DataFrame:
+        """scored(id, v, score) with the fuzzy match of its best centre among ``kept`` and its number; scores from a match of ``least`` on times factor, 1 at most."""
+        spark = scored.sparkSession
+        unit = lambda v: F.transform(v, lambda x: F.try_divide(x - F.array_min(v), F.array_max(v) - F.array_min(v)))
+        model = spark.createDataFrame([([(int(k), self.centres[k].tolist()) for k in kept],)], "model array<struct<k:long,w:array<double>>>")
+        model = model.select(F.transform("model", lambda m: F.struct(m["k"].alias("k"), unit(m["w"]).alias("w"))).alias("model"))
+        fit = lambda w: F.aggregate(F.zip_with("u", w, lambda x, y: F.least(x, y) + F.least(1 - x, 1 - y)), F.lit(0.0), lambda a, x: a + x) / F.size("u")
+        best = F.array_max(F.transform("model", lambda m: F.struct(F.round(fit(m["w"]) + 1e-10, 9).alias("match"), (-m["k"]).alias("k"))))
+        rows = scored.crossJoin(F.broadcast(model)).withColumn("u", unit(F.col("v"))).withColumn("best", best)  # one row: the model
+        hit = F.coalesce(F.col("best.match") >= least, F.lit(False))
+        return rows.select("id", F.when(hit, F.least(F.lit(1.0), F.col("score") * factor)).otherwise(F.col("score")).alias("score"), F.col("best.match").alias("match"), (-F.col("best.k")).alias("category"))
+
+
 class FuzzyART:
     """Online fuzzy ART: complement coding, choice, vigilance, prototype update."""
 

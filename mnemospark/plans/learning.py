@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from mnemospark.functions import scores as S
+from mnemospark.functions import text as X
 from mnemospark.operators import analytics as A
 from mnemospark.operators import learning as L
 from mnemospark.operators.topk import ranked
@@ -71,10 +72,34 @@ def surprise(spark, sf):
     return L.surprise(T.actions(spark, sf), "agent_id", ORDER).withColumn("momentum", S.rounded("momentum"))
 
 
-@query("d06_consolidation", SURPRISE + "SELECT key AS agent_id, CASE WHEN promoted * 2 >= n THEN 'promote' ELSE 'skip' END AS verdict, round(momentum, 6) AS momentum FROM f")
-def consolidation(spark, sf):
-    s = L.surprise(T.actions(spark, sf), "agent_id", ORDER)
-    return s.select("agent_id", F.when(F.col("promoted") * 2 >= F.col("n"), "promote").otherwise("skip").alias("verdict"), S.rounded("momentum").alias("momentum"))
+#: Turns as memories, six hours from one to the next.
+MEMORIES = """, m AS (SELECT conv_id, turn, text, TIMESTAMP '2024-01-01' + to_hours(6 * turn) AS made FROM conversations),
+n AS (SELECT max(made) AS now FROM m),
+x AS (SELECT conv_id, turn, made, now, round(SALIENCE, 6) AS salience, list_distinct(list_filter(string_split_regex(lower(text), '\\s+'), lambda w: w <> '')) AS w, list_distinct(list_filter(string_split_regex(lower(substr(text, 1, 100)), '\\s+'), lambda w: w <> '')) AS b FROM m, n WHERE made > now - INTERVAL 24 HOUR),
+t AS (SELECT *, coalesce(list(b) OVER (PARTITION BY conv_id ORDER BY made, turn ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING), []) AS topics, row_number() OVER (PARTITION BY conv_id ORDER BY made, turn) AS i FROM x),
+s AS (SELECT *, list_transform(topics, lambda z: len(list_intersect(b, z))::DOUBLE / len(list_distinct(list_concat(b, z)))) AS alike, list_sum(list_transform(topics, lambda z: len(list_intersect(w, z))))::DOUBLE / len(topics) AS shared FROM t),
+a AS (SELECT conv_id, turn, made, now, i, round(0.5 * coalesce(1 - list_max(alike), 1.0) * CASE WHEN len(list_filter(alike, lambda y: y > 0.8)) >= 5 THEN 0.5 ELSE 1.0 END + 0.3 * salience + 0.2 * CASE WHEN len(topics) = 0 THEN 0.5 WHEN shared < 2 THEN 0.7 WHEN shared > 10 THEN 0.4 ELSE 0.5 END, 9) AS raw FROM s),
+r(conv_id, i, momentum, followers, threshold, recent, score, promoted) AS (SELECT DISTINCT conv_id, 0::BIGINT, 0.5::DOUBLE, 0, 0.4::DOUBLE, []::DOUBLE[], 0.0::DOUBLE, false FROM a UNION ALL
+  SELECT conv_id, i, 0.9::DOUBLE * momentum + (1 - 0.9::DOUBLE) * raw, CASE WHEN sc >= 0.7 THEN 3 WHEN followers > 0 THEN followers - 1 ELSE 0 END,
+    CASE WHEN len(list_append(recent, sc)) < 10 THEN threshold WHEN list_avg(list_append(recent, sc)[-50:]) > 0.6 THEN least(0.7, threshold + 0.05) WHEN list_avg(list_append(recent, sc)[-50:]) < 0.3 THEN greatest(0.2, threshold - 0.05) ELSE threshold END,
+    list_append(recent, sc)[-100:], sc, sc >= 0.8 OR sc >= CASE WHEN followers > 0 THEN threshold * 0.7 ELSE threshold END OR (sc < 0.7 AND followers > 0)
+  FROM (SELECT r.conv_id, a.i, momentum, followers, threshold, recent, raw, CASE WHEN raw - momentum > 0.1 THEN least(1.0, raw * 1.3) WHEN raw - momentum < -0.1 THEN raw * 0.95 ELSE raw END::DOUBLE AS sc FROM r JOIN a ON a.conv_id = r.conv_id AND a.i = r.i + 1)),
+j AS (SELECT a.conv_id, turn, made, now, score, promoted FROM a JOIN r USING (conv_id, i)),
+f AS (SELECT conv_id, turn, row_number() OVER (ORDER BY round(0.4 * score + 0.2 * exp(-0.01 * floor((epoch(now) - epoch(made)) / 86400)) + 0.1, 9), conv_id, turn) <= (SELECT count(*) - 150 FROM j WHERE promoted) AS gone FROM j WHERE promoted)
+SELECT conv_id, turn, round(score, 6) AS score, CASE WHEN gone THEN 'forgotten' WHEN promoted THEN 'promoted' ELSE 'skipped' END AS verdict FROM j LEFT JOIN f USING (conv_id, turn)"""
+
+
+def _salience_sql() -> str:
+    terms = " + ".join(f"CASE WHEN contains(lower(text), '{w}') THEN 1 ELSE 0 END" for w in X.SALIENT)
+    return f"least(1.0, greatest(0.0, 0.5 + CASE WHEN length(text) BETWEEN 100 AND 500 THEN 0.1 WHEN length(text) > 1000 THEN -0.1 ELSE 0 END + least(0.3, 0.05 * ({terms})) + CASE WHEN regexp_matches(text, '```|- |1\\.|\\* ') THEN 0.1 ELSE 0 END))"
+
+
+@query("d06_consolidation", "WITH RECURSIVE z AS (SELECT 1)" + MEMORIES.replace("SALIENCE", _salience_sql()))
+def consolidation(spark, sf, hours: int = 24, most: int = 150):
+    """The last day's memories of every conversation: promoted, skipped, or forgotten by the retention gate."""
+    at = F.expr("TIMESTAMP_NTZ'2024-01-01 00:00:00' + make_dt_interval(0, cast(6 * turn as int))")
+    m = T.base(spark, sf, "conversations").select("conv_id", F.col("turn").alias("id"), "text", at.alias("at"), S.rounded(X.salience("text", F.lit("episodic")), 6).alias("salience"))
+    return L.consolidated_memories(m, "conv_id", hours, most).select("conv_id", F.col("id").alias("turn"), S.rounded("score").alias("score"), "verdict")
 
 
 @query("d07_granularity", AGE + ", g AS (SELECT k, avg(success_score) AS imp, count(*) / 30.0 AS per_day, min(h) / 24 AS age, count(DISTINCT action_type) AS refs FROM t GROUP BY k), s AS (SELECT k, 0.35 * imp + 0.2 * least(1.0, per_day / 10) + 0.15 * exp(-age / 30) + CASE WHEN refs > 4 THEN 0.3 ELSE 0.1 END + 0.1 * least(1.0, refs / 10.0) AS s FROM g) SELECT k, round(s, 6) AS score, CASE WHEN s >= 0.8 THEN 'full' WHEN s >= 0.6 THEN 'detailed' WHEN s >= 0.4 THEN 'standard' WHEN s >= 0.2 THEN 'summary' ELSE 'minimal' END AS level FROM s")

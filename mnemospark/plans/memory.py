@@ -13,6 +13,7 @@ from mnemospark.operators import cycles
 from mnemospark.operators import graph as G
 from mnemospark.operators import near_texts as N
 from mnemospark.operators import vectors as O
+from mnemospark.operators.topk import ranked
 from mnemospark.plans.registry import query
 from mnemospark.sources import storage
 from mnemospark.sources import tables as T
@@ -260,15 +261,46 @@ def chunk_search(spark, sf):
     return O.nearest(v, v.where("id = 3").first().v, 10, 0.15).select("id", S.rounded("score").alias("score"))
 
 
-@query("g15_keyword_activation", ctes("associations") + ", e AS (SELECT a_id AS a, b_id AS b, strength FROM associations UNION ALL SELECT b_id, a_id, strength FROM associations), s AS (SELECT unnest([5, 9, 12])::BIGINT AS seed), l1 AS (SELECT seed, b AS id, max(strength * 0.7 / 3) AS x FROM s JOIN e ON a = seed WHERE b <> seed GROUP BY 1, 2), al AS (SELECT seed AS id, 1.0 / 3 AS x FROM s UNION ALL SELECT id, x FROM l1) SELECT id, round(least(1.0, sum(x)), 6) AS activation FROM al GROUP BY id")
-def keyword_activation(spark, sf):
-    """Activation from several seeds, each spreading by itself, added up and capped."""
+def _asked(text: str, most: int = 10) -> list[str]:
+    """The first keywords of a question."""
+    words = (w.strip(X.STRIPPED) for w in text.lower().split())
+    return [w for w in words if len(w) >= 3 and w not in X.STOPWORDS][:most]
+
+
+QUESTION = "Which effects did doc_7 and doc_42 have, and what of haedtion?"
+
+
+def _activation_sql(least: float, depth: int = 3) -> str:
+    words = ", ".join(f"({i}, '{w}')" for i, w in enumerate(_asked(QUESTION)))
+    out = ctes("associations", "entities") + f", q(no, w) AS (VALUES {words}), h AS (SELECT no, id FROM q JOIN entities ON contains(lower(name), w) OR contains(lower(entity_type), w) OR contains(lower(content), w) QUALIFY row_number() OVER (PARTITION BY no ORDER BY id) <= 5), e AS (SELECT a_id AS a, b_id AS b, strength FROM associations UNION ALL SELECT b_id, a_id, strength FROM associations), l0 AS (SELECT no, id AS seed, id, 1.0::DOUBLE / (SELECT count(*) FROM h) AS x FROM h)"
+    for d in range(1, depth):
+        seen = " UNION ALL ".join(f"SELECT no, seed, id FROM l{i}" for i in range(d))
+        out += f", l{d} AS (SELECT no, seed, b AS id, max(x * strength * (1 - 0.3)) AS x FROM l{d - 1} JOIN e ON a = id WHERE x >= {least} AND x * strength * (1 - 0.3) >= {least} AND (no, seed, b) NOT IN ({seen}) GROUP BY 1, 2, 3)"
+    return out + " SELECT id, round(least(1.0, sum(x)), 6) AS activation FROM (" + " UNION ALL ".join(f"SELECT id, x FROM l{d}" for d in range(depth)) + ") GROUP BY id"
+
+
+def _keyword_activation(spark, sf, least: float, depth: int = 3, hits: int = 5):
+    """Seeds are ``hits`` entities at most for each keyword of the question, in name, type or text; each spreads by itself."""
+    e = T.entities(spark, sf)
+    found = [F.when(X.matches(F.concat_ws("\n", F.lower("name"), F.lower("entity_type"), F.lower("content")), [w]) > 0, F.lit(i)) for i, w in enumerate(_asked(QUESTION))]
+    each = e.select("id", F.explode(F.array_compact(F.array(*found))).alias("no"))
+    seeds = ranked(each, ["no"], [F.col("id")], hits).select("no", "id").collect()  # hits for each keyword at most
+    given = spark.createDataFrame([(k, r.id, 1.0 / len(seeds)) for k, r in enumerate(sorted(seeds))], "seed long, id long, activation double")
     a = T.associations(spark, sf)
-    e = a.select(F.col("a_id").alias("seed"), F.col("b_id").alias("id"), "strength").unionByName(a.select(F.col("b_id").alias("seed"), F.col("a_id").alias("id"), "strength"))
-    seeds = spark.createDataFrame([(5,), (9,), (12,)], "seed long")
-    one = e.join(F.broadcast(seeds), "seed").where("id <> seed").groupBy("seed", "id").agg(F.max(F.col("strength") * 0.7 / 3).alias("x"))
-    every = one.select("id", "x").unionByName(seeds.select(F.col("seed").alias("id"), F.lit(1.0 / 3).alias("x")))
-    return every.groupBy("id").agg(S.rounded(F.least(F.lit(1.0), F.sum("x"))).alias("activation"))
+    both = a.select(F.col("a_id").alias("a"), F.col("b_id").alias("b"), "strength").unionByName(a.select(F.col("b_id").alias("a"), F.col("a_id").alias("b"), "strength"))
+    return G.spread(both, given, depth, 0.3, least).select("id", S.rounded("activation").alias("activation"))
+
+
+@query("g15_keyword_activation", _activation_sql(0.2))
+def keyword_activation(spark, sf):
+    """Activation from what a question's keywords hit, handed on from 0.2."""
+    return _keyword_activation(spark, sf, 0.2)
+
+
+@query("g15_keyword_activation_far", _activation_sql(0.01))
+def keyword_activation_far(spark, sf):
+    """The same, handed on from 0.01, so that it reaches all of the surveyed depth."""
+    return _keyword_activation(spark, sf, 0.01)
 
 
 @query("g19_citation_cycle", ctes("causal_links", recursive=True) + ", e AS (SELECT cause_id AS a, effect_id AS b FROM causal_links WHERE strength >= 0.6), r(seed, id, depth) AS (SELECT DISTINCT a, b, 1 FROM e UNION SELECT seed, b, depth + 1 FROM r JOIN e ON a = id WHERE depth < 10) SELECT DISTINCT seed AS id FROM r WHERE seed = id")

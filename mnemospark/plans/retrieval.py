@@ -322,14 +322,26 @@ def semi_join(spark, sf):
 # --- mutation semantics over append-only tables ---
 
 
-@query("m01_upsert", ctes("entities") + ", n AS (SELECT id, name, access_count + 100 AS access_count FROM entities WHERE id % 5 = 0 UNION ALL SELECT id + 100000000, 'new_' || id, 0 FROM entities WHERE id % 50 = 0) SELECT coalesce(e.name, n.name) AS name, coalesce(n.access_count, e.access_count) AS access_count, CASE WHEN e.id IS NULL THEN 'insert' WHEN n.id IS NULL THEN 'keep' ELSE 'update' END AS op FROM entities e FULL JOIN n ON e.name = n.name")
+UPSERT = """, old AS (SELECT e.name AS name, entity_type, access_count, 1 + id % 3 AS version, count(o.seq) AS notes FROM entities e LEFT JOIN observations o ON o.entity_id = e.id GROUP BY ALL),
+given AS (SELECT 'doc_' || id AS name, 'first' AS kind, 0 AS place, 2 AS notes FROM entities WHERE id % 5 = 0 UNION ALL SELECT 'doc_' || id, 'second', 1, 1 FROM entities WHERE id % 10 = 0 UNION ALL SELECT 'new_' || id, 'first', 0, 3 FROM entities WHERE id % 50 = 0 UNION ALL SELECT 'new_' || id, 'second', 1, 0 FROM entities WHERE id % 100 = 0 UNION ALL SELECT NULL, 'none', 0, 1 FROM entities WHERE id = 0),
+n AS (SELECT name, count(*) AS times, arg_max(kind, place) AS kind, sum(notes) AS notes FROM given WHERE name IS NOT NULL GROUP BY name)
+SELECT coalesce(o.name, n.name) AS name, coalesce(kind, entity_type) AS entity_type, CASE WHEN o.name IS NULL THEN times - 1 ELSE access_count + coalesce(times, 0) END AS access_count,
+  CASE WHEN o.name IS NULL THEN times ELSE version + coalesce(times, 0) END AS current_version, CAST(coalesce(o.notes, 0) + coalesce(n.notes, 0) AS BIGINT) AS observations,
+  CASE WHEN o.name IS NULL THEN 'insert' WHEN n.name IS NULL THEN 'keep' ELSE 'update' END AS op
+FROM old o FULL JOIN n ON o.name = n.name"""
+
+
+@query("m01_upsert", ctes("entities", "observations") + UPSERT)
 def upsert(spark, sf):
-    e = T.entities(spark, sf).select("id", "name", "access_count")
-    n = e.where("id % 5 = 0").withColumn("access_count", F.col("access_count") + 100).unionByName(e.where("id % 50 = 0").select((F.col("id") + 100000000).alias("id"), F.concat(F.lit("new_"), F.col("id").cast("string")).alias("name"), F.lit(0).cast("long").alias("access_count")))
-    n = n.select("name", F.col("access_count").alias("fresh"), F.lit(True).alias("given"))
-    j = e.join(n, "name", "full_outer")
-    op = F.when(F.col("id").isNull(), "insert").when(F.col("given").isNull(), "keep").otherwise("update")
-    return j.select("name", F.coalesce("fresh", "access_count").alias("access_count"), op.alias("op"))
+    """A batch of entities by name, some given twice: each further time counts an access and a version, and adds its observations."""
+    e, o = T.entities(spark, sf), T.observations(spark, sf)
+    notes = o.groupBy(F.col("entity_id").alias("id")).agg(rows().alias("notes"))
+    old = e.select("id", "name", "entity_type", "access_count", (1 + F.col("id") % 3).alias("current_version")).join(notes, "id", "left").select("name", "entity_type", "access_count", "current_version", F.coalesce("notes", F.lit(0)).alias("observations"))
+    batch = lambda every, prefix, kind, at, n: e.where(F.col("id") % every == 0).select(F.concat(F.lit(prefix), F.col("id").cast("string")).alias("name"), F.lit(kind).alias("entity_type"), F.lit(at).alias("at"), F.lit(n).alias("observations"))
+    given = batch(5, "doc_", "first", 0, 2)
+    for more in (batch(10, "doc_", "second", 1, 1), batch(50, "new_", "first", 0, 3), batch(100, "new_", "second", 1, 0)):
+        given = given.unionByName(more)
+    return K.upserted(old, given)
 
 
 @query("m02_access_counter", ctes("actions") + "SELECT k AS entity_id, count(*) AS accesses, max(executed_at) AS last FROM actions GROUP BY 1")
@@ -398,11 +410,12 @@ def history(spark, sf, entity: int = 10):
     return T.versions(spark, sf).where(F.col("entity_id") == entity).orderBy(F.desc("version")).limit(10).select("version", "data", "created_at")
 
 
-@query("m15_append_block", "SELECT conv_id, CASE WHEN length(first) + 1 + length(rest) > 2000 THEN first ELSE first || chr(10) || rest END AS block FROM (SELECT conv_id, any_value(text) FILTER (turn = 0) AS first, any_value(text) FILTER (turn = 1) AS rest FROM conversations WHERE turn IN (0, 1) GROUP BY 1) WHERE rest IS NOT NULL")
+@query("m15_append_block", "WITH RECURSIVE t AS (SELECT conv_id, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM conversations), r(conv_id, i, block, applied, refused) AS (SELECT conv_id, i, text, 0::BIGINT, 0::BIGINT FROM t WHERE i = 1 UNION ALL SELECT conv_id, i, CASE WHEN fits THEN block || chr(10) || text ELSE block END, applied + CASE WHEN fits THEN 1 ELSE 0 END, refused + CASE WHEN fits THEN 0 ELSE 1 END FROM (SELECT r.conv_id, t.i, block, text, applied, refused, r.conv_id % 10 <> 0 AND length(block) + 1 + length(text) <= 2000 AS fits FROM r JOIN t ON t.conv_id = r.conv_id AND t.i = r.i + 1)) SELECT conv_id, applied, refused, length(block) AS chars, sha256(block) AS digest FROM r QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY i DESC) = 1")
 def append_block(spark, sf, limit: int = 2000):
-    t = T.base(spark, sf, "conversations").where("turn IN (0, 1)").groupBy("conv_id").agg(F.max(F.when(F.col("turn") == 0, F.col("text"))).alias("a"), F.max(F.when(F.col("turn") == 1, F.col("text"))).alias("b")).where("b IS NOT NULL")
-    new = F.concat("a", F.lit("\n"), "b")
-    return t.select("conv_id", F.when(F.length(new) > limit, F.col("a")).otherwise(new).alias("block"))
+    """The edit log of each conversation's block: it begins with the first turn, and each other turn is appended where it fits; every tenth block is read-only."""
+    t = T.base(spark, sf, "conversations").withColumn("fixed", F.col("conv_id") % 10 == 0)
+    b = L.appended(t, "conv_id", ["turn"], "text", "fixed", limit)
+    return b.select("conv_id", "applied", "refused", F.length("block").cast("long").alias("chars"), F.sha2("block", 256).alias("digest"))
 
 
 @query("m16_replace_block", ctes("entities") + "SELECT id, CASE WHEN contains(content, 'the') AND length(replace(content, 'the', 'THESE')) <= 3000 THEN md5(replace(content, 'the', 'THESE')) ELSE md5(content) END AS digest FROM entities")

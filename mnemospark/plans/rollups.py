@@ -8,7 +8,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from mnemospark.functions import scores as S
+from mnemospark.operators import graph as G
 from mnemospark.plans.registry import query
+from mnemospark.sources import storage
 from mnemospark.sources import tables as T
 from mnemospark.sources.tables import ctes
 
@@ -359,11 +361,13 @@ def current_state(spark, sf):
     return a.join(last, ["agent_id", "executed_at"]).select("agent_id", "action_id", "action_type")
 
 
-@query("w08_session_chain", ctes("versions") + "SELECT entity_id, version AS session, version - d AS previous, d AS depth FROM versions, (SELECT unnest(range(0, 5)) AS d) WHERE version - d >= 1 AND version = 7")
-def session_chain(spark, sf, depth: int = 5, start: int = 7):
-    v = T.versions(spark, sf).where(F.col("version") <= start)
-    own = v.groupBy("entity_id").agg(F.max("version").alias("session")).where(F.col("session") == start)
-    return own.select("entity_id", "session", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(depth - 1).cast("long"))).alias("depth")).withColumn("previous", F.col("session") - F.col("depth")).where("previous >= 1")
+@query("w08_session_chain", ctes("sessions", recursive=True) + ", s AS (SELECT agent_id, session_id AS start FROM sessions QUALIFY row_number() OVER (PARTITION BY agent_id ORDER BY started DESC, session_id DESC) = 1), r(start, place, id) AS (SELECT start, 0, start FROM s UNION ALL SELECT start, place + 1, previous_session_id FROM r JOIN sessions ON session_id = id WHERE place < 4 AND previous_session_id IN (SELECT session_id FROM sessions)) SELECT agent_id, place, session_id, started, actions FROM r JOIN sessions ON session_id = id")
+def session_chain(spark, sf, depth: int = 5):
+    """Each agent's newest session and those before it, along their links, ``depth`` at most."""
+    s = storage.staged(T.sessions(spark, sf), "sessions")
+    newest = s.groupBy("agent_id").agg(F.max(F.struct("started", "session_id")).alias("m")).select(F.col("m.session_id").alias("id"))
+    c = G.chain_back(s.select(F.col("session_id").alias("id"), F.col("previous_session_id").alias("previous")), newest, depth)
+    return c.join(s.withColumnRenamed("session_id", "id"), "id").select("agent_id", "place", F.col("id").alias("session_id"), "started", "actions")
 
 
 @query("w09_convergence", ctes("actions") + ", d AS (SELECT k % 10 AS depth, avg(success_score) AS m FROM actions GROUP BY 1), l AS (SELECT depth, m, lag(m) OVER (ORDER BY depth) AS p FROM d) SELECT count(*) AS depths, count(*) >= 2 AND bool_and(p IS NULL OR m <= 0.5 * p) AS converged FROM l")

@@ -167,9 +167,24 @@ def kmeans(spark, sf):
     return O.kmeans(T.vectors(spark, sf), 10).groupBy("cluster").agg(rows().alias("n"))
 
 
-@query("v14_label_clusters", ctes("vectors") + "SELECT label, count(*) AS n, round(avg(v[1]), 6) AS first FROM vectors GROUP BY label HAVING count(*) >= 5")
-def label_clusters(spark, sf):
-    return T.vectors(spark, sf).groupBy("label").agg(rows().alias("n"), S.rounded(F.avg(F.col("v")[0])).alias("first")).where("n >= 5")
+def _lloyd_sql(k: int = 10, rounds: int = 5) -> str:
+    """Centres p(cluster, c) after some rounds, and what is nearest to each: z(id, cluster)."""
+    out = ctes("vectors") + f", c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY id) - 1 AS cluster, v AS c FROM vectors ORDER BY id LIMIT {k})"
+    for i in range(rounds + 1):
+        out += f", z{i} AS MATERIALIZED (SELECT id, v, cluster FROM vectors, c{i} QUALIFY row_number() OVER (PARTITION BY id ORDER BY round(list_distance(v, c) + 0, 9), cluster) = 1)"
+        if i < rounds:
+            out += f", s{i} AS (SELECT cluster, list(x ORDER BY i) AS c FROM (SELECT cluster, i, avg(v[i]) AS x FROM (SELECT cluster, v, unnest(range(1, len(v) + 1)) AS i FROM z{i}) GROUP BY 1, 2) GROUP BY 1), c{i + 1} AS MATERIALIZED (SELECT c{i}.cluster AS cluster, coalesce(s{i}.c, c{i}.c) AS c FROM c{i} LEFT JOIN s{i} USING (cluster))"
+    return out + f", p AS (SELECT * FROM c{rounds}), z AS (SELECT id, cluster, (id * 37 % 101) / 100.0 AS quality FROM z{rounds}), k AS (SELECT cluster, count(*) AS n, sum(quality) AS total_weight, avg(quality) AS avg_quality FROM z GROUP BY 1 HAVING count(*) >= 5 AND avg(quality) >= 0.3)"
+
+
+def _prototypes(spark, sf):
+    return O.Prototypes(T.vectors(spark, sf).select("id", "v", (F.col("id") * 37 % 101 / 100.0).alias("quality")), 10)
+
+
+@query("v14_label_clusters", _lloyd_sql() + " SELECT cluster, n, round(total_weight, 6) AS total_weight, round(avg_quality, 6) AS avg_quality FROM k")
+def extract_patterns(spark, sf):
+    """Clusters of five vectors and more whose mean quality is 0.3 and more."""
+    return _prototypes(spark, sf).patterns("quality").select("cluster", "n", S.rounded("total_weight").alias("total_weight"), S.rounded("avg_quality").alias("avg_quality"))
 
 
 @query("v16_nearest_centroid", ctes("vectors") + ", e AS (SELECT label, i, avg(v[i]) AS x FROM (SELECT label, v, unnest(range(1, 65)) AS i FROM vectors) GROUP BY 1, 2), m AS (SELECT label, list(x ORDER BY i) AS m FROM e GROUP BY 1), d AS (SELECT id, m.label AS centroid, list_dot_product(v, m) AS s FROM vectors, m), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY round(s, 9) DESC, centroid) AS rn FROM d) SELECT id, centroid FROM r WHERE rn = 1")
@@ -218,9 +233,17 @@ def semantic_cache(spark, sf):
     return hit.orderBy(F.desc("s"), "id").limit(1).select("id", S.rounded("s").alias("score"))
 
 
-@query("v24_category_boost", VEC + " SELECT id, round(least(1.0, s * CASE WHEN label = 3 THEN 1.2 ELSE 1.0 END), 6) AS score FROM c")
-def category_boost(spark, sf):
-    return _scored(spark, sf).select("id", S.rounded(F.least(F.lit(1.0), F.col("s") * F.when(F.col("label") == 3, 1.2).otherwise(1.0))).alias("score"))
+_UNIT = "list_transform({0}, lambda x: (x - list_min({0})) / (list_max({0}) - list_min({0})))"
+
+
+@query("v24_category_boost", _lloyd_sql() + f", q AS (SELECT v AS q FROM vectors WHERE id = 0), u AS (SELECT id, list_cosine_similarity(v, q) AS s, {_UNIT.format('v')} AS u FROM vectors, q), w AS (SELECT cluster, {_UNIT.format('c')} AS w FROM p JOIN k USING (cluster)), f AS (SELECT id, s, cluster, round(list_sum(list_transform(list_zip(u, w), lambda z: least(z[1], z[2]) + least(1 - z[1], 1 - z[2]))) / len(u), 9) AS match FROM u, w QUALIFY row_number() OVER (PARTITION BY id ORDER BY match DESC, cluster) = 1) SELECT id, cluster AS category, round(match, 6) AS match, round(CASE WHEN match >= 0.8 THEN least(1.0, s * 1.25) ELSE s END, 6) AS score FROM f")
+def category_boost(spark, sf, least: float = 0.8):
+    """Scores of what matches a learnt pattern well are raised; the usual least match of 0.6 would raise all of these vectors."""
+    p = _prototypes(spark, sf)
+    kept = [r.cluster for r in p.patterns("quality").select("cluster").collect()]  # ten at most
+    q = F.array(*[F.lit(float(x)) for x in _query(spark, sf)])
+    scored = T.vectors(spark, sf).select("id", "v", V.cosine("v", q).alias("score"))
+    return p.boosted(scored, kept, 1.25, least).select("id", "category", S.rounded("match").alias("match"), S.rounded("score").alias("score"))
 
 
 @query("v26_graph_enhanced", VEC + ", t AS (SELECT id, s FROM c ORDER BY s DESC, id LIMIT 20), g AS (SELECT l_suppkey % 500 AS id, least(1.0, count(*) / 1000.0) AS g FROM lineitem GROUP BY 1) SELECT t.id AS id, round(0.7 * s + 0.3 * coalesce(g, 0), 6) AS score FROM t LEFT JOIN g USING (id)")

@@ -70,6 +70,16 @@ def chains(spark, sf_dir) -> DataFrame:
     return steps.groupBy("agent_id", "a", "b").agg(F.count(F.lit(1)).alias("evidence_count"), rounded(F.avg("s"), 6).alias("strength"))
 
 
+def sessions(spark, sf_dir, hours: int = 12) -> DataFrame:
+    """Each agent's sessions, cut where it pauses for more than ``hours``; known by their first action and linked to the one before."""
+    w = Window.partitionBy("agent_id").orderBy("executed_at", "action_id")
+    a = actions(spark, sf_dir).select("agent_id", "action_id", "executed_at", (F.col("executed_at") - F.lag("executed_at").over(w) > F.expr(f"INTERVAL {hours} HOUR")).cast("int").alias("cut"))
+    a = a.withColumn("part", F.sum(F.coalesce("cut", F.lit(0))).over(w))
+    s = a.groupBy("agent_id", "part").agg(F.min(F.struct("executed_at", "action_id")).alias("first"), F.count(F.lit(1)).alias("actions"))
+    back = F.lag("first.action_id").over(Window.partitionBy("agent_id").orderBy("part"))
+    return s.select("agent_id", F.col("first.action_id").alias("session_id"), back.alias("previous_session_id"), F.col("first.executed_at").alias("started"), "actions")
+
+
 def beliefs(spark, sf_dir) -> DataFrame:
     return actions(spark, sf_dir).groupBy("agent_id", F.col("action_type").alias("statement")).agg(rounded(F.avg("success_score"), 6).alias("probability"), F.sum(F.when(F.col("success_score") >= 0.5, 1).otherwise(-1)).alias("evidence_balance"))
 
@@ -97,11 +107,12 @@ SQL = {
     "causal_links": "causal_links AS (SELECT k AS cause_id, k2 AS effect_id, count(*) AS evidence_count, least(1.0, round(count(*) * 0.2, 6)) AS strength FROM steps GROUP BY k, k2)",
     "associations": "associations AS (SELECT least(k, k2) AS a_id, greatest(k, k2) AS b_id, count(*) AS co_activation_count, least(1.0, round(count(*) * 0.1, 6)) AS strength FROM steps GROUP BY 1, 2)",
     "chains": "chains AS (SELECT agent_id, a, b, count(*) AS evidence_count, round(avg(s), 6) AS strength FROM (SELECT agent_id, k AS a, lead(k) OVER w AS b, lead(success_score) OVER w AS s FROM actions WINDOW w AS (PARTITION BY agent_id ORDER BY executed_at, action_id)) WHERE b IS NOT NULL GROUP BY 1, 2, 3)",
+    "sessions": "sessions AS (SELECT agent_id, session_id, lag(session_id) OVER (PARTITION BY agent_id ORDER BY part) AS previous_session_id, started, actions FROM (SELECT agent_id, part, first(action_id ORDER BY executed_at, action_id) AS session_id, min(executed_at) AS started, count(*) AS actions FROM (SELECT *, sum(CASE WHEN gap > INTERVAL 12 HOUR THEN 1 ELSE 0 END) OVER (PARTITION BY agent_id ORDER BY executed_at, action_id) AS part FROM (SELECT *, executed_at - lag(executed_at) OVER (PARTITION BY agent_id ORDER BY executed_at, action_id) AS gap FROM actions)) GROUP BY 1, 2))",
     "beliefs": "beliefs AS (SELECT agent_id, action_type AS statement, round(avg(success_score), 6) AS probability, CAST(sum(CASE WHEN success_score >= 0.5 THEN 1 ELSE -1 END) AS BIGINT) AS evidence_balance FROM actions GROUP BY 1, 2)",
     "feedback": "feedback AS (SELECT doc_id, source, CAST(quality AS BIGINT) AS success, CAST(toxic AS BIGINT) AS toxic FROM labels JOIN documents USING (doc_id))",
     "versions": "versions AS (SELECT o_custkey AS entity_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS version, concat_ws(':', o_orderstatus, o_orderpriority) AS data, o_totalprice AS price, o_orderdate AS created_at FROM orders)",
 }
-_NEEDS = {"steps": ["actions"], "chains": ["actions"], "causal_links": ["steps"], "associations": ["steps"], "beliefs": ["actions"]}
+_NEEDS = {"steps": ["actions"], "chains": ["actions"], "sessions": ["actions"], "causal_links": ["steps"], "associations": ["steps"], "beliefs": ["actions"]}
 
 
 def ctes(*names: str, recursive: bool = False) -> str:
