@@ -13,6 +13,7 @@ path and no score; other columns, of any name, are ignored.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 
 from mnemospark.operators import adjacency
 from mnemospark.operators.adjacency import MAX_EDGES, longs
-from mnemospark.sources.storage import dropped, staged
+from mnemospark.sources.storage import dropped, new_path, staged
 
 #: Sources whose paths betweenness follows at once in joins.
 SOURCE_BLOCK = 1_000
@@ -180,23 +181,62 @@ def chain_back(links: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
     return have
 
 
-def pagerank(edges: DataFrame, rounds: int = 20, damping: float = 0.85, every: int = 5) -> DataFrame:
-    """(id, rank) on an undirected simple graph (no dangling nodes); lineage is cut every few rounds."""
+def pagerank(edges: DataFrame, rounds: int = 100, damping: float = 0.85, tolerance: float = 1e-6, most: int = MAX_EDGES) -> DataFrame:
+    """(id, rank) on an undirected simple graph (no dangling nodes), until a round changes the ranks by less than ``tolerance`` in all.
+
+    Graphs of up to ``most`` directed edges are one task's work. Of larger ones
+    the edges are written once, bucketed by their start with the node's degree,
+    so that a round moves ranks and nothing else: they meet the edges where
+    these lie, and only the sums for their ends are shuffled.
+    """
+    spark = edges.sparkSession
     both = staged(both_ways(edges), "pagerank")
-    degree = both.groupBy("a").agg(F.count(F.lit(1)).alias("deg"))
+    if (graph := adjacency.broadcast(both, most)) is not None:
+        return _pagerank_in_a_task(both, graph, rounds, damping, tolerance)
+    degree = staged(both.groupBy("a").agg(F.count(F.lit(1)).alias("deg")), "degrees")
     n = degree.count()
+    rank = degree.select(F.col("a").alias("id"), F.lit(1.0 / max(n, 1)).alias("rank"))
     if not n:
-        return degree.select(F.col("a").alias("id"), F.lit(0.0).alias("rank"))
-    linked = staged(both.join(degree, "a"), "pagerank")
-    rank = degree.select(F.col("a").alias("id"), F.lit(1.0 / n).alias("rank"))
-    for i in range(1, rounds + 1):
-        given = linked.join(rank.withColumnRenamed("id", "a"), "a").groupBy(F.col("b").alias("id")).agg(F.sum(F.col("rank") / F.col("deg")).alias("s"))
-        rank = given.select("id", (F.lit((1 - damping) / n) + F.col("s") * damping).alias("rank"))
-        if i % every == 0:
-            rank = staged(rank, "pagerank")
+        return rank
+    name, parts = f"pagerank_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
+    both.join(degree, "a").repartition(parts, "a").write.option("path", new_path(spark, "pagerank")).bucketBy(parts, "a").saveAsTable(name)
+    try:
+        linked = spark.table(name)
+        for _ in range(rounds):
+            given = linked.join(rank.withColumnRenamed("id", "a"), "a").groupBy(F.col("b").alias("id")).agg(F.sum(F.col("rank") / F.col("deg")).alias("s"))
+            new = given.join(rank, "id").select("id", (F.lit((1 - damping) / n) + F.col("s") * damping).alias("rank"), F.abs(F.lit((1 - damping) / n) + F.col("s") * damping - F.col("rank")).alias("moved"))
+            after = staged(new, "pagerank")
+            moved = after.agg(F.sum("moved")).first()[0]
+            if hasattr(rank, "_staged_at"):
+                dropped(rank)
+            rank = after.select("id", "rank")
+            rank._staged_at = after._staged_at
+            if moved < tolerance:
+                break
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
     return rank
 
 
+def _pagerank_in_a_task(both: DataFrame, graph, rounds: int, damping: float, tolerance: float) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _ in batches:
+            pass
+        g = graph.value
+        n = len(g.nodes)
+        degree = np.diff(g.start)
+        rank = np.full(n, 1.0 / max(n, 1))
+        for _ in range(rounds if n else 0):
+            new = (1 - damping) / n + damping * np.bincount(g.heads, np.repeat(rank / degree, degree), n)
+            moved = np.abs(new - rank).sum()
+            rank = new
+            if moved < tolerance:
+                break
+        yield pa.RecordBatch.from_arrays([*longs(g.nodes), pa.array(rank)], names=["id", "rank"])
+
+    return both.sparkSession.range(1).repartition(1).mapInArrow(run, "id long, rank double")
+
+
 def betweenness(edges: DataFrame, sources: DataFrame, most: int = MAX_EDGES, block: int = SOURCE_BLOCK) -> DataFrame:
     """(id, score) of the nodes that a shortest path of the undirected simple graph begins at, ends at or passes: Brandes from every source(id).
 

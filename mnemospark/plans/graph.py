@@ -74,16 +74,16 @@ def degree_centrality(spark, sf):
     return u.groupBy(F.col("a").alias("id")).agg(rows().alias("deg")).crossJoin(F.broadcast(n)).select("id", S.rounded(F.col("deg") / (F.col("n") - 1)).alias("centrality"))  # n: one row
 
 
-def _pagerank_sql(rounds: int) -> str:
-    out = ctes("associations") + BOTH + ", d AS (SELECT a, count(*) AS deg FROM u GROUP BY a), n AS (SELECT count(*) AS n FROM d), r0 AS (SELECT a AS id, 1.0::DOUBLE / n AS rank FROM d, n)"
-    for i in range(1, rounds + 1):
-        out += f", r{i} AS (SELECT b AS id, 0.15 / any_value(n) + 0.85 * sum(rank / deg) AS rank FROM u JOIN d ON u.a = d.a JOIN r{i - 1} ON r{i - 1}.id = u.a, n GROUP BY b)"
-    return out + f" SELECT id, round(rank, 6) AS rank FROM r{rounds}"
+PAGERANK = ctes("associations", recursive=True) + BOTH + """, d AS (SELECT a, count(*) AS deg FROM u GROUP BY a), n AS (SELECT count(*) AS n FROM d),
+r(i, id, rank) AS (SELECT 0, a, 1.0::DOUBLE / n FROM d, n UNION ALL SELECT r.i + 1, b, 0.15 / any_value(n) + 0.85 * sum(rank / deg) FROM r JOIN d ON d.a = r.id JOIN u ON u.a = r.id, n WHERE r.i < 100 GROUP BY r.i, b),
+m AS (SELECT y.i AS i, sum(abs(y.rank - x.rank)) AS moved FROM r x JOIN r y ON y.id = x.id AND y.i = x.i + 1 GROUP BY 1)
+SELECT id, round(rank, 6) AS rank FROM r WHERE i = (SELECT coalesce(min(i), 100) FROM m WHERE moved < 1e-6)"""
 
 
-@query("g08_pagerank", _pagerank_sql(10))
+@query("g08_pagerank", PAGERANK)
 def pagerank(spark, sf):
-    return G.pagerank(_undirected(spark, sf), 10).select("id", S.rounded("rank").alias("rank"))
+    """Ranks after at most 100 rounds, or when a round moves less than 1e-6."""
+    return G.pagerank(_undirected(spark, sf)).select("id", S.rounded("rank").alias("rank"))
 
 
 def _betweenness_sql(depth: int) -> str:

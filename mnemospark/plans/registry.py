@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from mnemospark.sources.storage import owner
+
 QUERIES: dict[str, Callable] = {}
 ORACLES: dict[str, str] = {}
 
@@ -26,12 +28,12 @@ def settle_ties(sql: str) -> str:
 
 
 def query(name: str, sql: str | None = None):
-    """Registers f(spark, sf_dir) under a name, with DuckDB SQL for the same rows where there is one."""
+    """Registers f(spark, sf_dir) under a name, with DuckDB SQL for the same rows where there is one; its result owns what is staged for it."""
 
     def put(f):
         if name in QUERIES:
             raise ValueError(f"query {name} is defined twice")
-        QUERIES[name] = f
+        QUERIES[name] = owner(f)
         if sql:
             ORACLES[name] = settle_ties(sql)
         return f

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from mnemospark.functions import scores as S
 from mnemospark.operators import learning as L
 from mnemospark.operators import filters as O
+from mnemospark.operators import postings as P
 from mnemospark.operators import topk as K
 from mnemospark.plans.registry import query
 from mnemospark.sources import tables as T
@@ -113,6 +114,16 @@ def search_observations(spark, sf):
     return e.join(o, "id", "left").where(F.col("hit") | O.contains_text("name", "99")).orderBy("id").limit(20).select("id", "name")
 
 
+ASKED = ["thanedble", "HAEDTION", "erin ", "100%", "the", "no such words", "a_b", "zz"]
+
+
+@query("f08_search_indexed", ctes("entities") + f"SELECT w AS pattern, id FROM entities JOIN (SELECT unnest({ASKED}) AS w) ON contains(lower(name || chr(10) || content), lower(w))")
+def search_indexed(spark, sf):
+    """Several patterns in names and texts, by an index of their trigrams."""
+    e = T.entities(spark, sf).select("id", F.concat("name", F.lit("\n"), "content").alias("text"))
+    return P.TrigramIndex(e).search(ASKED)
+
+
 @query("f09_find_belief", ctes("beliefs") + "SELECT agent_id, statement, probability FROM beliefs WHERE statement ILIKE '%PUR%' ORDER BY probability DESC, agent_id LIMIT 10")
 def find_belief(spark, sf):
     return T.beliefs(spark, sf).where(O.contains_text("statement", "PUR")).orderBy(F.desc("probability"), "agent_id").limit(10).select("agent_id", "statement", "probability")

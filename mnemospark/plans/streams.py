@@ -43,6 +43,8 @@ def stream_surprise(spark, sf):
     return out.withColumn("momentum", S.rounded("momentum"))
 
 
-@query("x06_stream_live_memory", "SELECT DISTINCT user_id, event_type FROM events")
-def stream_live_memory(spark, sf):
-    return J.run_once(J.live_memory(_events(spark, sf), "100 days"), "append").select("user_id", "event_type")
+@query("x06_stream_live_memory", "WITH RECURSIVE e AS (SELECT user_id, event_type, event_id, ts FROM events), n AS MATERIALIZED (SELECT a.event_id AS event_id, b.event_id AS next_id FROM (SELECT *, ts + INTERVAL 48 HOUR AS until FROM e) a ASOF JOIN e b ON a.user_id = b.user_id AND a.event_type = b.event_type AND b.ts >= a.until), r AS (SELECT event_id FROM e QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) = 1 UNION ALL SELECT next_id FROM r JOIN n USING (event_id)) SELECT user_id, event_type, event_id, ts AS begun, ts + INTERVAL 48 HOUR AS until FROM r JOIN e USING (event_id)")
+def stream_live_memory(spark, sf, hours: int = 48):
+    """What opens each user's memories of a type, which live for two days."""
+    out = J.run_once(J.live_memory(_events(spark, sf), hours), "append")
+    return out.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("begun", "until")})

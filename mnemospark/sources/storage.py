@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import functools
 import threading
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,8 +31,57 @@ def shared_folder(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Paths made by the operator or query that runs, for its result to own; a list a thread.
+_made: ContextVar[list[str] | None] = ContextVar("made", default=None)
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/engine/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    """A new path in the shared folder; the result of the operator or query that asks for it owns it (see ``owner``)."""
+    path = f"{shared_folder(spark)}/engine/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    if (own := _made.get()) is not None:
+        own.append(path)
+    return path
+
+
+@contextmanager
+def paths_made() -> Iterator[list[str]]:
+    """The paths that are made inside; they count as made outside, too."""
+    outer, own = _made.get(), []
+    token = _made.set(own)
+    try:
+        yield own
+    finally:
+        _made.reset(token)
+        if outer is not None:
+            outer.extend(own)
+
+
+def owner(f: Callable) -> Callable:
+    """An operator or query whose result, a DataFrame, owns what was staged for it (see ``release``).
+
+    If it fails, its tables are deleted at once.
+    """
+
+    @functools.wraps(f)
+    def run(*args, **options):
+        with paths_made() as paths:
+            try:
+                out = f(*args, **options)
+            except BaseException:
+                if (spark := SparkSession.getActiveSession()) is not None:
+                    for path in paths:
+                        delete(spark, path)
+                raise
+        if isinstance(out, DataFrame):
+            out._owned = [*paths]
+        return out
+
+    return run
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def staged(df: DataFrame, name: str = "stage") -> DataFrame:
@@ -69,17 +120,23 @@ def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
                     spark.conf.set(key, held[1])
 
 
-def dropped(table: DataFrame) -> None:
-    """Deletes a table made by ``staged`` that nothing reads any more."""
-    path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(table._staged_at)
-    path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+def dropped(*tables: DataFrame) -> None:
+    """Deletes tables made by ``staged`` that nothing reads any more."""
+    for t in tables:
+        delete(t.sparkSession, t._staged_at)
+        if t._staged_at in (own := _made.get() or []):
+            own.remove(t._staged_at)
 
 
-def release(spark: SparkSession) -> None:
-    """Deletes what the engine's queries of this application have staged in the shared folder."""
-    for part in ("engine", "streams"):
-        path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/{part}/{spark.sparkContext.applicationId}")
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def release(result: DataFrame | SparkSession) -> None:
+    """Deletes the tables that were staged for a result, and nobody else's; the result can't be read afterwards. Of a session: all that its application has staged."""
+    if isinstance(result, SparkSession):
+        delete(result, f"{shared_folder(result)}/engine/{result.sparkContext.applicationId}")
+        return
+    for path in getattr(result, "_owned", ()):
+        delete(result.sparkSession, path)
+        if path in (own := _made.get() or []):
+            own.remove(path)
 
 
 def migrate(spark: SparkSession, path: str, migrations: list[tuple[str, dict[str, str]]]) -> DataFrame:

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from mnemospark.sources.storage import shared_folder
+from mnemospark.sources.storage import new_path, setting
 
 
 def event_stream(spark: SparkSession, path: str, files_per_trigger: int = 1) -> DataFrame:
@@ -42,67 +41,58 @@ def running_tiers(events: DataFrame) -> DataFrame:
     return events.groupBy("event_type", (F.col("user_id") % 3).alias("tier")).agg(F.count(F.lit(1)).alias("n"), F.avg(F.least(F.lit(1.0), F.col("value") / 100.0)).alias("mean"))
 
 
-def live_memory(events: DataFrame, ttl: str = "48 hours") -> DataFrame:
-    """The first event of each user and type within a time to live; state older than the watermark is dropped."""
-    return events.withWatermark("ts", ttl).dropDuplicatesWithinWatermark(["user_id", "event_type"]).select("user_id", "event_type", "event_id")
-
+def live_memory(events: DataFrame, hours: int = 48, late: str = "1 hour") -> DataFrame:
+    """(user_id, event_type, event_id, begun, until): memories of each user and type, as they open.
 
-def running_surprise(events: DataFrame) -> DataFrame:
-    """Momentum surprise of each user as custom state: (user_id, n, promoted, momentum) whenever a user has new events.
-
-    The rows of a user within a trigger are taken in time order and so held
-    together (their times and scores only): a trigger's size, by
-    ``files_per_trigger``, bounds them. The state is four numbers a user.
-    Null scores change nothing.
+    An event opens a memory that lives for ``hours``; those that come meanwhile
+    belong to it, the first one after that opens the next. State is cleared by a
+    timer when the watermark has passed its end; rows later than the watermark
+    are dropped.
     """
-    import pandas as pd
+    from mnemospark.streaming.state import Memory
+
+    rows = events.select("user_id", "event_type", "event_id", "ts").withWatermark("ts", late)
+    return rows.groupBy("user_id", "event_type").transformWithStateInPandas(Memory(hours), "user_id long, event_type string, event_id long, begun timestamp, until timestamp", "append", "eventTime")
 
-    from mnemospark.operators.learning import surprise_step
 
-    def update(key, frames, state):
-        now = tuple(state.get) if state.exists else (0, 0.0, 0.0, 0)
-        rows = pd.concat(list(frames)).sort_values(["ts", "event_id"])
-        for score in rows.score[rows.score.notna()]:
-            now = surprise_step(now, float(score))
-        state.update(now)
-        yield pd.DataFrame({"user_id": [key[0]], "n": [now[0]], "promoted": [now[3]], "momentum": [now[2]]})
+def running_surprise(events: DataFrame) -> DataFrame:
+    """Momentum surprise of each user as custom state: (user_id, n, promoted, momentum) whenever a user has new events. Null scores change nothing."""
+    from mnemospark.streaming.state import Surprise
 
     scored = events.select("user_id", "ts", "event_id", F.least(F.lit(1.0), F.col("value") / 100.0).alias("score"))
-    return scored.groupBy("user_id").applyInPandasWithState(update, "user_id long, n long, promoted long, momentum double", "n long, mean double, momentum double, promoted long", "update", "NoTimeout")
+    return scored.groupBy("user_id").transformWithStateInPandas(Surprise(), "user_id long, n long, promoted long, momentum double", "update", "none")
 
 
 def run_once(stream: DataFrame, mode: str, keys: list[str] | None = None) -> DataFrame:
     """Drains what is there and returns the result: appended rows, the last complete one, or (update) the last row of each key.
 
-    In update mode every micro-batch is merged into the table of the one before
-    it; a repeated batch writes the same table again.
+    In update mode a micro-batch writes its own rows alone, as files of its
+    number, so that it costs what its keys cost; a repeated batch writes the same
+    files again, and a reader takes the rows of each key's last batch.
     """
     spark = stream.sparkSession
-    base = f"{shared_folder(spark)}/streams/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
-    done: dict[int, str] = {}
+    base = new_path(spark, "stream")
+    if mode == "update" and not keys:
+        raise ValueError("update mode needs the keys by which rows replace each other")
 
     def replace(df: DataFrame, batch: int) -> None:
         df.write.mode("overwrite").parquet(f"{base}/out")
 
-    def merge(df: DataFrame, batch: int) -> None:
-        fresh, before = df, [b for b in done if b < batch]
-        if before:
-            old = df.sparkSession.read.schema(stream.schema).parquet(done[max(before)])
-            # Null keys are keys: compare them as text with a mark.
-            marked = [F.coalesce(F.concat(F.lit("v"), F.col(k).cast("string")), F.lit("null")).alias(f"__{i}") for i, k in enumerate(keys)]
-            names = [f"__{i}" for i in range(len(keys))]
-            fresh = old.select("*", *marked).join(df.select(*marked), names, "left_anti").drop(*names).unionByName(df)
-        fresh.write.mode("overwrite").parquet(f"{base}/out-{batch}")
-        done[batch] = f"{base}/out-{batch}"
+    def upsert(df: DataFrame, batch: int) -> None:
+        df.write.mode("overwrite").parquet(f"{base}/out/batch={batch}")
 
-    if mode == "update" and not keys:
-        raise ValueError("update mode needs the keys by which rows replace each other")
     if mode == "append":
         w = stream.writeStream.outputMode("append").format("parquet").option("path", f"{base}/out")
     else:
-        w = stream.writeStream.outputMode(mode).foreachBatch(merge if mode == "update" else replace)
-    q = w.option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
-    q.awaitTermination()
-    if mode == "update":
-        return spark.read.schema(stream.schema).parquet(done[max(done)]) if done else spark.createDataFrame([], stream.schema)
-    return spark.read.schema(stream.schema).parquet(f"{base}/out")
+        w = stream.writeStream.outputMode(mode).foreachBatch(upsert if mode == "update" else replace)
+    with setting(spark, "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"):  # custom state needs it
+        w.option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    if mode != "update":
+        return spark.read.schema(stream.schema).parquet(f"{base}/out")
+    where = spark._jvm.org.apache.hadoop.fs.Path(f"{base}/out")
+    if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+        return spark.createDataFrame([], stream.schema)
+    rows = spark.read.schema(T.StructType([*stream.schema.fields, T.StructField("batch", T.LongType())])).parquet(f"{base}/out")
+    rest = [c for c in stream.columns if c not in keys]
+    last = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("last"))
+    return last.select(*[F.col(c) if c in keys else F.col(f"last.{c}").alias(c) for c in stream.columns])

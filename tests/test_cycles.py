@@ -107,7 +107,7 @@ def test_closing(spark, most, depth):
 
 @pytest.mark.parametrize("most", BOUNDS)
 def test_reach(spark, most):
-    pairs = [(random.Random(k).randrange(30), random.Random(-k).randrange(30)) for k in range(1, 45)]
+    pairs = [(random.Random(k).randrange(30), random.Random(1000 + k).randrange(30)) for k in range(1, 45)]
     seeds = [1, 1, 5, 17, 99]
     got = graph.reach(table(spark, pairs), spark.createDataFrame([(s,) for s in seeds], "seed long"), 3, most).collect()
     assert sorted(map(tuple, got)) == sorted((s, v, d) for s in set(seeds) for v, d in distances(pairs, s).items() if d <= 3)
@@ -140,3 +140,40 @@ def test_deep_search_without_recursion():
     a = np.arange(n)
     assert (cycles.strong_components(Adjacency(a, (a + 1) % n)) == 0).all()
     assert (cycles.strong_components(Adjacency(a, a + 1)) == np.arange(n + 1)).all()
+
+
+@pytest.mark.parametrize("tolerance", [1e-6, 1e-2])
+def test_pagerank_by_joins_equals_one_task(spark, tolerance):
+    pairs = [(random.Random(k).randrange(40), random.Random(1000 + k).randrange(40)) for k in range(1, 90)]
+    e = table(spark, pairs)
+    one = {r.id: r.rank for r in graph.pagerank(e, tolerance=tolerance).collect()}
+    joined = graph.pagerank(e, tolerance=tolerance, most=-1)
+    got = {r.id: r.rank for r in joined.collect()}
+    assert set(got) == set(one) and all(abs(got[i] - one[i]) < 1e-12 for i in one) and abs(sum(one.values()) - 1) < 1e-9
+    assert graph.pagerank(e.limit(0), most=-1).count() == graph.pagerank(e.limit(0)).count() == 0
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("pagerank")]
+
+
+def test_a_round_of_pagerank_moves_ranks_alone(spark, monkeypatch):
+    """The bucketed edges meet the ranks where they lie: of the exchanges of a round, none reads the table of edges."""
+    plans = []
+    real = graph.staged
+    monkeypatch.setattr(graph, "staged", lambda df, name: plans.append(df._jdf.queryExecution().executedPlan().toString()) or real(df, name))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        graph.pagerank(table(spark, [(0, i) for i in range(1, 30)] + [(i, i + 1) for i in range(1, 29)]), rounds=2, most=-1).count()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    rounds = [p for p in plans if "Bucketed: true" in p]
+    assert len(rounds) == 2
+    for p in rounds:
+        scan = p[: p.index("Bucketed: true")].splitlines()
+        indent = lambda line: len(line) - len(line.lstrip(" :+-"))
+        above, depth = [], indent(scan[-1])
+        for line in reversed(scan[:-1]):
+            if indent(line) < depth:
+                above.append(line)
+                depth = indent(line)
+            if "Join" in line and above and "Join" in above[-1]:
+                break
+        assert not any("Exchange" in line for line in above[: next(i for i, line in enumerate(above) if "Join" in line)])

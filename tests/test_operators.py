@@ -297,7 +297,7 @@ def test_late_rows_are_dropped(spark, tmp_path):
 
 def test_first_of_each_user_and_type(spark):
     e = jobs.event_stream(spark, f"{SF}/events.parquet")
-    out = jobs.run_once(jobs.live_memory(e, "100 days"), "append")
+    out = jobs.run_once(jobs.live_memory(e, 2400), "append")
     want = tables.base(spark, SF, "events").select("user_id", "event_type").distinct().count()
     assert out.count() == want
 
@@ -342,7 +342,7 @@ def test_updates_of_several_batches_are_merged(spark, tmp_path):
 
 
 def test_memories_expire_after_their_time_to_live(spark, tmp_path):
-    """State goes at the end of a batch whose watermark has passed it; from then on a repeat is new again."""
+    """Rows within the time to live belong to the memory that is open, later ones open the next; a row behind the watermark (7) is dropped."""
     import datetime as d
     import os
     import shutil
@@ -351,12 +351,12 @@ def test_memories_expire_after_their_time_to_live(spark, tmp_path):
     day = d.datetime(2024, 1, 10)
     schema = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double"
     os.mkdir(tmp_path / "in")
-    for i, rows in enumerate(([(1, day, 1, "view", 1.0)], [(2, day + d.timedelta(days=1), 1, "view", 1.0), (3, day + d.timedelta(days=4), 2, "view", 1.0)], [(6, day + d.timedelta(days=4), 3, "view", 1.0)], [(4, day + d.timedelta(days=5), 1, "view", 1.0), (5, day + d.timedelta(days=5), 2, "view", 1.0)])):
+    for i, rows in enumerate(([(1, day, 1, "view", 1.0)], [(2, day + d.timedelta(days=1), 1, "view", 1.0), (3, day + d.timedelta(days=4), 2, "view", 1.0)], [(6, day + d.timedelta(days=4), 3, "view", 1.0)], [(4, day + d.timedelta(days=5), 1, "view", 1.0), (5, day + d.timedelta(days=5), 2, "view", 1.0), (7, day + d.timedelta(hours=1), 4, "view", 1.0)])):
         spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"file://{tmp_path}/{i}")
         for f in (tmp_path / str(i)).glob("*.parquet"):
             shutil.copy(f, tmp_path / "in" / f"{i}.parquet")
             os.utime(tmp_path / "in" / f"{i}.parquet", (time.time() - 100 + i, time.time() - 100 + i))
-    out = jobs.run_once(jobs.live_memory(jobs.event_stream(spark, f"file://{tmp_path}/in", 1), "48 hours"), "append")
+    out = jobs.run_once(jobs.live_memory(jobs.event_stream(spark, f"file://{tmp_path}/in", 1), 48), "append")
     assert sorted(r.event_id for r in out.collect()) == [1, 3, 4, 6]
 
 
