@@ -651,3 +651,98 @@ def art_categories(vectors: DataFrame, key: str, **options) -> DataFrame:
 
     df = _one_length(usable(vectors.select(F.col(key).cast("long").alias(key), "id", "v")))
     return df.repartition(key).sortWithinPartitions(key, "id", "v").mapInArrow(run, f"{key} long, id long, category int")
+
+
+class ArtModel:
+    """Fuzzy ART prototypes of all vectors: trained part by part and merged up a tree by vigilance, ``most`` of them at last.
+
+    Vectors are dealt to parts by a hash of their id and learnt in the order of
+    their ids, so the model doesn't depend on the executors. A level of the tree
+    brings the prototypes of ``WIDTH`` parts together, those with more matches
+    first: one that another covers to the vigilance becomes the fuzzy
+    intersection of both, with the matches of both; where there are more than
+    ``most``, the least matched goes. No task holds more than WIDTH times
+    ``most`` prototypes.
+    """
+
+    WIDTH = 8
+
+    def __init__(self, vectors: DataFrame, vigilance: float = 0.75, rate: float = 0.5, most: int = 100, parts: int = 64):
+        self.vigilance = vigilance
+        rows = _one_length(usable(vectors.select("id", "v")))
+        dealt = rows.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts))).select("part", "id", "v")
+
+        def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            last, art = None, None
+            for b in batches:
+                for part, v in zip(b.column(0).to_pylist(), b.column(2).to_pylist()):
+                    if part != last:
+                        if art is not None:
+                            yield ArtModel._rows(last, art.w, art.hits)
+                        last, art = part, FuzzyART(vigilance, rate, most=most)
+                    art.learn(ArtModel.scaled(np.array([v]))[0])
+            if art is not None:
+                yield ArtModel._rows(last, art.w, art.hits)
+
+        def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            last, kept, hits = None, [], []
+
+            def close() -> pa.RecordBatch:
+                order = sorted(range(len(kept)), key=lambda i: (-hits[i], kept[i].tolist()))[:most]
+                return ArtModel._rows(last, [kept[i] for i in order], [hits[i] for i in order])
+
+            for b in batches:
+                for part, n, w in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
+                    if part != last:
+                        if kept:
+                            yield close()
+                        last, kept, hits = part, [], []
+                    w = np.array(w)
+                    shared = [np.minimum(w, k).sum() / w.sum() for k in kept]
+                    best = max(range(len(kept)), key=lambda i: (shared[i], -i), default=None)
+                    if best is not None and shared[best] >= vigilance:
+                        kept[best], hits[best] = np.minimum(kept[best], w), hits[best] + n
+                    else:
+                        kept.append(w)
+                        hits.append(n)
+            if kept:
+                yield close()
+
+        schema = "part long, hits long, w array<double>"
+        model = storage.staged(dealt.repartition("part").sortWithinPartitions("part", "id", "v").mapInArrow(learn, schema), "art")
+        while parts > 1:
+            parts = -(-parts // self.WIDTH)
+            up = model.withColumn("part", F.floor(F.col("part") / self.WIDTH))
+            model = storage.staged(up.repartition("part").sortWithinPartitions("part", F.desc("hits"), "w").mapInArrow(merge, schema), "art")
+        found = model.orderBy(F.desc("hits"), "w").collect()  # ``most`` rows
+        self.prototypes, self.hits = np.array([r.w for r in found]), [r.hits for r in found]
+
+    @staticmethod
+    def _rows(part: int, w: list[np.ndarray], hits: list[int]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([part] * len(w), pa.int64()), pa.array(hits, pa.int64()), pa.array([x.tolist() for x in w], pa.list_(pa.float64()))], names=["part", "hits", "w"])
+
+    @staticmethod
+    def scaled(m: np.ndarray) -> np.ndarray:
+        """Each row from 0 to 1."""
+        low = m.min(axis=1, keepdims=True)
+        return (m - low) / np.maximum(np.ptp(m, axis=1, keepdims=True), 1e-12)
+
+    def classify(self, vectors: DataFrame) -> DataFrame:
+        """(id, category, match): the prototype that matches best, null below the vigilance."""
+        shared, least = vectors.sparkSession.sparkContext.broadcast(self.prototypes), self.vigilance
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            w = shared.value
+            for b in batches:
+                for at in range(0, b.num_rows, 256):
+                    part = b.slice(at, 256)
+                    x = ArtModel.scaled(part.column(1).flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1))
+                    x = np.concatenate([x, 1 - x], axis=1)
+                    match = np.minimum(x[:, None], w[None]).sum(axis=2) / x.sum(axis=1)[:, None] if len(w) else np.zeros((len(x), 1))
+                    best = match.argmax(axis=1)
+                    top = match[np.arange(len(x)), best]
+                    yield pa.RecordBatch.from_arrays([part.column(0), pa.array(best, pa.int64(), mask=top < least), pa.array(top)], names=["id", "category", "match"])
+
+        long = self.prototypes.shape[1] // 2 if len(self.prototypes) else 0
+        rows = usable(vectors.select("id", "v"))
+        return (rows.where(F.size("v") == long) if long else rows.limit(0)).mapInArrow(run, "id long, category long, match double")

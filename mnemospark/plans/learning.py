@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from mnemospark.functions import scores as S
 from mnemospark.functions import text as X
 from mnemospark.operators import analytics as A
+from mnemospark.operators import equations as E
 from mnemospark.operators import learning as L
 from mnemospark.operators.topk import ranked
 from mnemospark.plans.registry import query
@@ -338,6 +339,14 @@ def importance_equation(spark, sf):
     return f.select("expression", "complexity", *[S.rounded(c).alias(c) for c in ("slope", "intercept", "r2")], "best")
 
 
+@query("d33_evolved_equations")
+def evolved_equations(spark, sf):
+    """The front of equations of up to 15 nodes for a memory's success, bred from its key, hour and day."""
+    x = T.actions(spark, sf).select("success_score", (F.col("k") / 100.0).alias("k"), (F.hour("executed_at") / 24.0).alias("hour"), (F.dayofmonth("executed_at") / 31.0).alias("day"))
+    f = E.evolved(x, "success_score", ["k", "hour", "day"], population=60, generations=4)
+    return f.select("expression", "complexity", *[S.rounded(c).alias(c) for c in ("slope", "intercept", "r2")])
+
+
 @query("d34_vote", ctes("actions") + "SELECT context, count(*) AS votes, CAST(count(*) FILTER (success_score >= 0.5) AS BIGINT) AS yes, count(*) FILTER (success_score >= 0.5) >= greatest(1, ceil(count(*) * 0.5)) AS accepted FROM actions GROUP BY 1")
 def vote(spark, sf):
     return A.vote(T.actions(spark, sf), "context", F.col("success_score") >= 0.5)

@@ -203,6 +203,13 @@ def fuzzy_art(spark, sf):
     return O.art_categories(T.vectors(spark, sf), "label", vigilance=0.7).groupBy("label", "category").agg(rows().alias("n"))
 
 
+@query("v18_art_classify")
+def art_classify(spark, sf):
+    """All vectors by a model trained on all, part by part: how many each category has, and how many match none."""
+    v = T.vectors(spark, sf)
+    return O.ArtModel(v, 0.75).classify(v).groupBy("category").agg(rows().alias("n"))
+
+
 @query("v19_fuzzy_match", ctes("vectors") + ", p AS (SELECT id, list_transform(v, lambda x: abs(x)) AS x FROM vectors), w AS (SELECT x AS w FROM p WHERE id = 0) SELECT id, round(list_sum(list_transform(list_zip(x, w), lambda z: least(z[1], z[2]))) / list_sum(x), 6) AS match FROM p, w")
 def fuzzy_match(spark, sf):
     w = F.array(*[F.lit(abs(float(x))) for x in _query(spark, sf)])

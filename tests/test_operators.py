@@ -573,3 +573,17 @@ def test_settings_come_back_when_the_last_thread_leaves(spark):
     assert spark.conf.get(key) == "true"
     b.__exit__(None, None, None)
     assert spark.conf.get(key) == old
+
+
+def test_longest_common_subsequences(spark):
+    from mnemospark.operators import near_texts
+
+    r = random.Random(12)
+    for _ in range(300):
+        p, q = ([r.choice("abcd") for _ in range(r.randrange(15))] for _ in range(2))
+        row = [0] * (len(q) + 1)
+        for x in p:
+            before = 0
+            for j, y in enumerate(q, 1):
+                before, row[j] = row[j], before + 1 if x == y else max(row[j], row[j - 1])
+        assert near_texts.longest_common(p, q) == row[-1]
