@@ -67,9 +67,11 @@ class Adjacency:
 
 def broadcast(edges: DataFrame, most: int = MAX_EDGES) -> Broadcast | None:
     """The graph of a staged table of distinct edges(a, b), if their ids are integers and it has ``most`` edges at most."""
-    if not all(isinstance(edges.schema[c].dataType, T.IntegralType) for c in ("a", "b")) or edges.count() > most:
+    if most < 0 or not all(isinstance(edges.schema[c].dataType, T.IntegralType) for c in ("a", "b")):
+        return None
+    table = edges.select(edges.a.cast("long"), edges.b.cast("long")).limit(most + 1).toArrow()  # one more would be too many
+    if table.num_rows > most:
         return None
-    table = edges.select(edges.a.cast("long"), edges.b.cast("long")).toArrow()
     return edges.sparkSession.sparkContext.broadcast(Adjacency(table.column(0).to_numpy(), table.column(1).to_numpy()))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from contextlib import nullcontext
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -85,7 +87,9 @@ def run_once(stream: DataFrame, mode: str, keys: list[str] | None = None) -> Dat
         w = stream.writeStream.outputMode("append").format("parquet").option("path", f"{base}/out")
     else:
         w = stream.writeStream.outputMode(mode).foreachBatch(upsert if mode == "update" else replace)
-    with setting(spark, "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"):  # custom state needs it
+    custom = "TransformWithState" in stream._jdf.queryExecution().logical().toString()
+    kept = setting(spark, "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider") if custom else nullcontext()
+    with kept:  # custom state needs that store
         w.option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     if mode != "update":
         return spark.read.schema(stream.schema).parquet(f"{base}/out")
