@@ -179,14 +179,22 @@ def _opposed_sql(x: str, y: str) -> str:
 @query("g17_chain_validation", ctes("chains", "entities", recursive=True) + f", e AS (SELECT agent_id * 1000 + a AS a, agent_id * 1000 + b AS b FROM chains){CLOSURE}, l AS (SELECT agent_id, s IS NOT NULL AS on_cycle, strength < 0.5 AS weak, {_opposed_sql('x.content', 'y.content')} AS opposed FROM chains c LEFT JOIN r ON s = agent_id * 1000 + c.b AND t = agent_id * 1000 + c.a LEFT JOIN entities x ON x.id = c.a LEFT JOIN entities y ON y.id = c.b) SELECT agent_id, count(*) AS links, count(*) FILTER (on_cycle) AS on_cycles, count(*) FILTER (weak) AS weak_links, count(opposed) AS contradictions, max(opposed) AS reason, NOT bool_or(on_cycle OR weak OR opposed IS NOT NULL) AS is_valid, CASE WHEN bool_or(on_cycle) THEN 'HIGH' WHEN bool_or(weak OR opposed IS NOT NULL) THEN 'MEDIUM' END AS severity FROM l GROUP BY agent_id")
 def chain_validation(spark, sf):
     """Every agent's chain: links on cycles of any length, weak links, and links between statements that oppose each other."""
-    c = T.chains(spark, sf).withColumns({"x": F.col("agent_id") * 1000 + F.col("a"), "y": F.col("agent_id") * 1000 + F.col("b")})
-    on = C.cyclic_edges(c.select(F.col("x").alias("a"), F.col("y").alias("b"))).select(F.col("a").alias("x"), F.col("b").alias("y"), F.lit(True).alias("on_cycle"))
+    c = T.chains(spark, sf)
+    bounds = c.agg(F.min(F.least("a", "b")), F.max(F.greatest("a", "b"))).first()
+    numbered = c.select("agent_id", (F.col("agent_id") * 1000 + F.col("a")).alias("a"), (F.col("agent_id") * 1000 + F.col("b")).alias("b"), F.col("a").alias("x"), F.col("b").alias("y"), "strength")
+    if bounds[0] is None or 0 <= bounds[0] and bounds[1] < 1000:  # no node is two agents'
+        links = C.marked_within(numbered, "agent_id")
+    else:
+        on = C.cyclic_edges(numbered).select("a", "b", F.lit(True).alias("on_cycle"))
+        links = numbered.join(on, ["a", "b"], "left")
     said = T.entities(spark, sf).select("id", F.lower("content").alias("said"))
     words = {w for a, b, _ in X.OPPOSITES for w in (a, b)}
     said = said.select("id", *(F.contains("said", F.lit(w)).alias(w) for w in sorted(words)))  # texts don't move: their words do
-    links = c.join(on, ["x", "y"], "left").join(said.alias("p"), F.col("p.id") == F.col("a"), "left").join(said.alias("q"), F.col("q.id") == F.col("b"), "left")
     opposed = F.coalesce(*(F.when(F.col(f"p.{a}") & F.col(f"q.{b}"), kind) for a, b, kind in X.OPPOSITES))
-    cycle, weak, reason = F.coalesce("on_cycle", F.lit(False)), F.col("strength") < 0.5, opposed
+    met = c.select(F.col("a").alias("x"), F.col("b").alias("y")).distinct()  # what two statements say is settled once, not once an agent
+    met = met.join(said.alias("p"), F.col("p.id") == F.col("x"), "left").join(said.alias("q"), F.col("q.id") == F.col("y"), "left")
+    links = links.join(met.select("x", "y", opposed.alias("reason")), ["x", "y"], "left")
+    cycle, weak, reason = F.coalesce("on_cycle", F.lit(False)), F.col("strength") < 0.5, F.col("reason")
     g = links.groupBy("agent_id").agg(rows().alias("links"), F.count_if(cycle).alias("on_cycles"), F.count_if(weak).alias("weak_links"), F.count(reason).alias("contradictions"), F.max(reason).alias("reason"))
     valid = (F.col("on_cycles") == 0) & (F.col("weak_links") == 0) & (F.col("contradictions") == 0)
     return g.withColumns({"is_valid": valid, "severity": F.when(F.col("on_cycles") > 0, "HIGH").when(~valid, "MEDIUM")})

@@ -175,3 +175,31 @@ def test_a_round_of_pagerank_moves_ranks_alone(spark, monkeypatch):
             if "Join" in line and above and "Join" in above[-1]:
                 break
         assert not any("Exchange" in line for line in above[: next(i for i, line in enumerate(above) if "Join" in line)])
+
+
+@pytest.mark.parametrize("chunk, most", [(1, 10**6), (7, 10**6), (50_000, 10**6), (50_000, 3)])
+def test_graphs_of_keys_are_marked_in_one_pass(spark, monkeypatch, chunk, most):
+
+    monkeypatch.setattr(cycles, "CHUNK_EDGES", chunk)
+    r = random.Random(chunk)
+    rows = [(k, k * 100 + r.randrange(9), k * 100 + r.randrange(9), r.random()) for k in range(30) for _ in range(r.randrange(1, 16))]
+    df = spark.createDataFrame(rows + [(40, None, 4001, 0.5), (41, 4100, 4100, 0.5)], "k long, a long, b long, w double")
+    out = {}
+    for _, a, b, _ in rows:
+        out.setdefault(a, set()).add(b)
+
+    def reaches(a, b):
+        seen, todo = set(), [a]
+        while todo:
+            for y in out.get(todo.pop(), ()):
+                if y not in seen:
+                    seen.add(y)
+                    todo.append(y)
+        return b in seen
+
+    got = cycles.marked_within(df, "k", most)
+    assert got.columns == ["k", "a", "b", "w", "on_cycle"]
+    want = sorted((*x, reaches(x[2], x[1])) for x in rows)
+    found = [tuple(x) for x in got.collect()]
+    assert sorted(x for x in found if x[0] < 40) == want
+    assert sorted(x for x in found if x[0] >= 40) == sorted([(40, None, 4001, 0.5, False), (41, 4100, 4100, 0.5, True)], key=lambda x: x[0])
