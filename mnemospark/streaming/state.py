@@ -37,21 +37,25 @@ class Memory(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         before = until = self.until.get()[0] if self.until.exists() else None
-        opened = []
-        for ts, event in zip(*(c.tolist() for c in in_time_order(rows))):
-            if until is None or ts >= until:
-                until = ts + self.life
-                opened.append((*key, event, pd.Timestamp(ts, unit="us"), pd.Timestamp(until, unit="us")))
+        ts, event = in_time_order(rows)
+        opened, at = [], 0
+        while at < len(ts):  # from opening to opening, whatever lies between
+            if until is not None and ts[at] < until:
+                at = int(np.searchsorted(ts, until))
+                continue
+            opened.append(at)
+            until = int(ts[at]) + self.life
         if opened:
             if before is not None:
                 self.handle.deleteTimer(before // 1000)
             self.until.update((until,))
             self.handle.registerTimer(until // 1000)
-            yield pd.DataFrame(opened, columns=["user_id", "event_type", "event_id", "begun", "until"])
+            begun = ts[opened]
+            yield pd.DataFrame({"user_id": key[0], "event_type": key[1], "event_id": event[opened], "begun": begun.astype("datetime64[us]"), "until": (begun + self.life).astype("datetime64[us]")})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         self.until.clear()
-        yield pd.DataFrame(columns=["user_id", "event_type", "event_id", "begun", "until"])
+        return iter(())
 
     def close(self) -> None:
         pass
