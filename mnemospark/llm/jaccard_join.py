@@ -32,10 +32,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mnemospark.llm._common import chained, dropped, group_runs, mix, owner, pieces, staged, words_of
+from mnemospark.llm._common import chained, dropped, flat_bytes, group_runs, mix, owner, pieces, staged, words_of
 from mnemospark.llm._components import components
 
 #: White space is U+0020 and U+0009 to U+000D.
@@ -131,25 +132,28 @@ def bucket_keys(grams: np.ndarray, off: np.ndarray, threshold: int) -> tuple[np.
     return np.concatenate(keys), np.concatenate(sets)
 
 
-def _stars(key: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, ...]:
+def key_counts(size: np.ndarray, threshold: int) -> np.ndarray:
+    """How many keys ``bucket_keys`` gives sets of these sizes."""
+    out = np.zeros(len(size), np.int64)
+    for level in levels(threshold, int(size.max(initial=0))):
+        out[(size >= level.low) & (size <= level.high)] += level.buckets - level.spare
+    return out
+
+
+def _stars(key: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, ...]:
     """Rows sorted by key and node -> (first row of each key, rows that are another node than their key's first, that first row)."""
     new = group_runs([key])
     first = np.flatnonzero(new)
     head = np.repeat(first, np.diff(np.append(first, len(key))))
-    other = np.flatnonzero((a != a[head]) | (b != b[head]))
+    other = np.flatnonzero(node != node[head])
     return first, other, head[other]
 
 
-def _forest(a1: np.ndarray, a2: np.ndarray, b1: np.ndarray, b2: np.ndarray) -> list[np.ndarray]:
-    """Edges between nodes (two longs each) -> the same components as one edge from their smallest node to each other node."""
-    k1, k2 = np.concatenate([a1, b1]), np.concatenate([a2, b2])
-    order = np.lexsort((k2, k1))
-    new = group_runs([k1[order], k2[order]]) if len(order) else np.zeros(0, bool)
-    number = np.empty(len(order), np.int64)
-    number[order] = np.cumsum(new) - 1
-    n1, n2 = k1[order][new], k2[order][new]
-    u, v = number[: len(a1)], number[len(a1) :]
-    label = np.arange(len(n1))
+def _forest(a: np.ndarray, b: np.ndarray) -> list[np.ndarray]:
+    """Edges between nodes -> the same components as one edge from their smallest node to each other node."""
+    node, number = np.unique(np.concatenate([a, b]), return_inverse=True)
+    u, v = number[: len(a)], number[len(a) :]
+    label = np.arange(len(node))
     while len(u) and (label[u] != label[v]).any():
         least = np.minimum(label[u], label[v])
         np.minimum.at(label, u, least)
@@ -161,71 +165,67 @@ def _forest(a1: np.ndarray, a2: np.ndarray, b1: np.ndarray, b2: np.ndarray) -> l
     root = label[other]
     while (label[root] != root).any():
         root = label[root]
-    return [n1[root], n2[root], n1[other], n2[other]]
+    return [node[root], node[other]]
+
+
+#: Keys that meet in one task of ``_meet``; their parts grow in number with the input, not in size.
+PART_KEYS = 500_000
+_KEYED = pa.schema([("part", pa.int32()), ("met", pa.bool_()), ("x", pa.binary()), ("y", pa.binary())])
+_KEYED_SQL = "part int, met boolean, x binary, y binary"
+_EDGE = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
 
+def _packed(met: bool, by: np.ndarray, x: np.ndarray, y: np.ndarray, parts: int) -> pa.RecordBatch:
+    """x and y, sorted by the hash ``by``, as one row for each part that has any."""
+    part = ((by.view(np.uint64) >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int32)
+    first = np.flatnonzero(group_runs([part]))
+    ends = pa.py_buffer((np.append(first, len(part)) * 8).astype(np.int32))
+    packed = [pa.Array.from_buffers(pa.binary(), len(first), [None, ends, pa.py_buffer(np.ascontiguousarray(z))]) for z in (x, y)]
+    return pa.record_batch([pa.array(part[first]), pa.array(np.full(len(first), met)), *packed], schema=_KEYED)
 
-_KEYED = pa.schema([("key", pa.int64()), ("a1", pa.int64()), ("a2", pa.int64()), ("b1", pa.int64()), ("b2", pa.int64())])
-_KEYED_SQL = "key long, a1 long, a2 long, b1 long, b2 long"
 
+def _keyed(n: int, threshold: int, parts: int):
+    """Texts -> keys and their nodes to meet others', and edges (met) between nodes that met already in this piece.
 
-def _keyed(n: int, threshold: int):
-    """Texts -> rows (key, node) to meet others', and (null, node, node) where nodes met already in this piece."""
+    Both are packed, a row for each part of the hash range: the keys are many
+    and hardly any is met twice, so that rows of their own, sorted by Spark,
+    would cost the executors several times the keys' bytes.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in pieces(batch, 0):
                 grams, off = ngram_sets(piece.column(0), n)
-                k1, k2 = set_keys(grams, off)
                 key, own = bucket_keys(grams, off, threshold)
                 if not len(key):
                     continue
-                a, b = k1[own], k2[own]
-                order = np.lexsort((b, a, key))
-                key, a, b = key[order].view(np.int64), a[order], b[order]
-                first, other, head = _stars(key, a, b)
-                met = _forest(a[head], b[head], a[other], b[other])
-                none = pa.nulls(len(first), pa.int64())
-                yield pa.record_batch([pa.array(key[first]), pa.array(a[first]), pa.array(b[first]), none, none], schema=_KEYED)
-                yield pa.record_batch([pa.nulls(len(met[0]), pa.int64()), *map(pa.array, met)], schema=_KEYED)
+                node = set_keys(grams, off)[0][own]
+                order = np.lexsort((node, key))
+                key, node = key[order].view(np.int64), node[order]
+                first, other, head = _stars(key, node)
+                yield _packed(False, key[first], key[first], node[first], parts)
+                a, b = _forest(node[head], node[other])
+                order = np.argsort(b.view(np.uint64))
+                yield _packed(True, b[order], a[order], b[order], parts)
 
     return run
 
 
-_EDGE = pa.schema([(c, pa.int64()) for c in ("a1", "a2", "b1", "b2")])
-
-
-#: Rows with keys that one numpy step of ``_meet`` works on.
-MEET_ROWS = 400_000
-
-
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by key -> the components of the nodes that share a key, in few edges; rows without a key are edges."""
-    last, held, size = None, [], 0
-
-    def flush() -> pa.RecordBatch:
-        nonlocal last, size
-        table = pa.Table.from_batches(held)
-        held.clear()
-        size = 0
-        done, rows = table.filter(table["key"].is_null()), table.filter(table["key"].is_valid())
-        edges = [[c.to_numpy()] for c in done.columns[1:]]
-        if rows.num_rows:
-            key, a, b = (rows.column(i).to_numpy() for i in range(3))
-            if last is not None:
-                key, a, b = (np.concatenate([[x], y]) for x, y in zip(last, (key, a, b)))
-            first, other, head = _stars(key, a, b)
-            last = key[-1], a[first[-1]], b[first[-1]]
-            for column, more in zip(edges, (a[head], b[head], a[other], b[other])):
-                column.append(more)
-        return pa.record_batch(list(map(pa.array, _forest(*map(np.concatenate, edges)))), schema=_EDGE)
-
+    """The packed rows of one part -> the components of the nodes that share a key, in few edges."""
+    held = {False: ([], []), True: ([], [])}
     for batch in batches:
-        held.append(batch)
-        size += batch.num_rows
-        if size >= MEET_ROWS:
-            yield flush()
-    if held:
-        yield flush()
+        met = batch.column("met")
+        for kind, mask in ((True, met), (False, pc.invert(met))):
+            for out, name in zip(held[kind], "xy"):
+                out.append(flat_bytes(batch.column(name).filter(mask))[0].copy().view(np.int64))
+    if not held[True][0]:
+        return
+    (key, node), (a, b) = (map(np.concatenate, held.pop(kind)) for kind in (False, True))
+    order = np.lexsort((node, key))
+    key, node = key[order], node[order]
+    _, other, head = _stars(key, node)
+    yield pa.record_batch(list(map(pa.array, _forest(np.concatenate([a, node[head]]), np.concatenate([b, node[other]])))), schema=_EDGE)
 
 
 class SignatureTree:
@@ -424,17 +424,20 @@ def cluster(documents: DataFrame, n: int = 5, threshold: int = 80, block_ngrams:
             for piece in pieces(batch, 1):
                 grams, off = ngram_sets(piece.column(1), n)
                 k1, k2 = set_keys(grams, off)
-                yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(np.diff(off)), pa.array(k1), pa.array(k2)], names=["doc_id", "n_shingles", "k1", "k2"])
+                size = np.diff(off)
+                yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(size), pa.array(k1), pa.array(k2), pa.array(key_counts(size, threshold))], names=["doc_id", "n_shingles", "k1", "k2", "keys"])
 
-    docs = staged(rows.mapInArrow(measure, "doc_id long, n_shingles long, k1 long, k2 long"), "sets")
+    docs = staged(rows.mapInArrow(measure, "doc_id long, n_shingles long, k1 long, k2 long, keys long"), "sets")
     nodes = docs.where("n_shingles > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("size"))
     nodes = staged(nodes.where("rep is not null"), "nodes")
 
-    met = rows.where("doc_id IS NOT NULL").select("text").mapInArrow(_keyed(n, threshold), _KEYED_SQL)
-    by_key = met.repartition(F.coalesce("key", "b1")).sortWithinPartitions("key", "a1", "a2").mapInArrow(_meet, "a1 long, a2 long, b1 long, b2 long")
-    edges = staged(by_key.distinct(), "edges")
-    a, b = (nodes.select(F.col("k1").alias(f"{s}1"), F.col("k2").alias(f"{s}2"), F.col("rep").alias(s)) for s in "ab")
-    groups = components(edges.join(a, ["a1", "a2"]).join(b, ["b1", "b2"]).select("a", "b"), "candidates")
+    keys = docs.where("doc_id IS NOT NULL").agg(F.sum("keys").alias("n")).first()["n"] or 0
+    parts = 1 + keys // PART_KEYS
+    met = rows.where("doc_id IS NOT NULL").select("text").mapInArrow(_keyed(n, threshold, parts), _KEYED_SQL)
+    edges = staged(met.repartitionById(parts, F.col("part")).mapInArrow(_meet, "a long, b long").distinct(), "edges")
+    # Nodes go by the first half of their hash: should two have it in common, both are candidates.
+    a, b = (nodes.select(F.col("k1").alias(s), F.col("rep").alias(f"{s}_rep")) for s in "ab")
+    groups = components(edges.join(a, "a").join(b, "b").select(F.col("a_rep").alias("a"), F.col("b_rep").alias("b")), "candidates")
 
     dropped(edges)
     member = nodes.join(groups, nodes.rep == groups.id).select("rep", "k1", "k2", "size", F.col("component").alias("comp"))

@@ -112,3 +112,31 @@ def test_rows_without_an_id_carry_no_link(spark):
     rows = [(None, "a b c d e f g h i j x"), (3, "a b c d e f g h i j k"), (5, "a b c d e f g h i j l"), (None, "zz yy")]
     got = {(r.doc_id, r.component_id) for r in J.cluster(spark.createDataFrame(rows, "doc_id long, text string"), 1, 80).collect()}
     assert got == {(3, 3), (5, 3), (None, None)}
+
+
+def test_keys_move_packed_in_parts_of_bounded_size():
+    import numpy as np
+    import pyarrow as pa
+
+    r = random.Random(8)
+    texts = pa.array([" ".join(f"w{r.randrange(5000)}" for _ in range(r.randint(1, 400))) for _ in range(300)] + [None, ""])
+    grams, off = J.ngram_sets(texts, 5)
+    key, own = J.bucket_keys(grams, off, 80)
+    counts = J.key_counts(np.diff(off), 80)
+    assert counts.tolist() == np.bincount(own, minlength=len(texts)).tolist() and counts.sum() > 10_000
+    parts = 7
+    rows = pa.Table.from_batches(J._keyed(5, 80, parts)(iter([pa.record_batch([texts], names=["text"])]))).to_pylist()
+    keys = [x for x in rows if not x["met"]]
+    assert sorted(x["part"] for x in keys) == list(range(parts)) and len(rows) <= 2 * parts  # not a row a key
+    unpacked = [np.frombuffer(x["x"], np.int64) for x in keys]
+    assert sorted(np.concatenate(unpacked).tolist()) == sorted({*key.view(np.int64).tolist()})
+    assert max(map(len, unpacked)) < 1.2 * len(np.unique(key)) / parts
+    assert all(len(x["x"]) == len(x["y"]) for x in rows)
+
+
+@pytest.mark.parametrize("part_keys", [50, 1_000])
+def test_classes_do_not_depend_on_the_parts(spark, monkeypatch, part_keys):
+    monkeypatch.setattr(J, "PART_KEYS", part_keys)
+    rows = corpus(9, 160)
+    got = J.cluster(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 3, 80)
+    assert {x.doc_id: (x.n_shingles, x.component_id) for x in got.collect()} == brute(rows, 3, 80)
