@@ -6,7 +6,10 @@
    on the whole content of half of H buckets at least, and on one of the
    fullest. Nodes that share a full bucket's content are joined to stars;
    connected stars are candidate groups. No similar pair is lost, and documents
-   that only share a passage hardly ever agree on such a bucket.
+   that only share a passage hardly ever agree on such a bucket. Some do, and
+   the more texts, the more such chance meetings chain groups to a large one:
+   groups above a bound are dealt into other buckets, among themselves, and
+   fall apart where chance alone held them. What is similar meets in each deal.
 3. In each candidate group a signature tree is built: its leaves hold documents
    sorted by size, its inner nodes the OR of their bitmaps and their range of
    sizes. A dual traversal prunes node pairs by the largest overlap possible
@@ -27,6 +30,7 @@ an empty table gives no rows; other columns are ignored; texts are read whole.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -44,6 +48,8 @@ NOT_WHITE = np.ones(256, bool)
 NOT_WHITE[[9, 10, 11, 12, 13, 32]] = False
 #: n-grams that one task compares; larger candidate groups are cut into blocks of half as many.
 BLOCK_NGRAMS = 1_000_000
+#: Further deals of the buckets of large groups, as long as a deal leaves at most DEAL_SHARE of their n-grams in large groups.
+DEALS, DEAL_SHARE = 8, 0.9
 BITS, LEAF, FAN = 2048, 32, 8
 #: Sizes of a level lie within this ratio (before partners are counted); buckets left out, in parts of the differences allowed.
 RATIO, SPARE = 1.25, 0.5
@@ -102,10 +108,11 @@ def levels(threshold: int, largest: int) -> list[Level]:
     return out
 
 
-def bucket_keys(grams: np.ndarray, off: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray]:
-    """(keys, set of each): two sets that may be similar have a key in common."""
+def bucket_keys(grams: np.ndarray, off: np.ndarray, threshold: int, deal: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, set of each): two sets that may be similar have a key in common, in every deal of n-grams into buckets."""
     size = np.diff(off)
     keys, sets = [], []
+    turn = mix(np.array([deal], np.uint64)) if deal else np.zeros(1, np.uint64)
     for level in levels(threshold, int(size.max(initial=0))):
         own = np.flatnonzero((size >= level.low) & (size <= level.high))
         if not len(own):
@@ -113,7 +120,7 @@ def bucket_keys(grams: np.ndarray, off: np.ndarray, threshold: int) -> tuple[np.
         count = size[own]
         place = np.repeat(np.arange(len(own)), count)
         g = grams[np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count) + np.repeat(off[own], count)]
-        h = mix(g ^ np.uint64(0x9E3779B97F4A7C15 * (level.number + 1) % (1 << 64)))
+        h = mix(g ^ turn ^ np.uint64(0x9E3779B97F4A7C15 * (level.number + 1) % (1 << 64)))
         bucket = ((h >> np.uint64(32)) * np.uint64(level.buckets) >> np.uint64(32)).astype(np.int64) + place * level.buckets
         v = mix(g + np.uint64(0x1234567))
         bins = len(own) * level.buckets
@@ -184,9 +191,11 @@ def _packed(met: bool, by: np.ndarray, x: np.ndarray, y: np.ndarray, parts: int)
     return pa.record_batch([pa.array(part[first]), pa.array(np.full(len(first), met)), *packed], schema=_KEYED)
 
 
-def _keyed(n: int, threshold: int, parts: int):
+def _keyed(n: int, threshold: int, parts: int, deal: int = 0):
     """Texts -> keys and their nodes to meet others', and edges (met) between nodes that met already in this piece.
 
+    In a further deal, rows (text, k1, k2, comp): only nodes of one group meet.
+
     Both are packed, a row for each part of the hash range: the keys are many
     and hardly any is met twice, so that rows of their own, sorted by Spark,
     would cost the executors several times the keys' bytes.
@@ -196,10 +205,15 @@ def _keyed(n: int, threshold: int, parts: int):
         for batch in batches:
             for piece in pieces(batch, 0):
                 grams, off = ngram_sets(piece.column(0), n)
-                key, own = bucket_keys(grams, off, threshold)
+                key, own = bucket_keys(grams, off, threshold, deal)
+                k1, k2 = set_keys(grams, off)
+                if deal:
+                    e1, e2, comp = (piece.column(c).to_numpy() for c in ("k1", "k2", "comp"))
+                    mine = ((k1 == e1) & (k2 == e2))[own]  # else another row with the same id
+                    key, own = mix(key[mine] ^ mix(comp.astype(np.int64).view(np.uint64)[own[mine]])), own[mine]
                 if not len(key):
                     continue
-                node = set_keys(grams, off)[0][own]
+                node = k1[own]
                 order = np.lexsort((node, key))
                 key, node = key[order].view(np.int64), node[order]
                 first, other, head = _stars(key, node)
@@ -383,6 +397,23 @@ def _in_blocks(nodes: DataFrame, block_ngrams: int, count: str, block: str) -> D
     return nodes.join(sizes.select("comp", blocks.alias(count)), "comp").withColumn(block, F.pmod(F.xxhash64("rep"), F.col(count)).cast("int"))
 
 
+def _dealt_again(texts: DataFrame, n: int, threshold: int, block_ngrams: int, deal: int) -> tuple[DataFrame, DataFrame]:
+    """Texts of large groups -> their nodes, and texts, by the groups that are left of them in another deal; nodes that meet none are left out."""
+    nodes = texts.select("rep", "k1", "k2", "size", "comp").distinct()
+    parts = 1 + (nodes.agg(F.sum("size")).first()[0] or 0) // PART_KEYS
+    met = texts.select("text", "k1", "k2", "comp").mapInArrow(_keyed(n, threshold, parts, deal), _KEYED_SQL)
+    edges = staged(met.repartitionById(parts, F.col("part")).mapInArrow(_meet, "a long, b long").distinct(), "edges")
+    a, b = (nodes.select(F.col("k1").alias(s), F.col("rep").alias(f"{s}_rep"), F.col("comp").alias(f"{s}_comp")) for s in "ab")
+    pairs = edges.join(a, "a").join(b, "b").where("a_comp = b_comp")
+    groups = components(pairs.select(F.col("a_rep").alias("a"), F.col("b_rep").alias("b")), "candidates")
+    dropped(edges)
+    member = nodes.drop("comp").join(groups, nodes.rep == groups.id).select("rep", "k1", "k2", "size", F.col("component").alias("comp"))
+    member = staged(_in_blocks(member, block_ngrams, "nb", "block"), "members")
+    dropped(groups)
+    again = texts.select("rep", "k1", "k2", "text").join(member.hint("merge"), ["rep", "k1", "k2"])
+    return member, staged(again.select(*texts.columns), "texts")
+
+
 def _across(merged: DataFrame, block_ngrams: int) -> DataFrame:
     """Tasks that compare what the blocks' own searches have not: for each group the cheaper of two ways.
 
@@ -405,6 +436,13 @@ def _across(merged: DataFrame, block_ngrams: int) -> DataFrame:
     return some.unionByName(every).unionByName(pairs)
 
 
+def _turns(tasks: DataFrame, most: int) -> list[DataFrame]:
+    """The tasks in turns that move about ``most`` n-grams each: a text goes to as many tasks as its group has blocks."""
+    turns = 1 + (tasks.agg(F.sum("size")).first()[0] or 0) // most
+    turn = F.pmod(F.xxhash64("comp", "i", "j"), F.lit(turns))
+    return [tasks.where(turn == t).drop("size") for t in range(turns)]
+
+
 def _labelled(nodes: DataFrame, classes: DataFrame) -> DataFrame:
     """Nodes whose label is replaced by its component, where it has one."""
     names = classes.select(F.col("id").alias("label"), "component")
@@ -445,9 +483,26 @@ def cluster(documents: DataFrame, n: int = 5, threshold: int = 80, block_ngrams:
     dropped(groups)
 
     # The candidates grow with the corpus: their table is never broadcast. All texts move once, those of large groups again.
-    texts = rows.join(member.select("rep", "k1", "k2", "comp", "nb", "block").hint("merge"), rows.doc_id == member.rep).drop("doc_id")
+    texts = rows.join(member.hint("merge"), rows.doc_id == member.rep).drop("doc_id")
     texts = staged(texts, "texts")
 
+    ngrams = lambda nodes: nodes.where("nb > 1").agg(F.sum("size")).first()[0] or 0
+    tables, left = [member, texts], ngrams(member)
+    members, texteds = [member], [texts]  # the last ones' large groups are dealt again
+    for deal in range(1, DEALS + 1):
+        if not left:
+            break
+        before = left
+        member, texts = _dealt_again(texteds[-1].where("nb > 1"), n, threshold, block_ngrams, deal)
+        tables += [member, texts]
+        members[-1], texteds[-1] = members[-1].where("nb = 1"), texteds[-1].where("nb = 1")
+        members.append(member)
+        texteds.append(texts)
+        left = ngrams(member)
+        if left > DEAL_SHARE * before:
+            break
+    member, texts = (functools.reduce(DataFrame.unionByName, x) for x in (members, texteds))
+
     def solved(dealt: DataFrame) -> DataFrame:
         return staged(dealt.select(*_TASK, "text").repartition("comp", "i", "j").sortWithinPartitions("comp", "i", "j", "rep").mapInArrow(_linked(n, threshold), "a long, b long"), "links")
 
@@ -465,11 +520,13 @@ def cluster(documents: DataFrame, n: int = 5, threshold: int = 80, block_ngrams:
         heads = _in_blocks(cut.where("rep = label").drop("nb", "block").join(families, "comp", "left_semi"), block_ngrams, "nb", "block")
         more = solved(texted(heads.select("*", F.col("block").alias("i"), *alone)))
         merged = staged(_labelled(cut, components(more, "classes")), "members")
-        last = solved(texted(_across(merged, block_ngrams)))
+        tasks = staged(_across(merged, block_ngrams).join(merged.select("rep", "k1", "k2", "size"), ["rep", "k1", "k2"]), "tasks")
+        whole = docs.agg(F.sum("n_shingles")).first()[0]
+        last = [solved(texted(t)) for t in _turns(tasks, max(whole, block_ngrams))]
         before = classes
-        classes = components(found.unionByName(more).unionByName(last), "classes")
-        dropped(before, cut, more, merged, last)
-    dropped(member, texts, found)
+        classes = components(functools.reduce(DataFrame.unionByName, last, found.unionByName(more)), "classes")
+        dropped(before, cut, more, merged, tasks, *last)
+    dropped(found, *tables)
 
     named = nodes.join(classes, nodes.rep == classes.id, "left").select("k1", "k2", F.coalesce("component", "rep").alias("component"))
     found = docs.join(named, ["k1", "k2"], "left")

@@ -140,3 +140,39 @@ def test_classes_do_not_depend_on_the_parts(spark, monkeypatch, part_keys):
     rows = corpus(9, 160)
     got = J.cluster(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 3, 80)
     assert {x.doc_id: (x.n_shingles, x.component_id) for x in got.collect()} == brute(rows, 3, 80)
+
+
+def test_chance_meetings_make_no_large_group(spark, monkeypatch):
+    """Texts of few words meet by chance in some bucket: most are one candidate group, with hardly a similar pair in it."""
+    r = random.Random(4)
+    rows = [(i, " ".join(r.choices([f"w{k}" for k in range(14)], [1 / (k + 1) for k in range(14)], k=20))) for i in range(700)]
+    rows += [(1000 + i, rows[i][1] + " w3") for i in range(40)]
+    crossed, across = [], J._across
+    monkeypatch.setattr(J, "_across", lambda *x: (out := across(*x), crossed.append(out.count()))[0])
+    got = J.cluster(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), 3, 80, 1_500)
+    assert {x.doc_id: (x.n_shingles, x.component_id) for x in got.collect()} == brute(rows, 3, 80)
+    assert sum(crossed) < len(rows)
+
+
+def test_blocks_are_compared_in_turns(spark, monkeypatch):
+    """A family that is no chance: its texts go to every other block, and what moves at once is bounded."""
+    r = random.Random(8)
+    base = [f"b{i}" for i in range(60)]
+    rows = []
+    for i in range(120):
+        w = list(base)
+        for k in r.sample(range(60), 6):
+            w[k] = f"x{r.randrange(40)}"
+        rows.append((i, " ".join(w)))
+    moved, staged = [], J.staged
+
+    def watched(df, name):
+        out = staged(df, name)
+        if name == "tasks":
+            moved.extend(t.join(out.select("rep", "size").distinct(), "rep").agg({"size": "sum"}).first()[0] for t in J._turns(out, 3000))
+        return out
+
+    monkeypatch.setattr(J, "staged", watched)
+    got = J.cluster(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), 3, 60, 300)
+    assert {x.doc_id: (x.n_shingles, x.component_id) for x in got.collect()} == brute(rows, 3, 60)
+    assert len(moved) > 3 and max(moved) < 3 * 3000
